@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rlz
+from . import quality, rlz, simhash
 
 
 def table(spark, sf_dir, name):
@@ -13,8 +13,16 @@ def op4_rlz(spark, sf_dir):
     return rlz.digest_substrings(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {f.__name__: f for f in (op4_rlz,)}
+    return {f.__name__: f for f in (op4_rlz, op6_simhash, op9_quality)}
 
 
 def oracle_sql():
