@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from . import quality, rlz, simhash
+from . import decontaminate, quality, rlz, simhash, suffixes
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_suffixes(spark, sf_dir):
+    return suffixes.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_rlz(spark, sf_dir):
     return rlz.digest_substrings(table(spark, sf_dir, "documents"))
 
 
+def op5_spaced_seeds(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -22,7 +30,7 @@ def op9_quality(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_rlz, op6_simhash, op9_quality)}
+    return {f.__name__: f for f in (op3_suffixes, op4_rlz, op5_spaced_seeds, op6_simhash, op9_quality)}
 
 
 def oracle_sql():
