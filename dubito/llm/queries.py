@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, rlz, simhash, suffixes
+import os
+
+from . import decontaminate, pieces, quality, rlz, simhash, suffixes
+
+#: Vocabulary files are read on the driver and broadcast; they are never copied into the repository.
+TOKENIZERS = os.environ.get("DUBITO_TOKENIZERS", "/opt/tokenizers")
+PIECES = "piece_bpe_32k.model"
+WORDS = "word_bpe_49k.json"
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return os.path.join(TOKENIZERS, name)
+    return str(public_tokenizers.path(name))
 
 
 def table(spark, sf_dir, name):
@@ -25,12 +41,16 @@ def op6_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark, sf_dir):
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
 def op9_quality(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries():
-    return {f.__name__: f for f in (op3_suffixes, op4_rlz, op5_spaced_seeds, op6_simhash, op9_quality)}
+    return {f.__name__: f for f in (op3_suffixes, op4_rlz, op5_spaced_seeds, op6_simhash, op7_pieces, op9_quality)}
 
 
 def oracle_sql():
