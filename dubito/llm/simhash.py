@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -202,3 +202,14 @@ def near_components(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
 def simhash_groups(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id), the fingerprint as 16 lowercase hex digits."""
     return near_components(docs, distance, size).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, that are the smallest doc_id of their component.
+
+    Of rows that repeat a doc_id one stays. Rows with a null doc_id all stay.
+    """
+    found = near_components(docs, distance, size).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(found, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    return left.withColumn("__turn", turn).where("__turn = 1 or doc_id is null").drop("__turn")
