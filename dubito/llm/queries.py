@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontaminate, pieces, quality, rlz, simhash, suffixes
+from . import decontaminate, grammar, pieces, quality, rlz, simhash, suffixes
 
 #: Vocabulary files are read on the driver and broadcast; they are never copied into the repository.
 TOKENIZERS = os.environ.get("DUBITO_TOKENIZERS", "/opt/tokenizers")
@@ -45,12 +45,16 @@ def op7_pieces(spark, sf_dir):
     return pieces.encode_digests(table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
 
+def op8_grammar(spark, sf_dir):
+    return grammar.round_trip(table(spark, sf_dir, "documents"), vocabulary(WORDS))
+
+
 def op9_quality(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries():
-    return {f.__name__: f for f in (op3_suffixes, op4_rlz, op5_spaced_seeds, op6_simhash, op7_pieces, op9_quality)}
+    return {f.__name__: f for f in (op3_suffixes, op4_rlz, op5_spaced_seeds, op6_simhash, op7_pieces, op8_grammar, op9_quality)}
 
 
 def oracle_sql():
