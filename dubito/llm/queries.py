@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontaminate, grammar, pieces, quality, rlz, simhash, suffixes
+from . import decontaminate, flac, grammar, pieces, quality, rlz, simhash, suffixes
 
 #: Vocabulary files are read on the driver and broadcast; they are never copied into the repository.
 TOKENIZERS = os.environ.get("DUBITO_TOKENIZERS", "/opt/tokenizers")
@@ -53,8 +53,12 @@ def op9_quality(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_flac(spark, sf_dir):
+    return flac.media_digests(flac.encode_texts(table(spark, sf_dir, "documents")))
+
+
 def queries():
-    return {f.__name__: f for f in (op3_suffixes, op4_rlz, op5_spaced_seeds, op6_simhash, op7_pieces, op8_grammar, op9_quality)}
+    return {f.__name__: f for f in (op3_suffixes, op4_rlz, op5_spaced_seeds, op6_simhash, op7_pieces, op8_grammar, op9_quality, op10_flac)}
 
 
 def oracle_sql():
