@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame
 from .repeats import documents
 from .text import Words, chunks, mix
 
-KEPT = 1 << 20
+KEPT = 1 << 18
+#: Words that are matched at once.
+TOGETHER = 1 << 16
 MARK = "▁"
 _MARK_BYTES = MARK.encode()
 #: Kinds of pieces in a model file.
@@ -311,7 +313,10 @@ class Encoder:
             parts = ((_MARK_BYTES if b else b"") + w).split(b"\0")
             texts += [p for p in parts if p]
             whole.append(parts)
-        ids, bounds = encode_words(self.m, self.matcher, texts) if texts else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        ids, bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        for i in range(0, len(texts), TOGETHER):
+            more, ends = encode_words(self.m, self.matcher, texts[i : i + TOGETHER])
+            ids, bounds = np.concatenate([ids, more.astype(np.int32)]), np.r_[bounds, bounds[-1] + ends[1:]]
         if any(len(p) > 1 for p in whole):  # zero bytes stand between what the lattice holds
             zero, flat, ends, t = np.array([self.m.bytes_from]), [], [0], 0
             for parts in whole:
