@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontaminate, flac, grammar, pieces, quality, rlz, simhash, suffixes, toxicity
+from . import crossentropy, decontaminate, flac, grammar, pieces, quality, rlz, simhash, suffixes, toxicity
 
 #: Vocabulary files are read on the driver and broadcast; they are never copied into the repository.
 TOKENIZERS = os.environ.get("DUBITO_TOKENIZERS", "/opt/tokenizers")
@@ -29,6 +29,12 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_crossentropy(spark, sf_dir):
+    """The target are the documents that labels mark as good and not toxic."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return crossentropy.score_documents(table(spark, sf_dir, "documents"), good)
+
+
 def op3_suffixes(spark, sf_dir):
     return suffixes.find_passages(table(spark, sf_dir, "documents"))
 
@@ -62,7 +68,7 @@ def op10_flac(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op3_suffixes, op4_rlz, op5_spaced_seeds, op6_simhash, op7_pieces, op8_grammar, op9_quality, op10_flac)}
+    return {f.__name__: f for f in (op1_toxicity, op2_crossentropy, op3_suffixes, op4_rlz, op5_spaced_seeds, op6_simhash, op7_pieces, op8_grammar, op9_quality, op10_flac)}
 
 
 def oracle_sql():
