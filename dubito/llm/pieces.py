@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .repeats import documents
 from .text import Words, chunks, mix
 
-KEPT = 1 << 19
+KEPT = 1 << 20
 #: Words that are matched at once.
 TOGETHER = 1 << 16
 MARK = "▁"
