@@ -71,8 +71,8 @@ class Grams:
         return mix(self.grams[at] + self.owner[at].astype(np.uint64) * _SALT)
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits for each window that starts at ``at``."""
-        return spans(self.h, self.length)[at], spans(mix(self.h ^ _SALT), self.length)[at]
+        """96 bits for each window that starts at ``at``, in two numbers."""
+        return spans(self.h, self.length)[at], spans(mix(self.h ^ _SALT), self.length)[at] >> np.uint64(32)
 
     def place(self, at: np.ndarray) -> np.ndarray:
         """Number of the word in its document."""
@@ -209,7 +209,7 @@ def repeated_windows(candidates: DataFrame, length: int, k: int, choose) -> Data
     """Runs of window starts whose windows start twice or more, of those that ``choose`` names.
 
     candidates: documents with what choose(grams, batch) needs; it returns places in the
-    chunk of window starts. The windows are compared by 128 bits, all over the corpus.
+    chunk of window starts. The windows are compared by 96 bits, all over the corpus.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

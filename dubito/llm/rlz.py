@@ -6,7 +6,7 @@ occurs twice or more, a source document. Every document is looked up in every
 block that can hold a match of it, and parsed greedily from left to right into
 factors: a factor starts at a shared seed and goes on as long as the following
 seeds name the same source. At the factors and across their boundaries each
-window is compared exactly with the corpus (128 bits a window); those that start
+window is compared exactly with the corpus (96 bits a window); those that start
 elsewhere too are the duplicate spans.
 
 Defined results: null texts have no words; texts shorter than a window lose

@@ -5,7 +5,7 @@ window of ``WINDOW`` words holds its own). Those whose minimiser occurs once are
 the rest, as far as a window reaches, are sorted over the whole cluster by range, and
 neighbours are compared. A window can only repeat if its suffix agrees with a neighbour
 from the minimiser to the window's end; such windows are extended to the left by comparing
-them whole (128 bits a window), so the result is exact: the windows that start twice or
+them whole (96 bits a window), so the result is exact: the windows that start twice or
 more anywhere, and with them every match of ``WINDOW`` words or more, at full length.
 
 At the edges of a sorted partition a neighbour lies in another task; there the suffix
