@@ -1,8 +1,8 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-The trees are grown in numpy on the driver, on at most ``SAMPLE`` labelled rows of
-statistics (a bounded sample, by the hash of doc_id), and scored as flat arrays.
-The statistics are computed over whole texts, once, and kept in the shared folder.
+The trees are grown in numpy on the driver, on the statistics of at most ``SAMPLE`` labelled
+documents (a bounded sample, by the hash of doc_id), and scored as flat arrays over the
+statistics of every whole text.
 
 Defined results: null and empty texts have the statistics of an empty text; where
 labels hold no two classes, every score is the share of label 1, or 0.5 without
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import documents
-from .shared import cut, held_out, sample_labels
+from .shared import bounded_sample, held_out, sample_labels
 from .text import Words, chunks, mix
 
 #: Labelled rows to learn from, at most.
@@ -189,24 +189,27 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(task, "doc_id long, stats array<float>")
 
 
-def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Fits on at most ``sample`` labelled rows that are not held out."""
-    rows = stats.join(sample_labels(labels, "quality"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("stats", "label").toPandas()
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
+    """Fits on at most ``sample`` labelled documents that are not held out."""
+    ids = bounded_sample(sample_labels(labels, "quality"), sample)
+    # ids has ``sample`` rows at most.
+    chosen = documents(docs).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
+    rows = document_statistics(chosen).toPandas().merge(ids.toPandas(), on="doc_id")
+    rows = rows.assign(first=rows["stats"].map(lambda x: x[0] if len(x) else 0)).sort_values(["doc_id", "first"])
     x = np.stack(rows["stats"].to_numpy()).astype(np.float32) if len(rows) else np.zeros((0, len(STATISTICS)), np.float32)
     return fit(x, rows["label"].to_numpy().astype(float))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; predicted is 1 from 0.5 on."""
-    stats = cut(document_statistics(docs))
-    model = learn(stats, labels, sample)
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("stats").flatten().to_numpy().reshape(b.num_rows, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x).astype(float))], ["doc_id", "score"])
+            for c in chunks(b):
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(sent.value.score(statistics(c.column("text"))).astype(float))], ["doc_id", "score"])
 
-    scored = stats.mapInArrow(task, "doc_id long, score double")
+    scored = documents(docs).mapInArrow(task, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -215,11 +218,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
 
     Rows with a null doc_id are judged like others.
     """
-    model = learn(document_statistics(docs.where(~held_out(F.col("doc_id")))), labels, sample)
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b):
-                yield c.filter(pa.array(model.score(statistics(c.column("text"))) >= 0.5))
+                yield c.filter(pa.array(sent.value.score(statistics(c.column("text"))) >= 0.5))
 
     return docs.mapInArrow(task, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import documents
-from .shared import held_out, sample_labels
+from .shared import bounded_sample, held_out, sample_labels
 from .text import ALNUM, Words, chunks, mix
 
 WINDOW, STRIDE = 32, 16
@@ -234,8 +234,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 48, rate:
 def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Network | None:
     """Fits on a bounded sample of labelled rows that are not held out."""
     rows = sample_labels(labels, "toxic")
-    order = (F.xxhash64("doc_id"), "doc_id")
-    ids = rows.where("label = 1").orderBy(*order).limit(sample[0]).union(rows.where("label = 0").orderBy(*order).limit(sample[1]))
+    ids = bounded_sample(rows.where("label = 1"), sample[0]).union(bounded_sample(rows.where("label = 0"), sample[1]))
     short = documents(docs).where(F.octet_length("text") <= TEXT)
     # ids has sum(sample) rows at most.
     found = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").toPandas().sort_values(["doc_id", "text"])
