@@ -36,7 +36,7 @@ def same_text(a: Column, b: Column) -> Column:
 
 
 def same_words(a: Column, b: Column) -> Column:
-    norm = lambda c: F.regexp_replace(F.lower(strip(c)), r"[^\p{L}\p{N}]+", " ")
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
     return norm(a) == norm(b)
 
 
