@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -163,6 +164,14 @@ def chunks(batch: pa.RecordBatch | pa.Table, column: str = "text", size: int = C
         i = j
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values in the order they are first seen, place of the first of each, number of each item's value)."""
+    code, values = pd.factorize(h)
+    first = np.empty(len(values), np.int64)
+    first[code[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return values, first, code
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h).view(np.int64)
 
