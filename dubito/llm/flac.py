@@ -419,6 +419,8 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
         while not last:
             last, kind, n = bool(s[p] & 0x80), s[p] & 0x7F, int.from_bytes(s[p + 1 : p + 4], "big")
             body = s[p + 4 : p + 4 + n]
+            if len(s) < p + 8 + n:
+                raise ValueError("a FLAC stream that is cut short")
             if kind == 0:
                 info = body
             elif kind == 3:
@@ -483,7 +485,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(task, "doc_id long, n_bytes long, media binary")
 
 
-def _groups(b: pa.RecordBatch, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def _groups(b: pa.RecordBatch, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     yield from chunks(b, "media", most)
 
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .repeats import documents
-from .text import Words, chunks, mix
+from .text import Words, chunks, distinct, mix
 
 KEPT = 1 << 20
 #: Words that are matched at once.
@@ -351,7 +351,7 @@ class Encoder:
         plain_space = w.raw[np.maximum(w.starts - 1, 0)] == 0x20
         marked = np.where(w.starts == before, is_first, plain_space)  # the mark is added before each text
         key = mix(w.hashes() + marked.astype(np.uint64)).view(np.int64)
-        unique, at, slot = np.unique(key, return_index=True, return_inverse=True)
+        unique, at, slot = distinct(key)
         self._learn(unique, w, at, marked[at])
         table, bounds = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32), np.r_[np.concatenate(self.bounds), self.base] if self.bounds else np.zeros(1, np.int64)
         self.parts, self.bounds = [table], [bounds[:-1]]

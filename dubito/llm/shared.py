@@ -47,3 +47,11 @@ def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
         share = max(0.0, most - 4 * most**0.5) / n  # the limit hardly ever cuts
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     return rows.limit(most)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever it has."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name

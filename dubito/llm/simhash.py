@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .repeats import documents, emit
-from .shared import cut
+from .shared import cut, unused
 from .text import LOWER, chunks, signed, unsigned
 
 DISTANCE = 4
@@ -209,7 +209,9 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) ->
 
     Of rows that repeat a doc_id one stays. Rows with a null doc_id all stay.
     """
-    found = near_components(docs, distance, size).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(found, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return left.withColumn("__turn", turn).where("__turn = 1 or doc_id is null").drop("__turn")
+    gone, turn = unused(docs, "gone"), unused(docs, "turn")
+    found = near_components(docs, distance, size).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(found, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    # The second key parts the rows without an id; of the others it is null.
+    rows = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("doc_id")
+    return left.withColumn(turn, F.row_number().over(rows)).where((F.col(turn) == 1) | F.col("doc_id").isNull()).drop(turn)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import BATCH, Grams, by_document, covered, documents, emit, repeated_windows, seed_marks, shared_seeds
+from .shared import unused
 from .text import Words, chunks
 
 WINDOW = 50
@@ -148,13 +149,14 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Data
     The first occurrence (by doc_id, then place) of each window stays. Blanks go with the word
     before them. n_chars follows where the table has it. Documents that lose their last word go.
     """
-    runs = by_document(repeated_runs(docs, window, seed)).select(F.col("doc_id").alias("__doc"), F.col("runs").alias("__runs"))
+    key, found = unused(docs, "key"), unused(docs, "found")
+    runs = by_document(repeated_runs(docs, window, seed)).select(F.col("doc_id").alias(key), F.col("runs").alias(found))
     schema = docs.schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in chunks(batch):
-                text, runs = b.column("text"), b.column("__runs")
+                text, runs = b.column("text"), b.column(found)
                 texts, keep, w = text.to_pylist(), np.ones(b.num_rows, bool), Words(text)
                 for i in np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False)):
                     start, n, first = (x.to_numpy(zero_copy_only=False) for x in runs[int(i)].values.flatten())
@@ -175,5 +177,5 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Data
                     columns["n_chars"] = pa.compute.if_else(pa.array(cut), size, columns["n_chars"])
                 yield pa.RecordBatch.from_arrays(list(columns.values()), schema.names).filter(pa.array(keep))
 
-    joined = docs.join(runs, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    joined = docs.join(runs, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
     return joined.mapInArrow(task, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .repeats import documents
 from .shared import bounded_sample, held_out, sample_labels
-from .text import ALNUM, Words, chunks, mix
+from .text import ALNUM, Words, chunks, distinct, mix
 
 WINDOW, STRIDE = 32, 16
 #: Labelled texts to learn from, (toxic, clean), and their length in bytes, at most.
@@ -45,7 +45,7 @@ class Inputs:
     def __init__(self, text: pa.Array):
         w = Words(pc.utf8_lower(pc.fill_null(text, "")), ALNUM)
         self.n = w.n
-        unique, at, self.word = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        unique, at, self.word = distinct(w.hashes())
         self.unique = unique
         # trigrams of the word with a blank at either end
         size = (w.ends - w.starts)[at]
