@@ -131,7 +131,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: fl
     """Boosts regression trees on the logistic loss, with gradients summed in histograms of quantile bins."""
     share = y.mean() if len(y) else 0.5
     empty = np.zeros(0, np.int64)
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Trees(float(np.log(np.clip(share, 1e-3, 0.999) / (1 - np.clip(share, 1e-3, 0.999)))) if len(y) else 0.0, empty, np.zeros(0, np.float32), empty, empty, np.zeros(0), empty, depth)
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])).astype(np.float32) for c in x.T]
     binned = np.stack([np.searchsorted(q, c, "left") for q, c in zip(cuts, x.T, strict=True)], 1)

@@ -30,13 +30,16 @@ from .text import ALNUM, Words, chunks, distinct, mix
 
 WINDOW, STRIDE = 32, 16
 #: Labelled texts to learn from, (toxic, clean), and their length in bytes, at most.
-SAMPLE, TEXT = (1200, 2400), 1 << 13
+SAMPLE, TEXT = (1200, 4000), 1 << 13
 THRESHOLD = 0.7
 #: Texts of the sample that a word must stand in to have an embedding of its own; buckets of trigrams.
-FREQUENT, GRAMS = 3, 1 << 12
+FREQUENT, GRAMS = 5, 1 << 12
 EMBED, HIDDEN, ATTEND = 10, 10, 10
 BATCH = 4096
+LEAST_STEPS = 150
 DECAY = 0.01
+HIDE, HIDE_RARE = 0.25, 0.8
+ODDS = 0.5
 
 
 class Inputs:
@@ -205,9 +208,14 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 48, rate:
     seen = [np.unique(Inputs(pa.array([t], pa.string())).unique) for t in texts]
     words, n = np.unique(np.concatenate(seen), return_counts=True)
     net, g = Network(words[n >= FREQUENT], seed), np.random.default_rng(seed)
+    # A frequent word starts from its log odds between toxic and clean texts, as if it stood in two more of each.
+    toxic, clean = (np.bincount(np.searchsorted(words, np.concatenate([*(s for s, v in zip(seen, y, strict=True) if v == k), words])), minlength=len(words)) + 1 for k in (1, 0))
+    odds = np.log(toxic / ((y == 1).sum() + 4)) - np.log(clean / ((y == 0).sum() + 4))
+    net.p["word"][:-1, 0] = ODDS * odds[n >= FREQUENT]
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     weight = np.where(y == 1, max(1.0, 0.2 / y.mean()), 1.0)
     groups = max(1, len(texts) // batch)
+    epochs = max(epochs, -(-LEAST_STEPS // groups))
     steps, turn = epochs * groups, 0
     for _ in range(epochs):
         for part in np.array_split(g.permutation(len(texts)), groups):
@@ -220,7 +228,9 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 48, rate:
             order = np.lexsort((-np.concatenate(scores), x.text_of))
             worst = order[np.r_[True, np.diff(x.text_of[order]) > 0]]
             own = part[x.text_of[worst]]
-            drop = np.repeat(g.random((len(x.unique), 2)) < 0.25, EMBED, axis=1)
+            # What is rare is hidden mostly, else a small sample is learnt by heart.
+            hide = np.where(net.number(x) == len(net.words), HIDE_RARE, HIDE)
+            drop = np.repeat(g.random((len(x.unique), 2)) < hide[:, None], EMBED, axis=1)
             grads = net.gradients(x, worst, y[own], weight[own], drop)
             turn += 1
             pace = rate * min(1, 4 * (1 - turn / (steps + 1)))
