@@ -41,7 +41,7 @@ def draw(probs: Column, labels: Column, uniform: Column) -> Column:
 def forced(probs: Column, labels: Column, answer: Column) -> Column:
     """E12 with a forced answer: (label, prob); an answer that isn't a label is an error."""
     at = F.array_position(labels, answer).cast("int")
-    return F.struct(F.when(at > 0, answer).otherwise(F.raise_error(F.concat(F.lit("not a choice: "), answer))).alias("label"), F.element_at(probs, at).alias("prob"))
+    return F.struct(F.when(at > 0, answer).otherwise(F.raise_error(F.concat(F.lit("not a choice: "), answer))).alias("label"), F.when(at > 0, F.element_at(probs, at)).alias("prob"))
 
 
 def uniform(seed: int, *key: Column) -> Column:

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Heads, marks and doubled segments of file names, and families with sampling parameters.
+MARK = "seed44_"
+HEAD = "^(gen|judged)_simpleqa_(simpleqa_)?"
+DOUBLED = r"^(judged_)([a-z0-9]+)_\2_"
+ROLE = "_student_(strict|fewshot)_"
+FAMILIES = {"qwen": (0.8, 20), "llama": (0.9, None)}
+
 
 def short_model_name(c: Column) -> Column:
     """org/name gives name; of a path the last part."""
@@ -23,19 +30,21 @@ def pair_name(teacher: Column, student: Column) -> Column:
 def judged_name(path: Column) -> Column:
     """F16: gen_x becomes judged_x; doubled segments go."""
     base = F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), "^gen_", "")
-    base = F.regexp_replace(F.concat(F.lit("judged_"), base), r"^(judged_)([a-z0-9]+)_\2_", "$1$2_")
-    return F.regexp_replace(base, "_student_(strict|fewshot)_", "_")
+    base = F.regexp_replace(F.concat(F.lit("judged_"), base), DOUBLED, "$1$2_")
+    return F.regexp_replace(base, ROLE, "_")
 
 
 def tag_of(path: Column) -> Column:
-    """what follows seed44_, else the name without its usual head."""
+    """what follows the mark, else the name without its usual head."""
     base = F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"\.jsonl$", "")
-    return F.when(F.contains(base, F.lit("seed44_")), F.regexp_extract(base, "seed44_(.*)$", 1)).otherwise(F.regexp_replace(base, "^(gen|judged)_simpleqa_(simpleqa_)?", ""))
+    return F.when(F.contains(base, F.lit(MARK)), F.regexp_extract(base, f"{MARK}(.*)$", 1)).otherwise(F.regexp_replace(base, HEAD, ""))
 
 
 def sampling_parameters(name: Column) -> Column:
     """(top_p, top_k) by the model's family."""
     low = F.lower(name)
-    p = F.when(F.contains(low, F.lit("qwen")), 0.8).when(F.contains(low, F.lit("llama")), 0.9)
-    k = F.when(F.contains(low, F.lit("qwen")), 20)
+    p = k = F.lit(None)
+    for family, (top_p, top_k) in reversed(FAMILIES.items()):
+        p = F.when(F.contains(low, F.lit(family)), top_p).otherwise(p)
+        k = F.when(F.contains(low, F.lit(family)), top_k).otherwise(k)
     return F.struct(p.cast("double").alias("top_p"), k.cast("int").alias("top_k"))

@@ -86,11 +86,11 @@ def rejection_curve(df: DataFrame, label: Column, score: Column, key: str, point
     rows = df.select(F.round(score, 6).alias("score"), F.col(key).alias("key"), label.cast("long").alias("y"))
     table = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
     w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    table = table.select("score", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("below"), F.coalesce(F.sum("p").over(w), F.lit(0)).alias("right"))
-    total = table.agg(F.sum("n").alias("total"))
-    fractions = df.sparkSession.range(points).select((F.lit(0.02) + F.col("id") * F.lit(0.98 / (points - 1))).alias("fraction"))
-    cuts = fractions.crossJoin(total).select("fraction", F.greatest(F.lit(1), F.floor(F.col("fraction") * F.col("total") + 1e-9)).alias("kept"))
-    cuts = cuts.join(table, (F.col("kept") > F.col("below")) & (F.col("kept") <= F.col("below") + F.col("n")))
+    total = F.sum("n").over(Window.partitionBy())
+    table = table.select("score", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("below"), F.coalesce(F.sum("p").over(w), F.lit(0)).alias("right"), total.alias("total"))
+    fractions = F.explode(F.array(*[F.lit(0.02 + i * 0.98 / (points - 1)) for i in range(points)]))
+    cuts = table.withColumn("fraction", fractions).withColumn("kept", F.greatest(F.lit(1), F.floor(F.col("fraction") * F.col("total") + 1e-9)))
+    cuts = cuts.where((F.col("kept") > F.col("below")) & (F.col("kept") <= F.col("below") + F.col("n")))
     inner = Window.partitionBy("score").orderBy("key")
     numbered = rows.join(F.broadcast(cuts.select("score").distinct()), "score", "left_semi").select("score", F.row_number().over(inner).alias("rn"), F.sum("y").over(inner.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     cuts = cuts.withColumn("rn", F.col("kept") - F.col("below"))
