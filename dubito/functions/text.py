@@ -42,8 +42,8 @@ def has_any(low: Column, values: list[str]) -> Column:
 
 def _hits(low: Column, values: list[str]) -> Column:
     """The values that stand in the text with their positions, in the order of the list."""
-    found = F.transform(_array(values), lambda p: F.struct(F.instr(low, p).alias("pos"), p.alias("phrase")))
-    return F.filter(found, lambda h: h["pos"] > 0)
+    there = F.filter(_array(values), lambda p: F.contains(low, p))
+    return F.transform(there, lambda p: F.struct(F.instr(low, p).alias("pos"), p.alias("phrase")))
 
 
 def abstention_hit(c: Column, cutoff: int = P.MERGED_CUTOFF) -> Column:
@@ -79,8 +79,7 @@ def narrow_rule(c: Column) -> Column:
 
 def short_abstention(c: Column) -> Column:
     """Empty after strip(), a phrase anywhere, or n/a between characters that aren't a-z or 0-9."""
-    low = F.lower(strip(c))
-    return (low == "") | low.rlike("(?<![a-z0-9])n/a(?![a-z0-9])") | has_any(low, P.SHORT)
+    return let(F.lower(strip(c)), lambda low: (low == "") | low.rlike("(?<![a-z0-9])n/a(?![a-z0-9])") | has_any(low, P.SHORT))
 
 
 def canonical(c: Column) -> Column:
@@ -90,7 +89,7 @@ def canonical(c: Column) -> Column:
 
 def refusal_vote(answers: Column) -> Column:
     """At least half (rounded down) of the answers hold a refusal token."""
-    n = F.size(F.filter(answers, lambda a: has_any(F.lower(a), P.REFUSALS)))
+    n = F.size(F.filter(answers, lambda a: let(F.lower(a), lambda low: has_any(low, P.REFUSALS))))
     return n >= F.floor(F.size(answers) / 2)
 
 
@@ -116,8 +115,9 @@ def corruption_flags(c: Column, most: int = 100) -> Column:
     """Emoji, uuid_fragment, instructional, anomalously_long, any."""
     emoji = c.rlike(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]")
     fragment = c.rlike(r"(?:[0-9a-fA-F]{4,}-[0-9a-fA-F-]{4,})|(?:\b[0-9a-fA-F]{12,}\b)")
-    told, long = has_any(F.lower(c), P.INSTRUCTIONS), F.length(c) > most
-    return F.struct(emoji.alias("emoji"), fragment.alias("uuid_fragment"), told.alias("instructional"), long.alias("anomalously_long"), (emoji | fragment | told | long).alias("any"))
+    told, long = let(F.lower(c), lambda low: has_any(low, P.INSTRUCTIONS)), F.length(c) > most
+    flags = F.struct(emoji.alias("emoji"), fragment.alias("uuid_fragment"), told.alias("instructional"), long.alias("anomalously_long"))
+    return let(flags, lambda f: F.struct(*(f[n].alias(n) for n in ("emoji", "uuid_fragment", "instructional", "anomalously_long")), (f["emoji"] | f["uuid_fragment"] | f["instructional"] | f["anomalously_long"]).alias("any")))
 
 
 def degenerate(c: Column) -> Column:
@@ -128,23 +128,27 @@ def degenerate(c: Column) -> Column:
 
 def compliance(c: Column, most: int = 6) -> Column:
     """word_count, six flags, compliant."""
-    text = strip(c)
-    low, n = F.lower(text), F.size(words(text))
-    starter = F.lit(False)
-    for s in P.STARTERS:
-        starter = starter | F.startswith(low, F.lit(s))
-    flags = {
-        "too_long": n > most,
-        "has_hedge": has_any(low, P.HEDGES),
-        "has_explanation": has_any(low, P.EXPLANATIONS),
-        "has_bad_starter": starter,
-        "has_refusal": has_any(low, P.FORMAT_REFUSALS),
-        "looks_like_sentence": F.endswith(text, F.lit(".")) & (n > 1),
-    }
-    bad = F.lit(False)
-    for f in flags.values():
-        bad = bad | f
-    return F.struct(n.alias("word_count"), *(f.alias(k) for k, f in flags.items()), (~bad).alias("compliant"))
+
+    def flags(x: Column) -> Column:
+        text, low, n = x["text"], x["low"], x["n"]
+        starter = F.lit(False)
+        for s in P.STARTERS:
+            starter = starter | F.startswith(low, F.lit(s))
+        return F.struct(
+            n.alias("word_count"), (n > most).alias("too_long"), has_any(low, P.HEDGES).alias("has_hedge"), has_any(low, P.EXPLANATIONS).alias("has_explanation"),
+            starter.alias("has_bad_starter"), has_any(low, P.FORMAT_REFUSALS).alias("has_refusal"), (F.endswith(text, F.lit(".")) & (n > 1)).alias("looks_like_sentence"),
+        )
+
+    names = ["too_long", "has_hedge", "has_explanation", "has_bad_starter", "has_refusal", "looks_like_sentence"]
+
+    def verdict(f: Column) -> Column:
+        bad = F.lit(False)
+        for n in names:
+            bad = bad | f[n]
+        return F.struct(f["word_count"].alias("word_count"), *(f[n].alias(n) for n in names), (~bad).alias("compliant"))
+
+    parts = let(strip(c), lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"), F.size(words(t)).alias("n")))
+    return let(let(parts, flags), verdict)
 
 
 def grade_letter(reply: Column) -> Column:
@@ -293,13 +297,20 @@ def outcome(log: Column) -> Column:
 
 def manifest_fields(line: Column) -> Column:
     """(time, fields) of "time | key=value | ..."; null if malformed."""
-    parts = F.transform(F.split(strip(line), r"\|"), strip)
-    pairs = F.filter(F.slice(parts, 2, F.size(parts)), lambda x: F.contains(x, F.lit("=")))
-    entries = F.transform(pairs, lambda x: F.struct(strip(F.split(x, "=", 2)[0]).alias("key"), strip(F.split(x, "=", 2)[1]).alias("value")))
-    # Of equal keys the last one counts.
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda g: g["key"] == e["key"]))
-    when = F.try_to_timestamp(F.get(parts, F.lit(0)))
-    return F.when((F.size(parts) >= 3) & when.isNotNull(), F.struct(when.alias("time"), F.map_from_entries(last).alias("fields")))
+
+    def last(entries: Column) -> Column:
+        # Of equal keys the last one counts.
+        return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda g: g["key"] == e["key"]))
+
+    def entry(x: Column) -> Column:
+        return let(F.split(x, "=", 2), lambda kv: F.struct(strip(kv[0]).alias("key"), strip(kv[1]).alias("value")))
+
+    def fields(parts: Column) -> Column:
+        pairs = F.filter(F.slice(parts, 2, F.size(parts)), lambda x: F.contains(x, F.lit("=")))
+        when = F.try_to_timestamp(F.get(parts, F.lit(0)))
+        return F.when((F.size(parts) >= 3) & when.isNotNull(), F.struct(when.alias("time"), F.map_from_entries(let(F.transform(pairs, entry), last)).alias("fields")))
+
+    return let(F.transform(F.split(strip(line), r"\|"), strip), fields)
 
 
 def printable(c: Column) -> Column:

@@ -329,9 +329,10 @@ def job_history(spark, sf_dir):
     s = lambda c: F.col(c).cast("string")
     good = F.concat(F.lit("2024-01-01T00:00:00+00:00 | job=j"), s("user_id"), F.lit(" | stage="), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" | node=node"), (F.col("event_id") % 3).cast("string"), F.lit(".cluster"))).otherwise(""), F.lit(" | style=strict"), F.lit(" | epochs="), (F.col("event_id") % 5).cast("string"))
     lines = e.select(F.col("event_id").alias("line"), F.when(F.col("event_id") % 7 == 0, F.lit("not a line | x")).otherwise(good).alias("value"))
-    h = inventory.history(inventory.manifest(lines))
-    longest = inventory.manifest(lines).groupBy("job").agg(F.max("description").alias("description"))
-    return h.drop("description").join(longest, "job").select("job", F.size("stages").cast("long").alias("n_stages"), F.element_at("stages", -1).alias("last_stage"), "node", "description")
+    # Descriptions are equally long here; the greatest doesn't depend on the lines' order.
+    rows = inventory.manifest(lines)
+    h = inventory.history(rows).drop("description").join(rows.groupBy("job").agg(F.max("description").alias("description")), "job")
+    return h.select("job", F.size("stages").cast("long").alias("n_stages"), F.element_at("stages", -1).alias("last_stage"), "node", "description")
 
 
 @query("SELECT concat('x_', o_custkey) AS tag, o_orderkey FROM orders WHERE o_orderstatus <> 'O' AND concat('x_', o_custkey) NOT IN (SELECT concat('x_', o_custkey) FROM orders WHERE o_orderstatus = 'O')")
