@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
 from . import crossentropy, decontaminate, flac, grammar, pieces, quality, rlz, simhash, suffixes, toxicity
 
 #: Vocabulary files are read on the driver and broadcast; they are never copied into the repository.
@@ -36,7 +38,9 @@ def op2_crossentropy(spark, sf_dir):
 
 
 def op3_suffixes(spark, sf_dir):
-    return suffixes.find_passages(table(spark, sf_dir, "documents"))
+    found = suffixes.find_passages(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["n"].cast("string"))), " ")
+    return found.withColumn("spans", spans)
 
 
 def op4_rlz(spark, sf_dir):
@@ -71,5 +75,24 @@ def queries():
     return {f.__name__: f for f in (op1_toxicity, op2_crossentropy, op3_suffixes, op4_rlz, op5_spaced_seeds, op6_simhash, op7_pieces, op8_grammar, op9_quality, op10_flac)}
 
 
+_WINDOWS = """d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1:i + {n}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(0, len(w) - {n} + 1)) AS i FROM d)),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win),
+j AS (SELECT doc_id, j, max((r > 1)::INT) AS later FROM (SELECT doc_id, unnest(range(i, i + {n})) AS j, r FROM g WHERE c > 1) GROUP BY ALL)"""
+
+_SQL = {
+    "op3_suffixes": "WITH "
+    + _WINDOWS.format(n=suffixes.WINDOW)
+    + """, x AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS island FROM j),
+s AS (SELECT doc_id, island, min(j) AS start, count(*) AS n, sum(later) AS later FROM x GROUP BY doc_id, island)
+SELECT doc_id, count(*) AS n_spans, sum(n)::BIGINT AS n_repeated, sum(later)::BIGINT AS n_later, string_agg(concat(start, ':', n), ' ' ORDER BY start) AS spans FROM s GROUP BY doc_id""",
+    "op4_rlz": "WITH "
+    + _WINDOWS.format(n=rlz.WINDOW)
+    + """, gone AS (SELECT doc_id, list(j) AS js FROM j GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(js), 0) AS n_removed, sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, p: NOT list_contains(js, p - 1)) END, ' ')) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id)""",
+}
+
+
 def oracle_sql():
-    return {}
+    """SQL for the queries that it can express; the tests hold the others to brute force or a library."""
+    return dict(_SQL)
