@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from .repeats import documents
 from .text import Words, chunks, distinct, mix
 
-KEPT = 1 << 20
+KEPT = 1 << 19
 #: Words that are matched at once.
-TOGETHER = 1 << 16
+TOGETHER = 1 << 15
 MARK = "▁"
 _MARK_BYTES = MARK.encode()
 #: Kinds of pieces in a model file.
