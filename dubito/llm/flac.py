@@ -477,7 +477,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in chunks(b):
+            for c in chunks(b, size=2 << 20):  # arrays of some fifty bytes a sample
                 t = Texts(c.column("text"))
                 media = encode([payload(t.raw[a:e]) for a, e in zip(t.offsets[:-1], t.offsets[1:], strict=True)])
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(np.diff(t.offsets)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
