@@ -1,17 +1,19 @@
 """Language-model scores by cross-entropy difference (Moore and Lewis, 2010).
 
 Two bigram models, of target documents and of all documents (the background), share one
-vocabulary (the ``VOCABULARY`` most frequent words of the corpus, one sign for all others,
-one for the start of a text), one set of stored pairs, one discount and one smoothing; the
-background's counts are scaled to the target's size, so neither is smoothed more than the
-other. A document's score is the mean over its words of the target's loss less the
-background's: the lower, the more it is like the target.
+vocabulary (all words of the corpus and one sign for the start of a text), all pairs of
+neighbours, one discount and one smoothing; the background's counts are scaled to the
+target's size, so neither is smoothed more than the other. A document's score is the mean
+over its words of the target's loss less the background's: the lower, the more it is like
+the target.
 
-Words and pairs are counted over all documents. What is kept for scoring has a bound: the
-vocabulary, and the most frequent pairs, ``PAIRS`` at most. What pairs below
-that had goes to the shorter context, so each model still sums to one:
+    P(b | a) = max(c(a b) - D, 0) / c(a) + rest(a) * (c(b) + s) / (N + s * words)
 
-    P(b | a) = max(c(a b) - D, 0) / c(a)  for stored pairs  + rest(a) * (c(b) + s) / (N + s * words)
+Words and pairs are counted over all documents and none is left out: both models are tables
+that grow with the corpus. Each document's pairs, counted within the document, are joined to
+the table of losses by pair; nothing but two totals reaches the driver. ``learn`` builds the
+same models for one process, over a stated number of words and pairs (the rest go to one
+sign and to the shorter context); no query scores by it.
 
 Defined results: null and empty texts have n_tokens 0 and null scores; without target words
 every score is 0; rows with a null doc_id are left out; rows that repeat a doc_id get a row
@@ -26,18 +28,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import documents, emit
 from .shared import cut
-from .text import ALNUM, Words, chunks, signed, unsigned
+from .text import ALNUM, Words, chunks, join, signed, unsigned
 
 VOCABULARY = 1 << 13
 PAIRS = 1 << 19
 DISCOUNT, SMOOTH = 0.7, 0.1
 _HELD = 1 << 21
+#: Stands before the first word of a text.
+START = np.uint64(1)
 _COUNTS = pa.schema([("key", pa.int64()), ("target", pa.int64()), ("total", pa.int64())])
+_PAIRS = pa.schema([(c, pa.int64()) for c in ("a", "b", "target", "total")])
+_GRAMS = pa.schema([(c, pa.int64()) for c in ("doc_id", "row", "a", "b", "n")])
 
 
 def _words(text: pa.Array) -> Words:
@@ -155,9 +162,7 @@ def learn(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, pair
     top = word_counts(docs).orderBy(F.desc("total"), "key").limit(vocabulary).toPandas()
     words = np.sort(unsigned(top["key"].to_numpy(np.int64)))
     base = len(words) + 2
-    wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    # merge: the plan must not change with the size of the target
-    marked = documents(docs).join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    marked = _marked(docs, target)
     found = cut(pair_counts(marked, words))
     # Counts in some hundred classes by their logarithm; the upper classes that hold so many pairs at most.
     size = F.floor(F.log2("total") * 8)
@@ -177,19 +182,92 @@ def learn(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, pair
     return build(words, sums[0], sums[1], kept["key"].to_numpy(np.int64), kept[["target", "total"]].to_numpy(float).T)
 
 
-def score_documents(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score): mean losses of each whole text and their difference."""
-    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, target, vocabulary, pairs))
+def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(doc_id, text, is_target) of documents."""
+    wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
+    # merge: the plan must not change with the size of the target
+    return documents(docs).join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+
+
+def _neighbours(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(word before, word) of each word, by hash; START before the first of a text."""
+    word = w.hashes()
+    before = np.r_[START, word[:-1]] if len(word) else word
+    before[w.first[:-1][w.count > 0]] = START
+    return before, word
+
+
+def _folded(of: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of columns by equal ``of``, behind the place of the first of each."""
+    _, first, at = np.unique(of, return_index=True, return_inverse=True)
+    return (first, *(np.bincount(at, c, len(first)).astype(np.int64) for c in columns))
+
+
+def all_pairs(marked: DataFrame) -> DataFrame:
+    """(a, b, target, total): how often word b follows word a, for all pairs of the corpus."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for b in batches:
             for c in chunks(b):
                 w = _words(c.column("text"))
-                loss = model.losses(*_numbers(w, model.vocabulary))
-                owner, n = w.owner(), np.maximum(w.count, 1)
-                t, g = (np.bincount(owner, x, w.n) / n for x in loss)
-                empty = w.count == 0
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(w.count.astype(np.int64)), *(pa.array(x, mask=empty) for x in (t, g, t - g))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                before, word = _neighbours(w)
+                of = c.column("is_target").to_numpy(zero_copy_only=False)[w.owner()].astype(float)
+                first, target, total = _folded(join(before, word), of, np.ones(len(word)))
+                rank = np.argsort(before[first], kind="stable")  # equal words before stand together when they are sent
+                order = first[rank]
+                yield from emit(_PAIRS, signed(before[order]), signed(word[order]), target[rank], total[rank])
+
+    sent = marked.mapInArrow(task, "a long, b long, target long, total long")
+    return sent.groupBy("a", "b").agg(F.sum("target").alias("target"), F.sum("total").alias("total"))
+
+
+def document_pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, a, b, n): the pairs of each row of documents and their number; one with n = 0 for texts without words."""
 
-    return documents(docs).mapInArrow(task, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for c in chunks(b):
+                w = _words(c.column("text"))
+                before, word = _neighbours(w)
+                owner, doc = w.owner(), c.column("doc_id").to_numpy()
+                first, n = _folded(join(join(before, word), owner.astype(np.uint64)), np.ones(len(word)))
+                empty = np.flatnonzero(w.count == 0)
+                none = np.zeros(len(empty), np.int64)
+                of = np.r_[owner[first], empty]
+                yield from emit(_GRAMS, doc[of], row + of, *(np.r_[signed(x[first]), none] for x in (before, word)), np.r_[n, none])
+                row += w.n
+
+    return documents(docs).mapInArrow(task, "doc_id long, row long, a long, b long, n long")
+
+
+def pair_losses(pairs: DataFrame) -> DataFrame:
+    """(a, b, target_loss, background_loss) of all pairs (a, b, target, total)."""
+    sums = pairs.agg(F.sum("target"), F.sum("total")).first()
+    target, total = (float(x or 0) for x in sums)
+    scale = target / max(total, 1.0)
+    c = {"t": F.col("target").cast("double"), "g": F.col("total") * scale}
+    pairs = pairs.select("a", "b", *(x.alias(f"c_{k}") for k, x in c.items()))
+    sides = [
+        pairs.groupBy("a").agg(*(F.sum(f"c_{k}").alias(f"n_{k}") for k in "tg"), *(F.sum(DISCOUNT * F.least(f"c_{k}", F.lit(1.0))).alias(f"off_{k}") for k in "tg")),
+        pairs.groupBy("b").agg(*(F.sum(f"c_{k}").alias(f"w_{k}") for k in "tg")),
+    ]
+    sides = [cut(s) for s in sides]
+    words = sides[1].count()
+
+    def loss(k: str):
+        stored = F.greatest(F.col(f"c_{k}") - DISCOUNT * F.least(f"c_{k}", F.lit(1.0)), F.lit(0.0)) / F.greatest(f"n_{k}", F.lit(1e-12))
+        rest = F.when(F.col(f"n_{k}") > 0, F.greatest(F.col(f"off_{k}") / F.col(f"n_{k}"), F.lit(1e-9))).otherwise(1.0)
+        return -F.ln(stored + rest * (F.col(f"w_{k}") + SMOOTH) / (target + SMOOTH * words))
+
+    both = pairs.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b")
+    return both.select("a", "b", loss("t").alias("target_loss"), loss("g").alias("background_loss"))
+
+
+def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score): mean losses of each whole text and their difference."""
+    losses = pair_losses(cut(all_pairs(_marked(docs, target))))
+    found = document_pairs(docs).join(losses.hint("merge"), ["a", "b"], "left")
+    mean = [(F.sum(F.col("n") * F.col(c)) / F.nullif(F.sum("n"), F.lit(0))).alias(c) for c in ("target_loss", "background_loss")]
+    rows = found.groupBy("doc_id", "row").agg(F.sum("n").alias("n_tokens"), *mean)
+    return rows.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -165,3 +165,42 @@ def test_crossentropy_edges(spark, edge, edge_rows, nothing, labels):
     assert all(abs(r.score or 0) < 1e-9 for r in crossentropy.score_documents(edge, good.where("false")).collect())
     every = edge.select("doc_id")
     assert all(abs(r.score or 0) < 1e-9 for r in crossentropy.score_documents(edge.where("doc_id is not null"), every).collect())
+
+
+def test_crossentropy_keeps_all_words_and_pairs(spark):
+    # More words than a bounded vocabulary of 8,192 holds; pairs seen once count like all others.
+    from collections import Counter
+
+    rng = np.random.default_rng(11)
+    common = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join(x for j in range(300) for x in (f"r{i}x{j}", common[rng.integers(40)]))) for i in range(32)] + [(32, "c1 c2 r0x0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in crossentropy.score_documents(df, df.where("doc_id % 3 = 0").select("doc_id")).collect()}
+    pairs = [Counter(), Counter()]
+    for i, t in rows:
+        w = t.split()
+        for k in range(2):
+            pairs[k].update(zip(["^", *w[:-1]], w, strict=True) if k or i % 3 == 0 else [])
+    scale = [1.0, pairs[0].total() / pairs[1].total()]
+    words = len({b for _, b in pairs[1]})
+    assert words > 8192
+
+    def loss(k):
+        c = {p: pairs[k][p] * scale[k] for p in pairs[1]}
+        n, off, w = Counter(), Counter(), Counter()
+        for (a, b), x in c.items():
+            n[a] += x
+            off[a] += 0.7 * min(x, 1)
+            w[b] += x
+
+        def one(a, b):
+            single, x = (w[b] + 0.1) / (w.total() + 0.1 * words), c[a, b]
+            return -math.log((x - 0.7 * min(x, 1)) / n[a] + off[a] / n[a] * single if n[a] else single)
+
+        return one
+
+    losses = [loss(0), loss(1)]
+    for i, t in rows:
+        w = t.split()
+        want = [sum(f(a, b) for a, b in zip(["^", *w[:-1]], w, strict=True)) / len(w) for f in losses]
+        assert got[i].n_tokens == len(w) and math.isclose(got[i].target_loss, want[0], rel_tol=1e-9) and math.isclose(got[i].background_loss, want[1], rel_tol=1e-9)
