@@ -16,6 +16,14 @@ Exact: all links between different fingerprints at 4 or fewer bits are found, at
 table. Equal fingerprints are one class, whatever their number. Links are joined per
 anchor before they are sent, as stars instead of pairs.
 
+That is op6. The pipeline's stage goes by similarity (``similar_components``): documents whose
+sets of five-word shingles have a Jaccard similarity of 0.8 or more, about 10 bits of 64 apart
+and sometimes 20. No table of codes holds such a radius, so anchors are there the minima of
+``BANDS`` times ``WIDTH`` hashes of the shingles. Of the fingerprints under one anchor those
+within ``WIDE`` bits are candidates; within each component of candidates the shingle sets
+themselves are compared, and only pairs at the similarity or above are linked. A pair at
+exactly 0.8 has one chance in about 40,000 to share no anchor.
+
 Defined results: texts without words (null, empty, blank) have fingerprint zero and are
 linked like any other; rows with a null doc_id are left out; rows that repeat a doc_id
 get a row each, and link what they hold through the id they share.
@@ -34,7 +42,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .repeats import documents, emit
 from .shared import cut, unused
-from .text import LOWER, chunks, signed, unsigned
+from .text import LOWER, Words, chunks, join, mix, signed, spans, unsigned
 
 DISTANCE = 4
 SHINGLE = 4
@@ -42,7 +50,11 @@ SHINGLE = 4
 MANY = 1 << 22
 #: Rows of one anchor from which components are grown instead of comparing home rows with all.
 DENSE = 512
+#: The stage's rule, and its anchors: minima of WIDTH hashes each, fingerprints WIDE bits apart at most.
+SIMILARITY, WORDS = 0.8, 5
+BANDS, WIDTH, WIDE = 20, 4, 24
 _LOW_UPPER = bytes(LOWER)
+_ODD = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * WIDTH), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _blocks(n: int) -> list[list[int]]:
@@ -115,12 +127,13 @@ def anchors(fp: np.ndarray, r: int, bits: list[int]) -> Iterator[tuple[np.ndarra
             yield np.where(use, flip(flip(x, np.full(len(x), s)), mend), home), False
 
 
-def _links(fp: np.ndarray, home: np.ndarray, heads: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(fp: np.ndarray, home: np.ndarray, heads: np.ndarray, distance: int, dense: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of row numbers that span the links within each anchor's rows. Rows are sorted by anchor."""
+    dense = DENSE if dense is None else dense
     sizes = np.diff(np.r_[heads, len(fp)])
     left, right = [], []
     begin, group = np.repeat(heads, sizes), np.repeat(sizes, sizes)
-    rows = np.flatnonzero(home & (group > 1) & (group <= DENSE))
+    rows = np.flatnonzero(home & (group > 1) & (group <= dense))
     for i in range(0, len(rows), 1 << 14):
         r = rows[i : i + (1 << 14)]
         g = group[r]
@@ -129,7 +142,7 @@ def _links(fp: np.ndarray, home: np.ndarray, heads: np.ndarray, distance: int) -
         near = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (a != b)
         left.append(a[near])
         right.append(b[near])
-    for h, n in zip(heads[sizes > DENSE], sizes[sizes > DENSE], strict=True):
+    for h, n in zip(heads[sizes > dense], sizes[sizes > dense], strict=True):
         rest = np.arange(h, h + n)
         while len(rest):  # grow a component: what it reaches is not looked at again
             todo, rest = [rest[0]], rest[1:]
@@ -149,6 +162,30 @@ _PLACED = pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("node", pa.int
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
+def _comparing(distance: int, dense: int | None = None):
+    """A task that spans the links within each anchor's rows of (anchor, fp, node, home); from ``dense`` rows by growing."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in _PLACED.names) for b in batches]
+        if not parts:
+            return
+        anchor, fp, node, home = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(anchor):
+            return
+        # by node where stars are grown, so that the anchors of a family choose the same hub
+        order = np.argsort(anchor, kind="stable") if dense is None else np.lexsort((node, anchor))
+        anchor, fp, node, home = anchor[order], unsigned(fp[order]), node[order], home[order]
+        a, b = _links(fp, home, np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), distance, dense)
+        if len(a):
+            u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+            order = np.lexsort((v, u))
+            u, v = u[order], v[order]
+            new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])] & (u != v)
+            yield from emit(_EDGES, u[new], v[new])
+
+    return compare
+
+
 def near_links(classes: DataFrame, distance: int = DISTANCE, many: bool | None = None) -> DataFrame:
     """Edges (u, v) between nodes of classes (node, fp) that join all at ``distance`` bits or fewer."""
     if distance > 4:
@@ -166,24 +203,7 @@ def near_links(classes: DataFrame, distance: int = DISTANCE, many: bool | None =
                     key = signed(key[real] | np.uint64(i << 58))
                     yield from emit(_PLACED, key, signed(fp[real]), node[real], np.full(len(key), home))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in _PLACED.names) for b in batches]
-        if not parts:
-            return
-        anchor, fp, node, home = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(anchor):
-            return
-        order = np.argsort(anchor, kind="stable")
-        anchor, fp, node, home = anchor[order], unsigned(fp[order]), node[order], home[order]
-        a, b = _links(fp, home, np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), distance)
-        if len(a):
-            u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
-            order = np.lexsort((v, u))
-            u, v = u[order], v[order]
-            new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])] & (u != v)
-            yield from emit(_EDGES, u[new], v[new])
-
-    return classes.select("fp", "node").mapInArrow(place, "anchor long, fp long, node long, home boolean").repartition("anchor").mapInArrow(compare, "u long, v long")
+    return classes.select("fp", "node").mapInArrow(place, "anchor long, fp long, node long, home boolean").repartition("anchor").mapInArrow(_comparing(distance), "u long, v long")
 
 
 def near_components(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
@@ -204,14 +224,122 @@ def simhash_groups(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGL
     return near_components(docs, distance, size).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, that are the smallest doc_id of their component.
-
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id all stay.
-    """
+def _keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that are the smallest doc_id of their component in found (doc_id, component_id); one of a doc_id."""
     gone, turn = unused(docs, "gone"), unused(docs, "turn")
-    found = near_components(docs, distance, size).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    found = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     left = docs.join(found, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     # The second key parts the rows without an id; of the others it is null.
     rows = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("doc_id")
     return left.withColumn(turn, F.row_number().over(rows)).where((F.col(turn) == 1) | F.col("doc_id").isNull()).drop(turn)
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, that are the smallest doc_id of their component.
+
+    Of rows that repeat a doc_id one stays. Rows with a null doc_id all stay.
+    """
+    return _keep_first(docs, near_components(docs, distance, size))
+
+
+def shingles(words: Words, size: int = WORDS) -> Iterator[np.ndarray]:
+    """The set of shingles of each text, as sorted hashes; a text of fewer words is one shingle, none without words."""
+    h = words.hashes()
+    for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+        yield np.unique(spans(h[a:b], min(size, b - a))) if b > a else np.zeros(0, np.uint64)
+
+
+def _lower_words(column: pa.Array) -> Words:
+    return Words(column, lower=True)
+
+
+def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
+    """(doc_id, fp, key, bands): fingerprint, hash of the set of shingles, and anchors of every whole text."""
+
+    def sketch(s: np.ndarray) -> tuple[int, int, list[int]]:
+        if not len(s):
+            return 0, 0, []
+        bits, low = np.zeros(64, np.int64), np.full(BANDS * WIDTH, ~np.uint64(0))
+        for i in range(0, len(s), 1 << 14):
+            part = s[i : i + (1 << 14)]
+            bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            for j in range(BANDS * WIDTH):
+                low[j] = min(low[j], ((part ^ _ODD[0, j]) * _ODD[1, j]).min())
+        fp = np.packbits(bits * 2 > len(s), bitorder="little").view("<u8")
+        band = np.arange(BANDS, dtype=np.uint64)
+        for x in low.reshape(BANDS, WIDTH).T:
+            band = join(band, x)
+        key = int(mix(np.r_[s, np.uint64(len(s))]).sum(dtype=np.uint64))
+        return int(signed(fp)[0]), int(np.uint64(key).view(np.int64)), signed(band).tolist()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b):
+                fp, key, bands = zip(*map(sketch, shingles(_lower_words(c.column("text")), size)), strict=True)
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(fp, pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "key", "bands"])
+
+    return documents(docs).mapInArrow(task, "doc_id long, fp long, key long, bands array<long>")
+
+
+def similar(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Places of pairs that span the links at the similarity or above among the sets."""
+    size = np.array([len(s) for s in sets])
+    found, rest = [], np.arange(len(sets))
+    while len(rest):  # grow a component: what it reaches is not looked at again
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            x = todo.pop()
+            near = rest[np.minimum(size[rest], size[x]) >= similarity * np.maximum(size[rest], size[x])]
+            if not len(near):
+                continue
+            items = np.concatenate([sets[i] for i in near])
+            at = np.minimum(np.searchsorted(sets[x], items), size[x] - 1)
+            both = np.add.reduceat(sets[x][at] == items, np.r_[0, np.cumsum(size[near])[:-1]], dtype=np.int64)
+            reached = near[both >= similarity * (size[near] + size[x] - both) - 1e-9]
+            found += [(int(x), int(i)) for i in reached]
+            todo += reached.tolist()
+            rest = np.setdiff1d(rest, reached, assume_unique=True)
+    return found
+
+
+def _verified(candidates: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Edges (u, v) among (component, node, text) at the similarity or above, within each component."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sets = None, [], []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            pairs = [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in similar(sets, similarity) if nodes[i] != nodes[j]]
+            yield from emit(_EDGES, *np.array(pairs, np.int64).reshape(-1, 2).T)
+
+        for b in batches:
+            for c in chunks(b):
+                for group, node, s in zip(c.column("component").to_pylist(), c.column("node").to_pylist(), shingles(_lower_words(c.column("text")), size), strict=True):
+                    if group != at:
+                        yield from links()
+                        at, nodes, sets = group, [], []
+                    if len(s):
+                        nodes.append(node)
+                        sets.append(s)
+        yield from links()
+
+    return candidates.repartition("component").sortWithinPartitions("component").mapInArrow(task, "u long, v long")
+
+
+def similar_components(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS) -> DataFrame:
+    """(doc_id, component_id): documents linked by shingle sets at the similarity or above; equal sets are one class."""
+    prints = cut(sketches(docs, size))
+    classes = cut(prints.groupBy("fp", "key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    placed = classes.select(F.explode("bands").alias("anchor"), "fp", "node", F.lit(True).alias("home"))
+    loose = components(placed.repartition("anchor").mapInArrow(_comparing(WIDE, 2), "u long, v long"))
+    members = cut(loose.union(loose.select("component", "component")).distinct())
+    candidates = documents(docs).join(members.hint("merge"), F.col("doc_id") == F.col("node")).select("component", "node", "text")
+    edges = _verified(candidates, size, similarity)
+    ties = prints.join(classes.select("fp", "key", "node"), ["fp", "key"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    found = components(edges.union(ties))
+    return prints.select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one_similar(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS) -> DataFrame:
+    """As keep_one, by components of similar documents."""
+    return _keep_first(docs, similar_components(docs, similarity, size))

@@ -89,3 +89,38 @@ def test_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert all(got[i] == 0 for i in range(1, 301)) and got[1001] == 1000 and components(edges.where("false")).count() == 0
+
+
+def shingle_set(t):
+    w = re.findall("[^\x20\x09-\x0d]+", t.lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else frozenset()
+
+
+def test_stage_keeps_one_of_documents_similar_by_80_percent(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 400))]
+        rows.append(" ".join(w))
+        for _ in range(rng.integers(1, 6)):  # edited copies, some of copies: about 0.7 to 1 similar
+            w = list(w)
+            for at in rng.integers(0, len(w), rng.integers(0, max(2, len(w) // 45))):
+                w[at] = f"new{rng.integers(10**6)}"
+            rows.append(" ".join(w))
+    rows += ["a b", "A  b", "a c", "", " ", "a b c d e f g h i j k l m n", "x b c d e f g h i j k l m n"]
+    rows += [" ".join(f"hub{i}" if i % 97 or i < 97 else f"edit{j}y{i}" for i in range(400)) for j in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    sets = [shingle_set(t) for t in rows]
+    want = connect(range(len(rows)), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = sorted(r.doc_id for r in cp.simhash_near_dedup(spark, df, str(tmp_path)).collect())
+    assert kept == sorted(set(want.values()))
+    assert len(kept) < simhash.keep_one(df).count()  # four bits leave most edited copies
+
+
+def test_stage_edges(spark, edge, nothing):
+    kept = simhash.keep_one_similar(edge)
+    assert kept.schema == edge.schema and simhash.keep_one_similar(nothing).count() == 0
+    ids = [r.doc_id for r in kept.where("doc_id is not null").collect()]
+    assert len(ids) == len(set(ids)) and kept.where("doc_id is null").count() == 2 and {5, 6} & set(ids) == {5}
