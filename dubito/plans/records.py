@@ -398,6 +398,12 @@ def running_context(spark, sf_dir):
     return longform.running_context(B.claims(spark, sf_dir).where("claim_idx < 4")).select("question_idx", "claim_idx", "context")
 
 
+@query("WITH " + CLAIMS + " SELECT question_idx, claim_idx, md5(nullif(string_agg(claim, ' ') OVER (PARTITION BY question_idx ORDER BY claim_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS context_md5 FROM k")
+def running_context_whole(spark, sf_dir):
+    """The claims before each claim of an answer, all of them, as a digest."""
+    return longform.running_context(B.claims(spark, sf_dir)).select("question_idx", "claim_idx", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
 @query("WITH " + CLAIMS + " SELECT question_idx, sum((is_true AND claim_idx % 2 = 0)::INT)::BIGINT AS n_true, sum((NOT (is_true AND claim_idx % 2 = 0))::INT)::BIGINT AS n_false FROM k GROUP BY 1")
 def claim_counts(spark, sf_dir):
     """A19, flatten."""

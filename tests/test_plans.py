@@ -25,3 +25,9 @@ def test_no_python_and_no_product(spark, data, name):
     assert "CartesianProduct" not in p
     if name != "bootstrap_auroc":
         assert not re.search("Python|Pandas|Arrow", p)
+
+
+def test_running_context_covers_every_claim(spark, data):
+    from dubito.plans import binding
+
+    assert QUERIES["running_context_whole"](spark, data).count() == binding.claims(spark, data).count() > QUERIES["running_context"](spark, data).count()
