@@ -29,6 +29,10 @@ RESPONSE = """CASE doc_id % 11
   ELSE text END"""
 
 
+#: The same with whole texts in every branch.
+WHOLE_RESPONSE = RESPONSE.replace("substring(text, 1, 30)", "text").replace("substring(text, 1, 60)", "text").replace("substring(text, 1, 20)", "text").replace("substring(text, 1, 40)", "text")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,6 +110,15 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESPONSES = f"r AS (SELECT doc_id, {RESPONSE} AS response FROM documents)"
 
 
+def whole_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, response): as responses, but no text is cut."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(WHOLE_RESPONSE).alias("response"))
+
+
+#: The same in SQL: r(doc_id, response).
+WHOLE_RESPONSES = f"r AS (SELECT doc_id, {WHOLE_RESPONSE} AS response FROM documents)"
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_idx, claim_idx, claim, is_true): sentences of labelled documents."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")

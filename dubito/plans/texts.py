@@ -34,29 +34,29 @@ _SHORT = f"(low = '' OR {_NA} OR {_any('low', P.SHORT)})"
 
 
 @query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, coalesce(pos <= 200, false) AS is_abstained, (pos - 1)::INT AS position FROM a")
-def abstention(spark, sf_dir):
+def abstention(spark, sf_dir, responses=B.responses):
     """T1, T2."""
-    r = B.responses(spark, sf_dir).select("doc_id", T.abstention_hit(F.col("response")).alias("h"))
+    r = responses(spark, sf_dir).select("doc_id", T.abstention_hit(F.col("response")).alias("h"))
     return r.select("doc_id", "h.is_abstained", "h.position")
 
 
 @query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, (pos - 1)::INT AS position FROM a WHERE pos > 200")
-def abstention_late(spark, sf_dir):
+def abstention_late(spark, sf_dir, responses=B.responses):
     """Phrases too late to count."""
-    r = B.responses(spark, sf_dir).select("doc_id", T.abstention_hit(F.col("response")).alias("h"))
+    r = responses(spark, sf_dir).select("doc_id", T.abstention_hit(F.col("response")).alias("h"))
     return r.where("h.position >= 200").select("doc_id", "h.position")
 
 
 @query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, md5(response) AS response_md5 FROM a WHERE NOT coalesce(pos <= 200, false)")
-def keep_answered(spark, sf_dir):
+def keep_answered(spark, sf_dir, responses=B.responses):
     """F6, S8, O2."""
-    return select.keep_answered(B.responses(spark, sf_dir), "response").select("doc_id", F.md5(F.col("response").cast("binary")).alias("response_md5"))
+    return select.keep_answered(responses(spark, sf_dir), "response").select("doc_id", F.md5(F.col("response").cast("binary")).alias("response_md5"))
 
 
 @query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, md5(CASE WHEN coalesce(pos <= 200, false) THEN '' ELSE response END) AS response_md5 FROM a")
-def blank_abstained(spark, sf_dir):
+def blank_abstained(spark, sf_dir, responses=B.responses):
     """F7."""
-    r = B.responses(spark, sf_dir).withColumn("flag", T.is_abstained(F.col("response")))
+    r = responses(spark, sf_dir).withColumn("flag", T.is_abstained(F.col("response")))
     return select.blank_abstained(r, "flag", "response").select("doc_id", F.md5(F.col("response").cast("binary")).alias("response_md5"))
 
 
@@ -64,9 +64,9 @@ _FIRST_PHRASE = "CASE " + " ".join(f"WHEN instr(low, {_q(p)}) > 0 THEN {_q(p)}"
 
 
 @query(f"WITH {RESPONSES}, m AS (SELECT doc_id, response, {_LOW} AS low FROM r) SELECT doc_id, response = '' OR ({_FIRST_PHRASE}) IS NOT NULL AS is_non_answer, CASE WHEN response = '' THEN '<empty>' ELSE {_FIRST_PHRASE} END AS phrase FROM m")
-def phrase_rule(spark, sf_dir):
+def phrase_rule(spark, sf_dir, responses=B.responses):
     """T4."""
-    r = B.responses(spark, sf_dir).select("doc_id", T.phrase_rule(F.col("response")).alias("h"))
+    r = responses(spark, sf_dir).select("doc_id", T.phrase_rule(F.col("response")).alias("h"))
     return r.select("doc_id", "h.is_non_answer", "h.phrase")
 
 
@@ -74,24 +74,24 @@ _NARROW = f"(regexp_matches(response, '{P.NARROW}', 'i') AND length(regexp_extra
 
 
 @query(f"WITH {RESPONSES} SELECT doc_id, {_NARROW} AS is_abstained FROM r")
-def narrow_rule(spark, sf_dir):
+def narrow_rule(spark, sf_dir, responses=B.responses):
     """T5, A20."""
-    return B.responses(spark, sf_dir).select("doc_id", T.narrow_rule(F.col("response")).alias("is_abstained"))
+    return responses(spark, sf_dir).select("doc_id", T.narrow_rule(F.col("response")).alias("is_abstained"))
 
 
 @query(f"WITH {RESPONSES}, m AS (SELECT doc_id, response, {_LOW} AS low FROM r), x AS (SELECT response = '' OR ({_FIRST_PHRASE}) IS NOT NULL AS a, {_NARROW} AS b FROM m) "
        "SELECT sum(a::INT)::BIGINT AS n_a, sum(b::INT)::BIGINT AS n_b, sum((a AND b)::INT)::BIGINT AS both, sum((a AND NOT b)::INT)::BIGINT AS only_a, sum((b AND NOT a)::INT)::BIGINT AS only_b, sum((a <> b)::INT)::BIGINT AS differ FROM x")
-def rule_comparison(spark, sf_dir):
+def rule_comparison(spark, sf_dir, responses=B.responses):
     """T6."""
-    r = B.responses(spark, sf_dir).select(T.phrase_rule(F.col("response"))["is_non_answer"].alias("a"), T.narrow_rule(F.col("response")).alias("b"))
+    r = responses(spark, sf_dir).select(T.phrase_rule(F.col("response"))["is_non_answer"].alias("a"), T.narrow_rule(F.col("response")).alias("b"))
     return compare.rule_comparison(r, "a", "b")
 
 
 @query(f"WITH {RESPONSES}, m AS (SELECT doc_id, response, {_LOW} AS low FROM r), w AS (SELECT doc_id, unnest(string_split(response, '. ')) AS response FROM r), w2 AS (SELECT doc_id, {_LOW} AS low FROM w), "
        f"n AS (SELECT doc_id, sum({_SHORT}::INT)::INT AS n_array FROM w2 GROUP BY 1) SELECT doc_id, ({_SHORT})::INT AS n_scalar, n_array, md5(CASE WHEN {_SHORT} THEN 'Unknown' ELSE response END) AS response_md5 FROM m JOIN n USING (doc_id)")
-def canonicalise(spark, sf_dir):
+def canonicalise(spark, sf_dir, responses=B.responses):
     """An answer and the array of its sentences."""
-    r = B.responses(spark, sf_dir).withColumn("parts", F.split("response", r"\. "))
+    r = responses(spark, sf_dir).withColumn("parts", F.split("response", r"\. "))
     return select.canonicalise(r, "response", "parts").select("doc_id", "n_scalar", "n_array", F.md5(F.col("response").cast("binary")).alias("response_md5"))
 
 
@@ -100,18 +100,18 @@ _HINT = f"regexp_matches(question, '\\b({P.NUMERIC})\\b', 'i')"
 
 @query(f"WITH {RESPONSES}, x AS (SELECT doc_id, response, CASE WHEN doc_id % 2 = 0 THEN 'What is the population?' ELSE 'Who was it?' END AS question FROM r) "
        f"SELECT doc_id, {_HINT} AS numeric, regexp_matches(response, '{_EMOJI}') OR (NOT {_HINT} AND regexp_matches(response, '[0-9a-f]{{8,}}', 'i')) OR length(response) > 300 AS with_question, regexp_matches(response, '{_EMOJI}') OR regexp_matches(response, '[0-9a-f]{{8,}}', 'i') OR length(response) > 300 AS alone FROM x")
-def corruption(spark, sf_dir):
+def corruption(spark, sf_dir, responses=B.responses):
     """T9, T10, T26."""
     q = F.when(F.col("doc_id") % 2 == 0, "What is the population?").otherwise("Who was it?")
-    r, c = B.responses(spark, sf_dir), F.col("response")
+    r, c = responses(spark, sf_dir), F.col("response")
     return r.select("doc_id", T.numeric_hint(q).alias("numeric"), T.is_corrupt(c, q).alias("with_question"), T.is_corrupt(c).alias("alone"))
 
 
 @query(f"WITH {RESPONSES}, x AS (SELECT doc_id, unnest(string_split(response, '. ')) AS t FROM r), y AS (SELECT doc_id, count(*) AS n, sum((regexp_matches(t, '{_EMOJI}') OR regexp_matches(t, '[0-9a-f]{{8,}}', 'i') OR length(t) > 300)::INT) AS bad FROM x GROUP BY 1) "
        "SELECT sum(n)::BIGINT AS n_fields, sum(bad)::BIGINT AS n_bad, round(sum(bad) / sum(n), 6) AS field_rate, round(avg((bad >= 2)::INT), 6) AS record_rate FROM y")
-def corruption_rates(spark, sf_dir):
+def corruption_rates(spark, sf_dir, responses=B.responses):
     """Of fields and of records with two bad fields."""
-    r = B.responses(spark, sf_dir).select(F.split("response", r"\. ").alias("raw"))
+    r = responses(spark, sf_dir).select(F.split("response", r"\. ").alias("raw"))
     x = r.select(F.size("raw").alias("n"), F.size(F.filter("raw", lambda t: T.is_corrupt(t))).alias("bad"), T.record_is_corrupt(F.col("raw")).alias("record"))
     return x.agg(F.sum("n").alias("n_fields"), F.sum("bad").alias("n_bad"), F.round(F.sum("bad") / F.sum("n"), 6).alias("field_rate"), F.round(F.avg(F.col("record").cast("int")), 6).alias("record_rate"))
 
@@ -124,15 +124,15 @@ _SCAN = (
 
 
 @query(f"WITH {RESPONSES}, {_SCAN} SELECT *, emoji OR uuid_fragment OR instructional OR anomalously_long AS any FROM f")
-def corruption_flags(spark, sf_dir):
+def corruption_flags(spark, sf_dir, responses=B.responses):
     """T12."""
-    return B.responses(spark, sf_dir).select("doc_id", T.corruption_flags(F.col("response")).alias("f")).select("doc_id", "f.*")
+    return responses(spark, sf_dir).select("doc_id", T.corruption_flags(F.col("response")).alias("f")).select("doc_id", "f.*")
 
 
 @query(f"WITH {RESPONSES}, {_SCAN} SELECT sum(emoji::INT)::BIGINT AS emoji, sum(uuid_fragment::INT)::BIGINT AS uuid_fragment, sum(instructional::INT)::BIGINT AS instructional, sum(anomalously_long::INT)::BIGINT AS anomalously_long, round(avg((emoji OR uuid_fragment OR instructional OR anomalously_long)::INT), 6) AS any_rate FROM f")
-def corruption_counts(spark, sf_dir):
+def corruption_counts(spark, sf_dir, responses=B.responses):
     """A7, S2."""
-    f = B.responses(spark, sf_dir).select(T.corruption_flags(F.col("response")).alias("f")).select("f.*")
+    f = responses(spark, sf_dir).select(T.corruption_flags(F.col("response")).alias("f")).select("f.*")
     return f.agg(*[F.count_if(c).alias(c) for c in ("emoji", "uuid_fragment", "instructional", "anomalously_long")], F.round(F.avg(F.col("any").cast("int")), 6).alias("any_rate"))
 
 
@@ -159,18 +159,18 @@ _FORMAT = (
 
 
 @query(f"WITH {RESPONSES}, {_FORMAT} SELECT * FROM g")
-def compliance(spark, sf_dir):
+def compliance(spark, sf_dir, responses=B.responses):
     """T16."""
-    return B.responses(spark, sf_dir).select("doc_id", T.compliance(F.col("response")).alias("f")).select("doc_id", "f.*")
+    return responses(spark, sf_dir).select("doc_id", T.compliance(F.col("response")).alias("f")).select("doc_id", "f.*")
 
 
 _RATES = ["too_long", "has_hedge", "has_explanation", "has_bad_starter", "has_refusal", "looks_like_sentence", "compliant"]
 
 
 @query(f"WITH {RESPONSES}, {_FORMAT} SELECT count(*) AS n, " + ", ".join(f"round(avg({c}::INT), 6) AS {c}" for c in _RATES) + ", round(avg(word_count), 6) AS avg_words FROM g")
-def compliance_summary(spark, sf_dir):
+def compliance_summary(spark, sf_dir, responses=B.responses):
     """A11."""
-    f = B.responses(spark, sf_dir).select(T.compliance(F.col("response")).alias("f"))
+    f = responses(spark, sf_dir).select(T.compliance(F.col("response")).alias("f"))
     return compare.compliance_summary(f).withColumns({c: F.round(c, 6) for c in [*_RATES, "avg_words"]})
 
 

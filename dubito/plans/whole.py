@@ -1,0 +1,30 @@
+"""The text queries whose SQL feeds them prefixes, once more over whole texts.
+
+The queries of ``texts`` keep their SQL and what it cuts; these have the same operators, names
+with ``_whole`` behind, and no cut. Where the engines differ on whole texts there is no SQL.
+"""
+
+from __future__ import annotations
+
+from . import binding as B
+from . import texts  # noqa: F401  (it registers the queries)
+from .registry import QUERIES, SQL, query
+
+ANSWERS = [
+    "abstention", "abstention_late", "keep_answered", "blank_abstained", "phrase_rule", "narrow_rule", "rule_comparison", "canonicalise",
+    "corruption", "corruption_rates", "corruption_flags", "corruption_counts", "compliance", "compliance_summary",
+]
+
+
+def _over_whole_answers(name: str) -> None:
+    f = QUERIES[name]
+
+    def whole(spark, sf_dir):
+        return f(spark, sf_dir, responses=B.whole_responses)
+
+    whole.__name__, whole.__doc__ = f"{name}_whole", f.__doc__
+    query(SQL[name].replace(B.RESPONSES, B.WHOLE_RESPONSES))(whole)
+
+
+for _name in ANSWERS:
+    _over_whole_answers(_name)

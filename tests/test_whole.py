@@ -1,0 +1,33 @@
+"""Queries over whole texts against their SQL, and against what the cut ones miss."""
+
+import duckdb
+import pytest
+
+from dubito.plans import binding, whole
+from dubito.plans.registry import QUERIES, SQL
+
+from .test_queries import TABLES, _plain
+
+NAMES = sorted(n for n in QUERIES if n.endswith("_whole"))
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_matches_sql(spark, data, name):
+    df = QUERIES[name](spark, data)
+    columns = sorted(df.columns)
+    got = sorted((tuple(_plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    if name not in SQL:
+        assert got
+        return
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    result = con.sql(SQL[name])
+    at = [result.columns.index(c) for c in columns]
+    assert got == sorted((tuple(_plain(r[i]) for i in at) for r in result.fetchall()), key=repr)
+
+
+def test_answers_hold_whole_texts(spark, data):
+    rows = binding.whole_responses(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), "doc_id").where("doc_id % 11 in (5, 6, 7, 8)").collect()
+    assert rows and all(r.text in r.response for r in rows)
+    assert {f"{n}_whole" for n in whole.ANSWERS} <= set(QUERIES) and all("substring" not in SQL[f"{n}_whole"] for n in whole.ANSWERS)
