@@ -6,8 +6,12 @@ with ``_whole`` behind, and no cut. Where the engines differ on whole texts ther
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import text as T
 from . import binding as B
-from . import texts  # noqa: F401  (it registers the queries)
+from . import texts
+from .binding import table
 from .registry import QUERIES, SQL, query
 
 ANSWERS = [
@@ -28,3 +32,54 @@ def _over_whole_answers(name: str) -> None:
 
 for _name in ANSWERS:
     _over_whole_answers(_name)
+
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def _uncut(sql: str) -> str:
+    """SQL without its prefixes of texts."""
+    for n in ("1, 40", "41, 20", "1, 20", "1, 12", "1, 8"):
+        sql = sql.replace(f"substring(text, {n})", "text")
+    return sql.replace("[1:5] AS parts", " AS parts")
+
+
+@query(_uncut(SQL["patch_positions"]))
+def patch_positions_whole(spark, sf_dir):
+    """T15."""
+    d = _documents(spark, sf_dir).select("doc_id", F.split("text", r"\. ").alias("parts"))
+    return d.select("doc_id", F.array_join(F.transform("parts", lambda x, i: F.when((F.col("doc_id") + i) % 3 == 0, "patched").otherwise(x)), "|").alias("patched"))
+
+
+@query(_uncut(SQL["trim_stops"]))
+def trim_stops_whole(spark, sf_dir):
+    """T19."""
+    return _documents(spark, sf_dir).select("doc_id", T.trim_stop(F.expr(_uncut(texts._STOPPED))).alias("trimmed"))
+
+
+@query(_uncut(SQL["parse_claims"]))
+def parse_claims_whole(spark, sf_dir):
+    """T21, B5."""
+    raw = F.expr(_uncut(texts._RAW_CLAIMS).replace("chr(10)", "char(10)"))
+    return _documents(spark, sf_dir).select("doc_id", F.explode(T.parse_claims(raw)).alias("c")).select("doc_id", "c.claim", "c.is_true")
+
+
+@query()
+def parse_facts_whole(spark, sf_dir):
+    """Every sentence of a text as a bulleted line."""
+    raw = F.concat(F.lit("- "), F.array_join(F.split(F.regexp_replace("text", r"\s+", " "), r"\. "), "\n- "))
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(T.parse_facts(raw), "|").alias("facts"))
+
+
+@query(_uncut(SQL["clean_markdown"]))
+def clean_markdown_whole(spark, sf_dir):
+    """T24."""
+    return _documents(spark, sf_dir).select("doc_id", T.clean_markdown(F.expr(_uncut(texts._MD).format(nl="char(10)"))).alias("cleaned"))
+
+
+@query(_uncut(SQL["labels_for_charts"].replace("substring(text, 1, 12)", "left(text, 12)")))
+def labels_for_charts_whole(spark, sf_dir):
+    """Printable over the whole text; a label's twelve characters are its feature."""
+    d = _documents(spark, sf_dir)
+    return d.select("doc_id", T.printable(F.concat("text", F.lit("\nx"))).alias("printable"), T.shorten_label(F.col("text"), 12).alias("label"))

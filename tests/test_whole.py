@@ -31,3 +31,19 @@ def test_answers_hold_whole_texts(spark, data):
     rows = binding.whole_responses(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), "doc_id").where("doc_id % 11 in (5, 6, 7, 8)").collect()
     assert rows and all(r.text in r.response for r in rows)
     assert {f"{n}_whole" for n in whole.ANSWERS} <= set(QUERIES) and all("substring" not in SQL[f"{n}_whole"] for n in whole.ANSWERS)
+
+
+def test_operators_reach_the_end_of_texts(spark, tmp_path):
+    sentences = [f"sentence {i} of many" for i in range(40)]
+    rows = [(3, ". ".join(sentences)), (4, "x" * 100 + " last"), (5, "two words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name: {r.doc_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    patched = got("patch_positions_whole")[3].patched.split("|")
+    assert patched == ["patched" if (3 + i) % 3 == 0 else x for i, x in enumerate(sentences)]
+    assert got("parse_facts_whole")[3].facts.split("|") == sentences
+    assert got("trim_stops_whole")[4].trimmed == rows[1][1] and got("trim_stops_whole")[3].trimmed == rows[0][1]
+    assert got("clean_markdown_whole")[4].cleaned.count("last") == 2
+    claims = [r.claim for r in QUERIES["parse_claims_whole"](spark, str(tmp_path)).where("doc_id = 4").collect()]
+    assert claims == [rows[1][1] + " one.", "second claim"]
+    label = got("labels_for_charts_whole")[4]
+    assert label.printable == rows[1][1] + "x" and label.label == "x" * 12 + "..."
