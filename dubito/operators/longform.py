@@ -13,6 +13,12 @@ def flatten_claims(df: DataFrame) -> DataFrame:
     return df.select("question_idx", "entity", F.posexplode("claims").alias("claim_idx", "c")).select("question_idx", "entity", F.col("claim_idx").cast("long").alias("claim_idx"), F.col("c.atom").alias("claim"), F.col("c.is_supported").alias("is_true"))
 
 
+def entity_names(ids: DataFrame, records: DataFrame, line: str = "line") -> DataFrame:
+    """(question_idx, entity) of every id; the last record of an id names it, null where there is none."""
+    names = records.groupBy("question_idx").agg(F.max_by("entity", line).alias("entity"))
+    return ids.select("question_idx").join(names, "question_idx", "left")
+
+
 def running_context(claims: DataFrame, key: str = "question_idx", order: str = "claim_idx", text: str = "claim") -> DataFrame:
     """The claims before each one, joined by blanks; null for the first.
 

@@ -427,6 +427,13 @@ def claim_entropy(spark, sf_dir):
     return longform.claim_entropy(q).withColumn("semantic_entropy", F.round("semantic_entropy", 6))
 
 
+@query("SELECT c_custkey AS question_idx, entity FROM customer LEFT JOIN (SELECT o_custkey, arg_max(concat('Entity ', o_orderkey), o_orderkey) AS entity FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def entity_names(spark, sf_dir):
+    """Customers stand for sampled ids, orders for records."""
+    records = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("question_idx"), F.concat(F.lit("Entity "), F.col("o_orderkey").cast("string")).alias("entity"), F.col("o_orderkey").alias("line"))
+    return longform.entity_names(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("question_idx")), records)
+
+
 # Keys and sets over the sales tables.
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def keep_members(spark, sf_dir):

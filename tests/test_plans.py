@@ -31,3 +31,11 @@ def test_running_context_covers_every_claim(spark, data):
     from dubito.plans import binding
 
     assert QUERIES["running_context_whole"](spark, data).count() == binding.claims(spark, data).count() > QUERIES["running_context"](spark, data).count()
+
+
+def test_entity_names_keep_ids_without_a_record(spark):
+    from dubito.operators import longform
+
+    records = spark.createDataFrame([(1, "old", 0), (1, "new", 5), (2, "two", 1)], "question_idx long, entity string, line long")
+    got = longform.entity_names(spark.createDataFrame([(1,), (2,), (3,)], "question_idx long"), records).collect()
+    assert sorted(map(tuple, got)) == [(1, "new"), (2, "two"), (3, None)]
