@@ -47,23 +47,33 @@ from .text import LOWER, Words, chunks, distinct
 END = 2
 SHARD = 1 << 22
 MARKS = 1024
-ROUNDS = 6
-#: Positions of a round's stretch, pairs it must hold, rules a round may add.
+#: Positions counted at once, the least count of a pair, rules a round may add.
 STRETCH, LEAST, RULES = 1 << 19, 24, 2600
 KEPT = 1 << 20
 _HEAD = struct.Struct("<4sIQQQQQ")
 
 
-def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): the ids with frequent pairs replaced."""
+def _counted(pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of all pairs that stand ``least`` times or more."""
+    size = np.zeros(1 << 18, np.int64)  # what falls into one slot is an upper bound of each of its pairs
+    slots = [_slot(pair[i : i + STRETCH]) for i in range(0, len(pair), STRETCH)]
+    for x in slots:
+        size += np.bincount(x, minlength=len(size))
+    parts = [np.unique(pair[i * STRETCH : (i + 1) * STRETCH][size[x] >= least], return_counts=True) for i, x in enumerate(slots)]
+    seen, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    n = np.bincount(of, np.concatenate([c for _, c in parts]), len(seen)).astype(np.int64)
+    return seen[n >= least], n[n >= least]
+
+
+def compress(ids: np.ndarray, terminals: int, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): the ids with frequent pairs replaced, until none is frequent or no symbol is left (or for so many rounds)."""
     s, rules, room = ids.astype(np.int64), [], (1 << 16 if terminals < 1 << 16 else 1 << 31) - terminals
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(s) < 2:
             break
         pair = s[:-1] << 32 | s[1:]
-        seen, n = np.unique(pair[-STRETCH:], return_counts=True)
-        take = np.flatnonzero(n >= min(LEAST, max(2, len(s) >> 12)))
-        take = take[np.argsort(-n[take], kind="stable")][: min(RULES, room - len(rules))]
+        seen, n = _counted(pair, min(LEAST, max(2, len(s) >> 12)))
+        take = np.argsort(-n, kind="stable")[: min(RULES, room - len(rules))]
         if not len(take):
             break
         chosen = np.sort(seen[take])

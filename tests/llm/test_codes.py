@@ -160,3 +160,15 @@ def test_flac_edges(spark, edge, edge_rows, nothing):
     blocks = flac.pcm_blocks(media).where("doc_id = 5").orderBy("offset").collect()
     assert b"".join(bytes(b.pcm) for b in blocks).rstrip(b"\0") == dict(edge_rows)[5].encode() and [b.offset for b in blocks] == list(range(0, len(blocks) * 4096, 4096))
     assert flac.media_digests(flac.encode_texts(nothing)).count() == 0
+
+
+def test_grammar_counts_pairs_of_the_whole_shard():
+    rng = np.random.default_rng(4)
+    front = np.tile(np.array([5, 6, 7, 8]), 5000)
+    ids = np.concatenate([front, rng.integers(1000, 40_000, grammar.STRETCH + 10)])  # no pair of the front is in the last stretch
+    symbols, rules = grammar.compress(ids, 49_152)
+    assert [5, 6] in rules.tolist() and len(symbols) <= len(ids) - len(front) + 100
+    out = {i: [i] for i in range(49_152)}
+    for i, (a, b) in enumerate(rules.tolist()):
+        out[49_152 + i] = out[a] + out[b]
+    assert [x for y in symbols.tolist() for x in out[y]] == ids.tolist()
