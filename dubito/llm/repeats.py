@@ -30,8 +30,8 @@ DEALT = "route long, k2 long, doc_id long, start long, n long, known boolean"
 _DEALT = pa.schema([("route", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("known", pa.bool_())])
 RUNS = "doc_id long, start long, n long, first boolean"
 _RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("first", pa.bool_())])
-SEEDS = "doc_id long, seed long, source long"
-_SEEDS = pa.schema([("doc_id", pa.int64()), ("seed", pa.int64()), ("source", pa.int64())])
+SEEDS = "doc_id long, seed long"
+_SEEDS = pa.schema([("doc_id", pa.int64()), ("seed", pa.int64())])
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -102,7 +102,7 @@ def _one(mark: np.ndarray, heads: np.ndarray) -> np.ndarray:
 def deal(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray, seeds: bool) -> Iterator[pa.RecordBatch]:
     """The rows that a task sends: one member for each key, and what is known to repeat.
 
-    For seeds, k2 holds the seed and start its source in what is known; windows travel as runs.
+    For seeds, k2 holds the seed in what is known; windows travel as runs.
     """
     if not len(k1):
         return
@@ -115,21 +115,31 @@ def deal(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray, see
     rest[head] = False
     if not rest.any():
         return
-    source = np.repeat(doc[head], sizes)[rest]
     seed, doc, start = k1[rest], doc[rest], start[rest]
-    route = signed(mix(unsigned(doc) + _SALT))
     if seeds:
-        yield from emit(_DEALT, route, seed, doc, source, np.ones(len(doc), np.int64), np.ones(len(doc), bool))
+        yield from emit(_DEALT, by_doc(doc), seed, doc, start, np.ones(len(doc), np.int64), np.ones(len(doc), bool))
         return
     order = np.lexsort((start, doc))
-    doc, start, route = doc[order], start[order], route[order]
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])
+    yield from known_runs(doc[order], start[order])
+
+
+def by_doc(doc: np.ndarray) -> np.ndarray:
+    """Where rows that need no more comparison are dealt."""
+    return signed(mix(unsigned(doc) + _SALT))
+
+
+def known_runs(doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Window starts that repeat for certain, as runs of neighbours; those of a document stand together, ascending."""
+    if not len(doc):
+        return
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])
     last = np.r_[new[1:], len(doc)] - 1
-    yield from emit(_DEALT, route[new], route[new], doc[new], start[new], start[last] - start[new] + 1, np.ones(len(new), bool))
+    route = by_doc(doc[new])
+    yield from emit(_DEALT, route, route, doc[new], start[new], start[last] - start[new] + 1, np.ones(len(new), bool))
 
 
 def find_repeats(dealt: DataFrame, seeds: bool) -> DataFrame:
-    """Repeats among dealt rows: (doc_id, seed, source) or runs of window starts.
+    """Repeats among dealt rows: (doc_id, seed) or runs of window starts.
 
     first: the runs hold the smallest (doc_id, start) of their windows.
     """
@@ -141,7 +151,7 @@ def find_repeats(dealt: DataFrame, seeds: bool) -> DataFrame:
             route, k2, doc, start, n = (b.column(c).to_numpy() for c in ("route", "k2", "doc_id", "start", "n"))
             if known.any():
                 if seeds:
-                    yield from emit(_SEEDS, doc[known], k2[known], start[known])
+                    yield from emit(_SEEDS, doc[known], k2[known])
                 else:
                     yield from emit(_RUNS, doc[known], start[known], n[known], np.zeros(int(known.sum()), bool))
             kept.append([x[~known] for x in (route, k2, doc, start, n)])
@@ -160,13 +170,10 @@ def find_repeats(dealt: DataFrame, seeds: bool) -> DataFrame:
             return
         heads = np.flatnonzero(np.r_[True, (route[1:] != route[:-1]) | (k2[1:] != k2[:-1])])
         sizes = np.diff(np.r_[heads, len(route)])
-        least = _least(doc, start, heads, sizes)
         if seeds:
-            # A seed's source is the least document that has it; that one looks to the greatest.
-            low, high = (np.repeat(f.reduceat(doc, heads), sizes) for f in (np.minimum, np.maximum))
-            yield from emit(_SEEDS, doc, route, np.where(doc == low, high, low))
+            yield from emit(_SEEDS, doc, route)
         else:
-            yield from emit(_RUNS, doc, start, np.ones(len(doc), np.int64), least)
+            yield from emit(_RUNS, doc, start, np.ones(len(doc), np.int64), _least(doc, start, heads, sizes))
 
     return dealt.repartition("route").mapInArrow(task, SEEDS if seeds else RUNS)
 
@@ -187,22 +194,18 @@ def shared_seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
             yield from deal(seed, np.zeros_like(seed), doc, np.zeros_like(seed), True)
 
     found = find_repeats(docs.mapInArrow(task, DEALT), True)
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "source")).alias("seeds"))
+    return found.groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
 
 
-def seed_marks(g: Grams, seeds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the chunk's seeds, which of them are shared, and the source of each."""
+def shared_places(g: Grams, seeds: pa.Array) -> np.ndarray:
+    """Places of those of the chunk's seeds that are shared."""
     at = g.seeds()
-    inner = seeds.flatten()
     owner = np.repeat(np.arange(len(seeds)), seeds.value_lengths().fill_null(0).to_numpy())
-    key = mix(unsigned(inner.field(0).to_numpy()) + owner.astype(np.uint64) * _SALT)
-    order = np.argsort(key)
-    key, source = key[order], inner.field(1).to_numpy()[order]
+    key = np.sort(mix(unsigned(seeds.flatten().to_numpy()) + owner.astype(np.uint64) * _SALT))
     if not len(at) or not len(key):
-        return at, np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+        return at[:0]
     own = g.keys(at)
-    i = np.minimum(np.searchsorted(key, own), len(key) - 1)
-    return at, key[i] == own, source[i]
+    return at[key[np.minimum(np.searchsorted(key, own), len(key) - 1)] == own]
 
 
 def repeated_windows(candidates: DataFrame, length: int, k: int, choose) -> DataFrame:
@@ -239,4 +242,4 @@ def covered(n_words: int, starts: np.ndarray, n: np.ndarray, length: int) -> np.
     return np.cumsum(d[:-1]) > 0
 
 
-__all__ = ["Grams", "by_document", "covered", "documents", "emit", "find_repeats", "join", "repeated_windows", "seed_marks", "shared_seeds"]
+__all__ = ["DEALT", "Grams", "by_doc", "by_document", "covered", "deal", "documents", "emit", "find_repeats", "join", "known_runs", "repeated_windows", "shared_places", "shared_seeds"]

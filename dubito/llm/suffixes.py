@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import BATCH, Grams, by_document, covered, documents, emit, repeated_windows, seed_marks, shared_seeds
+from .repeats import BATCH, Grams, by_document, covered, documents, emit, repeated_windows, shared_places, shared_seeds
 from .shared import unused
 from .text import Words, chunks
 
@@ -43,8 +43,7 @@ def suffixes(docs: DataFrame, window: int, seed: int) -> DataFrame:
         for b in batches:
             for c in chunks(b):
                 g = Grams(c.column("text"), window, seed)
-                at, shared, _ = seed_marks(g, c.column("seeds"))
-                at = at[shared]
+                at = shared_places(g, c.column("seeds"))
                 if not len(at):
                     continue
                 words = (g.h >> np.uint64(32)).astype(">u4")

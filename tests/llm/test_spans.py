@@ -54,6 +54,33 @@ def test_rlz_random(spark, length, k):
         assert (got[i].n_words, got[i].n_removed, bytes(got[i].kept)) == (len(w), sum(again), kept)
 
 
+@pytest.mark.parametrize("length,k", [(35, 12), (7, 3)])
+def test_rlz_blocks_of_few_rows(spark, length, k):
+    """Blocks that end within a seed's list find what one block finds."""
+    rows = random_rows(length)
+    marks = {i: bytearray(len(w)) for i, w, _, _ in count_all(rows, length)}
+    for r in rlz.duplicate_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length, k, rows=2).collect():
+        marks[r.doc_id][r.start : r.start + r.n - 1 + length] = b"\1" * (r.n - 1 + length)
+    assert marks == {i: again for i, _, again, _ in count_all(rows, length)}
+
+
+def side(rows):
+    wide = np.array([x for r in rows for x in r], ">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    return rlz.Side(rlz._binary(wide, np.cumsum([0, *map(len, rows[:-1])]), np.array([len(r) for r in rows]), 1))
+
+
+def test_rlz_parse_rests_on_its_factors(monkeypatch):
+    """Windows of four words around one seed: in a factor, across its bound, and in no source."""
+    seed = np.array([5, 5, 5, 5, 6])
+    right, left = side([[1, 2, 3], [1, 2, 4], [1, 2, 4, 9], [1, 8], [1, 2, 3]]), side([[7, 6], [5], [7, 6], [7], [7, 6]])
+    found, undecided = rlz.parse(seed, right, left, 4, (False, False))
+    # 6 7 | 1 2 stands in the first and the third segment, which aren't neighbours
+    assert found.tolist() == [[False, False, True], [False] * 3, [False, False, True], [False] * 3, [False] * 3] and not undecided.any()
+    assert rlz.parse(seed, right, left, 4, (True, True))[1].any()
+    monkeypatch.setattr(rlz, "factors", lambda s, r, t: (np.zeros(len(s) - 1, np.int64),) * 2)
+    assert not rlz.parse(seed, right, left, 4, (False, False))[0].any()
+
+
 @pytest.mark.parametrize("length,k", [(50, 10), (9, 3), (4, 2)])
 def test_suffixes_random(spark, length, k):
     rows = random_rows(100 + length)
