@@ -2,11 +2,14 @@
 
 The encoder takes bytes as unsigned 8-bit samples (byte 128 is silence), one channel, in
 frames of ``BLOCK`` samples. Each frame is a constant, a fixed predictor of order 0 to 4, a
-linear predictor of order 2 or plain samples, whichever is smallest, with Rice-coded
-residuals. A seek table names every frame. The decoder reads mono 8-bit streams with any
-fixed or linear predictor, Rice partitions of any order and escaped partitions; it verifies
-the CRC-8 and CRC-16 of each frame and the MD5 of all samples, and returns PCM blocks with
-their sample offsets. Frames are independent, so those of a batch are coded side by side.
+linear predictor of order ``LINEAR`` or plain samples, whichever is smallest, with Rice-coded
+residuals. A seek table names every frame where there is more than one. The decoder reads mono
+8-bit streams with any fixed or linear predictor, Rice partitions of any order and escaped
+partitions; it verifies the CRC-8 and CRC-16 of each frame and the MD5 of all samples, and
+returns PCM blocks with their sample offsets. Frames are independent, so those of a batch are
+coded side by side. ``store`` writes streams, ``write_blocks`` decoded blocks, as Parquet
+(zstd) to a folder that Spark reaches; ``load`` and ``read_samples`` read them, the latter any
+range of samples by the offsets of the blocks.
 
 Defined results: null texts are empty texts, whose payload is 64 zero bytes; equal texts have
 equal streams; rows that repeat a doc_id get a row each; rows with a null doc_id are left
@@ -23,15 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .repeats import documents
+from .shared import scratch
 from .text import Texts, chunks
 
 BLOCK = 4096
 RATE = 8000
 PAD = 64
+#: Order of the linear predictor.
+LINEAR = 4
 _PRECISION, _SHIFT = 12, 10
-_FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+_PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 
 
 def _table(poly: int, bits: int) -> np.ndarray:
@@ -67,6 +74,19 @@ def _crc8(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def _predictors(lag: np.ndarray) -> np.ndarray:
+    """Coefficients of the linear predictor of each frame, by Levinson's recursion. lag: autocorrelations, one row for each distance."""
+    order = len(lag) - 1
+    a, error = np.zeros((order, lag.shape[1])), lag[0].copy()
+    for i in range(order):
+        live = error > 1e-9 * np.maximum(lag[0], 1)
+        k = np.where(live, (lag[i + 1] - (a[:i] * lag[i:0:-1]).sum(0)) / np.where(live, error, 1), 0)
+        a[:i] -= k * a[:i][::-1].copy()
+        a[i] = k
+        error *= 1 - k * k
+    return a
+
+
 def _numbers(n: np.ndarray) -> list[bytes]:
     """Frame numbers in the extended UTF-8 of the format."""
     out = []
@@ -111,46 +131,58 @@ def encode(payloads: list[np.ndarray]) -> list[bytes]:
     x = raw.astype(np.int16) - np.int16(128)
     frame_of = np.repeat(np.arange(len(doc), dtype=np.int32), length)
 
-    # The predictor that leaves the smallest residuals (next to the frame's first samples, which don't count).
-    cost = [np.add.reduceat(np.abs(x), begin, dtype=np.int64)]
+    # The predictor that leaves the smallest residuals, without the samples that warm it up. What
+    # a frame's neighbours hold must not count, so that equal texts have equal streams.
+    def left(residual: np.ndarray, order: int) -> np.ndarray:
+        size = np.abs(residual)
+        for j in range(order):
+            size[begin[length > j] + j] = 0
+        return np.add.reduceat(size, begin, dtype=np.int64)
+
+    cost = [left(x, 0)]
     d = x
-    for _ in range(4):
-        d = np.r_[d[:1], d[1:] - d[:-1]]  # wrong across frames, where warm-up samples stand
-        cost.append(np.add.reduceat(np.abs(d), begin, dtype=np.int64))
+    for o in range(1, 5):
+        d = np.r_[d[:1], d[1:] - d[:-1]]
+        cost.append(left(d, o))
     f = x.astype(np.float32)
-    lag = [np.add.reduceat(f[j:] * f[: len(f) - j] if j else f * f, begin, dtype=np.float64) for j in range(3)]
-    det = lag[0] ** 2 - lag[1] ** 2
-    ok = det > 1e-9 * np.maximum(lag[0] ** 2, 1)
-    det = np.where(ok, det, 1)
-    c = [np.where(ok, v / det, 0) for v in (lag[1] * (lag[0] - lag[2]), lag[0] * lag[2] - lag[1] ** 2)]
-    c = [np.clip(np.rint(v * (1 << _SHIFT)), -(1 << _PRECISION - 1), (1 << _PRECISION - 1) - 1).astype(np.int32) for v in c]
-    pair = np.zeros(len(x), np.int32)
-    pair[2:] = (c[0][frame_of[2:]] * x[1:-1] + c[1][frame_of[2:]] * x[:-2]) >> _SHIFT
-    pair = x - pair
-    cost.append(np.add.reduceat(np.abs(pair), begin, dtype=np.int64) + 16)
-    kind = np.argmin(np.where(length[:, None] > [0, 1, 2, 3, 4, 2], np.stack(cost, 1), np.iinfo(np.int64).max), 1)
+    lag, last = [], begin + length - 1
+    for j in range(LINEAR + 1):
+        product = np.r_[f[j:] * f[: len(f) - j], np.zeros(min(j, len(f)), np.float32)]
+        for i in range(j):
+            product[(last - i)[length > i]] = 0
+        lag.append(np.add.reduceat(product, begin, dtype=np.float64))
+    lag = np.stack(lag)
+    c = np.clip(np.rint(_predictors(lag) * (1 << _SHIFT)), -(1 << _PRECISION - 1), (1 << _PRECISION - 1) - 1).astype(np.int32)
+    guess = np.zeros(len(x), np.int32)
+    for j in range(LINEAR):
+        guess[j + 1 :] += c[j][frame_of[j + 1 :]] * x[: len(x) - j - 1]
+    linear = x - (guess >> _SHIFT)
+    cost.append(left(linear, LINEAR) + 16)
+    kind = np.argmin(np.where(length[:, None] > [0, 1, 2, 3, 4, LINEAR], np.stack(cost, 1), np.iinfo(np.int64).max), 1)
     best = x.astype(np.int32)
     d = best
     for o in range(1, 6):
-        d = pair if o == 5 else np.r_[d[:1], d[1:] - d[:-1]]
+        d = linear if o == 5 else np.r_[d[:1], d[1:] - d[:-1]]
         if (kind == o).any():
             here = (kind == o)[frame_of]
             best[here] = d[here]
-    kind = np.where(kind == 5, 33, kind)
+    kind = np.where(kind == 5, 31 + LINEAR, kind)
 
-    order = np.where(kind == 33, 2, kind)
+    lpc = kind > 31
+    order = np.where(lpc, LINEAR, kind)
+    warm_up = max(4, LINEAR)
     u = best << 1 ^ best >> 31
-    for j in range(4):
+    for j in range(warm_up):
         u[begin[order > j] + j] = 0
     n_coded = length - order
     mean = np.add.reduceat(u, begin, dtype=np.int64) / np.maximum(n_coded, 1)
-    k = np.clip(np.rint(np.log2(np.maximum(mean * 0.69, 0.51))), 0, 14).astype(np.int32)
+    k = np.searchsorted(2.0 ** (np.arange(1, 15) - 0.5), mean * 0.69, "right").astype(np.int32)
     k_of = k[frame_of]
     zeros = u >> k_of
     code_bits = zeros + k_of + 1
-    for j in range(4):
+    for j in range(warm_up):
         code_bits[begin[order > j] + j] = 0
-    extra = np.where(kind == 33, 4 + 5 + 2 * _PRECISION, 0)
+    extra = np.where(lpc, 4 + 5 + LINEAR * _PRECISION, 0)
     bits = 8 + 8 * order + extra + 10 + np.add.reduceat(code_bits, begin, dtype=np.int64)
     low, high = np.minimum.reduceat(x, begin), np.maximum.reduceat(x, begin)
     flat, plain = low == high, (bits >= 8 + 8 * length) & (low < high)
@@ -165,7 +197,7 @@ def encode(payloads: list[np.ndarray]) -> list[bytes]:
         heads.append(bytes([0xFF, 0xF8, 0xC0 if full else 0x70, 0x02]) + name + (b"" if full else struct.pack(">H", length[i] - 1)))
     head_size = np.array([len(h) for h in heads], np.int64)
     frame_size = head_size + 1 + (bits + 7) // 8 + 2
-    seek_size = 4 + 18 * frames
+    seek_size = np.where(frames > 1, 4 + 18 * frames, 0)
     prefix = 4 + 4 + 34 + seek_size
     stream_size = prefix + np.bincount(doc, frame_size, len(size)).astype(np.int64)
     stream_at = np.cumsum(stream_size) - stream_size
@@ -192,17 +224,18 @@ def encode(payloads: list[np.ndarray]) -> list[bytes]:
         over = room < 0
         np.bitwise_or.at(words, (where >> 6)[over] + 1, v[over] << (64 + room[over]).astype(np.uint64))
 
-    code = np.where(flat, 0, np.where(plain, 1, np.where(kind == 33, 33, 8 + kind)))
+    code = np.where(flat, 0, np.where(plain, 1, np.where(lpc, kind, 8 + kind)))
     put(sub * 8, code << 1, 8)
     put(sub[flat] * 8 + 8, x[begin[flat]] & 255, 8)
-    for j in range(4):
+    for j in range(warm_up):
         warm = rice & (order > j)
         put(sub[warm] * 8 + 8 + 8 * j, x[begin[warm] + j] & 255, 8)
-    lpc = rice & (kind == 33)
-    put(sub[lpc] * 8 + 24, np.full(lpc.sum(), _PRECISION - 1), 4)
-    put(sub[lpc] * 8 + 28, np.full(lpc.sum(), _SHIFT), 5)
-    for j in range(2):
-        put(sub[lpc] * 8 + 33 + j * _PRECISION, c[j][lpc] & ((1 << _PRECISION) - 1), _PRECISION)
+    lpc &= rice
+    behind = sub[lpc] * 8 + 8 + 8 * LINEAR
+    put(behind, np.full(lpc.sum(), _PRECISION - 1), 4)
+    put(behind + 4, np.full(lpc.sum(), _SHIFT), 5)
+    for j in range(LINEAR):
+        put(behind + 9 + j * _PRECISION, c[j][lpc] & ((1 << _PRECISION) - 1), _PRECISION)
     put(first[rice] - 4, k[rice], 4)
     out = words.astype(">u8").view(np.uint8)
     for i in np.flatnonzero(plain).tolist():
@@ -224,7 +257,8 @@ def encode(payloads: list[np.ndarray]) -> list[bytes]:
         md5 = hashlib.md5((raw[ends[i] - n : ends[i]] ^ 0x80).tobytes()).digest()
         info = struct.pack(">HH", block if g - f == 1 else BLOCK, block) + int(frame_size[f:g].min()).to_bytes(3, "big") + int(frame_size[f:g].max()).to_bytes(3, "big") + packed.to_bytes(8, "big") + md5
         points = b"".join(struct.pack(">QQH", b * BLOCK, o, w) for b, o, w in zip(number[f:g].tolist(), in_doc[f:g].tolist(), length[f:g].tolist(), strict=True))
-        head = b"fLaC" + bytes([0]) + (34).to_bytes(3, "big") + info + bytes([0x83]) + len(points).to_bytes(3, "big") + points
+        seek = bytes([0x83]) + len(points).to_bytes(3, "big") + points if g - f > 1 else b""
+        head = b"fLaC" + bytes([0 if seek else 0x80]) + (34).to_bytes(3, "big") + info + seek
         streams.append(head + out[s + len(head) : s + int(stream_size[i])].tobytes())
         f = g
     return streams
@@ -431,6 +465,8 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
             raise ValueError("not a mono stream of 8-bit samples")
         total = packed & (1 << 36) - 1
         infos.append((total, info[18:34]))
+        if not points and total <= int.from_bytes(info[2:4], "big"):
+            points = [(0, 0, total)]  # a single frame
         whole = points and points[0][0] == 0 and all(a[0] + a[2] == b[0] for a, b in zip(points, [*points[1:], (total,)], strict=True))
         starts.append((base + p, base + len(s), [(base + p + o, at) for at, o, _ in points] if whole else None))
         where.append(base)
@@ -504,6 +540,34 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     return media.where("media is not null").select("doc_id", "media").mapInArrow(task, "doc_id long, offset long, n_samples long, pcm binary")
 
 
+def store(media: DataFrame, folder: str) -> None:
+    """Writes the streams, packed once more by zstd, to a new folder."""
+    media.write.options(**_PACKED).parquet(folder)
+
+
+def load(spark, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
+def write_blocks(media: DataFrame, folder: str) -> None:
+    """Decodes media and writes its blocks (doc_id, offset, n_samples, pcm) to a new folder."""
+    pcm_blocks(media).write.options(**_PACKED).parquet(folder)
+
+
+def read_samples(spark, folder: str, doc_id: int, begin: int, end: int) -> bytes:
+    """Samples begin to end of a document, from the written blocks that hold them alone."""
+    rows = load(spark, folder).where((F.col("doc_id") == doc_id) & (F.col("offset") < end) & (F.col("offset") + F.col("n_samples") > begin))
+    return b"".join(bytes(r.pcm)[max(0, begin - r.offset) : end - r.offset] for r in rows.select("offset", "pcm").distinct().orderBy("offset").collect())
+
+
+def round_trip(docs: DataFrame) -> DataFrame:
+    """Writes the streams of docs to the shared folder and digests what is read back."""
+    spark = docs.sparkSession
+    folder = f"{scratch(spark, 'media')}/streams"
+    store(encode_texts(docs), folder)
+    return media_digests(load(spark, folder))
+
+
 def feature(samples: np.ndarray) -> str:
     """Root mean square, peak and sign changes of the signal around silence."""
     x = samples.astype(np.int64) - 128

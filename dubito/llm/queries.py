@@ -68,7 +68,7 @@ def op9_quality(spark, sf_dir):
 
 
 def op10_flac(spark, sf_dir):
-    return flac.media_digests(flac.encode_texts(table(spark, sf_dir, "documents")))
+    return flac.round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries():

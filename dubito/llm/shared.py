@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a new one if all runs on one machine, as in tests; else an error.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
 
 
+def scratch(spark, name: str) -> str:
+    """A new folder in the shared one for tables that later steps read; it goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from the shared folder from here on."""
     shared_folder(df.sparkSession)
@@ -38,15 +55,15 @@ def sample_labels(labels: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows of (doc_id, label), chosen by the hash of doc_id: all if there are no more.
+    """At most ``most`` rows of (doc_id, label), the least by the hash of doc_id: all if there are no more.
 
-    A threshold on the hash instead of an order by it, so that no task sends more than it keeps.
+    A threshold on the hash comes first, so that no task sends much more than it keeps. The
+    order makes the sample the same whenever it is read again.
     """
-    n = rows.count()
+    n, place = rows.count(), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     if n > most:
-        share = max(0.0, most - 4 * most**0.5) / n  # the limit hardly ever cuts
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return rows.limit(most)
+        rows = rows.where(place < int(min(1.0, (most + 4 * most**0.5) / n) * (1 << 30)))
+    return rows.orderBy(place, "doc_id").limit(most)
 
 
 def unused(df: DataFrame, name: str) -> str:
