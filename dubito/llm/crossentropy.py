@@ -7,13 +7,17 @@ target's size, so neither is smoothed more than the other. A document's score is
 over its words of the target's loss less the background's: the lower, the more it is like
 the target.
 
-    P(b | a) = max(c(a b) - D, 0) / c(a) + rest(a) * (c(b) + s) / (N + s * words)
-
-Words and pairs are counted over all documents and none is left out: both models are tables
-that grow with the corpus. Each document's pairs, counted within the document, are joined to
-the table of losses by pair; nothing but two totals reaches the driver. ``learn`` builds the
-same models for one process, over a stated number of words and pairs (the rest go to one
-sign and to the shorter context); no query scores by it.
+    P(b | a) = max(c(a b) - D, 0) / n(a) + rest(a) * (c(b) + s) / (N + s * words)
+
+Words and pairs are counted over all documents and none is left out. The counts live in a
+table dealt by ranges of the key's hash (buckets), which grows with the corpus; documents are
+dealt by doc_id into groups of ``GROUP`` bytes of text or so. A group sends each bucket its own
+distinct keys, sorted, with their counts, and gets the corpus's totals back in the same order,
+so answers carry no keys. That happens twice: for words and pairs, then for the words before
+(how many words follow each, and what the discount leaves), where one group of those that hold
+a pair answers for it. The text is dealt out once and read three times; no model, and nothing
+but the number of bytes, reaches the driver. A key has one row for each group at most, whatever
+its frequency.
 
 Defined results: null and empty texts have n_tokens 0 and null scores; without target words
 every score is 0; rows with a null doc_id are left out; rows that repeat a doc_id get a row
@@ -22,252 +26,206 @@ each, and are all target if one of that id is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import documents, emit
-from .shared import cut
-from .text import ALNUM, Words, chunks, join, signed, unsigned
+from .repeats import documents
+from .text import ALNUM, Words, chunks, join
 
-VOCABULARY = 1 << 13
-PAIRS = 1 << 19
 DISCOUNT, SMOOTH = 0.7, 0.1
-_HELD = 1 << 21
+#: Bytes of text of a group of documents.
+GROUP = 8 << 20
 #: Stands before the first word of a text.
 START = np.uint64(1)
-_COUNTS = pa.schema([("key", pa.int64()), ("target", pa.int64()), ("total", pa.int64())])
-_PAIRS = pa.schema([(c, pa.int64()) for c in ("a", "b", "target", "total")])
-_GRAMS = pa.schema([(c, pa.int64()) for c in ("doc_id", "row", "a", "b", "n")])
-
-
-def _words(text: pa.Array) -> Words:
-    return Words(pc.utf8_lower(pc.fill_null(text, "")), ALNUM)
-
-
-class _Counter:
-    """Sums counts by key; folds equal keys when it has held many."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = 0
-
-    def add(self, key: np.ndarray, target: np.ndarray) -> None:
-        unique, of = np.unique(key, return_inverse=True)
-        n = len(unique)
-        self.parts.append((unique, np.bincount(of, target, n).astype(np.int64), np.bincount(of, minlength=n)))
-        self.held += n
-        if self.held > _HELD:
-            self.fold()
-            if self.held > _HELD // 2:
-                return
-
-    def fold(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, target, total = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        unique, of = np.unique(key, return_inverse=True)
-        self.parts = [(unique, *(np.bincount(of, v, len(unique)).astype(np.int64) for v in (target, total)))]
-        self.held = len(unique)
-        return self.parts[0]
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(key, total): how often each word (by its hash) stands in the corpus."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Counter()
-        for b in batches:
-            for c in chunks(b):
-                h = signed(_words(c.column("text")).hashes())
-                found.add(h, np.zeros(len(h)))
-                if found.held > _HELD:
-                    yield from emit(_COUNTS, *found.fold())
-                    found = _Counter()
-        if found.parts:
-            yield from emit(_COUNTS, *found.fold())
-
-    return documents(docs).mapInArrow(task, "key long, target long, total long").groupBy("key").agg(F.sum("total").alias("total"))
-
-
-def _numbers(w: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word before, word) of each word, by number: len(vocabulary) is any other word, the next the start."""
-    h, n = w.hashes(), len(vocabulary)
-    at = np.minimum(np.searchsorted(vocabulary, h), max(n - 1, 0))
-    word = np.where(vocabulary[at] == h, at, n) if n else np.zeros(len(h), np.int64)
-    before = np.r_[n + 1, word[:-1]] if len(word) else word
-    before[w.first[:-1][w.count > 0]] = n + 1
-    return before, word
-
-
-def pair_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """(key, target, total) of every pair of neighbours; docs has doc_id, text, is_target."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    base = len(vocabulary) + 2
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Counter()
-        for b in batches:
-            for c in chunks(b):
-                w = _words(c.column("text"))
-                before, word = _numbers(w, sent.value)
-                found.add(before * base + word, c.column("is_target").to_numpy(zero_copy_only=False)[w.owner()].astype(float))
-                if found.held > _HELD:
-                    yield from emit(_COUNTS, *found.fold())
-                    found = _Counter()
-        if found.parts:
-            yield from emit(_COUNTS, *found.fold())
-
-    return docs.mapInArrow(task, "key long, target long, total long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("total").alias("total"))
-
-
-@dataclass
-class Model:
-    """Both models over one vocabulary. Arrays are by number of the word or of the stored pair."""
-
-    vocabulary: np.ndarray
-    pairs: np.ndarray
-    stored: np.ndarray
-    rest: np.ndarray
-    single: np.ndarray
-
-    def losses(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Losses of each word under (target, background)."""
-        key = before * (len(self.vocabulary) + 2) + word
-        at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
-        p = self.rest[:, before] * self.single[:, word]
-        if len(self.pairs):
-            p += np.where(self.pairs[at] == key, self.stored[:, at], 0)
-        return -np.log(p)
-
-
-def build(vocabulary: np.ndarray, contexts: np.ndarray, words: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> Model:
-    """contexts, words, counts: (target, background) counts of first words, of words, of the stored pairs."""
-    base = len(vocabulary) + 2
-    scale = np.array([1.0, words[0].sum() / max(words[1].sum(), 1)])[:, None]
-    contexts, words, counts = contexts * scale, words * scale, counts * scale
-    first = pairs // base
-    stored = np.maximum(counts - DISCOUNT * np.minimum(counts, 1), 0) / np.maximum(contexts[:, first], 1e-12)
-    rest = np.stack([1 - np.bincount(first, s, base) for s in stored])
-    single = (words + SMOOTH) / (words.sum(1, keepdims=True) + SMOOTH * (base - 1))
-    return Model(vocabulary, pairs, stored, np.maximum(rest, 1e-9), single)
-
-
-def learn(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> Model:
-    """Counts the corpus. docs: documents; target: doc_id of the target documents."""
-    top = word_counts(docs).orderBy(F.desc("total"), "key").limit(vocabulary).toPandas()
-    words = np.sort(unsigned(top["key"].to_numpy(np.int64)))
-    base = len(words) + 2
-    marked = _marked(docs, target)
-    found = cut(pair_counts(marked, words))
-    # Counts in some hundred classes by their logarithm; the upper classes that hold so many pairs at most.
-    size = F.floor(F.log2("total") * 8)
-    least, reached = -1, 0
-    for r in sorted(found.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
-        if reached + r["count"] > pairs:
-            least = r["size"]
-            break
-        reached += r["count"]
-    kept = found.where(size > least).orderBy("key").toPandas()
-    sums = []
-    for number in (F.floor(F.col("key") / base), F.col("key") % base):  # one row for each word of the vocabulary
-        got = found.groupBy(number.cast("long").alias("word")).agg(F.sum("target").alias("target"), F.sum("total").alias("total")).toPandas()
-        s = np.zeros((2, base))
-        s[:, got["word"].to_numpy(np.int64)] = got[["target", "total"]].to_numpy(float).T
-        sums.append(s)
-    return build(words, sums[0], sums[1], kept["key"].to_numpy(np.int64), kept[["target", "total"]].to_numpy(float).T)
-
-
-def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(doc_id, text, is_target) of documents."""
-    wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    # merge: the plan must not change with the size of the target
-    return documents(docs).join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-
-
-def _neighbours(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(word before, word) of each word, by hash; START before the first of a text."""
-    word = w.hashes()
-    before = np.r_[START, word[:-1]] if len(word) else word
-    before[w.first[:-1][w.count > 0]] = START
-    return before, word
-
-
-def _folded(of: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums of columns by equal ``of``, behind the place of the first of each."""
-    _, first, at = np.unique(of, return_index=True, return_inverse=True)
-    return (first, *(np.bincount(at, c, len(first)).astype(np.int64) for c in columns))
-
-
-def all_pairs(marked: DataFrame) -> DataFrame:
-    """(a, b, target, total): how often word b follows word a, for all pairs of the corpus."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in chunks(b):
-                w = _words(c.column("text"))
-                before, word = _neighbours(w)
-                of = c.column("is_target").to_numpy(zero_copy_only=False)[w.owner()].astype(float)
-                first, target, total = _folded(join(before, word), of, np.ones(len(word)))
-                rank = np.argsort(before[first], kind="stable")  # equal words before stand together when they are sent
-                order = first[rank]
-                yield from emit(_PAIRS, signed(before[order]), signed(word[order]), target[rank], total[rank])
-
-    sent = marked.mapInArrow(task, "a long, b long, target long, total long")
-    return sent.groupBy("a", "b").agg(F.sum("target").alias("target"), F.sum("total").alias("total"))
-
-
-def document_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, a, b, n): the pairs of each row of documents and their number; one with n = 0 for texts without words."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            for c in chunks(b):
-                w = _words(c.column("text"))
-                before, word = _neighbours(w)
-                owner, doc = w.owner(), c.column("doc_id").to_numpy()
-                first, n = _folded(join(join(before, word), owner.astype(np.uint64)), np.ones(len(word)))
-                empty = np.flatnonzero(w.count == 0)
-                none = np.zeros(len(empty), np.int64)
-                of = np.r_[owner[first], empty]
-                yield from emit(_GRAMS, doc[of], row + of, *(np.r_[signed(x[first]), none] for x in (before, word)), np.r_[n, none])
-                row += w.n
-
-    return documents(docs).mapInArrow(task, "doc_id long, row long, a long, b long, n long")
-
-
-def pair_losses(pairs: DataFrame) -> DataFrame:
-    """(a, b, target_loss, background_loss) of all pairs (a, b, target, total)."""
-    sums = pairs.agg(F.sum("target"), F.sum("total")).first()
-    target, total = (float(x or 0) for x in sums)
-    scale = target / max(total, 1.0)
-    c = {"t": F.col("target").cast("double"), "g": F.col("total") * scale}
-    pairs = pairs.select("a", "b", *(x.alias(f"c_{k}") for k, x in c.items()))
-    sides = [
-        pairs.groupBy("a").agg(*(F.sum(f"c_{k}").alias(f"n_{k}") for k in "tg"), *(F.sum(DISCOUNT * F.least(f"c_{k}", F.lit(1.0))).alias(f"off_{k}") for k in "tg")),
-        pairs.groupBy("b").agg(*(F.sum(f"c_{k}").alias(f"w_{k}") for k in "tg")),
-    ]
-    sides = [cut(s) for s in sides]
-    words = sides[1].count()
-
-    def loss(k: str):
-        stored = F.greatest(F.col(f"c_{k}") - DISCOUNT * F.least(f"c_{k}", F.lit(1.0)), F.lit(0.0)) / F.greatest(f"n_{k}", F.lit(1e-12))
-        rest = F.when(F.col(f"n_{k}") > 0, F.greatest(F.col(f"off_{k}") / F.col(f"n_{k}"), F.lit(1e-9))).otherwise(1.0)
-        return -F.ln(stored + rest * (F.col(f"w_{k}") + SMOOTH) / (target + SMOOTH * words))
-
-    both = pairs.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b")
-    return both.select("a", "b", loss("t").alias("target_loss"), loss("g").alias("background_loss"))
-
-
-def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score): mean losses of each whole text and their difference."""
-    losses = pair_losses(cut(all_pairs(_marked(docs, target))))
-    found = document_pairs(docs).join(losses.hint("merge"), ["a", "b"], "left")
-    mean = [(F.sum(F.col("n") * F.col(c)) / F.nullif(F.sum("n"), F.lit(0))).alias(c) for c in ("target_loss", "background_loss")]
-    rows = found.groupBy("doc_id", "row").agg(F.sum("n").alias("n_tokens"), *mean)
-    return rows.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+_WORD, _CONTEXT, _TOTAL, _WORDS = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 3, 5))
+_KINDS = [("kind", pa.int32()), ("bucket", pa.int64()), ("group", pa.int64()), ("first", pa.int64()), ("keys", pa.binary()), ("values", pa.list_(pa.binary()))]
+_MESSAGES, MESSAGE = pa.schema(_KINDS), "kind int, bucket long, group long, first long, keys binary, values array<binary>"
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in ("target_loss", "background_loss"))])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, the lowest first, as many as the largest whole number needs; 8 and a mark for fractions."""
+    if x.dtype.kind == "f":
+        whole = x.astype(np.uint64)
+        if (whole != x).any():
+            return b"\x88" + np.ascontiguousarray(x, "<f8").view(np.uint8).reshape(-1, 8).T.tobytes()
+        x = whole
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    width = data[0] & 15
+    planes = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    planes[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
+    return planes.view("<f8").ravel() if data[0] & 128 else planes.view("<u8").ravel()
+
+
+class Group:
+    """The words of a group of documents: rows, and for each word the one before it, its document, and the places of both keys."""
+
+    def __init__(self, docs: pa.Table):
+        word, before, owner, doc, count, rows = [], [], [], [], [], 0
+        for c in chunks(docs):
+            w = Words(pc.utf8_lower(pc.fill_null(c.column("text"), "")), ALNUM)
+            h = w.hashes()
+            b = np.r_[START, h[:-1]] if len(h) else h
+            b[w.first[:-1][w.count > 0]] = START
+            word.append(h)
+            before.append(b)
+            owner.append(w.owner() + rows)
+            doc.append(c.column("doc_id").to_numpy())
+            count.append(w.count)
+            rows += w.n
+        gather = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        self.doc, self.count, self.owner = gather(doc, np.int64), gather(count, np.int64), gather(owner, np.int64)
+        self.before, n = gather(before, np.uint64), len(self.owner)
+        word = gather(word, np.uint64)
+        #: distinct keys of pairs, of words and of the total, ascending
+        self.keys, at = np.unique(np.r_[join(self.before, word), join(word, np.broadcast_to(_WORD, n)), _TOTAL][: 2 * n + (n > 0)], return_inverse=True)
+        self.pair, self.word, self.total = at[:n], at[n : 2 * n], at[2 * n :]
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of the words before and of the vocabulary's size, ascending, and the place of each word's; the size's is the last."""
+        n = len(self.before)
+        return np.unique(np.r_[join(self.before, np.broadcast_to(_CONTEXT, n)), _WORDS][: n + (n > 0)], return_inverse=True)
+
+
+def _messages(kind: int, group: int, buckets: int, keys: np.ndarray, values: list[np.ndarray]) -> pa.Table:
+    """A row for each bucket: the first key, the steps to the others, and their values."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    rows = [(int(bucket[a]), int(keys[a : a + 1].view(np.int64)[0]), _packed(np.diff(keys[a:z])), [_packed(v[a:z]) for v in values]) for a, z in zip(head.tolist(), np.r_[head[1:], len(keys)][: len(head)].tolist(), strict=True)]
+    b, first, steps, values = zip(*rows, strict=True) if rows else ((),) * 4
+    n = len(rows)
+    return pa.Table.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(b, pa.int64()), pa.array([group] * n, pa.int64()), pa.array(first, pa.int64()), pa.array(steps, pa.binary()), pa.array(values, pa.list_(pa.binary()))], schema=_MESSAGES)
+
+
+def _total(sent: pa.Table) -> pa.Table:
+    """Answers to a bucket's messages: sums over the corpus in the order of each message's keys, then whose key it is (1 for one group of all)."""
+    sent = sent.sort_by("group")
+    keys, values = [], []
+    for first, steps, v in zip(sent.column("first").to_pylist(), sent.column("keys").to_pylist(), sent.column("values").to_pylist(), strict=True):
+        step = _unpacked(steps)
+        keys.append(np.cumsum(np.r_[np.array([first]).view(np.uint64), step], dtype=np.uint64))
+        values.append([_unpacked(x) for x in v])
+    size = np.array([len(k) for k in keys])
+    unique, place, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    own = np.zeros(len(of), np.uint64)
+    own[place] = 1
+    sums = [np.bincount(of, np.concatenate(v), len(unique))[of] for v in zip(*values, strict=True)]
+    ends = np.cumsum(size)
+    answers = [[_packed(x[z - n : z]) for x in (*sums, own)] for n, z in zip(size.tolist(), ends.tolist(), strict=True)]
+    none = [b""] * len(size)
+    return pa.Table.from_arrays([sent.column("kind"), sent.column("bucket"), sent.column("group"), sent.column("first"), pa.array(none, pa.binary()), pa.array(answers, pa.list_(pa.binary()))], schema=_MESSAGES)
+
+
+def totals(messages: DataFrame) -> DataFrame:
+    return messages.groupBy("bucket").applyInArrow(_total, MESSAGE)
+
+
+def _answers(got: pa.Table, kind: int) -> list[np.ndarray]:
+    """The values of all answers of one kind, in the order of the group's keys."""
+    got = got.filter(pc.equal(got.column("kind"), kind)).sort_by("bucket")
+    rows = [[_unpacked(x) for x in v] for v in got.column("values").to_pylist()]
+    return [np.concatenate(x).astype(float) for x in zip(*rows, strict=True)]
+
+
+class Counts:
+    """What a group knows of the corpus after the first exchange: (target, background) counts of its words and distinct pairs."""
+
+    def __init__(self, group: Group, got: pa.Table):
+        total, target, self.own = _answers(got, 0)
+        at = group.total[0]
+        self.n_target = target[at]
+        self.scale = target[at] / max(total[at], 1)
+        #: by place of the key
+        self.counts = np.stack([target, total * self.scale])
+        self.raw = np.stack([target, total])
+
+    def off(self, count: np.ndarray) -> np.ndarray:
+        return DISCOUNT * np.minimum(count, 1)
+
+
+def _counted(docs: pa.Table, target: pa.Table, group: int, buckets: int) -> pa.Table:
+    g = Group(docs)
+    if not len(g.keys):
+        return _messages(0, group, buckets, g.keys, [])
+    is_target = np.isin(g.doc, target.column("doc_id").to_numpy())[g.owner]
+    n, t = np.zeros(len(g.keys)), np.zeros(len(g.keys))
+    for at in (g.pair, g.word):
+        n += np.bincount(at, minlength=len(n))
+        t += np.bincount(at, is_target, len(n))
+    n[g.total], t[g.total] = len(g.owner), is_target.sum()
+    return _messages(0, group, buckets, g.keys, [n, t])
+
+
+def _followed(docs: pa.Table, got: pa.Table, group: int, buckets: int) -> pa.Table:
+    g = Group(docs)
+    if not len(g.keys):
+        return _messages(1, group, buckets, g.keys, [])
+    c = Counts(g, got)
+    keys, at = g.contexts()
+    # Each distinct pair that is this group's to answer for, with the place of the word before.
+    pair, first = np.unique(g.pair, return_index=True)
+    mine = c.own[pair] > 0
+    pair, of = pair[mine], at[first[mine]]
+    values = [np.bincount(of, x[pair], len(keys)) for x in (*c.raw, (c.raw[0] > 0).astype(float), c.off(c.counts[1]))]
+    values[0][at[-1]] = c.own[np.unique(g.word)].sum()  # words of the vocabulary
+    return _messages(1, group, buckets, keys, values)
+
+
+def _scored(docs: pa.Table, got: pa.Table) -> pa.Table:
+    g = Group(docs)
+    if not len(g.keys):
+        none = pa.nulls(len(g.doc), pa.float64())
+        return pa.Table.from_arrays([pa.array(g.doc), pa.array(g.count), none, none], schema=_SCORES)
+    c = Counts(g, got)
+    _, at = g.contexts()
+    n_target, n_all, followers, off = _answers(got, 1)[:4]
+    words, at = n_target[at[-1]], at[:-1]
+    means = []
+    for k, (n, rest) in enumerate(((n_target, DISCOUNT * followers), (n_all * c.scale, off))):
+        count, n = c.counts[k], n[at]
+        stored = np.maximum(count - c.off(count), 0)[g.pair] / np.maximum(n, 1e-12)
+        left = np.where(n > 0, np.maximum(rest[at] / np.maximum(n, 1e-300), 1e-9), 1.0)
+        loss = -np.log(stored + left * (count[g.word] + SMOOTH) / (c.n_target + SMOOTH * words))
+        means.append(np.bincount(g.owner, loss, len(g.doc)) / np.maximum(g.count, 1))
+    empty = g.count == 0
+    return pa.Table.from_arrays([pa.array(g.doc), pa.array(g.count), *(pa.array(m, mask=empty) for m in means)], schema=_SCORES)
+
+
+def score_documents(docs: DataFrame, target: DataFrame, size: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score): mean losses of each whole text and their difference.
+
+    target: doc_id of the target documents. size: bytes of a group (GROUP).
+    """
+    docs = documents(docs)
+    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-n // (size or GROUP)))
+    buckets = -(-groups // 2)
+    of = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("group")
+    docs = docs.select(of, "doc_id", "text")
+    wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().select(of, "doc_id")
+
+    def number(x: pa.Table, y: pa.Table) -> int:
+        return next(int(t.column("group")[0].as_py()) for t in (x, y) if t.num_rows)
+
+    def counted(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _counted(left, right, number(left, right), buckets)
+
+    def followed(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _followed(left, right, number(left, right), buckets)
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _scored(left, right)
+
+    by_group = docs.groupBy("group")
+    counts = totals(by_group.cogroup(wanted.groupBy("group")).applyInArrow(counted, MESSAGE))
+    contexts = totals(by_group.cogroup(counts.groupBy("group")).applyInArrow(followed, MESSAGE))
+    rows = by_group.cogroup(counts.union(contexts).groupBy("group")).applyInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -2,11 +2,11 @@
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from dubito.llm import crossentropy, quality, toxicity
 from dubito.llm.queries import table
@@ -130,29 +130,53 @@ def test_trees():
     assert np.allclose(t.logit(fresh[:50]), slow)
 
 
-def test_models_sum_to_one_and_match_a_plain_one(spark):
-    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 40))) for i in range(30)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    target = df.where("doc_id % 3 = 0").select("doc_id")
-    m = crossentropy.learn(df, target, vocabulary=5, pairs=12)
-    base = len(m.vocabulary) + 2
-    for a in range(base):
-        p = np.exp(-m.losses(np.full(base - 1, a), np.arange(base - 1)))
-        assert np.allclose(p.sum(1), 1)
-    # counts against plain ones
-    from collections import Counter
-
-    words = Counter(w for _, t in rows for w in t.split())
-    top = {w for w, _ in words.most_common(5)}
-    pairs = Counter()
+def plain_models(rows, is_target):
+    """(loss of word b after a under the target and the background, vocabulary), from counts in plain dictionaries."""
+    pairs = [Counter(), Counter()]
     for i, t in rows:
-        w = [x if x in top else "*" for x in t.split()]
-        for a, b in zip(["^", *w[:-1]], w, strict=True):
-            pairs[a, b] += 1
-    got = crossentropy.pair_counts(df.withColumn("is_target", F.col("doc_id") % 3 == 0), m.vocabulary).collect()
-    if len(set(words.values())) > 1:
-        assert sorted(r.total for r in got) == sorted(pairs.values())
-    assert len(m.pairs) <= 12
+        w = t.split()
+        for k in range(2):
+            pairs[k].update(zip(["^", *w[:-1]], w, strict=True) if k or is_target(i) else [])
+    scale = [1.0, pairs[0].total() / pairs[1].total()]
+    vocabulary = {b for _, b in pairs[1]}
+
+    def loss(k):
+        n, off, w = Counter(), Counter(), Counter()
+        for (a, b), x in pairs[1].items():
+            x = pairs[k][a, b] * scale[k]
+            n[a] += x
+            off[a] += 0.7 * min(x, 1)
+            w[b] += x
+
+        def one(a, b):
+            single, x = (w[b] + 0.1) / (w.total() + 0.1 * len(vocabulary)), pairs[k][a, b] * scale[k]
+            return -math.log((x - 0.7 * min(x, 1)) / n[a] + off[a] / n[a] * single if n[a] else single)
+
+        return one
+
+    return (loss(0), loss(1)), vocabulary
+
+
+def test_crossentropy_matches_plain_models_of_any_groups(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 40))) for i in range(30)] + [(30, "w1"), (31, "w9 w9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    losses, vocabulary = plain_models(rows, lambda i: i % 3 == 0)
+    for f in losses:
+        for a in ("^", "w1", "w9"):
+            assert math.isclose(sum(math.exp(-f(a, b)) for b in vocabulary), 1)
+    for size in (None, 2000, 100):
+        got = {r.doc_id: r for r in crossentropy.score_documents(df, df.where("doc_id % 3 = 0").select("doc_id"), size).collect()}
+        for i, t in rows:
+            w = t.split()
+            want = [sum(f(a, b) for a, b in zip(["^", *w[:-1]], w, strict=True)) / len(w) for f in losses]
+            assert got[i].n_tokens == len(w) and math.isclose(got[i].target_loss, want[0], rel_tol=1e-9) and math.isclose(got[i].background_loss, want[1], rel_tol=1e-9)
+
+
+def test_crossentropy_numbers_by_planes():
+    rng = np.random.default_rng(2)
+    for x in (np.zeros(0, np.uint64), np.array([0]), rng.integers(0, 1 << 40, 100), rng.integers(0, 1 << 63, 9, dtype=np.uint64) * np.uint64(2), np.arange(5.0), rng.random(20)):
+        back = crossentropy._unpacked(crossentropy._packed(x))
+        assert len(back) == len(x) and (back == x).all()
 
 
 def test_crossentropy_edges(spark, edge, edge_rows, nothing, labels):
@@ -169,8 +193,6 @@ def test_crossentropy_edges(spark, edge, edge_rows, nothing, labels):
 
 def test_crossentropy_keeps_all_words_and_pairs(spark):
     # More words than a bounded vocabulary of 8,192 holds; pairs seen once count like all others.
-    from collections import Counter
-
     rng = np.random.default_rng(11)
     common = [f"c{i}" for i in range(40)]
     rows = [(i, " ".join(x for j in range(300) for x in (f"r{i}x{j}", common[rng.integers(40)]))) for i in range(32)] + [(32, "c1 c2 r0x0")]
