@@ -102,7 +102,7 @@ def _one(mark: np.ndarray, heads: np.ndarray) -> np.ndarray:
 def deal(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray, seeds: bool) -> Iterator[pa.RecordBatch]:
     """The rows that a task sends: one member for each key, and what is known to repeat.
 
-    For seeds, k2 holds the seed in what is known; windows travel as runs.
+    For seeds, k2 holds the seed in what is known; windows travel as runs, whose k2 is 1 for first occurrences.
     """
     if not len(k1):
         return
@@ -128,14 +128,17 @@ def by_doc(doc: np.ndarray) -> np.ndarray:
     return signed(mix(unsigned(doc) + _SALT))
 
 
-def known_runs(doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Window starts that repeat for certain, as runs of neighbours; those of a document stand together, ascending."""
+def known_runs(doc: np.ndarray, start: np.ndarray, first: bool = False) -> Iterator[pa.RecordBatch]:
+    """Window starts that repeat for certain, as runs of neighbours; those of a document stand together, ascending.
+
+    first: they are the first of their kind in the corpus.
+    """
     if not len(doc):
         return
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])
     last = np.r_[new[1:], len(doc)] - 1
     route = by_doc(doc[new])
-    yield from emit(_DEALT, route, route, doc[new], start[new], start[last] - start[new] + 1, np.ones(len(new), bool))
+    yield from emit(_DEALT, route, np.full(len(new), first, np.int64), doc[new], start[new], start[last] - start[new] + 1, np.ones(len(new), bool))
 
 
 def find_repeats(dealt: DataFrame, seeds: bool) -> DataFrame:
@@ -153,7 +156,7 @@ def find_repeats(dealt: DataFrame, seeds: bool) -> DataFrame:
                 if seeds:
                     yield from emit(_SEEDS, doc[known], k2[known])
                 else:
-                    yield from emit(_RUNS, doc[known], start[known], n[known], np.zeros(int(known.sum()), bool))
+                    yield from emit(_RUNS, doc[known], start[known], n[known], k2[known] == 1)
             kept.append([x[~known] for x in (route, k2, doc, start, n)])
         if not kept:
             return
@@ -208,27 +211,6 @@ def shared_places(g: Grams, seeds: pa.Array) -> np.ndarray:
     return at[key[np.minimum(np.searchsorted(key, own), len(key) - 1)] == own]
 
 
-def repeated_windows(candidates: DataFrame, length: int, k: int, choose) -> DataFrame:
-    """Runs of window starts whose windows start twice or more, of those that ``choose`` names.
-
-    candidates: documents with what choose(grams, batch) needs; it returns places in the
-    chunk of window starts. The windows are compared by 96 bits, all over the corpus.
-    """
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            for c in chunks(batch):
-                g = Grams(c.column("text"), length, k)
-                at = choose(g, c)
-                if len(at):
-                    parts.append((*map(signed, g.windows(at)), c.column("doc_id").to_numpy()[g.owner[at]], g.place(at)))
-        if parts:
-            yield from deal(*(np.concatenate(x) for x in zip(*parts, strict=True)), False)
-
-    return find_repeats(candidates.mapInArrow(task, DEALT), False)
-
-
 def by_document(runs: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "first")).alias("runs"))
 
@@ -242,4 +224,4 @@ def covered(n_words: int, starts: np.ndarray, n: np.ndarray, length: int) -> np.
     return np.cumsum(d[:-1]) > 0
 
 
-__all__ = ["DEALT", "Grams", "by_doc", "by_document", "covered", "deal", "documents", "emit", "find_repeats", "join", "known_runs", "repeated_windows", "shared_places", "shared_seeds"]
+__all__ = ["DEALT", "Grams", "by_doc", "by_document", "covered", "deal", "documents", "emit", "find_repeats", "join", "known_runs", "shared_places", "shared_seeds"]

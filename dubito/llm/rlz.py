@@ -2,20 +2,15 @@
 
 The corpus is its own reference. Its index lists, for each seed (a ``SEED``-word gram chosen
 by content) that occurs twice or more, every place it stands at, ordered by the words that
-follow the seed and then by those before it. Range partitioning cuts this index into blocks of
-about equal size, whatever the seeds' frequencies. What a document has around a seed - the words
-of all windows that hold the seed as theirs - is its segment; a segment stands in the block that
-can hold a match of it, so each document meets every such block and no other.
+follow the seed and then by those before it, and is cut into blocks (``segments``). What a
+document has around a seed stands in the block that can hold a match of it, so each document
+meets every such block and no other.
 
 In its block each segment is parsed greedily: from the seed on it takes the source that goes on
 longest (in sorted order one of its two neighbours), word by word to the right, then as far to
 the left as the same source agrees. Factors of ``WINDOW`` words or more are duplicate spans. A
 window that crosses a factor's bound is checked against the other sources that agree as far to
-the right. Where a block ends within a seed's list, the windows that may go on in the next block
-are compared by hash (96 bits) over the cluster. Without a factor nothing is removed.
-
-Words are compared by 40 bits each: a chance error needs two windows that differ in a single
-word, and then is one in 10^12. Equal segments of a chunk of documents travel twice at most.
+the right. Without a factor nothing is removed.
 
 Defined results: null texts have no words; texts shorter than a window lose nothing; a window
 that repeats within one document counts; rows with a null doc_id are left out; rows that repeat
@@ -31,95 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import BATCH, DEALT, Grams, by_doc, by_document, covered, deal, documents, find_repeats, known_runs, shared_places, shared_seeds
-from .text import chunks, join, mix, signed, unsigned
+from .repeats import by_document, covered, documents
+from .segments import Side, prefixes, repeated_runs
+from .text import join
 
 WINDOW = 35
 SEED = 12
-#: Segments of a block that are looked at together; a single seed may bring four times as many.
-ROWS = 1 << 15
-_WIDTH = 5
-_SEGMENTS = "seed long, right binary, left binary, doc_id long, start long, n long, known boolean"
-_SALT = np.uint64(0x9AE16A3B2F90404F)
-
-
-def _binary(words: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int) -> pa.Array:
-    """size words from begin on, one after the other (step 1) or backwards (-1)."""
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    flat = words[np.repeat(begin, size) + step * within]
-    ends = np.r_[0, np.cumsum(size * _WIDTH)].astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
-
-
-def segments(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """A row for each shared seed of each document: the words from the seed on, those before it backwards.
-
-    start, n: the windows that hold this seed as theirs. known: rows without words, whose windows repeat for certain.
-    """
-    names = [c.split()[0] for c in _SEGMENTS.split(", ")]
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in chunks(b):
-                g = Grams(c.column("text"), window, seed)
-                at = shared_places(g, c.column("seeds"))
-                if not len(at):
-                    continue
-                first = np.searchsorted(g.seed_of, at, "left")
-                n = np.searchsorted(g.seed_of, at, "right") - first
-                lo = g.starts[first]
-                a, z = g.windows(lo), g.windows(lo + n - 1)
-                key = mix(join(a[0], z[0]) ^ join(a[1], z[1]) + n.astype(np.uint64))
-                order = np.argsort(key, kind="stable")
-                head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-                rank = np.empty(len(at), np.int64)
-                rank[order] = np.arange(len(at)) - np.repeat(head, np.diff(np.r_[head, len(at)]))
-                words = (g.h >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - _WIDTH :]
-                doc, start = c.column("doc_id").to_numpy()[g.owner[at]], g.place(lo)
-                for known in (False, True):
-                    some = np.flatnonzero((rank > 1) == known)
-                    for i in range(0, len(some), BATCH >> 1):
-                        r = some[i : i + (BATCH >> 1)]
-                        none = np.zeros(len(r), np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(by_doc(doc[r]) if known else signed(g.grams[at[r]])),
-                                _binary(words, at[r], none if known else lo[r] + n[r] - 1 + window - at[r], 1),
-                                _binary(words, at[r] - 1, none if known else at[r] - lo[r], -1),
-                                pa.array(doc[r]), pa.array(start[r]), pa.array(n[r]), pa.array(np.full(len(r), known)),
-                            ],
-                            names,
-                        )
-
-    return docs.join(shared_seeds(docs, window, seed), "doc_id").mapInArrow(task, _SEGMENTS)
-
-
-class Side:
-    """The words of a block's segments on one side of the seed."""
-
-    def __init__(self, column: pa.Array):
-        ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
-        lo, hi = int(ends[0]), int(ends[-1])
-        wide = np.zeros(((hi - lo) // _WIDTH + 1, 8), np.uint8)
-        if hi > lo:
-            wide[:-1, 8 - _WIDTH :] = np.frombuffer(column.buffers()[2], np.uint8, hi - lo, lo).reshape(-1, _WIDTH)
-        self.words = wide.view(">u8").ravel().astype(np.uint64)
-        self.begin, self.size = (ends[:-1] - lo) // _WIDTH, np.diff(ends) // _WIDTH
-
-    def word(self, rows: np.ndarray, j: int) -> np.ndarray:
-        return self.words[self.begin[rows] + j]
-
-    def agreed(self, rows: np.ndarray) -> np.ndarray:
-        """How many words each of these rows shares with the next row of the block."""
-        out, j = np.zeros(len(rows), np.int64), 0
-        size = np.minimum(self.size[rows], self.size[rows + 1])
-        live = np.flatnonzero(size > 0)
-        while len(live):
-            live = live[self.word(rows[live], j) == self.word(rows[live] + 1, j)]
-            j += 1
-            out[live] = j
-            live = live[size[live] > j]
-        return out
 
 
 def factors(seed: np.ndarray, right: Side, left: Side) -> tuple[np.ndarray, np.ndarray]:
@@ -148,11 +60,7 @@ def parse(seed: np.ndarray, right: Side, left: Side, window: int, open_at: tuple
     # Windows across a factor's bound: enough words agree to the right, those before it don't with the same source.
     crossing = (o >= window - np.maximum(before[0], after[0])[:, None]) & (o <= left.size[:, None]) & ~found
     undecided = np.zeros_like(found)
-    h = mix(unsigned(seed) + _SALT)
-    for j in range(most):
-        if j:
-            some = np.flatnonzero(left.size >= j)
-            h[some] = join(h[some], left.word(some, j - 1))
+    for j, h in prefixes(seed, left):
         group = np.cumsum(np.r_[0, ahead < window - j])
         able = (left.size >= j) & (right.size >= window - j)
         if crossing[:, j].any():
@@ -167,75 +75,14 @@ def parse(seed: np.ndarray, right: Side, left: Side, window: int, open_at: tuple
     return found, undecided
 
 
-def _hashes(rows: np.ndarray, o: np.ndarray, right: Side, left: Side, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits for the window that starts o words before the seed, in two numbers."""
-    a, b = np.zeros(len(rows), np.uint64), np.full(len(rows), _SALT)
-    for j in range(window):
-        inner = j < o
-        at = np.where(inner, left.begin[rows] + o - 1 - j, 0)
-        w = np.where(inner, left.words[at], right.words[np.where(inner, 0, right.begin[rows] + j - o)])
-        a, b = join(a, w), join(b, w)
-    return a, b >> np.uint64(32)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, tuple[bool, bool]]]:
-    """Rows of whole seeds, and whether the first and the last seed may have more rows elsewhere."""
-    held, size, opened = [], 0, True
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        size += b.num_rows
-        if size < most:
-            continue
-        rows = pa.Table.from_batches(held).combine_chunks()
-        seed = rows.column("seed").to_numpy()
-        cut = int(np.searchsorted(seed, seed[-1], "left"))
-        if cut:
-            yield rows.slice(0, cut).combine_chunks(), (opened, False)
-            held, size, opened = rows.slice(cut).to_batches(), size - cut, False
-        elif size >= 4 * most:
-            yield rows, (opened, True)
-            held, size, opened = [], 0, True
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks(), (opened, True)
-
-
 def duplicate_runs(docs: DataFrame, window: int = WINDOW, seed: int = SEED, rows: int | None = None) -> DataFrame:
     """(doc_id, start, n, first): runs of n window starts whose windows start elsewhere too. first is not told apart here."""
-    most = rows or ROWS
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                known = b.column("known")
-                yield b.filter(pa.compute.invert(known))
-                b = b.filter(known)
-                doc, start, n = (b.column(c).to_numpy() for c in ("doc_id", "start", "n"))
-                sure.append((doc, start, n))
 
-        sure: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for block, open_at in _blocks(told(), most):
-            column = lambda c: block.column(c).chunk(0)  # noqa: B023, E731
-            seeds, right, left = column("seed").to_numpy(), Side(column("right")), Side(column("left"))
-            doc, start = column("doc_id").to_numpy(), column("start").to_numpy()
-            found, undecided = parse(seeds, right, left, window, open_at)
-            # from the left: a segment's first window has all its words before the seed
-            r, o = np.nonzero(found)
-            order = np.lexsort((-o, r))
-            r, o = r[order], o[order]
-            yield from known_runs(doc[r], start[r] + left.size[r] - o)
-            r, o = np.nonzero(undecided)
-            if len(r):
-                a, b = _hashes(r, o, right, left, window)
-                yield from deal(signed(a), signed(b), doc[r], start[r] + left.size[r] - o, False)
-        if sure:
-            doc, start, n = (np.concatenate(x) for x in zip(*sure, strict=True))
-            yield from known_runs(np.repeat(doc, n), np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
+    def decide(seeds, right, left, doc, place, open_at):
+        found, undecided = parse(seeds, right, left, window, open_at)
+        return found, np.zeros_like(found), undecided
 
-    order = ("seed", "right", "left", "doc_id", "start")
-    index = segments(documents(docs), window, seed).repartitionByRange(*order).sortWithinPartitions(*order)
-    return find_repeats(index.mapInArrow(task, DEALT), False)
+    return repeated_runs(docs, window, seed, decide, rows)
 
 
 def remove_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:

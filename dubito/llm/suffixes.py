@@ -2,15 +2,12 @@
 
 Suffixes are retained at content-selected minimisers only (``SEED``-word grams; every
 window of ``WINDOW`` words holds its own). Those whose minimiser occurs once are dropped;
-the rest, as far as a window reaches, are sorted over the whole cluster by range, and
-neighbours are compared. A window can only repeat if its suffix agrees with a neighbour
-from the minimiser to the window's end; such windows are extended to the left by comparing
-them whole (96 bits a window), so the result is exact: the windows that start twice or
-more anywhere, and with them every match of ``WINDOW`` words or more, at full length.
-
-At the edges of a sorted partition a neighbour lies in another task; there the suffix
-counts as agreeing all the way, and the comparison of windows decides. So equal suffixes,
-however many, may be cut over partitions.
+the rest, as far as a window reaches, are sorted over the whole cluster by range
+(``segments``), and neighbours are compared word by word. Suffixes that agree to a window's
+end stand side by side; from the minimiser on they are extended to the left, word by word,
+and part where they differ. What stays together are the occurrences of one window, so the
+result is exact: the windows that start twice or more anywhere, and with them every match of
+``WINDOW`` words or more, at full length. Without agreeing neighbours nothing is found.
 
 Defined results: null texts have no words; texts shorter than a window repeat nothing;
 windows that repeat within one document count; documents without a repeat have no row;
@@ -27,87 +24,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import BATCH, Grams, by_document, covered, documents, emit, repeated_windows, shared_places, shared_seeds
+from . import segments
+from .repeats import by_document, covered
+from .segments import Side, prefixes
 from .shared import unused
-from .text import Words, chunks
+from .text import Words, chunks, join
 
 WINDOW = 50
 SEED = 10
-_AGREED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("agreed", pa.int64())])
 
 
-def suffixes(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(suffix, doc_id, start) at shared minimisers: 32 bits a word, a window's words at most."""
+def agreements(seed: np.ndarray, right: Side) -> np.ndarray:
+    """Words from the minimiser on that each sorted suffix but the last shares with the next one."""
+    agreed = np.zeros(max(0, len(seed) - 1), np.int64)
+    same = np.flatnonzero(seed[1:] == seed[:-1])
+    agreed[same] = right.agreed(same)
+    return agreed
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in chunks(b):
-                g = Grams(c.column("text"), window, seed)
-                at = shared_places(g, c.column("seeds"))
-                if not len(at):
-                    continue
-                words = (g.h >> np.uint64(32)).astype(">u4")
-                n = np.minimum(window, g.words.first[1:][g.owner[at]] - at)
-                doc, start = c.column("doc_id").to_numpy()[g.owner[at]], g.place(at)
-                for i in range(0, len(at), BATCH):
-                    a, m = at[i : i + BATCH], n[i : i + BATCH]
-                    flat = words[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(a, m)].tobytes()
-                    ends = np.r_[0, np.cumsum(m * 4)].astype(np.int32)
-                    suffix = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-                    yield pa.RecordBatch.from_arrays([suffix, pa.array(doc[i : i + BATCH]), pa.array(start[i : i + BATCH])], ["suffix", "doc_id", "start"])
-
-    return docs.join(shared_seeds(docs, window, seed), "doc_id").mapInArrow(task, "suffix binary, doc_id long, start long")
-
-
-def common_prefixes(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words that each suffix shares with the next one, and words of each suffix. Sorted input."""
-    n = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8)[n[0] : n[-1]].view(">u4") if n[-1] > n[0] else np.zeros(0, ">u4")
-    begin, size = (n[:-1] - n[0]) // 4, np.diff(n) // 4
-    live = np.flatnonzero(np.minimum(size[:-1], size[1:]) > 0)
-    shared = np.zeros(max(0, len(size) - 1), np.int64)
-    for j in range(window):
-        live = live[data[begin[live] + j] == data[begin[live + 1] + j]]
-        shared[live] += 1
-        live = live[np.minimum(size[live], size[live + 1]) > j + 1]
-        if not len(live):
-            break
-    return shared, size
-
-
-def agreements(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(doc_id, start, agreed): how many words each sorted suffix shares with a neighbour."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if rows is None or not rows.num_rows:
-            return
-        column = rows.column("suffix").combine_chunks()
-        shared, size = common_prefixes(column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks), window)
-        agreed = np.maximum(np.r_[size[0], shared], np.r_[shared, size[-1]])
-        use = agreed >= seed
-        yield from emit(_AGREED, rows.column("doc_id").to_numpy()[use], rows.column("start").to_numpy()[use], agreed[use])
-
-    order = ("suffix", "doc_id", "start")
-    return suffixes(docs, window, seed).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(task, "doc_id long, start long, agreed long")
-
-
-def repeated_runs(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, start, n, first): runs of n window starts whose windows start elsewhere too."""
-    docs = documents(docs)
-
-    def extend(g: Grams, batch: pa.RecordBatch) -> np.ndarray:
-        agreed = batch.column("agreed")
-        inner = agreed.flatten()
-        owner = np.repeat(np.arange(len(agreed)), agreed.value_lengths().fill_null(0).to_numpy())
-        place, n = inner.field(0).to_numpy(), inner.field(1).to_numpy()
-        ok = place < g.words.count[owner]  # rows that repeat a doc_id may be shorter
-        reach = np.zeros(len(g.h) + 1, np.int64)
-        np.maximum.at(reach, g.words.first[owner[ok]] + place[ok], n[ok])
-        return g.starts[g.starts + window <= g.seed_of + reach[g.seed_of]]
-
-    found = agreements(docs, window, seed).groupBy("doc_id").agg(F.collect_list(F.struct("start", "agreed")).alias("agreed"))
-    return repeated_windows(docs.join(found, "doc_id"), window, seed, extend)
+def occurrences(seed: np.ndarray, right: Side, left: Side, doc: np.ndarray, place: np.ndarray, window: int, open_at: tuple[bool, bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(found, first, undecided) marks of each suffix and number of words before it, of the window that starts there.
+
+    found: it repeats in the block; first: as the least of its occurrences by (doc, place);
+    undecided: it may repeat in the block before or after this one too, and isn't judged here.
+    """
+    agreed = agreements(seed, right)
+    shape = (len(seed), int(left.size.max(initial=0)) + 1)
+    found, first, undecided = (np.zeros(shape, bool) for _ in range(3))
+    rank = np.empty(len(seed), np.int64)
+    rank[np.lexsort((place, doc))] = np.arange(len(seed))
+    for j, h in prefixes(seed, left):
+        run = np.cumsum(np.r_[0, agreed < window - j])  # suffixes that agree to the window's end
+        able = (left.size >= j) & (right.size >= window - j)
+        for edge, end in zip(open_at, (0, -1), strict=True):
+            if edge:
+                undecided[:, j] |= able & (run == run[end])
+        rows = np.flatnonzero(able & (np.bincount(run)[run] > 1) & ~undecided[:, j])
+        key = join(h[rows], run[rows].astype(np.uint64))
+        order = np.lexsort((rank[rows], key))
+        rows, key = rows[order], key[order]
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[head, len(key)])
+        found[rows[np.repeat(size > 1, size)], j] = True
+        first[rows[head[size > 1]], j] = True
+    return found, first, undecided
+
+
+def repeated_runs(docs: DataFrame, window: int = WINDOW, seed: int = SEED, rows: int | None = None) -> DataFrame:
+    """(doc_id, start, n, first): runs of n window starts whose windows start elsewhere too; first: none of them starts earlier."""
+
+    def decide(seeds, right, left, doc, place, open_at):
+        return occurrences(seeds, right, left, doc, place, window, open_at)
+
+    return segments.repeated_runs(docs, window, seed, decide, rows)
 
 
 def find_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:

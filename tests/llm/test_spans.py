@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from dubito.llm import decontaminate, rlz, suffixes
+from dubito.llm import decontaminate, rlz, segments, suffixes
 from dubito.llm.text import Words, minimisers, mix, spans
 
 
@@ -66,7 +66,7 @@ def test_rlz_blocks_of_few_rows(spark, length, k):
 
 def side(rows):
     wide = np.array([x for r in rows for x in r], ">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
-    return rlz.Side(rlz._binary(wide, np.cumsum([0, *map(len, rows[:-1])]), np.array([len(r) for r in rows]), 1))
+    return segments.Side(segments._binary(wide, np.cumsum([0, *map(len, rows[:-1])]), np.array([len(r) for r in rows]), 1))
 
 
 def test_rlz_parse_rests_on_its_factors(monkeypatch):
@@ -81,6 +81,30 @@ def test_rlz_parse_rests_on_its_factors(monkeypatch):
     assert not rlz.parse(seed, right, left, 4, (False, False))[0].any()
 
 
+def test_suffixes_rest_on_their_neighbours(monkeypatch):
+    seed = np.array([5, 5, 5, 5, 6])
+    right, left = side([[1, 2, 3], [1, 2, 4], [1, 2, 4, 9], [1, 8], [1, 2, 3]]), side([[7, 6], [5], [7, 6], [7], [7, 6]])
+    doc, place = np.array([4, 1, 2, 1, 1]), np.array([2, 1, 2, 9, 2])
+    judge = lambda ends=(False, False): suffixes.occurrences(seed, right, left, doc, place, 4, ends)
+    found, first, undecided = judge()
+    assert found.tolist() == [[False, False, True], [False] * 3, [False, False, True], [False] * 3, [False] * 3] and not undecided.any()
+    assert np.argwhere(first).tolist() == [[2, 2]]
+    assert not judge((True, True))[0].any() and judge((True, True))[2].any()
+    monkeypatch.setattr(suffixes, "agreements", lambda s, r: np.zeros(len(s) - 1, np.int64))
+    assert not judge()[0].any()
+
+
+@pytest.mark.parametrize("length,k", [(50, 10), (9, 3)])
+def test_suffixes_blocks_of_few_rows(spark, length, k):
+    rows = random_rows(100 + length)
+    want = {i: (again, later) for i, _, again, later in count_all(rows, length)}
+    marks = {i: (bytearray(len(a)), bytearray(len(a))) for i, (a, _) in want.items()}
+    for r in suffixes.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length, k, rows=2).collect():
+        for m in marks[r.doc_id][: 1 if r.first else 2]:
+            m[r.start : r.start + r.n - 1 + length] = b"\1" * (r.n - 1 + length)
+    assert marks == want
+
+
 @pytest.mark.parametrize("length,k", [(50, 10), (9, 3), (4, 2)])
 def test_suffixes_random(spark, length, k):
     rows = random_rows(100 + length)
