@@ -48,21 +48,17 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((c, pa.
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Numbers by planes of bytes, the lowest first, as many as the largest whole number needs; 8 and a mark for fractions."""
-    if x.dtype.kind == "f":
-        whole = x.astype(np.uint64)
-        if (whole != x).any():
-            return b"\x88" + np.ascontiguousarray(x, "<f8").view(np.uint8).reshape(-1, 8).T.tobytes()
-        x = whole
+    """Whole numbers by planes of bytes, the lowest first, as many as the largest needs, packed by zstd."""
     width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    width = data[0] & 15
-    planes = np.zeros(((len(data) - 1) // width, 8), np.uint8)
-    planes[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
-    return planes.view("<f8").ravel() if data[0] & 128 else planes.view("<u8").ravel()
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, :width] = np.frombuffer(pa.decompress(data[9:], width * n, "zstd"), np.uint8).reshape(width, n).T
+    return planes.view("<u8").ravel()
 
 
 class Group:
@@ -82,12 +78,17 @@ class Group:
             count.append(w.count)
             rows += w.n
         gather = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.doc, self.count, self.owner = gather(doc, np.int64), gather(count, np.int64), gather(owner, np.int64)
-        self.before, n = gather(before, np.uint64), len(self.owner)
-        word = gather(word, np.uint64)
-        #: distinct keys of pairs, of words and of the total, ascending
-        self.keys, at = np.unique(np.r_[join(self.before, word), join(word, np.broadcast_to(_WORD, n)), _TOTAL][: 2 * n + (n > 0)], return_inverse=True)
-        self.pair, self.word, self.total = at[:n], at[n : 2 * n], at[2 * n :]
+        self.doc, self.count = gather(doc, np.int64), gather(count, np.int64)
+        self.owner, self.before = gather(owner, np.int64).astype(np.int32), gather(before, np.uint64)
+        word, n = gather(word, np.uint64), len(self.owner)
+        #: distinct keys of pairs, of words and of the total, ascending, and the place of each word's
+        pairs, pair = np.unique(join(self.before, word), return_inverse=True)
+        words, word = np.unique(join(word, np.broadcast_to(_WORD, n)), return_inverse=True)
+        keys = np.r_[pairs, words, _TOTAL][: len(pairs) + len(words) + (n > 0)]
+        order = np.argsort(keys)
+        self.keys, place = keys[order], np.empty(len(keys), np.int32)
+        place[order] = np.arange(len(keys), dtype=np.int32)
+        self.pair, self.word, self.total = place[: len(pairs)][pair], place[len(pairs) :][word], place[-1:]
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of the words before and of the vocabulary's size, ascending, and the place of each word's; the size's is the last."""
@@ -117,6 +118,7 @@ def _total(sent: pa.Table) -> pa.Table:
     unique, place, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     own = np.zeros(len(of), np.uint64)
     own[place] = 1
+    del keys
     sums = [np.bincount(of, np.concatenate(v), len(unique))[of] for v in zip(*values, strict=True)]
     ends = np.cumsum(size)
     answers = [[_packed(x[z - n : z]) for x in (*sums, own)] for n, z in zip(size.tolist(), ends.tolist(), strict=True)]
@@ -144,11 +146,8 @@ class Counts:
         self.n_target = target[at]
         self.scale = target[at] / max(total[at], 1)
         #: by place of the key
-        self.counts = np.stack([target, total * self.scale])
         self.raw = np.stack([target, total])
-
-    def off(self, count: np.ndarray) -> np.ndarray:
-        return DISCOUNT * np.minimum(count, 1)
+        self.counts = np.stack([target, total * self.scale])
 
 
 def _counted(docs: pa.Table, target: pa.Table, group: int, buckets: int) -> pa.Table:
@@ -174,7 +173,9 @@ def _followed(docs: pa.Table, got: pa.Table, group: int, buckets: int) -> pa.Tab
     pair, first = np.unique(g.pair, return_index=True)
     mine = c.own[pair] > 0
     pair, of = pair[mine], at[first[mine]]
-    values = [np.bincount(of, x[pair], len(keys)) for x in (*c.raw, (c.raw[0] > 0).astype(float), c.off(c.counts[1]))]
+    # What the discount takes: from a scaled count of one or more the whole of it, else in proportion to the count.
+    full = c.counts >= 1
+    values = [np.bincount(of, x[pair], len(keys)) for x in (*c.raw, full[0], full[1], np.where(full[1], 0, c.raw[1]))]
     values[0][at[-1]] = c.own[np.unique(g.word)].sum()  # words of the vocabulary
     return _messages(1, group, buckets, keys, values)
 
@@ -186,13 +187,13 @@ def _scored(docs: pa.Table, got: pa.Table) -> pa.Table:
         return pa.Table.from_arrays([pa.array(g.doc), pa.array(g.count), none, none], schema=_SCORES)
     c = Counts(g, got)
     _, at = g.contexts()
-    n_target, n_all, followers, off = _answers(got, 1)[:4]
+    n_target, n_all, full_target, full_all, part = _answers(got, 1)[:5]
     words, at = n_target[at[-1]], at[:-1]
     means = []
-    for k, (n, rest) in enumerate(((n_target, DISCOUNT * followers), (n_all * c.scale, off))):
+    for k, (n, off) in enumerate(((n_target, full_target), (n_all * c.scale, full_all + part * c.scale))):
         count, n = c.counts[k], n[at]
-        stored = np.maximum(count - c.off(count), 0)[g.pair] / np.maximum(n, 1e-12)
-        left = np.where(n > 0, np.maximum(rest[at] / np.maximum(n, 1e-300), 1e-9), 1.0)
+        stored = np.maximum(count - DISCOUNT * np.minimum(count, 1), 0)[g.pair] / np.maximum(n, 1e-12)
+        left = np.where(n > 0, np.maximum(DISCOUNT * off[at] / np.maximum(n, 1e-300), 1e-9), 1.0)
         loss = -np.log(stored + left * (count[g.word] + SMOOTH) / (c.n_target + SMOOTH * words))
         means.append(np.bincount(g.owner, loss, len(g.doc)) / np.maximum(g.count, 1))
     empty = g.count == 0
