@@ -2,9 +2,10 @@
 
 Texts are dealt by ranges of doc_id and encoded with a public vocabulary; each document ends
 with ``END``. A shard holds the ids of consecutive documents, ``SHARD`` ids or so. Within a
-shard frequent pairs of neighbouring symbols are replaced by nonterminals again and again; a
-round takes the most frequent pairs of a stretch of the shard at once and replaces them from
-left to right. Ids, rules and symbols fit 16 bits, or 32 if the vocabulary asks for it.
+shard frequent pairs of neighbouring symbols are replaced by nonterminals again and again, until
+none stands ``LEAST`` times (less in short shards) or no symbol is left. A round counts the pairs
+of the whole shard, takes the ``RULES`` most frequent at once and replaces them from left to
+right; classic Re-Pair takes one a round, which would be thousands of passes. Ids, rules and symbols fit 16 bits, or 32 if the vocabulary asks for it.
 
 A shard's bytes (little-endian):
 
@@ -30,7 +31,6 @@ from __future__ import annotations
 import itertools
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import documents
-from .shared import shared_folder
+from .shared import scratch
 from .text import LOWER, Words, chunks, distinct
 
 END = 2
@@ -50,16 +50,17 @@ MARKS = 1024
 #: Positions counted at once, the least count of a pair, rules a round may add.
 STRETCH, LEAST, RULES = 1 << 19, 24, 2600
 KEPT = 1 << 20
+_SLOTS = 18
 _HEAD = struct.Struct("<4sIQQQQQ")
 
 
-def _counted(pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, counts) of all pairs that stand ``least`` times or more."""
-    size = np.zeros(1 << 18, np.int64)  # what falls into one slot is an upper bound of each of its pairs
-    slots = [_slot(pair[i : i + STRETCH]) for i in range(0, len(pair), STRETCH)]
-    for x in slots:
-        size += np.bincount(x, minlength=len(size))
-    parts = [np.unique(pair[i * STRETCH : (i + 1) * STRETCH][size[x] >= least], return_counts=True) for i, x in enumerate(slots)]
+def _counted(pair: np.ndarray, slot: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of all pairs that stand ``least`` times or more. slot: of each pair."""
+    # What falls into one slot is an upper bound of each of its pairs.
+    often = np.bincount(slot, minlength=1 << _SLOTS) >= least
+    parts = []
+    for i in range(0, len(pair), STRETCH):
+        parts.append(np.unique(pair[i : i + STRETCH][often[slot[i : i + STRETCH]]], return_counts=True))
     seen, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
     n = np.bincount(of, np.concatenate([c for _, c in parts]), len(seen)).astype(np.int64)
     return seen[n >= least], n[n >= least]
@@ -67,38 +68,51 @@ def _counted(pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def compress(ids: np.ndarray, terminals: int, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): the ids with frequent pairs replaced, until none is frequent or no symbol is left (or for so many rounds)."""
-    s, rules, room = ids.astype(np.int64), [], (1 << 16 if terminals < 1 << 16 else 1 << 31) - terminals
+    narrow = terminals < 1 << 16
+    kind, room = (np.uint16, (1 << 16) - terminals) if narrow else (np.uint32, (1 << 31) - terminals)
+    s, rules, n_rules = ids.astype(kind), [np.zeros((0, 2), np.int64)], 0
+    bits = 16 if narrow else 32
     for _ in itertools.count() if rounds is None else range(rounds):
         if len(s) < 2:
             break
-        pair = s[:-1] << 32 | s[1:]
-        seen, n = _counted(pair, min(LEAST, max(2, len(s) >> 12)))
-        take = np.argsort(-n, kind="stable")[: min(RULES, room - len(rules))]
+        pair = s[:-1].astype(np.uint32 if narrow else np.uint64)
+        pair <<= bits
+        pair |= s[1:]
+        slot = _slot(pair)
+        seen, n = _counted(pair, slot, min(LEAST, max(2, len(s) >> 12)))
+        take = np.sort(np.argsort(-n, kind="stable")[: min(RULES, room - n_rules)])
         if not len(take):
             break
-        chosen = np.sort(seen[take])
-        slot = np.zeros(1 << 18, bool)  # most pairs are ruled out by a small table
-        slot[_slot(chosen)] = True
-        maybe = np.flatnonzero(slot[_slot(pair)])
-        i = np.minimum(np.searchsorted(chosen, pair[maybe]), len(chosen) - 1)
-        hit = chosen[i] == pair[maybe]
-        at, rule = maybe[hit], i[hit]
-        if not len(at):
-            break
+        chosen = seen[take]
+        # One pair of a slot at most, the most frequent; others wait for the next round.
+        own = _slot(chosen)
+        order = np.lexsort((-n[take], own))
+        first = order[np.r_[True, own[order][1:] != own[order][:-1]]]
+        chosen = chosen[np.sort(first)]
+        of = np.full(1 << _SLOTS, -1, np.int32)
+        of[_slot(chosen)] = np.arange(len(chosen))
+        at = np.flatnonzero((of >= 0)[slot])
+        rule = of[slot[at]]
+        hit = chosen[rule] == pair[at]
+        at, rule = at[hit], rule[hit]
         # Of overlapping places every other one is replaced, from the left.
         run = np.flatnonzero(np.r_[True, np.diff(at) > 1])
         odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) & 1
         at, rule = at[odd == 0], rule[odd == 0]
-        s[at] = terminals + len(rules) + rule
+        s[at] = terminals + n_rules + rule
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-        rules += list(zip((chosen >> 32).tolist(), (chosen & 0xFFFFFFFF).tolist(), strict=True))
-    return s, np.array(rules, np.int64).reshape(-1, 2)
+        chosen = chosen.astype(np.int64)
+        rules.append(np.stack([chosen >> bits, chosen & ((1 << bits) - 1)], 1))
+        n_rules += len(chosen)
+    return s.astype(np.int64), np.concatenate(rules)
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
-    return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).view(np.int64)
+    if pair.dtype == np.uint32:
+        return (pair * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOTS)).view(np.int32)
+    return (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).view(np.int64)
 
 
 def _lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -194,9 +208,9 @@ class _Units(Words):
         super().__init__(text)
         if not len(self.starts):
             return
-        glued = np.logical_or.reduceat((self.raw == 0x27) | (self.raw == 0x3C), self.starts)
+        glued = self._holding((self.raw == 0x27) | (self.raw == 0x3C))
         # Other than ASCII is composed before it is lower-cased.
-        as_is = glued | (np.maximum.reduceat(self.raw, self.starts) >= 0x80)
+        as_is = glued | self._holding(self.raw >= 0x80)
         self.raw = np.where(self._bytes(as_is), self.raw, LOWER[self.raw])
         kind = _KIND[self.raw[: self.size]]
         cut = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
@@ -211,6 +225,12 @@ class _Units(Words):
         self.first = np.searchsorted(self.starts, self.offsets)
         self.count = np.diff(self.first)
 
+    def _holding(self, marked: np.ndarray) -> np.ndarray:
+        """Marks the words that hold a marked byte. The bytes stand in words."""
+        out = np.zeros(len(self.starts), bool)
+        out[np.searchsorted(self.starts, np.flatnonzero(marked), "right") - 1] = True
+        return out
+
     def _bytes(self, words: np.ndarray) -> np.ndarray:
         """Marks the bytes of the marked words."""
         step = np.zeros(len(self.raw), np.int8)
@@ -245,7 +265,8 @@ class WordEncoder:
     def _coded(self, words: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
         code = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.between is None or any(t in x for x in words for t in self.specials):
+        joined = "\n".join(words)
+        if self.between is None or any(t in joined for t in self.specials):
             rows = code(words)
             return np.array([x for r in rows for x in r], np.int32), np.fromiter(map(len, rows), np.int64, len(rows))
         number, mark = self.between
@@ -366,6 +387,6 @@ def _read(spark, folder: str, digest: bool) -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Writes the ids of docs to the shared folder and reads their digests back."""
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark, 'ids')}/shards"
     write_ids(docs, vocabulary, folder)
     return read_digests(spark, folder)
