@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import tag_of
-from ..functions.phrases import COMPLETE_SHORT, SETTINGS
+from ..functions.phrases import COMPLETE_SHORT, OUTCOMES, SETTINGS
 from ..functions.text import manifest_fields, outcome
 
 
@@ -55,20 +55,21 @@ def history(rows: DataFrame) -> DataFrame:
 
 
 def with_outcome(jobs: DataFrame, logs: DataFrame) -> DataFrame:
-    """The outcome of each job from the logs named after it, else from a log that mentions it.
+    """The outcome of each job from the logs named after it, else from the latest output that mentions it.
 
-    Mentions are taken out of each log once ("job=<id>"), so both ways are equi-joins. logs: (name, text).
+    Each log is classified by itself; of a job's outcomes the first in order counts (done, then
+    the failures as listed), as if its logs were one text. Mentions ("job=<id>") are taken out of
+    each log once, so both ways are equi-joins, and no text is shuffled. logs: (name, text).
     """
-    by_name = logs.select(F.regexp_extract("name", r"_(\d+)(?:_\d+)?\.(out|err)$", 1).alias("job"), "name", "text").where("job <> ''").withColumn("way", F.lit(0))
-    mention = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"job=(\w+)"), F.lit(1))))
-    # The latest output file that mentions a job, as names sort.
-    latest = logs.where(F.endswith("name", F.lit(".out"))).select(mention.alias("job"), "name", "text").groupBy("job").agg(F.max_by(F.struct("name", "text"), "name").alias("m"))
-    by_text = latest.select("job", "m.name", "m.text", F.lit(1).alias("way"))
-    found = by_name.union(by_text).groupBy("job").agg(F.min("way").alias("least"), F.collect_list(F.struct("way", "name", "text")).alias("all"))
-    text = F.array_join(F.transform(F.array_sort(F.filter("all", lambda x: x["way"] == F.col("least"))), lambda x: x["text"]), "\n")
-    return jobs.join(found.select("job", text.alias("__text")), "job", "left").withColumn("outcome", F.when(F.col("__text").isNull(), "array task").otherwise(outcome(F.col("__text")))).drop("__text")
+    ranks = F.map_from_arrays(F.array(*map(F.lit, OUTCOMES)), F.array(*map(F.lit, range(len(OUTCOMES)))))
+    read = logs.select("name", ranks[outcome(F.col("text"))].alias("rank"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"job=(\w+)"), F.lit(1))).alias("mentions"))
+    by_name = read.select(F.regexp_extract("name", r"_(\d+)(?:_\d+)?\.(out|err)$", 1).alias("job"), "rank").where("job <> ''").groupBy("job").agg(F.min("rank").alias("named"))
+    by_text = read.where(F.endswith("name", F.lit(".out"))).select(F.explode("mentions").alias("job"), "name", "rank").groupBy("job").agg(F.max_by("rank", "name").alias("mentioned"))
+    rank = F.coalesce("named", "mentioned")
+    label = F.when(rank.isNull(), "array task").otherwise(F.element_at(F.array(*map(F.lit, OUTCOMES)), rank + 1))
+    return jobs.join(by_name, "job", "left").join(by_text, "job", "left").withColumn("outcome", label).drop("named", "mentioned")
 
 
-def recent(df: DataFrame, order: str, k: int) -> DataFrame:
+def recent(df: DataFrame, order: str, k: int, *ties: str) -> DataFrame:
     """O5."""
-    return df.orderBy(F.desc(order)).limit(k)
+    return df.orderBy(F.desc(order), *map(F.desc, ties)).limit(k)

@@ -21,7 +21,7 @@ def with_options(df: DataFrame, question: str, options: str) -> DataFrame:
 
 def shuffled_options(correct: Column, wrong: Column, key: Column, seed: int = 42) -> Column:
     """All options in an order by hash."""
-    return F.transform(F.array_sort(F.transform(F.concat(F.array(correct), wrong), lambda o: F.struct(F.xxhash64(F.lit(seed), key, o).alias("h"), o.alias("o")))), lambda s: s["o"])
+    return F.transform(F.array_sort(F.transform(F.concat(F.array(correct), wrong), lambda o: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), o).cast("binary")).alias("h"), o.alias("o")))), lambda s: s["o"])
 
 
 def answer_label(options: Column, correct: Column) -> Column:

@@ -1,36 +1,103 @@
 """Ranking metrics, rates and tests, each one grouped aggregation.
 
-Scores are rounded to 6 places before they are grouped, so that the last bits of equal
-entropies don't split ties. Windows run over distinct scores (entropies of ten samples
-take few values), never over raw rows.
+Scores may be rounded (``places``) before they are grouped, so that the last bits of equal
+entropies don't split ties; windows then run over the few distinct scores. Without places a
+score may be as fine as a row, and running sums go over ranges of scores first (``running``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of running sums; resampled numbers held at once.
+PARTS = 256
+DRAWN = 1 << 22
+
 
 def answered(df: DataFrame, exclude: bool = True) -> DataFrame:
     """Without NOT_ATTEMPTED; a missing grade stays."""
     return df.where(~F.col("grade").eqNullSafe("NOT_ATTEMPTED")) if exclude else df
 
 
-def score_table(df: DataFrame, label: Column, score: Column, *by: str) -> DataFrame:
+def score_table(df: DataFrame, label: Column, score: Column, *by: str, places: int | None = None) -> DataFrame:
     """(by, score, n, p): rows and positives at each distinct score."""
-    return df.groupBy(*by, F.round(score, 6).alias("score")).agg(F.count("*").alias("n"), F.sum(label.cast("long")).alias("p"))
+    score = score if places is None else F.round(score, places)
+    return df.groupBy(*by, score.alias("score")).agg(F.count("*").alias("n"), F.sum(label.cast("long")).alias("p"))
+
+
+def matched(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns that may be null; right has a row for each. Without columns right has one row."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    other = right.withColumnsRenamed({c: f"__{c}" for c in by})
+    return left.join(other, reduce(lambda x, y: x & y, (left[c].eqNullSafe(other[f"__{c}"]) for c in by)), how).drop(*(f"__{c}" for c in by))
+
+
+def parted(df: DataFrame, order: str, by: list[str], parts: int = PARTS) -> DataFrame:
+    """df with part: the number of its range of the order column, of so many with about as many rows each, within by."""
+    bounds = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10 * parts)).alias("__bounds"))
+    return matched(df, bounds, by).withColumn("part", F.size(F.filter("__bounds", lambda x: x < F.col(order)))).drop("__bounds")
+
+
+def running(table: DataFrame, values: dict[str, str], by: list[str], order: str = "score", fine: bool = True) -> DataFrame:
+    """table with running sums within by, in the order: values maps a column to the name of its sum up to and with the row.
+
+    fine: the order column may have as many values as rows. Ranges are summed first, and a window holds one range.
+    """
+    if not fine:
+        w = Window.partitionBy(*by).orderBy(order)
+        return table.withColumns({name: F.sum(c).over(w) for c, name in values.items()})
+    rows = parted(table, order, by)
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows
+    sums = rows.groupBy(*by, "part").agg(*(F.sum(c).alias(f"__{c}") for c in values))
+    sums = sums.select(*by, "part", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in values))
+    rows, inner = matched(rows, sums, [*by, "part"]), Window.partitionBy(*by, "part").orderBy(order)
+    return rows.withColumns({name: F.sum(c).over(inner) + F.col(f"__{c}") for c, name in values.items()}).drop("part", *(f"__{c}" for c in values))
+
+
+def _area(n: Column, p: Column, s: Column) -> Column:
+    """AUROC from rows, positives and the positives' sum of ranks."""
+    return F.when((p > 0) & (n > p), (s - p * (p + 1) / 2) / (p * (n - p)))
 
 
-def auroc(df: DataFrame, label: Column, score: Column, *by: str) -> DataFrame:
+def auroc(df: DataFrame, label: Column, score: Column, *by: str, places: int | None = None) -> DataFrame:
     """M1 to M3: (by, n, n_pos, auroc): ranks averaged over ties; null if one class is missing."""
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = score_table(df, label, score, *by).withColumn("rank", below + (F.col("n") + 1) / 2)
-    g = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("n_pos"), F.sum(F.col("p") * F.col("rank")).alias("s"))
-    n_neg = F.col("n") - F.col("n_pos")
-    value = F.when((F.col("n_pos") > 0) & (n_neg > 0), (F.col("s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * n_neg))
-    return g.select(*by, "n", "n_pos", value.alias("auroc"))
+    ranked = running(score_table(df, label, score, *by, places=places), {"n": "upto"}, list(by), fine=places is None)
+    rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
+    g = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("n_pos"), F.sum(F.col("p") * rank).alias("s"))
+    return g.select(*by, "n", "n_pos", _area(F.col("n"), F.col("n_pos"), F.col("s")).alias("auroc"))
+
+
+def auroc_without(df: DataFrame, label: Column, score: Column, corrupt: Column, *by: str, places: int | None = None) -> DataFrame:
+    """M4: (by, n, auroc, n_clean, auroc_clean, delta): of all rows and of those that aren't corrupt, from one table of scores."""
+    label, clean = label.cast("long"), (~corrupt).cast("long")
+    score = score if places is None else F.round(score, places)
+    table = df.groupBy(*by, score.alias("score")).agg(F.count("*").alias("n"), F.sum(label).alias("p"), F.sum(clean).alias("n_clean"), F.sum(label * clean).alias("p_clean"))
+    ranked = running(table, {"n": "upto", "n_clean": "upto_clean"}, list(by), fine=places is None)
+    sums = []
+    for end in ("", "_clean"):
+        rank = F.col(f"upto{end}") - F.col(f"n{end}") + (F.col(f"n{end}") + 1) / 2
+        sums += [F.sum(f"n{end}").alias(f"n{end}"), F.sum(f"p{end}").alias(f"p{end}"), F.sum(F.col(f"p{end}") * rank).alias(f"s{end}")]
+    g = ranked.groupBy(*by).agg(*sums)
+    both = [_area(F.col(f"n{end}"), F.col(f"p{end}"), F.col(f"s{end}")) for end in ("", "_clean")]
+    return g.select(*by, "n", both[0].alias("auroc"), "n_clean", both[1].alias("auroc_clean"), (both[1] - both[0]).alias("delta"))
+
+
+def sweep_report(df: DataFrame, corrupt: Column, *by: str, places: int | None = None) -> DataFrame:
+    """A row for each run that has records, say tag by style: accuracy, entropies of right and wrong answers, AUROC of all and of clean records.
+
+    df: (by, grade, semantic_entropy), the union of the runs that are there; a run without records has no row.
+    """
+    right, se = F.col("grade") == "CORRECT", F.col("semantic_entropy")
+    rates = df.groupBy(*by).agg(
+        F.avg(right.cast("double")).alias("accuracy"), F.count_if(right).alias("n_correct"), F.avg(F.when(right, se)).alias("entropy_correct"), F.avg(F.when(~right, se)).alias("entropy_wrong"), F.count_if(corrupt & ~right).alias("n_corrupt_wrong"),
+    )
+    return matched(rates, auroc_without(df, ~right, se, corrupt, *by, places=places), list(by))
 
 
 def grade_rates(df: DataFrame, *by: str) -> DataFrame:
@@ -53,48 +120,57 @@ def split_by_correct(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by, (F.col("grade") == "CORRECT").alias("is_correct")).agg(F.avg("semantic_entropy").alias("mean_se"), F.median("semantic_entropy").alias("median_se"), F.count("*").alias("n"))
 
 
-def at_quantiles(df: DataFrame, accuracy: Column, uncertainty: Column, quantiles: list[float], *by: str) -> DataFrame:
-    """M5: (by, q, cutoff, accuracy): mean accuracy where the uncertainty is at most its quantile, linearly interpolated.
+def at_quantiles(df: DataFrame, accuracy: Column, uncertainty: Column, quantiles: list[float], *by: str, places: int | None = None) -> DataFrame:
+    """M5: (by, i, q, cutoff, accuracy): mean accuracy where the uncertainty is at most its quantile, linearly interpolated.
 
-    Quantiles are taken from the table of distinct scores; equal cutoffs stay apart.
+    Each distinct score says which quantiles' lower and upper places fall into it; scores within
+    1e-12 of the cutoff count as equal. Equal cutoffs stay apart.
     """
-    table = score_table(df, accuracy, uncertainty, *by).withColumns({"upto": F.sum("n").over(Window.partitionBy(*by).orderBy("score")), "right": F.sum("p").over(Window.partitionBy(*by).orderBy("score"))})
-    rows = table.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("score", "upto", "right"))).alias("t"))
-    q = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(x)).alias("q")) for i, x in enumerate(quantiles)])).alias("z")
-    rows = rows.select(*by, "t", q).select(*by, "t", "z.i", "z.q")
-    n = F.element_at("t", -1)["upto"]
-    place = F.col("q") * (n - 1)
-    at = lambda k: F.get(F.filter("t", lambda s: s["upto"] > k), F.lit(0))["score"]
-    low, high = at(F.floor(place)), at(F.ceil(place))
-    rows = rows.withColumn("cutoff", low + (high - low) * (place - F.floor(place)))
-    last = F.element_at(F.filter("t", lambda s: s["score"] <= F.col("cutoff") + 1e-12), -1)
-    return rows.select(*by, "i", "q", "cutoff", (last["right"] / last["upto"]).alias("accuracy"))
-
-
-def aurac(df: DataFrame, accuracy: Column, uncertainty: Column, *by: str) -> DataFrame:
+    table = running(score_table(df, accuracy, uncertainty, *by, places=places), {"n": "upto", "p": "right"}, list(by), fine=places is None)
+    table = matched(table, table.groupBy(*by).agg(F.sum("n").alias("total")), list(by))
+    inside = lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto"))
+    place = lambda z: z["q"] * (F.col("total") - 1)
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(x)).alias("q")) for i, x in enumerate(quantiles)])
+    hits = table.select(*by, "score", "upto", "right", "total", F.explode(F.filter(grid, lambda z: inside(F.floor(place(z))) | inside(F.ceil(place(z))))).alias("z"))
+    ends = hits.groupBy(*by, "z").agg(*(f(F.struct("score", "upto", "right")).alias(n) for n, f in (("low", F.min), ("high", F.max))), F.first("total").alias("total"))
+    at = place(F.col("z"))
+    cutoff = F.col("low.score") + (F.col("high.score") - F.col("low.score")) * (at - F.floor(at))
+    last = F.when(F.col("high.score") <= F.col("cutoff") + 1e-12, F.col("high")).otherwise(F.col("low"))
+    return ends.withColumn("cutoff", cutoff).select(*by, F.col("z.i").alias("i"), F.col("z.q").alias("q"), "cutoff", (last["right"] / last["upto"]).alias("accuracy"))
+
+
+def aurac(df: DataFrame, accuracy: Column, uncertainty: Column, *by: str, places: int | None = None) -> DataFrame:
     """M6: the sum of M5 over 20 quantiles from 0.1 to 1, times their distance."""
     grid = [0.1 + 0.9 / 19 * i for i in range(19)] + [1.0]
-    return at_quantiles(df, accuracy, uncertainty, grid, *by).groupBy(*by).agg((F.sum("accuracy") * F.lit(0.9 / 19)).alias("aurac"))
+    return at_quantiles(df, accuracy, uncertainty, grid, *by, places=places).groupBy(*by).agg((F.sum("accuracy") * F.lit(0.9 / 19)).alias("aurac"))
 
 
-def rejection_curve(df: DataFrame, label: Column, score: Column, key: str, points: int = 50) -> DataFrame:
+def rejection_curve(df: DataFrame, label: Column, score: Column, key: str, points: int = 50, places: int | None = None) -> DataFrame:
     """M8: (fraction, kept, accuracy): mean accuracy of the surest max(1, int(f n)) rows; ties by key.
 
-    Within a score the rows are numbered by key; whole scores below come from the table of
-    distinct scores, so no window runs over all rows.
+    Whole scores below a point come from the table of distinct scores. Within the score that a
+    point cuts, ranges of keys are counted first and only the range that holds the point is
+    numbered, so no task sorts all rows of a score, however common.
     """
-    rows = df.select(F.round(score, 6).alias("score"), F.col(key).alias("key"), label.cast("long").alias("y"))
-    table = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("n").over(Window.partitionBy())
-    table = table.select("score", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("below"), F.coalesce(F.sum("p").over(w), F.lit(0)).alias("right"), total.alias("total"))
-    fractions = F.explode(F.array(*[F.lit(0.02 + i * 0.98 / (points - 1)) for i in range(points)]))
-    cuts = table.withColumn("fraction", fractions).withColumn("kept", F.greatest(F.lit(1), F.floor(F.col("fraction") * F.col("total") + 1e-9)))
-    cuts = cuts.where((F.col("kept") > F.col("below")) & (F.col("kept") <= F.col("below") + F.col("n")))
-    inner = Window.partitionBy("score").orderBy("key")
-    numbered = rows.join(F.broadcast(cuts.select("score").distinct()), "score", "left_semi").select("score", F.row_number().over(inner).alias("rn"), F.sum("y").over(inner.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
-    cuts = cuts.withColumn("rn", F.col("kept") - F.col("below"))
-    return cuts.join(numbered, ["score", "rn"]).select("fraction", F.col("kept").cast("long").alias("kept"), ((F.col("right") + F.col("run")) / F.col("kept")).alias("accuracy"))
+    rows = df.select((score if places is None else F.round(score, places)).alias("score"), F.col(key).alias("key"), label.cast("long").alias("y"))
+    table = running(rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("p")), {"n": "upto", "p": "right"}, [], fine=places is None)
+    table = matched(table, table.agg(F.sum("n").alias("total")), [])
+    fractions = F.array(*[F.lit(0.02 + i * 0.98 / (points - 1)) for i in range(points)])
+    kept = lambda f: F.greatest(F.lit(1), F.floor(f * F.col("total") + 1e-9))
+    inside = F.filter(fractions, lambda f: (kept(f) > F.col("upto") - F.col("n")) & (kept(f) <= F.col("upto")))
+    cuts = table.select("score", (F.col("upto") - F.col("n")).alias("below"), (F.col("right") - F.col("p")).alias("right"), "total", F.explode(inside).alias("fraction"))
+    cuts = cuts.select("score", "right", "fraction", kept(F.col("fraction")).alias("kept"), (kept(F.col("fraction")) - F.col("below")).alias("rn"))
+    there = F.broadcast(cuts.select("score").distinct())  # points rows
+    ranged = parted(rows.join(there, "score", "left_semi"), "key", ["score"])
+    upto = Window.partitionBy("score").orderBy("part")
+    counts = ranged.groupBy("score", "part").agg(F.count("*").alias("m"), F.sum("y").alias("t"))
+    counts = counts.select("score", "part", "m", F.sum("m").over(upto).alias("m_upto"), (F.sum("t").over(upto) - F.col("t")).alias("t_before"))
+    held = cuts.join(counts, "score").where("rn > m_upto - m and rn <= m_upto").withColumn("rn", F.col("rn") - F.col("m_upto") + F.col("m"))
+    wanted = F.broadcast(held.select("score", "part").distinct())  # points rows
+    inner = Window.partitionBy("score", "part").orderBy("key")
+    numbered = ranged.join(wanted, ["score", "part"], "left_semi").select("score", "part", F.row_number().over(inner).alias("rn"), F.sum("y").over(inner.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    found = numbered.join(F.broadcast(held), ["score", "part", "rn"])  # points rows
+    return found.select("fraction", F.col("kept").cast("long").alias("kept"), ((F.col("right") + F.col("t_before") + F.col("run")) / F.col("kept")).alias("accuracy"))
 
 
 def cut_table(df: DataFrame) -> DataFrame:
@@ -139,46 +215,58 @@ def seed_summary(df: DataFrame, *by: str) -> DataFrame:
     return per.groupBy(*by).agg(F.avg("acc").alias("mean_acc"), F.stddev_samp("acc").alias("sd_acc"), F.min("acc").alias("min_acc"), F.max("acc").alias("max_acc"), F.count("*").alias("n_seeds"))
 
 
-def bootstrap_auroc(df: DataFrame, label: Column, score: Column, *by: str, resamples: int = 1000, level: float = 0.9, seed: int = 42) -> DataFrame:
+def _areas(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """AUROC of rows of counts at ascending scores."""
+    q = n - p
+    below = np.cumsum(q, -1) - q
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (p * (below + q / 2)).sum(-1) / (p.sum(-1) * q.sum(-1))
+
+
+def _jackknife(n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(AUROC without one row, how many rows give it), for each score and class, from running sums."""
+    q = n - p
+    below, above = np.cumsum(q) - q + q / 2, p.sum() - np.cumsum(p) + p / 2
+    whole, pos, neg = (p * below).sum(), p.sum(), q.sum()
+    with np.errstate(invalid="ignore", divide="ignore"):
+        value = np.r_[(whole - below) / ((pos - 1) * neg), (whole - above) / (pos * (neg - 1))]
+    weight = np.r_[p, q]
+    return value[weight > 0], weight[weight > 0]
+
+
+def bootstrap_auroc(df: DataFrame, label: Column, score: Column, *by: str, resamples: int = 1000, level: float = 0.9, seed: int = 42, places: int | None = None) -> DataFrame:
     """M7: (by, auroc, std_err, low, high) from resamples with replacement.
 
     Only counts at distinct scores reach a task: resampling n rows with replacement is one
-    multinomial draw over the cells (score, class), so a group's size doesn't matter. The
-    interval is bias-corrected and accelerated; the acceleration is from the jackknife, of
-    which the cells hold all distinct values.
+    multinomial draw over the cells (score, class), so a group's size doesn't matter; draws are
+    made ``DRAWN`` numbers at a time. The interval is bias-corrected and accelerated; the
+    acceleration is from the jackknife, in one pass over the cells. A group's distinct scores
+    must fit a task: round them by places where they are as many as the rows.
     """
-    table = score_table(df, label, score, *by) if by else score_table(df, label, score).withColumn("all", F.lit(0))
+    table = score_table(df, label, score, *by, places=places)
+    table = table if by else table.withColumn("all", F.lit(0))
     keys = list(by) or ["all"]
     schema = ", ".join(f"{k} {t}" for k, t in table.dtypes if k in keys) + ", auroc double, std_err double, low double, high double"
 
-    def area(n: np.ndarray, p: np.ndarray) -> np.ndarray:
-        q = n - p
-        below = np.cumsum(q, -1) - q
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return (p * (below + q / 2)).sum(-1) / (p.sum(-1) * q.sum(-1))
-
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        from statistics import NormalDist
+
         pdf = pdf.sort_values("score")
-        n, p = pdf["n"].to_numpy(np.int64), pdf["p"].to_numpy(np.int64)
-        cells = np.r_[p, n - p]
-        full = area(n.astype(float), p.astype(float))
-        draws = np.random.default_rng(seed).multinomial(cells.sum(), cells / cells.sum(), resamples).astype(float)
-        got = area(draws[:, : len(n)] + draws[:, len(n) :], draws[:, : len(n)])
+        n, p = pdf["n"].to_numpy(float), pdf["p"].to_numpy(float)
+        cells = np.r_[p, n - p].astype(np.int64)
+        full, rng, at, got = _areas(n, p), np.random.default_rng(seed), len(n), []
+        for i in range(0, resamples, step := max(1, DRAWN // len(cells))):
+            draws = rng.multinomial(cells.sum(), cells / cells.sum(), min(step, resamples - i)).astype(float)
+            got.append(_areas(draws[:, :at] + draws[:, at:], draws[:, :at]))
+        got = np.concatenate(got)
         got = np.sort(got[np.isfinite(got)])
         row = {k: [pdf[k].iloc[0]] for k in keys}
         if not np.isfinite(full) or len(got) < 2:
             return pd.DataFrame(row | {"auroc": [None], "std_err": [None], "low": [None], "high": [None]})
-        from statistics import NormalDist
-
         z = NormalDist()
         less = np.clip(((got < full).sum() + (got == full).sum() / 2) / len(got), 1e-6, 1 - 1e-6)
         bias = z.inv_cdf(float(less))
-        left = []
-        for i in np.flatnonzero(cells):
-            c = cells.astype(float)
-            c[i] -= 1
-            left.append((area(c[: len(n)] + c[len(n) :], c[: len(n)]), cells[i]))
-        value, weight = (np.array(v, float) for v in zip(*left, strict=True))
+        value, weight = _jackknife(n, p)
         ok = np.isfinite(value)
         d = np.average(value[ok], weights=weight[ok]) - value[ok]
         down = (weight[ok] * d**2).sum() ** 1.5

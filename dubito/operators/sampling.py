@@ -1,11 +1,15 @@
-"""Seeded samples without replacement. Order is by a hash of the seed and the key: the same on every cluster."""
+"""Seeded samples without replacement. Order is by the MD5 of the seed and the key, the same on every cluster and in every engine."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def by_hash(seed: int, key: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+
+
 def sample_ids(pool: DataFrame, n: int, seed: int, reserved_tail: int = 0, key: str = "question_idx") -> DataFrame:
     """N keys, ascending, not among the reserved greatest ones; an error if there are too few."""
     if reserved_tail:
@@ -13,7 +17,7 @@ def sample_ids(pool: DataFrame, n: int, seed: int, reserved_tail: int = 0, key:
         pool = pool.join(F.broadcast(tail), key, "left_anti")  # reserved_tail rows
     if pool.count() < n:
         raise ValueError(f"{n} asked for, fewer there")
-    return pool.select(key).orderBy(F.xxhash64(F.lit(seed), key), key).limit(n).orderBy(key)
+    return pool.select(key).orderBy(by_hash(seed, key), key).limit(n).orderBy(key)
 
 
 def seed_samples(pool: DataFrame, n: int, seeds: list[int], key: str = "question_idx") -> DataFrame:
@@ -27,4 +31,4 @@ def seed_samples(pool: DataFrame, n: int, seeds: list[int], key: str = "question
 
 def sample_or_all(pool: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """N rows, or all if there are no more."""
-    return pool.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return pool.orderBy(by_hash(seed, key), key).limit(n)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, is_abstained, short_abstention
+from .metrics import parted
 
 
 def keep_members(df: DataFrame, ids: DataFrame, key: str = "question_idx") -> DataFrame:
@@ -76,7 +77,7 @@ def index_range(df: DataFrame, lo: int, hi: int, key: str = "question_idx") -> D
 def resolve_ids(spark, explicit: list[int] | None = None, thresholds: DataFrame | None = None, threshold: float | None = None, items: DataFrame | None = None, first: int | None = None) -> DataFrame:
     """ids given, else of a threshold's row, else of the first items."""
     if explicit is not None:
-        return spark.createDataFrame([(i,) for i in explicit], "question_idx long")
+        return spark.range(1).select(F.explode(F.array(*map(F.lit, explicit)).cast("array<bigint>")).alias("question_idx"))
     if threshold is not None:
         return threshold_row(thresholds, threshold).select(F.explode("question_indices").alias("question_idx"))
     return items.select("question_idx").orderBy("question_idx").limit(first)
@@ -128,11 +129,13 @@ def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def gaps(df: DataFrame, key: str) -> DataFrame:
     """Numbers between the least and the greatest key that are missing.
 
-    From the distances of neighbouring keys within ranges of keys, so that no task needs all of them.
+    From the distances of neighbouring keys. A window holds one range of keys, of many with
+    about as many keys each; the greatest key of the ranges before is the first one's neighbour.
     """
-    width = 1 << 16
-    k = df.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct()
-    ends = k.agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    blocks = ends.select(F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("b"), "lo", "hi")
-    full = blocks.repartition("b").select(F.explode(F.sequence(F.greatest(F.col("b") * width, F.col("lo")), F.least((F.col("b") + 1) * width - 1, F.col("hi")))).alias("k"))
-    return full.join(k, "k", "left_anti").withColumnRenamed("k", key)
+    k = parted(df.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct(), "k", [])
+    ends = k.groupBy("part").agg(F.max("k").alias("last"))
+    ends = ends.select("part", F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("left"))  # a row for each range
+    k = k.join(F.broadcast(ends), "part").select("k", F.coalesce(F.lag("k").over(Window.partitionBy("part").orderBy("k")), "left").alias("before"))
+    width = 1 << 16  # numbers written out at once
+    holes = k.where("k - before > 1").select(F.explode(F.sequence(F.col("before") + 1, F.col("k") - 1, F.lit(width).cast("long"))).alias("lo"), F.col("k").alias("end"))
+    return holes.select(F.explode(F.sequence("lo", F.least(F.col("lo") + width - 1, F.col("end") - 1))).alias(key))

@@ -31,9 +31,10 @@ def check_modes(se_threshold: float | None, se_mode: str, raw_samples: int) -> N
         raise ValueError("an entropy threshold and raw samples exclude each other")
 
 
-def build_pairs(judged: DataFrame, ids: DataFrame | None = None, skip_not_attempted: bool = True, se_threshold: float | str | None = None, se_mode: str = "filter", abstain: str = CANONICAL, raw_samples: int = 0) -> DataFrame:
+def build_pairs(judged: DataFrame, ids: DataFrame | None = None, skip_not_attempted: bool = True, se_threshold: float | str | None = None, se_mode: str = "filter", abstain: str = CANONICAL, raw_samples: int = 0, line: str | None = None) -> DataFrame:
     """(question_idx, sample, prompt, response).
 
+    Where a resumed file holds a key more than once, its last record by the column line counts.
     A threshold may be a level's name. Above it, filter drops the record and replace gives it
     the abstaining answer. With raw_samples = k each record gives its first k samples, and one
     with fewer is an error.
@@ -41,7 +42,8 @@ def build_pairs(judged: DataFrame, ids: DataFrame | None = None, skip_not_attemp
     if isinstance(se_threshold, str):
         se_threshold = LEVELS[se_threshold]
     check_modes(se_threshold, se_mode, raw_samples)
-    df = judged if ids is None else require_members(judged, ids)
+    df = judged if line is None else last_wins(judged, "question_idx", line)
+    df = df if ids is None else require_members(df, ids)
     if skip_not_attempted:
         df = df.where(~F.col("grade").eqNullSafe("NOT_ATTEMPTED"))
     if raw_samples:
@@ -73,6 +75,12 @@ def mask_labels(input_ids: Column, prompt_length: Column) -> Column:
     return F.transform(input_ids, lambda x, i: F.when(i < prompt_length, F.lit(-100)).otherwise(x))
 
 
+def training_rows(df: DataFrame, max_length: int) -> DataFrame:
+    """Df (.., full_ids, prompt_ids) with input_ids, cut to max_length, and labels; rows whose prompt leaves no room for an answer go."""
+    out = df.withColumn("input_ids", F.slice("full_ids", 1, max_length)).where(F.size("prompt_ids") < F.size("input_ids"))
+    return out.withColumn("labels", mask_labels(F.col("input_ids"), F.size("prompt_ids")))
+
+
 def masks_agree(input_ids: Column, labels: Column, prompt_length: Column) -> Column:
     """Labels are -100 on the prompt and the ids behind it."""
     return mask_labels(input_ids, prompt_length) == labels

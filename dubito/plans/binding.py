@@ -15,24 +15,18 @@ from ..operators.cluster import same_text, with_entropy
 SAMPLES = 10
 _BASE = 1_000_000
 
-#: Answers of documents with phrases put in, so that every detector has something to find. Valid in both engines.
+#: Whole documents as answers, with phrases put around them, so that every detector has something to find. Valid in both engines.
 RESPONSE = """CASE doc_id % 11
   WHEN 0 THEN concat('There is no widely known record. ', text)
   WHEN 1 THEN concat(text, ' Details are limited and not available.')
-  WHEN 2 THEN 'n/a'
-  WHEN 3 THEN ''
-  WHEN 4 THEN '   '
-  WHEN 5 THEN concat('It is probably ', substring(text, 1, 30), ' because of this.')
-  WHEN 6 THEN concat('Unknown. ', substring(text, 1, 60))
-  WHEN 7 THEN substring(text, 1, 20)
-  WHEN 8 THEN concat('deadbeef-1234 ', substring(text, 1, 40))
+  WHEN 2 THEN concat('n/a. ', text)
+  WHEN 4 THEN concat('   ', text, '   ')
+  WHEN 5 THEN concat('It is probably ', text, ' because of this.')
+  WHEN 6 THEN concat('Unknown. ', text)
+  WHEN 8 THEN concat('deadbeef-1234 ', text)
   ELSE text END"""
 
 
-#: The same with whole texts in every branch.
-WHOLE_RESPONSE = RESPONSE.replace("substring(text, 1, 30)", "text").replace("substring(text, 1, 60)", "text").replace("substring(text, 1, 20)", "text").replace("substring(text, 1, 40)", "text")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -110,15 +104,6 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESPONSES = f"r AS (SELECT doc_id, {RESPONSE} AS response FROM documents)"
 
 
-def whole_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, response): as responses, but no text is cut."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(WHOLE_RESPONSE).alias("response"))
-
-
-#: The same in SQL: r(doc_id, response).
-WHOLE_RESPONSES = f"r AS (SELECT doc_id, {WHOLE_RESPONSE} AS response FROM documents)"
-
-
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_idx, claim_idx, claim, is_true): sentences of labelled documents."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")

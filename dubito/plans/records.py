@@ -28,23 +28,33 @@ def _judged(spark, sf_dir):
 
 @query("WITH " + JUDGED + ", " + _AUROC.format(by="", part="", group=""))
 def auroc(spark, sf_dir):
-    """Does entropy rank wrong answers above right ones?"""
-    return metrics.auroc(_judged(spark, sf_dir), _wrong(), F.col("semantic_entropy")).withColumn("auroc", F.round("auroc", 6))
+    """Does entropy rank wrong answers above right ones?"""
+    return metrics.auroc(_judged(spark, sf_dir), _wrong(), F.col("semantic_entropy"), places=6).withColumn("auroc", F.round("auroc", 6))
 
 
 @query("WITH " + JUDGED + ", " + _AUROC.format(by="role,", part="PARTITION BY role", group=" GROUP BY role"))
 def auroc_by_role(spark, sf_dir):
-    """Per role."""
-    return metrics.auroc(_judged(spark, sf_dir), _wrong(), F.col("semantic_entropy"), "role").withColumn("auroc", F.round("auroc", 6))
+    """M3, U4: per role."""
+    return metrics.auroc(_judged(spark, sf_dir), _wrong(), F.col("semantic_entropy"), "role", places=6).withColumn("auroc", F.round("auroc", 6))
 
 
-@query("WITH " + JUDGED + ", c2 AS (SELECT question_idx, sum((response IN ('click', 'view'))::INT) >= 8 AS bad FROM s WHERE pos > 0 GROUP BY ALL), j2 AS (SELECT * FROM j JOIN c2 USING (question_idx)), "
-       "a AS (SELECT avg(semantic_entropy) AS m, count(*) AS n, sum((grade <> 'CORRECT')::INT) AS p FROM j2) "
-       "SELECT bad AS is_corrupt, count(*) AS n, round(avg(semantic_entropy), 6) AS mean_se, sum((grade <> 'CORRECT')::INT)::BIGINT AS n_wrong FROM j2 WHERE grade <> 'NOT_ATTEMPTED' GROUP BY bad")
-def corrupt_split(spark, sf_dir):
-    """M4: records with and without many bad samples apart (a sample counts as bad by its type here)."""
-    bad = B.answers(spark, sf_dir).where("pos > 0").groupBy("question_idx").agg((F.count_if(F.col("response").isin("click", "view")) >= 8).alias("is_corrupt"))
-    return _judged(spark, sf_dir).join(bad, "question_idx").groupBy("is_corrupt").agg(F.count("*").alias("n"), F.round(F.avg("semantic_entropy"), 6).alias("mean_se"), F.count_if(_wrong()).alias("n_wrong"))
+_SWEEP = """, bad AS (SELECT question_idx, sum((response IN ('click', 'view'))::INT) >= 6 AS is_corrupt FROM s WHERE pos > 0 GROUP BY ALL),
+jj AS (SELECT j.*, is_corrupt, concat('t', question_idx % 3) AS tag, round(semantic_entropy, 6) AS se FROM j JOIN bad USING (question_idx) WHERE grade <> 'NOT_ATTEMPTED'),
+rk AS (SELECT tag, role, grade <> 'CORRECT' AS y, is_corrupt, se, rank() OVER (PARTITION BY tag, role ORDER BY se) + (count(*) OVER (PARTITION BY tag, role, se) - 1) / 2.0::DOUBLE AS r,
+  rank() OVER (PARTITION BY tag, role, is_corrupt ORDER BY se) + (count(*) OVER (PARTITION BY tag, role, is_corrupt, se) - 1) / 2.0::DOUBLE AS rc FROM jj),
+g AS (SELECT tag, role, count(*) AS n, sum(y::INT) AS p, sum(CASE WHEN y THEN r END) AS s, sum((NOT is_corrupt)::INT) AS n_clean, sum((y AND NOT is_corrupt)::INT) AS pc, sum(CASE WHEN y AND NOT is_corrupt THEN rc END) AS sc FROM rk GROUP BY ALL),
+h AS (SELECT tag, role, n, n_clean::BIGINT AS n_clean, CASE WHEN p > 0 AND n > p THEN (s - p * (p + 1) / 2.0::DOUBLE) / (p * (n - p)) END AS auroc, CASE WHEN pc > 0 AND n_clean > pc THEN (sc - pc * (pc + 1) / 2.0::DOUBLE) / (pc * (n_clean - pc)) END AS auroc_clean FROM g),
+m AS (SELECT tag, role, avg((grade = 'CORRECT')::INT) AS accuracy, sum((grade = 'CORRECT')::INT)::BIGINT AS n_correct, avg(semantic_entropy) FILTER (grade = 'CORRECT') AS entropy_correct, avg(semantic_entropy) FILTER (grade <> 'CORRECT') AS entropy_wrong, sum((is_corrupt AND grade <> 'CORRECT')::INT)::BIGINT AS n_corrupt_wrong FROM jj GROUP BY ALL)
+SELECT tag, role, round(accuracy, 6) AS accuracy, n_correct, round(entropy_correct, 6) AS entropy_correct, round(entropy_wrong, 6) AS entropy_wrong, n_corrupt_wrong, n, round(auroc, 6) AS auroc, n_clean, round(auroc_clean, 6) AS auroc_clean, round(auroc_clean - auroc, 6) AS delta FROM h JOIN m USING (tag, role)"""
+
+
+@query("WITH " + JUDGED + _SWEEP)
+def sweep_report(spark, sf_dir):
+    """A row for each tag and role: AUROC of all and of clean records (a sample counts as bad by its type here)."""
+    bad = B.answers(spark, sf_dir).where("pos > 0").groupBy("question_idx").agg((F.count_if(F.col("response").isin("click", "view")) >= 6).alias("is_corrupt"))
+    runs = _judged(spark, sf_dir).join(bad, "question_idx").withColumn("tag", F.concat(F.lit("t"), (F.col("question_idx") % 3).cast("string")))
+    r = metrics.sweep_report(runs, F.col("is_corrupt"), "tag", "role", places=6)
+    return r.withColumns({c: F.round(c, 6) for c in ("accuracy", "entropy_correct", "entropy_wrong", "auroc", "auroc_clean", "delta")})
 
 
 @query("WITH " + JUDGED + " SELECT role, count(*) AS n, sum((grade='CORRECT')::INT)::BIGINT AS n_correct, sum((grade='NOT_ATTEMPTED')::INT)::BIGINT AS n_abstained, round(avg((grade='NOT_ATTEMPTED')::INT), 6) AS abstain_rate, "
@@ -104,7 +114,7 @@ def both_high(spark, sf_dir):
 
 @query("WITH " + _TS + " SELECT q AS question_idx FROM t JOIN u USING (q) WHERE t.se >= 1.4 AND u.se >= 1.4")
 def both_high_ids(spark, sf_dir):
-    """The keys at one threshold."""
+    """The keys at one threshold."""
     return select.both_high_ids(*_pair_tables(spark, sf_dir), 1.4)
 
 
@@ -116,7 +126,7 @@ def coverage(spark, sf_dir):
 
 @query("WITH " + _TS + " SELECT q AS question_idx, round(t.se, 6) AS a, round(u.se, 6) AS b, round(u.se - t.se, 6) AS gap, CASE WHEN round(u.se - t.se, 6) > 0 THEN 'higher' WHEN round(u.se - t.se, 6) < 0 THEN 'lower' ELSE 'same' END AS label FROM t JOIN u USING (q)")
 def entropy_gap(spark, sf_dir):
-    """E15, J9."""
+    """E15."""
     return longform.entropy_gap(*_pair_tables(spark, sf_dir))
 
 
@@ -150,7 +160,7 @@ _Q = "(SELECT question_idx, round(semantic_entropy, 6) AS u, (grade = 'CORRECT')
        "SELECT q, round(cutoff, 6) AS cutoff, round(avg(a), 6) AS accuracy FROM z JOIN x ON u <= cutoff + 1e-12 GROUP BY q, cutoff")
 def accuracy_at_quantile(spark, sf_dir):
     """M5."""
-    r = metrics.at_quantiles(_judged(spark, sf_dir), F.col("grade") == "CORRECT", F.col("semantic_entropy"), [0.5, 0.8, 0.9])
+    r = metrics.at_quantiles(_judged(spark, sf_dir), F.col("grade") == "CORRECT", F.col("semantic_entropy"), [0.5, 0.8, 0.9], places=6)
     return r.select("q", F.round("cutoff", 6).alias("cutoff"), F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -161,23 +171,21 @@ _GRID = ", ".join(f"{0.1 + 0.9 / 19 * i if i < 19 else 1.0}::DOUBLE" for i in ra
        "y AS (SELECT i, avg(a) AS acc FROM z JOIN x ON u <= cutoff + 1e-12 GROUP BY i) SELECT round(sum(acc) * 0.9 / 19, 6) AS aurac FROM y")
 def aurac(spark, sf_dir):
     """M6."""
-    return metrics.aurac(_judged(spark, sf_dir), F.col("grade") == "CORRECT", F.col("semantic_entropy")).withColumn("aurac", F.round("aurac", 6))
+    return metrics.aurac(_judged(spark, sf_dir), F.col("grade") == "CORRECT", F.col("semantic_entropy"), places=6).withColumn("aurac", F.round("aurac", 6))
 
 
 @query("WITH " + JUDGED + f", x AS (SELECT *, row_number() OVER (ORDER BY u, question_idx) AS rn, sum(a) OVER (ORDER BY u, question_idx ROWS UNBOUNDED PRECEDING) AS run FROM {_Q}), f AS (SELECT 0.02 + i * 0.98 / 49 AS fraction, greatest(1, floor((0.02 + i * 0.98 / 49) * (SELECT count(*) FROM x) + 1e-9))::BIGINT AS kept FROM (SELECT unnest(range(50)) AS i)) "
        "SELECT round(fraction::DOUBLE, 6) AS fraction, kept, round(run / kept, 6) AS accuracy FROM f JOIN x ON rn = kept")
 def rejection_curve(spark, sf_dir):
     """Points of the curve, ready for a chart."""
-    r = metrics.rejection_curve(_judged(spark, sf_dir), F.col("grade") == "CORRECT", F.col("semantic_entropy"), "question_idx")
+    r = metrics.rejection_curve(_judged(spark, sf_dir), F.col("grade") == "CORRECT", F.col("semantic_entropy"), "question_idx", places=6)
     return r.select(F.round("fraction", 6).alias("fraction"), "kept", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query()
 def bootstrap_auroc(spark, sf_dir):
     """M7: resampled, so not expressible in SQL; the tests hold its interval to its definition."""
-    return metrics.bootstrap_auroc(_judged(spark, sf_dir), _wrong(), F.col("semantic_entropy"), "role")
-
-
+    return metrics.bootstrap_auroc(_judged(spark, sf_dir), _wrong(), F.col("semantic_entropy"), "role", places=6)
 
 
 def _mcnemar_sql(x: str, y: str) -> str:
@@ -210,7 +218,7 @@ def judge_agreement(spark, sf_dir):
 
 @query("WITH " + VERDICTS + " SELECT doc_id, a, b, c FROM v WHERE NOT (a = b AND b = c)")
 def judge_disagreements(spark, sf_dir):
-    """A14, S20."""
+    """A14."""
     return compare.disagreements(B.verdicts(spark, sf_dir), ["a", "b", "c"])
 
 
@@ -243,7 +251,7 @@ def _near(a, b):
 
 @query("WITH RECURSIVE " + _LEADERS + " SELECT question_idx, array_to_string(owner, ',') AS owners FROM o")
 def cluster_stealing(spark, sf_dir):
-    """Leaders under a judge that isn't transitive."""
+    """Leaders under a judge that isn't transitive."""
     r = B.records(spark, sf_dir)
     return r.select("question_idx", F.array_join(C.leaders_by(F.col("raw_responses"), _near), ",").alias("owners"))
 
@@ -279,45 +287,38 @@ def sample_pairs(spark, sf_dir):
     return p.groupBy("a.question_idx").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("a.response") == F.col("b.response")).alias("n_equal"))
 
 
-# Choice distributions: four numbers of an embedding as raw values.
-_CHOICES = "e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: greatest(x::DOUBLE, 0)) AS raw FROM embeddings), n AS (SELECT vec_id, raw, list_sum(raw) AS t FROM e), p AS (SELECT vec_id, raw, CASE WHEN t > 0 THEN list_transform(raw, lambda x: x / t) ELSE [0.25, 0.25, 0.25, 0.25] END AS p FROM n)"
+# Choice distributions: the numbers of an embedding as raw values of so many choices, labelled 0, 1, ...
+_LABELLED = "e AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(x::DOUBLE, 0)) AS raw FROM embeddings), n AS (SELECT vec_id, raw, list_sum(raw) AS t FROM e), p AS (SELECT vec_id, raw, CASE WHEN t > 0 THEN list_transform(raw, lambda x: x / t) ELSE list_transform(raw, lambda x: 1.0::DOUBLE / len(raw)) END AS p FROM n)"
 
 
 def _raw(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.greatest(x.cast("double"), F.lit(0.0))).alias("raw"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.greatest(x.cast("double"), F.lit(0.0))).alias("raw"))
 
 
-def _abcd():
-    return F.array(*map(F.lit, "ABCD"))
+def _labels():
+    return F.transform("raw", lambda _, i: i.cast("string"))
 
 
-@query("WITH " + _CHOICES + " SELECT vec_id, round(list_max(p), 6) AS top, ['A', 'B', 'C', 'D'][list_position(raw, list_max(raw))] AS argmax, round(abs(coalesce(list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: -x * ln(x))), 0)), 6) AS entropy FROM p")
+@query("WITH " + _LABELLED + " SELECT vec_id, round(list_max(p), 6) AS top, (list_position(raw, list_max(raw)) - 1)::VARCHAR AS argmax, round(abs(coalesce(list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: -x * ln(x))), 0)), 6) AS entropy FROM p")
 def choice_distribution(spark, sf_dir):
     """E9, E10."""
-    d = _raw(spark, sf_dir).select("vec_id", E.choice_distribution(F.col("raw"), _abcd()).alias("d"))
+    d = _raw(spark, sf_dir).select("vec_id", E.choice_distribution(F.col("raw"), _labels()).alias("d"))
     return d.select("vec_id", F.round(F.array_max("d.probs"), 6).alias("top"), "d.argmax", F.round("d.entropy", 6).alias("entropy"))
 
 
-@query("WITH " + _CHOICES + ", h AS (SELECT vec_id, list_transform(raw, lambda x: pow(x, 2.0)) AS r FROM p), g AS (SELECT vec_id, r, list_sum(r) AS t FROM h) SELECT vec_id, round(CASE WHEN t > 0 THEN list_max(r) / t ELSE 0.25 END, 6) AS top FROM g")
+@query("WITH " + _LABELLED + ", h AS (SELECT vec_id, list_transform(raw, lambda x: pow(x, 2.0)) AS r FROM p), g AS (SELECT vec_id, r, list_sum(r) AS t FROM h) SELECT vec_id, round(CASE WHEN t > 0 THEN list_max(r) / t ELSE 1.0 / len(r) END, 6) AS top FROM g")
 def choice_temperature(spark, sf_dir):
     """E11 at temperature one half."""
     return _raw(spark, sf_dir).select("vec_id", F.round(F.array_max(E.temperature(F.col("raw"), 0.5)), 6).alias("top"))
 
 
-@query("WITH " + _CHOICES + ", z AS (SELECT vec_id, unnest(range(4)) AS i, unnest(p) AS pr FROM p) SELECT vec_id, i::INT AS index, round(pr, 6) AS prob FROM z QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY pr DESC, i) <= 2")
+@query("WITH " + _LABELLED + ", z AS (SELECT vec_id, unnest(range(len(p))) AS i, unnest(p) AS pr FROM p) SELECT vec_id, i::INT AS index, round(pr, 6) AS prob FROM z QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY pr DESC, i) <= 2")
 def choice_top_k(spark, sf_dir):
     """The two largest."""
     d = _raw(spark, sf_dir).select("vec_id", F.explode(E.top_k(E.normalise(F.col("raw")), 2)).alias("t"))
     return d.select("vec_id", "t.index", F.round("t.prob", 6).alias("prob"))
 
 
-@query()
-def choice_draw(spark, sf_dir):
-    """Seeded by a hash that SQL engines don't share; the tests hold its shares to the distribution."""
-    p = _raw(spark, sf_dir).withColumn("p", E.normalise(F.col("raw")))
-    return p.select("vec_id", E.draw(F.col("p"), _abcd(), E.uniform(7, F.col("vec_id"))).alias("label"), E.forced(F.col("p"), _abcd(), F.lit("B"))["prob"].alias("forced_prob"))
-
-
 # Targets.
 def _pairs_out(df):
     return df.select("question_idx", F.col("sample").cast("long").alias("sample"), "prompt", "response")
@@ -328,7 +329,7 @@ _PAIR = "SELECT question_idx, 0::BIGINT AS sample, concat('Question: ', question
 
 @query("WITH " + JUDGED + " " + _PAIR.format(response="low_temp_response", more=""))
 def pairs_default(spark, sf_dir):
-    """D1, J1."""
+    """D1."""
     return _pairs_out(targets.build_pairs(B.judged(spark, sf_dir)))
 
 
@@ -385,21 +386,15 @@ def reproduction(spark, sf_dir):
 
 @query("WITH " + JUDGED + " SELECT pair_idx AS question_idx, arg_max(low_temp_response, question_idx) AS last, arg_min(low_temp_response, question_idx) AS first FROM j GROUP BY 1")
 def first_and_last(spark, sf_dir):
-    """Both policies for repeated keys."""
+    """Both policies for repeated keys."""
     e = B.entropies(spark, sf_dir).select(F.col("question_idx").alias("line"), "pair_idx", "low_temp_response")
     last, first = targets.last_wins(e, "pair_idx", "line"), targets.first_wins(e, "pair_idx", "line")
     return last.select("pair_idx", F.col("low_temp_response").alias("last")).join(first.select("pair_idx", F.col("low_temp_response").alias("first")), "pair_idx").withColumnRenamed("pair_idx", "question_idx")
 
 
 # Claims.
-@query("WITH " + CLAIMS + " SELECT question_idx, claim_idx, nullif(string_agg(claim, ' ') OVER (PARTITION BY question_idx ORDER BY claim_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM k WHERE claim_idx < 4")
-def running_context(spark, sf_dir):
-    """The claims before each of an answer's first four (the window is the feature, not the table)."""
-    return longform.running_context(B.claims(spark, sf_dir).where("claim_idx < 4")).select("question_idx", "claim_idx", "context")
-
-
 @query("WITH " + CLAIMS + " SELECT question_idx, claim_idx, md5(nullif(string_agg(claim, ' ') OVER (PARTITION BY question_idx ORDER BY claim_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS context_md5 FROM k")
-def running_context_whole(spark, sf_dir):
+def running_context(spark, sf_dir):
     """The claims before each claim of an answer, all of them, as a digest."""
     return longform.running_context(B.claims(spark, sf_dir)).select("question_idx", "claim_idx", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
@@ -418,11 +413,11 @@ def scored_totals(spark, sf_dir):
     return longform.scored_totals(nested)
 
 
-@query("WITH " + ANSWERS + ", c AS (SELECT question_idx, response, count(*) AS c FROM s WHERE pos BETWEEN 1 AND 6 GROUP BY ALL), e AS (SELECT question_idx, abs(sum(-c / 6.0::DOUBLE * ln(c / 6.0::DOUBLE))) AS h FROM c GROUP BY 1), u AS (SELECT question_idx, sum((response = 'error')::INT) AS bad FROM s WHERE pos BETWEEN 1 AND 6 GROUP BY 1) "
-       "SELECT question_idx // 2 AS question_idx, 0::BIGINT AS claim_idx, round(avg(CASE WHEN bad >= 3 THEN ln(6.0::DOUBLE) ELSE h END), 6) AS semantic_entropy FROM e JOIN u USING (question_idx) GROUP BY 1")
+@query("WITH " + ANSWERS + ", c AS (SELECT question_idx, response, count(*) AS c FROM s WHERE pos > 0 GROUP BY ALL), e AS (SELECT question_idx, abs(sum(-c / 10.0::DOUBLE * ln(c / 10.0::DOUBLE))) AS h FROM c GROUP BY 1), u AS (SELECT question_idx, sum((response = 'error')::INT) AS bad FROM s WHERE pos > 0 GROUP BY 1) "
+       "SELECT question_idx // 2 AS question_idx, 0::BIGINT AS claim_idx, round(avg(CASE WHEN bad >= 5 THEN ln(10.0::DOUBLE) ELSE h END), 6) AS semantic_entropy FROM e JOIN u USING (question_idx) GROUP BY 1")
 def claim_entropy(spark, sf_dir):
-    """Two questions a claim, six answers each; error stands for a refusal."""
-    r = B.records(spark, sf_dir).withColumn("answers", F.transform(F.slice("raw_responses", 1, 6), lambda x: F.when(x == "error", "Unknown").otherwise(x)))
+    """Two questions a claim, ten answers each; error stands for a refusal."""
+    r = B.records(spark, sf_dir).withColumn("answers", F.transform("raw_responses", lambda x: F.when(x == "error", "Unknown").otherwise(x)))
     q = C.with_entropy(r, "answers").select(F.floor(F.col("question_idx") / 2).cast("long").alias("question_idx"), F.lit(0).cast("long").alias("claim_idx"), "answers", "semantic_entropy")
     return longform.claim_entropy(q).withColumn("semantic_entropy", F.round("semantic_entropy", 6))
 
@@ -437,14 +432,14 @@ def entity_names(spark, sf_dir):
 # Keys and sets over the sales tables.
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def keep_members(spark, sf_dir):
-    """F1, F2, J7."""
+    """F1, F2."""
     ids = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     return select.keep_members(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ids, "o_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def missing_members(spark, sf_dir):
-    """Customers without an order."""
+    """Customers without an order."""
     ids = table(spark, sf_dir, "customer").select("c_custkey")
     return select.missing_members(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ids, "c_custkey")
 
@@ -458,13 +453,13 @@ def symmetric_difference(spark, sf_dir):
 
 @query("SELECT k AS o_custkey FROM (SELECT unnest(range((SELECT min(o_custkey) FROM orders), (SELECT max(o_custkey) FROM orders) + 1)) AS k) WHERE k NOT IN (SELECT o_custkey FROM orders)")
 def key_gaps(spark, sf_dir):
-    """U5, S3."""
+    """U5."""
     return select.gaps(table(spark, sf_dir, "orders"), "o_custkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 400")
 def index_range(spark, sf_dir):
-    """Pushed down to the scan."""
+    """pushed down to the scan."""
     return select.index_range(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 100, 400, "o_orderkey")
 
 
@@ -476,7 +471,7 @@ def positional_split(spark, sf_dir):
 
 @query("SELECT line, sum((n = 4)::INT)::BIGINT AS complete, sum((n > 0 AND n < 4)::INT)::BIGINT AS partial, count(*) AS total FROM (SELECT o_orderstatus AS line, o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) GROUP BY line")
 def completeness(spark, sf_dir):
-    """Orders as files, their items as lines; four are complete."""
+    """Orders as files, their items as lines; four are complete."""
     from ..operators import inventory
 
     n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
@@ -492,9 +487,12 @@ def top_categories(spark, sf_dir):
     return loaders.top_categories(table(spark, sf_dir, "part").withColumnRenamed("p_type", "category"))
 
 
-@query()
+_SAMPLE = "SELECT * FROM (SELECT o_orderkey AS question_idx, {0} AS seed FROM orders ORDER BY md5(concat({0}, ':', o_orderkey)), o_orderkey LIMIT 100)"
+
+
+@query(_SAMPLE.format(42) + " UNION ALL " + _SAMPLE.format(44))
 def sample_ids(spark, sf_dir):
-    """Seeded by a hash that SQL engines don't share."""
+    """A sample for each seed (of so many keys, which is the feature)."""
     pool = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_idx"))
     return sampling.seed_samples(pool, 100, [42, 44])
 

@@ -34,29 +34,29 @@ _SHORT = f"(low = '' OR {_NA} OR {_any('low', P.SHORT)})"
 
 
 @query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, coalesce(pos <= 200, false) AS is_abstained, (pos - 1)::INT AS position FROM a")
-def abstention(spark, sf_dir, responses=B.responses):
+def abstention(spark, sf_dir):
     """T1, T2."""
-    r = responses(spark, sf_dir).select("doc_id", T.abstention_hit(F.col("response")).alias("h"))
+    r = B.responses(spark, sf_dir).select("doc_id", T.abstention_hit(F.col("response")).alias("h"))
     return r.select("doc_id", "h.is_abstained", "h.position")
 
 
 @query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, (pos - 1)::INT AS position FROM a WHERE pos > 200")
-def abstention_late(spark, sf_dir, responses=B.responses):
+def abstention_late(spark, sf_dir):
     """Phrases too late to count."""
-    r = responses(spark, sf_dir).select("doc_id", T.abstention_hit(F.col("response")).alias("h"))
+    r = B.responses(spark, sf_dir).select("doc_id", T.abstention_hit(F.col("response")).alias("h"))
     return r.where("h.position >= 200").select("doc_id", "h.position")
 
 
 @query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, md5(response) AS response_md5 FROM a WHERE NOT coalesce(pos <= 200, false)")
-def keep_answered(spark, sf_dir, responses=B.responses):
-    """F6, S8, O2."""
-    return select.keep_answered(responses(spark, sf_dir), "response").select("doc_id", F.md5(F.col("response").cast("binary")).alias("response_md5"))
+def keep_answered(spark, sf_dir):
+    """F6, O2."""
+    return select.keep_answered(B.responses(spark, sf_dir), "response").select("doc_id", F.md5(F.col("response").cast("binary")).alias("response_md5"))
 
 
 @query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, md5(CASE WHEN coalesce(pos <= 200, false) THEN '' ELSE response END) AS response_md5 FROM a")
-def blank_abstained(spark, sf_dir, responses=B.responses):
+def blank_abstained(spark, sf_dir):
     """F7."""
-    r = responses(spark, sf_dir).withColumn("flag", T.is_abstained(F.col("response")))
+    r = B.responses(spark, sf_dir).withColumn("flag", T.is_abstained(F.col("response")))
     return select.blank_abstained(r, "flag", "response").select("doc_id", F.md5(F.col("response").cast("binary")).alias("response_md5"))
 
 
@@ -64,9 +64,9 @@ _FIRST_PHRASE = "CASE " + " ".join(f"WHEN instr(low, {_q(p)}) > 0 THEN {_q(p)}"
 
 
 @query(f"WITH {RESPONSES}, m AS (SELECT doc_id, response, {_LOW} AS low FROM r) SELECT doc_id, response = '' OR ({_FIRST_PHRASE}) IS NOT NULL AS is_non_answer, CASE WHEN response = '' THEN '<empty>' ELSE {_FIRST_PHRASE} END AS phrase FROM m")
-def phrase_rule(spark, sf_dir, responses=B.responses):
+def phrase_rule(spark, sf_dir):
     """T4."""
-    r = responses(spark, sf_dir).select("doc_id", T.phrase_rule(F.col("response")).alias("h"))
+    r = B.responses(spark, sf_dir).select("doc_id", T.phrase_rule(F.col("response")).alias("h"))
     return r.select("doc_id", "h.is_non_answer", "h.phrase")
 
 
@@ -74,24 +74,24 @@ _NARROW = f"(regexp_matches(response, '{P.NARROW}', 'i') AND length(regexp_extra
 
 
 @query(f"WITH {RESPONSES} SELECT doc_id, {_NARROW} AS is_abstained FROM r")
-def narrow_rule(spark, sf_dir, responses=B.responses):
+def narrow_rule(spark, sf_dir):
     """T5, A20."""
-    return responses(spark, sf_dir).select("doc_id", T.narrow_rule(F.col("response")).alias("is_abstained"))
+    return B.responses(spark, sf_dir).select("doc_id", T.narrow_rule(F.col("response")).alias("is_abstained"))
 
 
 @query(f"WITH {RESPONSES}, m AS (SELECT doc_id, response, {_LOW} AS low FROM r), x AS (SELECT response = '' OR ({_FIRST_PHRASE}) IS NOT NULL AS a, {_NARROW} AS b FROM m) "
        "SELECT sum(a::INT)::BIGINT AS n_a, sum(b::INT)::BIGINT AS n_b, sum((a AND b)::INT)::BIGINT AS both, sum((a AND NOT b)::INT)::BIGINT AS only_a, sum((b AND NOT a)::INT)::BIGINT AS only_b, sum((a <> b)::INT)::BIGINT AS differ FROM x")
-def rule_comparison(spark, sf_dir, responses=B.responses):
+def rule_comparison(spark, sf_dir):
     """T6."""
-    r = responses(spark, sf_dir).select(T.phrase_rule(F.col("response"))["is_non_answer"].alias("a"), T.narrow_rule(F.col("response")).alias("b"))
+    r = B.responses(spark, sf_dir).select(T.phrase_rule(F.col("response"))["is_non_answer"].alias("a"), T.narrow_rule(F.col("response")).alias("b"))
     return compare.rule_comparison(r, "a", "b")
 
 
 @query(f"WITH {RESPONSES}, m AS (SELECT doc_id, response, {_LOW} AS low FROM r), w AS (SELECT doc_id, unnest(string_split(response, '. ')) AS response FROM r), w2 AS (SELECT doc_id, {_LOW} AS low FROM w), "
        f"n AS (SELECT doc_id, sum({_SHORT}::INT)::INT AS n_array FROM w2 GROUP BY 1) SELECT doc_id, ({_SHORT})::INT AS n_scalar, n_array, md5(CASE WHEN {_SHORT} THEN 'Unknown' ELSE response END) AS response_md5 FROM m JOIN n USING (doc_id)")
-def canonicalise(spark, sf_dir, responses=B.responses):
+def canonicalise(spark, sf_dir):
     """An answer and the array of its sentences."""
-    r = responses(spark, sf_dir).withColumn("parts", F.split("response", r"\. "))
+    r = B.responses(spark, sf_dir).withColumn("parts", F.split("response", r"\. "))
     return select.canonicalise(r, "response", "parts").select("doc_id", "n_scalar", "n_array", F.md5(F.col("response").cast("binary")).alias("response_md5"))
 
 
@@ -100,18 +100,18 @@ _HINT = f"regexp_matches(question, '\\b({P.NUMERIC})\\b', 'i')"
 
 @query(f"WITH {RESPONSES}, x AS (SELECT doc_id, response, CASE WHEN doc_id % 2 = 0 THEN 'What is the population?' ELSE 'Who was it?' END AS question FROM r) "
        f"SELECT doc_id, {_HINT} AS numeric, regexp_matches(response, '{_EMOJI}') OR (NOT {_HINT} AND regexp_matches(response, '[0-9a-f]{{8,}}', 'i')) OR length(response) > 300 AS with_question, regexp_matches(response, '{_EMOJI}') OR regexp_matches(response, '[0-9a-f]{{8,}}', 'i') OR length(response) > 300 AS alone FROM x")
-def corruption(spark, sf_dir, responses=B.responses):
+def corruption(spark, sf_dir):
     """T9, T10, T26."""
     q = F.when(F.col("doc_id") % 2 == 0, "What is the population?").otherwise("Who was it?")
-    r, c = responses(spark, sf_dir), F.col("response")
+    r, c = B.responses(spark, sf_dir), F.col("response")
     return r.select("doc_id", T.numeric_hint(q).alias("numeric"), T.is_corrupt(c, q).alias("with_question"), T.is_corrupt(c).alias("alone"))
 
 
 @query(f"WITH {RESPONSES}, x AS (SELECT doc_id, unnest(string_split(response, '. ')) AS t FROM r), y AS (SELECT doc_id, count(*) AS n, sum((regexp_matches(t, '{_EMOJI}') OR regexp_matches(t, '[0-9a-f]{{8,}}', 'i') OR length(t) > 300)::INT) AS bad FROM x GROUP BY 1) "
        "SELECT sum(n)::BIGINT AS n_fields, sum(bad)::BIGINT AS n_bad, round(sum(bad) / sum(n), 6) AS field_rate, round(avg((bad >= 2)::INT), 6) AS record_rate FROM y")
-def corruption_rates(spark, sf_dir, responses=B.responses):
+def corruption_rates(spark, sf_dir):
     """Of fields and of records with two bad fields."""
-    r = responses(spark, sf_dir).select(F.split("response", r"\. ").alias("raw"))
+    r = B.responses(spark, sf_dir).select(F.split("response", r"\. ").alias("raw"))
     x = r.select(F.size("raw").alias("n"), F.size(F.filter("raw", lambda t: T.is_corrupt(t))).alias("bad"), T.record_is_corrupt(F.col("raw")).alias("record"))
     return x.agg(F.sum("n").alias("n_fields"), F.sum("bad").alias("n_bad"), F.round(F.sum("bad") / F.sum("n"), 6).alias("field_rate"), F.round(F.avg(F.col("record").cast("int")), 6).alias("record_rate"))
 
@@ -124,15 +124,15 @@ _SCAN = (
 
 
 @query(f"WITH {RESPONSES}, {_SCAN} SELECT *, emoji OR uuid_fragment OR instructional OR anomalously_long AS any FROM f")
-def corruption_flags(spark, sf_dir, responses=B.responses):
+def corruption_flags(spark, sf_dir):
     """T12."""
-    return responses(spark, sf_dir).select("doc_id", T.corruption_flags(F.col("response")).alias("f")).select("doc_id", "f.*")
+    return B.responses(spark, sf_dir).select("doc_id", T.corruption_flags(F.col("response")).alias("f")).select("doc_id", "f.*")
 
 
 @query(f"WITH {RESPONSES}, {_SCAN} SELECT sum(emoji::INT)::BIGINT AS emoji, sum(uuid_fragment::INT)::BIGINT AS uuid_fragment, sum(instructional::INT)::BIGINT AS instructional, sum(anomalously_long::INT)::BIGINT AS anomalously_long, round(avg((emoji OR uuid_fragment OR instructional OR anomalously_long)::INT), 6) AS any_rate FROM f")
-def corruption_counts(spark, sf_dir, responses=B.responses):
-    """A7, S2."""
-    f = responses(spark, sf_dir).select(T.corruption_flags(F.col("response")).alias("f")).select("f.*")
+def corruption_counts(spark, sf_dir):
+    """A7."""
+    f = B.responses(spark, sf_dir).select(T.corruption_flags(F.col("response")).alias("f")).select("f.*")
     return f.agg(*[F.count_if(c).alias(c) for c in ("emoji", "uuid_fragment", "instructional", "anomalously_long")], F.round(F.avg(F.col("any").cast("int")), 6).alias("any_rate"))
 
 
@@ -143,10 +143,10 @@ def degenerate(spark, sf_dir):
     return d.where("unit is not null")
 
 
-@query("SELECT doc_id, array_to_string(list_transform(parts, lambda x, i: CASE WHEN (doc_id + i - 1) % 3 = 0 THEN 'patched' ELSE x END), '|') AS patched FROM (SELECT doc_id, string_split(text, '. ')[1:5] AS parts FROM documents)")
+@query("SELECT doc_id, array_to_string(list_transform(parts, lambda x, i: CASE WHEN (doc_id + i - 1) % 3 = 0 THEN 'patched' ELSE x END), '|') AS patched FROM (SELECT doc_id, string_split(text, '. ') AS parts FROM documents)")
 def patch_positions(spark, sf_dir):
     """Listed places of an array replaced."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", r"\. "), 1, 5).alias("parts"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\. ").alias("parts"))
     return d.select("doc_id", F.array_join(F.transform("parts", lambda x, i: F.when((F.col("doc_id") + i) % 3 == 0, "patched").otherwise(x)), "|").alias("patched"))
 
 
@@ -159,18 +159,18 @@ _FORMAT = (
 
 
 @query(f"WITH {RESPONSES}, {_FORMAT} SELECT * FROM g")
-def compliance(spark, sf_dir, responses=B.responses):
+def compliance(spark, sf_dir):
     """T16."""
-    return responses(spark, sf_dir).select("doc_id", T.compliance(F.col("response")).alias("f")).select("doc_id", "f.*")
+    return B.responses(spark, sf_dir).select("doc_id", T.compliance(F.col("response")).alias("f")).select("doc_id", "f.*")
 
 
 _RATES = ["too_long", "has_hedge", "has_explanation", "has_bad_starter", "has_refusal", "looks_like_sentence", "compliant"]
 
 
 @query(f"WITH {RESPONSES}, {_FORMAT} SELECT count(*) AS n, " + ", ".join(f"round(avg({c}::INT), 6) AS {c}" for c in _RATES) + ", round(avg(word_count), 6) AS avg_words FROM g")
-def compliance_summary(spark, sf_dir, responses=B.responses):
+def compliance_summary(spark, sf_dir):
     """A11."""
-    f = responses(spark, sf_dir).select(T.compliance(F.col("response")).alias("f"))
+    f = B.responses(spark, sf_dir).select(T.compliance(F.col("response")).alias("f"))
     return compare.compliance_summary(f).withColumns({c: F.round(c, 6) for c in [*_RATES, "avg_words"]})
 
 
@@ -187,7 +187,7 @@ def reply_labels(spark, sf_dir):
     return x.select("doc_id", T.grade_letter(F.col("reply")).alias("grade"), T.entailment_label(F.col("reply")).alias("verdict"))
 
 
-_STOPPED = "CASE doc_id % 3 WHEN 0 THEN concat(substring(text, 1, 20), ' Question:') WHEN 1 THEN concat(substring(text, 1, 20), ' Context: ') ELSE substring(text, 1, 20) END"
+_STOPPED = "CASE doc_id % 3 WHEN 0 THEN concat(text, ' Question:') WHEN 1 THEN concat(text, ' Context: ') ELSE text END"
 
 
 @query(f"WITH x AS (SELECT doc_id, {_strip(_STOPPED)} AS t FROM documents) SELECT doc_id, CASE WHEN ends_with(t, 'Question:') THEN {_strip('substring(t, 1, length(t) - 9)')} WHEN ends_with(t, 'Context:') THEN {_strip('substring(t, 1, length(t) - 8)')} ELSE t END AS trimmed FROM x")
@@ -205,7 +205,7 @@ def match_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.match_label(F.expr(_CHOICE), F.array(*map(F.lit, "ABCD"))).alias("label"))
 
 
-_RAW_CLAIMS = "concat('- ', substring(text, 1, 12), ' one. [True] (source)', chr(10), 'stray words', chr(10), '* second claim [false]', chr(10), '- no verdict')"
+_RAW_CLAIMS = "concat('- ', text, ' one. [True] (source)', chr(10), 'stray words', chr(10), '* second claim [false]', chr(10), '- no verdict')"
 
 
 @query(f"WITH x AS (SELECT doc_id, unnest(string_split({_RAW_CLAIMS}, chr(10))) AS l FROM documents), y AS (SELECT doc_id, {_strip('l')} AS l FROM x), z AS (SELECT doc_id, regexp_extract(l, '^[-*]\\s*(.+?)\\s*\\[(True|False)\\]', ['c', 't'], 'i') AS m FROM y WHERE regexp_matches(l, '^[-*]\\s*(.+?)\\s*\\[(True|False)\\]', 'i')) SELECT doc_id, m.c AS claim, lower(m.t) = 'true' AS is_true FROM z")
@@ -214,10 +214,10 @@ def parse_claims(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.parse_claims(F.expr(_RAW_CLAIMS.replace("chr(10)", "char(10)")))).alias("c")).select("doc_id", "c.claim", "c.is_true")
 
 
-@query("SELECT doc_id, 'fact one|fact two' AS facts FROM documents")
+@query()
 def parse_facts(spark, sf_dir):
-    """A fold over lines; the text after a stop is left alone."""
-    raw = F.concat(F.lit("\n- fact one\n* fact two\n\n- beyond "), F.substring("text", 1, 5))
+    """Every sentence of a text as a bulleted line; the engines differ on white space, so the tests hold it to plain code."""
+    raw = F.concat(F.lit("- "), F.array_join(F.split(F.regexp_replace("text", r"\s+", " "), r"\. "), "\n- "))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.parse_facts(raw), "|").alias("facts"))
 
 
@@ -229,7 +229,7 @@ def parse_questions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.parse_questions(raw)).alias("p")).select("doc_id", "p.question", "p.answer")
 
 
-_MD = "concat('# Title', {nl}, '- **', substring(text, 1, 40), '**', {nl}, '1) `code` ', substring(text, 41, 20), {nl}, '---', {nl}, 'plain *it*')"
+_MD = "concat('# Title', {nl}, '- **', text, '**', {nl}, '1) `code` ', text, {nl}, '---', {nl}, 'plain *it*')"
 _MD_SQL = _MD.format(nl="chr(10)")
 
 
@@ -262,16 +262,16 @@ _STRICT = P.STRICT_PROMPT.split("{question}")
 
 @query(f"SELECT item_id, md5(concat({_q(_STRICT[0])}, text, {_q(_STRICT[1])})) AS prompt_md5 FROM benchmark")
 def strict_prompts(spark, sf_dir):
-    """S16, S11."""
+    """S16."""
     b = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "question")
     return loaders.prompts(b, "strict", key="item_id").select("item_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
-@query(f"WITH t AS (SELECT item_id, text, substring(text, 1, 5) AS answer FROM benchmark), l AS (SELECT * FROM t ORDER BY item_id DESC LIMIT 5), p AS (SELECT concat({_q(P.FEWSHOT_HEAD)}, string_agg(concat('Question: ', text, chr(10), 'Answer: ', answer, chr(10), chr(10)), '' ORDER BY item_id)) AS prefix FROM l) "
+@query(f"WITH t AS (SELECT item_id, text, text AS answer FROM benchmark), l AS (SELECT * FROM t ORDER BY item_id DESC LIMIT 5), p AS (SELECT concat({_q(P.FEWSHOT_HEAD)}, string_agg(concat('Question: ', text, chr(10), 'Answer: ', answer, chr(10), chr(10)), '' ORDER BY item_id)) AS prefix FROM l) "
        "SELECT item_id, md5(concat(prefix, 'Question: ', text, chr(10), 'Answer:')) AS prompt_md5 FROM t, p WHERE item_id NOT IN (SELECT item_id FROM l)")
 def fewshot_prompts(spark, sf_dir):
-    """The last five rows are examples and not asked."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"), F.substring("text", 1, 5).alias("answer"))
+    """The last five rows are examples and not asked."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"), F.col("text").alias("answer"))
     return loaders.prompts(b, "fewshot", key="item_id").select("item_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
@@ -322,16 +322,14 @@ def log_outcomes(spark, sf_dir):
     return inventory.outcomes(logs)
 
 
-@query("WITH x AS (SELECT user_id AS u, event_id AS line, event_type, value FROM events WHERE event_id % 7 <> 0) SELECT concat('j', u) AS job, count(*) AS n_stages, arg_max(event_type, line) AS last_stage, arg_max(concat('node', line % 3), CASE WHEN line % 2 = 0 THEN line END) AS node, concat('style=strict epochs=', max(line % 5)) AS description FROM x GROUP BY u")
+@query("WITH x AS (SELECT user_id AS u, event_id AS line, event_type, value FROM events WHERE event_id % 7 <> 0) SELECT concat('j', u) AS job, count(*) AS n_stages, arg_max(event_type, line) AS last_stage, arg_max(concat('node', line % 3), CASE WHEN line % 2 = 0 THEN line END) AS node, arg_min(concat('style=strict epochs=', repeat((line % 5)::VARCHAR, (1 + line % 3)::INT)), [-(line % 3), line]) AS description FROM x GROUP BY u")
 def job_history(spark, sf_dir):
-    """A manifest's lines by job; malformed lines are left out."""
+    """A manifest's lines by job, with the longest description, the first of equals; malformed lines are left out."""
     e = table(spark, sf_dir, "events")
     s = lambda c: F.col(c).cast("string")
-    good = F.concat(F.lit("2024-01-01T00:00:00+00:00 | job=j"), s("user_id"), F.lit(" | stage="), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" | node=node"), (F.col("event_id") % 3).cast("string"), F.lit(".cluster"))).otherwise(""), F.lit(" | style=strict"), F.lit(" | epochs="), (F.col("event_id") % 5).cast("string"))
+    good = F.concat(F.lit("2024-01-01T00:00:00+00:00 | job=j"), s("user_id"), F.lit(" | stage="), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" | node=node"), (F.col("event_id") % 3).cast("string"), F.lit(".cluster"))).otherwise(""), F.lit(" | style=strict"), F.lit(" | epochs="), F.repeat((F.col("event_id") % 5).cast("string"), (1 + F.col("event_id") % 3).cast("int")))
     lines = e.select(F.col("event_id").alias("line"), F.when(F.col("event_id") % 7 == 0, F.lit("not a line | x")).otherwise(good).alias("value"))
-    # Descriptions are equally long here; the greatest doesn't depend on the lines' order.
-    rows = inventory.manifest(lines)
-    h = inventory.history(rows).drop("description").join(rows.groupBy("job").agg(F.max("description").alias("description")), "job")
+    h = inventory.history(inventory.manifest(lines))
     return h.select("job", F.size("stages").cast("long").alias("n_stages"), F.element_at("stages", -1).alias("last_stage"), "node", "description")
 
 
@@ -345,11 +343,11 @@ def pending_work(spark, sf_dir):
     return inventory.pending(gen, done).select("tag", "o_orderkey")
 
 
-@query("SELECT doc_id, regexp_replace(concat(substring(text, 1, 8), chr(10), 'x'), '\\n', '', 'g') AS printable, CASE WHEN length(text) > 12 THEN concat(substring(text, 1, 12), '...') ELSE text END AS label FROM documents")
+@query("SELECT doc_id, regexp_replace(concat(text, chr(10), 'x'), '\\n', '', 'g') AS printable, CASE WHEN length(text) > 12 THEN concat(substring(text, 1, 12), '...') ELSE text END AS label FROM documents")
 def labels_for_charts(spark, sf_dir):
-    """T32, B9."""
+    """A label's twelve characters are its feature."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.printable(F.concat(F.substring("text", 1, 8), F.lit("\nx"))).alias("printable"), T.shorten_label(F.col("text"), 12).alias("label"))
+    return d.select("doc_id", T.printable(F.concat("text", F.lit("\nx"))).alias("printable"), T.shorten_label(F.col("text"), 12).alias("label"))
 
 
 @query("SELECT turn, count(*) AS n, sum((role = 'user')::INT)::BIGINT AS n_user FROM conversations GROUP BY turn")

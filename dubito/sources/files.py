@@ -77,8 +77,12 @@ def rewrite(spark: SparkSession, path: str, new: DataFrame, format: str = "json"
     new.write.mode("overwrite").format(format).save(fresh.toString())
     while store.exists(backup := fs.Path(f"{path}.backup{n or ''}")):
         n += 1
-    store.rename(p, backup)
-    store.rename(fresh, p)
+    if not store.rename(p, backup):
+        raise OSError(f"{path} can't be kept as {backup.toString()}; nothing was changed")
+    if not store.rename(fresh, p):
+        if not store.rename(backup, p):
+            raise OSError(f"{path} stands at {backup.toString()}, its new rows at {fresh.toString()}")
+        raise OSError(f"{fresh.toString()} can't take the place of {path}, which is as it was")
     return backup.toString()
 
 
@@ -130,18 +134,11 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", "([^/]*)$", 1).alias("name"), F.col("value").alias("text"))
 
 
-def read_store(spark: SparkSession, path: str, table: str = "documents", key: str = "title", parts: int = 8) -> DataFrame:
-    """A table of an SQLite file, where its JDBC driver is there; read by ranges of its row number."""
-    url = {"url": f"jdbc:sqlite:{path}", "driver": "org.sqlite.JDBC"}
-    ends = spark.read.format("jdbc").options(**url, query=f"select min(rowid) lo, max(rowid) hi from {table}").load().first()
-    return spark.read.format("jdbc").options(**url, dbtable=f"(select rowid as rid, * from {table})", partitionColumn="rid", lowerBound=ends[0], upperBound=ends[1], numPartitions=parts).load().drop("rid")
-
-
 def write_store(df: DataFrame, path: str) -> None:
-    """A document store as Parquet; an existing one is left alone."""
+    """A document store as Parquet; an existing one is left alone. SQLite files: sources/sqlite.py."""
     df.write.mode("errorifexists").parquet(path)
 
 
 def lookup(store: DataFrame, keys: DataFrame, key: str = "title") -> tuple[DataFrame, DataFrame]:
-    """(documents of the keys, keys without a document)."""
+    """(documents of the keys, keys without a document)."""
     return store.join(keys.select(key).distinct(), key, "left_semi"), keys.select(key).distinct().join(store, key, "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dubito.operators import inventory as I
 from dubito.operators import loaders, longform, sampling, select, targets
-from dubito.sources import files, schemas
+from dubito.sources import files, schemas, sqlite
 from dubito.streaming.ingest import ingest_once, progress
 
 GEN = {"question_idx": 1, "question": "q", "answer": "a", "prompt": "p", "low_temp_response": None, "raw_responses": ["x"]}
@@ -32,6 +32,15 @@ def test_read(spark, gen):
     assert files.line_counts(spark, gen).first().n == 6 and files.line_count(spark, gen + "x") == -1
 
 
+def test_gaps(spark):
+    keys = spark.createDataFrame([(2**62,), (2**62 + 3,), (2**62 + 3,), (None,), (2**62 + 200_000,)], "k long")
+    got = [r.k for r in select.gaps(keys, "k").collect()]
+    assert len(got) == len(set(got)) == 200_000 + 1 - 3 and min(got) == 2**62 + 1 and 2**62 + 3 not in got
+    assert select.gaps(keys.where("false"), "k").count() == 0
+    many = spark.range(0, 20_000, 3).withColumnRenamed("id", "k")
+    assert sorted(r.k for r in select.gaps(many, "k").collect()) == [i for i in range(19_998) if i % 3]
+
+
 def test_resume_and_rewrite(spark, tmp_path):
     out = str(tmp_path / "out")
     items = spark.createDataFrame([(1, "a"), (2, "b")], "question_idx long, t string")
@@ -59,6 +68,26 @@ def test_documents_csv_store(spark, tmp_path):
     assert sorted(r.value for r in files.read_lines(spark, str(tmp_path / "names.txt")).collect()) == ["Ada", "Bob"]
 
 
+def test_sqlite(spark, tmp_path):
+    import sqlite3
+
+    con = sqlite3.connect(tmp_path / "one.db")
+    con.execute("CREATE TABLE documents (title TEXT PRIMARY KEY, text TEXT, n INTEGER)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(f"t{i}", f"text {i}", i) for i in range(100)])
+    con.commit()
+    con.close()
+    schema = "title string, text string, n bigint"
+    df = sqlite.read_store(spark, str(tmp_path / "one.db"), schema)
+    assert df.rdd.getNumPartitions() == 8 and sorted(r.n for r in df.collect()) == list(range(100))
+    keys = spark.createDataFrame([("t5",), ("none",), ("t99",)], "title string")
+    assert sorted(map(tuple, sqlite.find(keys, str(tmp_path / "one.db"), schema).collect()), key=repr) == [("none", None, None), ("t5", "text 5", 5), ("t99", "text 99", 99)]
+    sqlite.write_store(df.repartition(3), str(tmp_path / "copy"), key="title")
+    assert sorted(map(tuple, sqlite.read_store(spark, str(tmp_path / "copy"), schema).collect())) == sorted(map(tuple, df.collect()))
+    assert sqlite.find(keys, str(tmp_path / "copy"), schema).where("n is not null").count() == 2
+    with pytest.raises(Exception, match="exists"):
+        sqlite.write_store(df, str(tmp_path / "copy"))
+
+
 def test_streaming(spark, tmp_path):
     (tmp_path / "in").mkdir()
     args = str(tmp_path / "in"), "question_idx long, t string", str(tmp_path / "t"), str(tmp_path / "c"), "question_idx"
@@ -83,6 +112,16 @@ def test_targets(spark):
         targets.build_pairs(j, raw_samples=3).collect()
     with pytest.raises(KeyError):
         targets.build_pairs(j, ids=spark.createDataFrame([(9,)], "question_idx long"))
+    again = spark.createDataFrame([(1, "p", "CORRECT", "old", 1.0, ["a"], 1), (1, "p", "CORRECT", "new", 1.0, ["a"], 2)], "question_idx long, prompt string, grade string, low_temp_response string, semantic_entropy double, raw_responses array<string>, line long")
+    assert [r.response for r in targets.build_pairs(again, line="line").collect()] == ["new"]
+    ids = spark.createDataFrame([([1, 2, 3, 4], [1, 2]), ([1, 2, 3, 4], [1, 2, 3]), ([1, 2], [1, 2, 3, 4])], "full_ids array<int>, prompt_ids array<int>")
+    rows = targets.training_rows(ids, 3).collect()
+    assert [(r.input_ids, r.labels) for r in rows] == [([1, 2, 3], [-100, -100, 3])]
+    prompts = spark.createDataFrame([(1, "ask")], "question_idx long, prompt string")
+    with pytest.raises(KeyError):
+        targets.longform_pairs(spark.createDataFrame([(2, "x")], "question_idx long, teacher_response string"), prompts)
+    log = spark.createDataFrame([(1, "t", 3), (2, "t", 4), (3, "u", 9)], "line long, run_tag string, hyperparameters int")
+    assert targets.last_settings(log, "t").first()[0] == 4 and targets.last_settings(log, "none").first()[0] is None
     r = j.limit(1).select(targets.mask_labels(F.array(*map(F.lit, (5, 6, 7))), F.lit(2)).alias("m"), targets.reuse_guard(F.lit(None), F.lit("x")).alias("g")).first()
     assert r.m == [-100, -100, 7] and r.g == "absent"
 

@@ -28,6 +28,43 @@ def test_auroc(spark):
     assert M.auroc(df.where("y"), F.col("y"), F.col("s")).first().auroc is None
 
 
+@pytest.mark.parametrize("places", [None, 6])
+def test_fine_scores(spark, places):
+    """Scores as many as rows: running sums by ranges give what one window gives."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.random() < 0.4, rng.random(), rng.random() < 0.3) for i in range(1500)] + [(i, None, i % 2 == 0, 0.5, False) for i in range(1500, 1600)]
+    df = spark.createDataFrame(rows, "k long, g string, y boolean, s double, bad boolean")
+    got = {r.g: r for r in M.auroc_without(df, F.col("y"), F.col("s"), F.col("bad"), "g", places=places).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, r in got.items():
+        own = [x for x in df.collect() if x.g == g]
+        clean = [x for x in own if not x.bad]
+        assert r.n == len(own) and r.n_clean == len(clean) and math.isclose(r.auroc, brute_auroc(own), abs_tol=1e-4 if places else 1e-9) and math.isclose(r.auroc_clean, brute_auroc(clean), abs_tol=1e-4 if places else 1e-9)
+        assert math.isclose(r.delta, r.auroc_clean - r.auroc, abs_tol=1e-12)
+    one = {r.g: r.auroc for r in M.auroc(df, F.col("y"), F.col("s"), "g", places=places).collect()}
+    assert all(math.isclose(one[g], got[g].auroc, abs_tol=1e-12) for g in got)
+    ordered = sorted(df.collect(), key=lambda r: (r.s if places is None else round(r.s, 6), r.k))
+    for r in M.rejection_curve(df, F.col("y"), F.col("s"), "k", places=places).collect():
+        assert r.kept == max(1, math.floor(r.fraction * len(ordered) + 1e-9)) and math.isclose(r.accuracy, sum(x.y for x in ordered[: r.kept]) / r.kept)
+    same = df.withColumn("s", F.lit(0.25))
+    for r in M.rejection_curve(same, F.col("y"), F.col("s"), "k").collect():
+        assert math.isclose(r.accuracy, sum(x[2] for x in rows[: r.kept]) / r.kept)
+
+
+def test_jackknife():
+    import numpy as np
+
+    p, q = np.array([3.0, 0, 2, 1]), np.array([1.0, 2, 0, 4])
+    value, weight = M._jackknife(p + q, p)
+    want = []
+    for cells, of in ((p, 0), (q, 1)):
+        for i in np.flatnonzero(cells):
+            a, b = p.copy(), q.copy()
+            (a, b)[of][i] -= 1
+            want.append((M._areas(a + b, a), cells[i]))
+    assert np.allclose(value, [v for v, _ in want]) and weight.tolist() == [w for _, w in want]
+
+
 def test_bootstrap(spark):
     df = frame(spark, 400)
     r = M.bootstrap_auroc(df, F.col("y"), F.col("s")).first()

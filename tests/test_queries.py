@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from dubito.plans import records, texts  # noqa: F401
+from dubito.plans import records, sources, texts  # noqa: F401
 from dubito.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

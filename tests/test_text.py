@@ -71,3 +71,31 @@ def test_names(spark):
     assert one(spark, "Qwen/Qwen3-1.7B", lambda c: N.pair_name(c, F.lit("some/other-model"))) == "Qwen3-1.7Btoother-model"
     assert one(spark, "/x/gen_simpleqa_simpleqa_student_strict_seed44_a.jsonl", N.judged_name) == "judged_simpleqa_seed44_a.jsonl"
     assert one(spark, "/x/judged_simpleqa_Qwen3-32B_strict.jsonl", N.tag_of) == "Qwen3-32B_strict"
+
+
+def test_answers_hold_whole_texts(spark, data):
+    from dubito.plans import binding
+    from dubito.plans.registry import SQL
+
+    rows = binding.responses(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
+    assert rows and all(r.text in r.response for r in rows)
+    assert not any("substring(text, 1" in x.replace("substring(text, 1, 12), '...'", "") for x in SQL.values())
+
+
+def test_operators_reach_the_end_of_texts(spark, tmp_path):
+    from dubito.plans import texts  # noqa: F401
+    from dubito.plans.registry import QUERIES
+
+    sentences = [f"sentence {i} of many" for i in range(40)]
+    rows = [(3, ". ".join(sentences)), (4, "x" * 100 + " last"), (5, "two words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name: {r.doc_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    patched = got("patch_positions")[3].patched.split("|")
+    assert patched == ["patched" if (3 + i) % 3 == 0 else x for i, x in enumerate(sentences)]
+    assert got("parse_facts")[3].facts.split("|") == sentences
+    assert got("trim_stops")[4].trimmed == rows[1][1] and got("trim_stops")[3].trimmed == rows[0][1]
+    assert got("clean_markdown")[4].cleaned.count("last") == 2
+    claims = [r.claim for r in QUERIES["parse_claims"](spark, str(tmp_path)).where("doc_id = 4").collect()]
+    assert claims == [rows[1][1] + " one.", "second claim"]
+    label = got("labels_for_charts")[4]
+    assert label.printable == rows[1][1] + "x" and label.label == "x" * 12 + "..."
