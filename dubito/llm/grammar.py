@@ -48,19 +48,30 @@ END = 2
 SHARD = 1 << 22
 MARKS = 1024
 #: Positions counted at once, the least count of a pair, rules a round may add.
-STRETCH, LEAST, RULES = 1 << 19, 24, 2600
+STRETCH, LEAST, RULES = 1 << 17, 24, 2600
 KEPT = 1 << 20
 _SLOTS = 18
 _HEAD = struct.Struct("<4sIQQQQQ")
 
 
-def _counted(pair: np.ndarray, slot: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, counts) of all pairs that stand ``least`` times or more. slot: of each pair."""
-    # What falls into one slot is an upper bound of each of its pairs.
-    often = np.bincount(slot, minlength=1 << _SLOTS) >= least
-    parts = []
-    for i in range(0, len(pair), STRETCH):
-        parts.append(np.unique(pair[i : i + STRETCH][often[slot[i : i + STRETCH]]], return_counts=True))
+def _pairs(s: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, pairs, their slots) of all neighbours, a stretch at a time, so that little is held besides the symbols."""
+    kind, bits = (np.uint32, 16) if s.dtype == np.uint16 else (np.uint64, 32)
+    for i in range(0, len(s) - 1, STRETCH):
+        part = s[i : i + STRETCH + 1]
+        pair = part[:-1].astype(kind)
+        pair <<= bits
+        pair |= part[1:]
+        yield i, pair, _slot(pair)
+
+
+def _counted(s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of all pairs of neighbours that stand ``least`` times or more."""
+    size = np.zeros(1 << _SLOTS, np.int64)  # what falls into one slot is an upper bound of each of its pairs
+    for _, _, slot in _pairs(s):
+        size += np.bincount(slot, minlength=len(size))
+    often = size >= least
+    parts = [np.unique(pair[often[slot]], return_counts=True) for _, pair, slot in _pairs(s)]
     seen, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
     n = np.bincount(of, np.concatenate([c for _, c in parts]), len(seen)).astype(np.int64)
     return seen[n >= least], n[n >= least]
@@ -68,33 +79,30 @@ def _counted(pair: np.ndarray, slot: np.ndarray, least: int) -> tuple[np.ndarray
 
 def compress(ids: np.ndarray, terminals: int, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): the ids with frequent pairs replaced, until none is frequent or no symbol is left (or for so many rounds)."""
-    narrow = terminals < 1 << 16
-    kind, room = (np.uint16, (1 << 16) - terminals) if narrow else (np.uint32, (1 << 31) - terminals)
+    bits, kind = (16, np.uint16) if terminals < 1 << 16 else (32, np.uint32)
+    room = (1 << 16 if bits == 16 else 1 << 31) - terminals
     s, rules, n_rules = ids.astype(kind), [np.zeros((0, 2), np.int64)], 0
-    bits = 16 if narrow else 32
     for _ in itertools.count() if rounds is None else range(rounds):
         if len(s) < 2:
             break
-        pair = s[:-1].astype(np.uint32 if narrow else np.uint64)
-        pair <<= bits
-        pair |= s[1:]
-        slot = _slot(pair)
-        seen, n = _counted(pair, slot, min(LEAST, max(2, len(s) >> 12)))
+        seen, n = _counted(s, min(LEAST, max(2, len(s) >> 12)))
         take = np.sort(np.argsort(-n, kind="stable")[: min(RULES, room - n_rules)])
         if not len(take):
             break
-        chosen = seen[take]
         # One pair of a slot at most, the most frequent; others wait for the next round.
-        own = _slot(chosen)
+        own = _slot(seen[take])
         order = np.lexsort((-n[take], own))
-        first = order[np.r_[True, own[order][1:] != own[order][:-1]]]
-        chosen = chosen[np.sort(first)]
+        chosen = seen[take][np.sort(order[np.r_[True, own[order][1:] != own[order][:-1]]])]
         of = np.full(1 << _SLOTS, -1, np.int32)
         of[_slot(chosen)] = np.arange(len(chosen))
-        at = np.flatnonzero((of >= 0)[slot])
-        rule = of[slot[at]]
-        hit = chosen[rule] == pair[at]
-        at, rule = at[hit], rule[hit]
+        places, numbers = [], []
+        for i, pair, slot in _pairs(s):
+            rule = of[slot]
+            at = np.flatnonzero(rule >= 0)
+            at = at[chosen[rule[at]] == pair[at]]
+            places.append(at + i)
+            numbers.append(rule[at])
+        at, rule = np.concatenate(places), np.concatenate(numbers)
         # Of overlapping places every other one is replaced, from the left.
         run = np.flatnonzero(np.r_[True, np.diff(at) > 1])
         odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) & 1
@@ -106,7 +114,7 @@ def compress(ids: np.ndarray, terminals: int, rounds: int | None = None) -> tupl
         chosen = chosen.astype(np.int64)
         rules.append(np.stack([chosen >> bits, chosen & ((1 << bits) - 1)], 1))
         n_rules += len(chosen)
-    return s.astype(np.int64), np.concatenate(rules)
+    return s, np.concatenate(rules)
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
@@ -126,8 +134,8 @@ def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, terminals: int)
     symbols, rules = compress(ids, terminals)
     width = "<u2" if terminals + len(rules) <= 1 << 16 else "<u4"
     lengths = _lengths(rules, terminals)
-    size = _sizes(symbols, lengths, terminals)
-    marks = (np.cumsum(size) - size)[::MARKS]
+    blocks = np.add.reduceat(_sizes(symbols, lengths, terminals), np.arange(0, len(symbols), MARKS), dtype=np.int64) if len(symbols) else np.zeros(0, np.int64)
+    marks = np.cumsum(blocks) - blocks
     body = b"".join(
         [
             _HEAD.pack(b"RPG1", int(width[-1]), len(rules), len(doc_ids), len(ids), len(symbols), terminals),
@@ -139,7 +147,19 @@ def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, terminals: int)
 
 
 def _sizes(symbols: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
-    return np.r_[lengths, 1][np.where(symbols >= terminals, symbols - terminals, len(lengths))]
+    """The ids that each symbol stands for."""
+    return np.r_[np.ones(terminals, np.uint32), lengths.astype(np.uint32)][symbols]
+
+
+def _gather(table: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Pieces of the table one after the other, so many at once that little is held besides the result."""
+    parts = [table[:0]]
+    for i in range(0, len(begin), STRETCH):
+        n = size[i : i + STRETCH].astype(np.int64)
+        at = np.repeat(begin[i : i + STRETCH] - np.cumsum(n) + n, n)
+        at += np.arange(len(at))
+        parts.append(table[at])
+    return np.concatenate(parts)
 
 
 class Shard:
@@ -169,17 +189,13 @@ class Shard:
         parts: list[np.ndarray] = []
         for a, b in self.rules.tolist():
             parts.append(np.concatenate([parts[x - self.terminals] if x >= self.terminals else np.array([x]) for x in (a, b)]))
-        self.table = np.concatenate([*parts, np.arange(self.terminals)])
+        self.table = np.concatenate([*parts, np.arange(self.terminals)]).astype(np.uint32)
         self.begin = np.r_[np.cumsum(self.lengths) - self.lengths, len(self.table) - self.terminals + np.arange(self.terminals)]
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        symbols = symbols.astype(np.int64)
-        rule = np.where(symbols >= self.terminals, symbols - self.terminals, symbols + len(self.rules))
-        size = _sizes(symbols, self.lengths, self.terminals)
-        total = np.cumsum(size)
-        at = np.repeat(self.begin[rule] - total + size, size)
-        at += np.arange(len(at))
-        return self.table[at]
+        rule = symbols.astype(np.int32) - self.terminals
+        rule[rule < 0] += self.terminals + len(self.rules)
+        return _gather(self.table, self.begin[rule], _sizes(symbols, self.lengths, self.terminals)).astype(np.int32)
 
     def ids(self) -> np.ndarray:
         return self._expand(self.symbols)
@@ -295,9 +311,7 @@ class WordEncoder:
         u_begin, u_size = np.zeros(len(slot) + w.n, np.int64), np.ones(len(slot) + w.n, np.int64)
         u_begin[place], u_size[place] = begin, size
         total = np.cumsum(u_size)
-        at = np.repeat(u_begin - total + u_size, u_size)
-        at += np.arange(len(at))
-        return self.table[at], total[w.first[1:] + np.arange(w.n)] if w.n else np.zeros(0, np.int64)
+        return _gather(self.table, u_begin, u_size), total[w.first[1:] + np.arange(w.n)] if w.n else np.zeros(0, np.int64)
 
 
 _worker: WordEncoder | None = None

@@ -2,38 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a new one if all runs on one machine, as in tests; else an error.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def scratch(spark, name: str) -> str:
-    """A new folder in the shared one for tables that later steps read; it goes when the driver ends."""
-    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return folder
+from ..sources.folders import scratch, shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -72,3 +44,6 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in held:
         name += "_"
     return name
+
+
+__all__ = ["bounded_sample", "cut", "held_out", "sample_labels", "scratch", "shared_folder", "unused"]
