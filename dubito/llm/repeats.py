@@ -5,10 +5,12 @@ Shared by the two span deduplicators. Seeds are content-selected k-word grams
 windows hold equal seeds. Only seeds that occur twice or more matter further.
 
 Keys (of seeds or windows) are grouped in two steps. Each task first groups its
-own keys: all but the smallest (doc_id, start) of a local group are repeats for
-certain and travel as runs, dealt by document. One member for each key and task
-goes to the key's partition, so a passage in a third of all documents sends it
-as many rows as there are tasks.
+own keys: all but one of a local group (of windows, all but the smallest
+(doc_id, start)) are repeats for certain and travel by document, the seeds of a
+document as one list, windows as runs. One member for each key and task goes to
+the key's partition, so a passage in a third of all documents sends it as many
+rows as there are tasks. There the rows are sorted by Spark and read group by
+group, never a whole partition at once.
 
 Documents with a null doc_id are left out. Rows that repeat a doc_id are
 documents of their own; what is found in one of them holds for all of them.
@@ -30,11 +32,35 @@ DEALT = "route long, k2 long, doc_id long, start long, n long, known boolean"
 _DEALT = pa.schema([("route", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("known", pa.bool_())])
 RUNS = "doc_id long, start long, n long, first boolean"
 _RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("first", pa.bool_())])
-SEEDS = "doc_id long, seed long"
-_SEEDS = pa.schema([("doc_id", pa.int64()), ("seed", pa.int64())])
+_SEEDS = "route long, doc_id long, n long, seeds array<long>"
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], *keys: str, most: int = BATCH) -> Iterator[pa.Table]:
+    """Sorted rows, so many at once that groups of equal keys stay whole."""
+    held, size, due = [], 0, most
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        if size < due:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        same = np.ones(size, bool)
+        for k in keys:
+            x = rows.column(k).to_numpy()
+            same &= x == x[-1]
+        cut = size - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut:
+            yield rows.slice(0, cut).combine_chunks()
+            held, size, due = rows.slice(cut).to_batches(), size - cut, most
+        else:
+            held, due = rows.to_batches(), 2 * size
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """Key and text of the documents, whatever else the table holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
@@ -99,11 +125,8 @@ def _one(mark: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return rows[np.r_[True, group[1:] != group[:-1]]]
 
 
-def deal(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray, seeds: bool) -> Iterator[pa.RecordBatch]:
-    """The rows that a task sends: one member for each key, and what is known to repeat.
-
-    For seeds, k2 holds the seed in what is known; windows travel as runs, whose k2 is 1 for first occurrences.
-    """
+def deal(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows that a task sends: one member for each window's key, and runs of what is known to repeat (k2: 1 for first occurrences)."""
     if not len(k1):
         return
     order, heads = _groups(k1, k2)
@@ -113,12 +136,7 @@ def deal(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray, see
     yield from emit(_DEALT, k1[head], k2[head], doc[head], start[head], sizes, np.zeros(len(head), bool))
     rest = np.ones(len(k1), bool)
     rest[head] = False
-    if not rest.any():
-        return
-    seed, doc, start = k1[rest], doc[rest], start[rest]
-    if seeds:
-        yield from emit(_DEALT, by_doc(doc), seed, doc, start, np.ones(len(doc), np.int64), np.ones(len(doc), bool))
-        return
+    doc, start = doc[rest], start[rest]
     order = np.lexsort((start, doc))
     yield from known_runs(doc[order], start[order])
 
@@ -141,50 +159,47 @@ def known_runs(doc: np.ndarray, start: np.ndarray, first: bool = False) -> Itera
     yield from emit(_DEALT, route, np.full(len(new), first, np.int64), doc[new], start[new], start[last] - start[new] + 1, np.ones(len(new), bool))
 
 
-def find_repeats(dealt: DataFrame, seeds: bool) -> DataFrame:
-    """Repeats among dealt rows: (doc_id, seed) or runs of window starts.
-
-    first: the runs hold the smallest (doc_id, start) of their windows.
-    """
+def find_repeats(dealt: DataFrame) -> DataFrame:
+    """Runs of window starts whose windows repeat. first: the runs hold the smallest (doc_id, start) of their windows."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = []
-        for b in batches:
-            known = b.column("known").to_numpy(zero_copy_only=False)
-            route, k2, doc, start, n = (b.column(c).to_numpy() for c in ("route", "k2", "doc_id", "start", "n"))
+        for t in grouped(batches, "route", "k2"):
+            known = t.column("known").to_numpy()
+            route, k2, doc, start, n = (t.column(c).to_numpy() for c in ("route", "k2", "doc_id", "start", "n"))
             if known.any():
-                if seeds:
-                    yield from emit(_SEEDS, doc[known], k2[known])
-                else:
-                    yield from emit(_RUNS, doc[known], start[known], n[known], k2[known] == 1)
-            kept.append([x[~known] for x in (route, k2, doc, start, n)])
-        if not kept:
-            return
-        route, k2, doc, start, n = (np.concatenate(x) for x in zip(*kept, strict=True))
-        del kept
-        if not len(route):
-            return
-        order, heads = _groups(route, k2)
-        sizes = np.diff(np.r_[heads, len(route)])
-        total = np.repeat(np.add.reduceat(n[order], heads), sizes) > 1
-        order = order[total]
-        route, k2, doc, start = route[order], k2[order], doc[order], start[order]
-        if not len(route):
-            return
-        heads = np.flatnonzero(np.r_[True, (route[1:] != route[:-1]) | (k2[1:] != k2[:-1])])
-        sizes = np.diff(np.r_[heads, len(route)])
-        if seeds:
-            yield from emit(_SEEDS, doc, route)
-        else:
-            yield from emit(_RUNS, doc, start, np.ones(len(doc), np.int64), _least(doc, start, heads, sizes))
+                yield from emit(_RUNS, doc[known], start[known], n[known], k2[known] == 1)
+                route, k2, doc, start, n = (x[~known] for x in (route, k2, doc, start, n))
+            if not len(route):
+                continue
+            heads = np.flatnonzero(np.r_[True, (route[1:] != route[:-1]) | (k2[1:] != k2[:-1])])
+            sizes = np.diff(np.r_[heads, len(route)])
+            again = np.repeat(np.add.reduceat(n, heads), sizes) > 1
+            first = _least(doc, start, heads, sizes)
+            yield from emit(_RUNS, doc[again], start[again], np.ones(int(again.sum()), np.int64), first[again])
+
+    return dealt.repartition("route").sortWithinPartitions("route", "k2").mapInArrow(task, RUNS)
+
 
-    return dealt.repartition("route").mapInArrow(task, SEEDS if seeds else RUNS)
+def _lists(route: np.ndarray, doc: np.ndarray, n: np.ndarray, seeds: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(route), BATCH):
+        e = ends[i : i + BATCH]
+        lo = int(ends[i - 1]) if i else 0
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[lo, e] - lo, pa.int32()), pa.array(seeds[lo : int(e[-1])]))
+        yield pa.RecordBatch.from_arrays([pa.array(route[i : i + BATCH]), pa.array(doc[i : i + BATCH]), pa.array(n[i : i + BATCH]), lists], ["route", "doc_id", "n", "seeds"])
+
+
+def _by_document(doc: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, all their seeds in a row, and the end of each one's."""
+    order = np.argsort(doc, kind="stable")
+    doc, seed = doc[order], seed[order]
+    head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    return doc[head], seed, np.r_[head[1:], len(doc)][: len(head)]
 
 
 def shared_seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
     """(doc_id, seeds): the seeds of each document that occur twice or more in the corpus."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed, doc = [], []
         for batch in batches:
             for c in chunks(batch):
@@ -192,12 +207,34 @@ def shared_seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
                 at = g.seeds()
                 seed.append(g.grams[at])
                 doc.append(c.column("doc_id").to_numpy()[g.owner[at]])
-        if seed:
-            seed, doc = signed(np.concatenate(seed)), np.concatenate(doc)
-            yield from deal(seed, np.zeros_like(seed), doc, np.zeros_like(seed), True)
+        if not seed:
+            return
+        seed, doc = signed(np.concatenate(seed)), np.concatenate(doc)
+        order = np.argsort(seed, kind="stable")
+        seed, doc = seed[order], doc[order]
+        head = np.r_[True, seed[1:] != seed[:-1]] if len(seed) else np.zeros(0, bool)
+        at = np.flatnonzero(head)
+        yield from _lists(seed[at], doc[at], np.diff(np.r_[at, len(seed)]), seed[:0], np.zeros(len(at), np.int64))
+        own, flat, ends = _by_document(doc[~head], seed[~head])
+        yield from _lists(by_doc(own), own, np.zeros(len(own), np.int64), flat, ends)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, "route"):
+            route, doc, n = (t.column(c).to_numpy() for c in ("route", "doc_id", "n"))
+            known = n == 0
+            if known.any():
+                yield t.filter(pa.array(known)).select(["doc_id", "seeds"]).combine_chunks().to_batches()[0]
+                route, doc, n = route[~known], doc[~known], n[~known]
+            if not len(route):
+                continue
+            heads = np.flatnonzero(np.r_[True, route[1:] != route[:-1]])
+            again = np.repeat(np.add.reduceat(n, heads), np.diff(np.r_[heads, len(route)])) > 1
+            own, flat, ends = _by_document(doc[again], route[again])
+            for b in _lists(own, own, own, flat, ends):
+                yield b.select(["doc_id", "seeds"])
 
-    found = find_repeats(docs.mapInArrow(task, DEALT), True)
-    return found.groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
+    found = docs.mapInArrow(send, _SEEDS).repartition("route").sortWithinPartitions("route").mapInArrow(judge, "doc_id long, seeds array<long>")
+    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("seeds")).alias("seeds"))
 
 
 def shared_places(g: Grams, seeds: pa.Array) -> np.ndarray:
@@ -224,4 +261,4 @@ def covered(n_words: int, starts: np.ndarray, n: np.ndarray, length: int) -> np.
     return np.cumsum(d[:-1]) > 0
 
 
-__all__ = ["DEALT", "Grams", "by_doc", "by_document", "covered", "deal", "documents", "emit", "find_repeats", "join", "known_runs", "shared_places", "shared_seeds"]
+__all__ = ["DEALT", "Grams", "by_doc", "by_document", "covered", "deal", "documents", "emit", "find_repeats", "grouped", "join", "known_runs", "shared_places", "shared_seeds"]

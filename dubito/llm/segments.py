@@ -185,11 +185,11 @@ def repeated_runs(docs: DataFrame, window: int, seed: int, decide: Callable, row
                 yield from known_runs(doc[r], place[r] - (marks.shape[1] - 1 - o), is_first)
             r, o = np.nonzero(undecided)
             if len(r):
-                yield from deal(*map(signed, _hashes(r, o, right, left, window)), doc[r], place[r] - o, False)
+                yield from deal(*map(signed, _hashes(r, o, right, left, window)), doc[r], place[r] - o)
         if sure:
             doc, start, n = (np.concatenate(x) for x in zip(*sure, strict=True))
             yield from known_runs(np.repeat(doc, n), np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
 
     order = ("seed", "right", "left", "doc_id", "start")
     index = segments(documents(docs), window, seed).repartitionByRange(*order).sortWithinPartitions(*order)
-    return find_repeats(index.mapInArrow(task, DEALT), False)
+    return find_repeats(index.mapInArrow(task, DEALT))
