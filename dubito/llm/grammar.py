@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .repeats import documents
 from .shared import scratch
-from .text import LOWER, Words, chunks, distinct
+from .text import Words, chunks, distinct
 
 END = 2
 SHARD = 1 << 22
@@ -50,7 +50,7 @@ MARKS = 1024
 #: Positions counted at once, the least count of a pair, rules a round may add.
 STRETCH, LEAST, RULES = 1 << 17, 24, 2600
 KEPT = 1 << 20
-_SLOTS = 18
+_SLOTS = 19
 _HEAD = struct.Struct("<4sIQQQQQ")
 
 
@@ -77,32 +77,51 @@ def _counted(s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return seen[n >= least], n[n >= least]
 
 
+def _places(s: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, numbers of the pairs) of chosen pairs, which fall into a slot each."""
+    of = np.full(1 << _SLOTS, -1, np.int32)
+    of[_slot(chosen)] = np.arange(len(chosen))
+    places, numbers = [], []
+    for i, pair, slot in _pairs(s):
+        rule = of[slot]
+        at = np.flatnonzero(rule >= 0)
+        at = at[chosen[rule[at]] == pair[at]]
+        places.append(at + i)
+        numbers.append(rule[at])
+    return np.concatenate(places), np.concatenate(numbers)
+
+
 def compress(ids: np.ndarray, terminals: int, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): the ids with frequent pairs replaced, until none is frequent or no symbol is left (or for so many rounds)."""
     bits, kind = (16, np.uint16) if terminals < 1 << 16 else (32, np.uint32)
     room = (1 << 16 if bits == 16 else 1 << 31) - terminals
     s, rules, n_rules = ids.astype(kind), [np.zeros((0, 2), np.int64)], 0
+    near, before = None, 0
     for _ in itertools.count() if rounds is None else range(rounds):
-        if len(s) < 2:
+        most, least = min(RULES, room - n_rules), min(LEAST, max(2, len(s) >> 12))
+        if len(s) < 2 or not most:
             break
-        seen, n = _counted(s, min(LEAST, max(2, len(s) >> 12)))
-        take = np.sort(np.argsort(-n, kind="stable")[: min(RULES, room - n_rules)])
-        if not len(take):
+        if near is None or least < before:
+            seen, n = _counted(s, least)
+        else:  # every frequent pair was replaced: what is frequent now holds a symbol of the last round
+            near = np.unique(near[(near >= 0) & (near < len(s) - 1)])
+            pair = s[near].astype(np.int64) << bits | s[near + 1]
+            seen, n = np.unique(pair, return_counts=True)
+            seen, n = seen[n >= least], n[n >= least]
+        if not len(seen):
             break
-        # One pair of a slot at most, the most frequent; others wait for the next round.
-        own = _slot(seen[take])
-        order = np.lexsort((-n[take], own))
-        chosen = seen[take][np.sort(order[np.r_[True, own[order][1:] != own[order][:-1]]])]
-        of = np.full(1 << _SLOTS, -1, np.int32)
-        of[_slot(chosen)] = np.arange(len(chosen))
-        places, numbers = [], []
-        for i, pair, slot in _pairs(s):
-            rule = of[slot]
-            at = np.flatnonzero(rule >= 0)
-            at = at[chosen[rule[at]] == pair[at]]
-            places.append(at + i)
-            numbers.append(rule[at])
-        at, rule = np.concatenate(places), np.concatenate(numbers)
+        take = np.sort(np.argsort(-n, kind="stable")[:most])
+        if near is None or least < before:
+            # One pair of a slot at most, the most frequent; others wait for the next round.
+            own = _slot(seen[take])
+            order = np.lexsort((-n[take], own))
+            chosen = seen[take][np.sort(order[np.r_[True, own[order][1:] != own[order][:-1]]])]
+            at, rule = _places(s, chosen)
+        else:
+            chosen = seen[take]
+            rule = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
+            hit = chosen[rule] == pair
+            at, rule = near[hit], rule[hit]
         # Of overlapping places every other one is replaced, from the left.
         run = np.flatnonzero(np.r_[True, np.diff(at) > 1])
         odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) & 1
@@ -111,6 +130,8 @@ def compress(ids: np.ndarray, terminals: int, rounds: int | None = None) -> tupl
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
+        fresh = at - np.arange(len(at))
+        near, before = (np.r_[fresh - 1, fresh] if len(chosen) == len(seen) else None), least
         chosen = chosen.astype(np.int64)
         rules.append(np.stack([chosen >> bits, chosen & ((1 << bits) - 1)], 1))
         n_rules += len(chosen)
@@ -227,7 +248,9 @@ class _Units(Words):
         glued = self._holding((self.raw == 0x27) | (self.raw == 0x3C))
         # Other than ASCII is composed before it is lower-cased.
         as_is = glued | self._holding(self.raw >= 0x80)
-        self.raw = np.where(self._bytes(as_is), self.raw, LOWER[self.raw])
+        upper = np.flatnonzero((self.raw - np.uint8(0x41)) < 26)
+        upper = upper[~as_is[np.searchsorted(self.starts, upper, "right") - 1]]
+        self.raw[upper] += 32
         kind = _KIND[self.raw[: self.size]]
         cut = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
         cut[self.starts[self.starts > 0] - 1] = False  # words of neighbouring texts
