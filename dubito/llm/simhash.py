@@ -6,15 +6,17 @@ nearest anchor and, as a replica, to every anchor within R + t; home rows are co
 with all rows of their anchor.
 
 On all 64 bits that takes too many replicas. Four differing bits are therefore first
-split by place: of three blocks of bits, one differs in at most one place (t = 1), and
-for larger tables, of six triples of six blocks that cover all pairs of blocks, one
-does. Each block (or triple) has its own covering code: a perfect Hamming code of
-radius 1 on its first 15 (31) bits, with all patterns of its other bits. Its syndrome
-gives the home; anchors within R + t = 2 of a fingerprint are found by table.
+split by place: of six triples of six blocks of bits, one differs in at most one place
+(t = 1). Each triple has its own covering code: a perfect Hamming code of radius 1 on its
+first 31 bits, with all patterns of the others. Its syndrome gives the home; anchors
+within R + t = 2 of a fingerprint are found by table: 102 rows a fingerprint.
 
 Exact: all links between different fingerprints at 4 or fewer bits are found, at any
-table. Equal fingerprints are one class, whatever their number. Links are joined per
-anchor before they are sent, as stars instead of pairs.
+table. Equal fingerprints are one class, whatever their number. Rows come sorted by anchor
+and are read anchor by anchor; home rows are compared with all rows of their anchor. Of an
+anchor with more than ``DENSE`` rows only those are compared that agree on four bytes of
+eight, as all do that differ in four bits at most. Links are joined per anchor before they
+are sent, as stars instead of pairs.
 
 That is op6. The pipeline's stage goes by similarity (``similar_components``): documents whose
 sets of five-word shingles have a Jaccard similarity of 0.8 or more, about 10 bits of 64 apart
@@ -31,6 +33,7 @@ get a row each, and link what they hold through the id they share.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +41,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .components import components
-from .repeats import documents, emit
+from .repeats import documents, emit, grouped
 from .shared import cut, unused
 from .text import LOWER, Words, chunks, join, mix, signed, spans, unsigned
 
 DISTANCE = 4
 SHINGLE = 4
-#: Distinct fingerprints from which anchors are words of six-block codes.
-MANY = 1 << 22
-#: Rows of one anchor from which components are grown instead of comparing home rows with all.
+#: Rows of one anchor from which those that agree on half their bytes are compared, and of such a half from which components are grown.
 DENSE = 512
 #: The stage's rule, and its anchors: minima of WIDTH hashes each, fingerprints WIDE bits apart at most.
 SIMILARITY, WORDS = 0.8, 5
@@ -61,10 +63,8 @@ def _blocks(n: int) -> list[list[int]]:
     return [list(b) for b in np.array_split(np.arange(64), n)]
 
 
-def tables(many: bool) -> list[tuple[int, list[int]]]:
+def tables() -> list[tuple[int, list[int]]]:
     """(r, bits): a Hamming code on the first 2^r - 1 of the bits, for each table."""
-    if not many:
-        return [(4, b) for b in _blocks(3)]
     b = _blocks(6)
     # However four differing bits fall into six blocks, one of these triples has one of them at most.
     return [(4 if len(x := [i for j in t for i in b[j]]) < 31 else 5, x) for t in ((0, 1, 2), (0, 1, 3), (0, 4, 5), (1, 4, 5), (2, 3, 4), (2, 3, 5))]
@@ -127,75 +127,99 @@ def anchors(fp: np.ndarray, r: int, bits: list[int]) -> Iterator[tuple[np.ndarra
             yield np.where(use, flip(flip(x, np.full(len(x), s)), mend), home), False
 
 
-def _links(fp: np.ndarray, home: np.ndarray, heads: np.ndarray, distance: int, dense: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers that span the links within each anchor's rows. Rows are sorted by anchor."""
-    dense = DENSE if dense is None else dense
+def _pairs(fp: np.ndarray, heads: np.ndarray, distance: int, home: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers within the distance among the rows of each group; home: rows that are compared with all of theirs."""
     sizes = np.diff(np.r_[heads, len(fp)])
-    left, right = [], []
     begin, group = np.repeat(heads, sizes), np.repeat(sizes, sizes)
-    rows = np.flatnonzero(home & (group > 1) & (group <= dense))
-    for i in range(0, len(rows), 1 << 14):
-        r = rows[i : i + (1 << 14)]
+    rows = np.flatnonzero((group > 1) if home is None else home & (group > 1))
+    i, upto = 0, np.cumsum(group[rows])
+    while i < len(rows):  # so many pairs at once
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + (1 << 21), "right")))
+        r = rows[i:j]
         g = group[r]
         a = np.repeat(r, g)
         b = np.arange(g.sum()) - np.repeat(np.cumsum(g) - g, g) + np.repeat(begin[r], g)
         near = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (a != b)
-        left.append(a[near])
-        right.append(b[near])
-    for h, n in zip(heads[sizes > dense], sizes[sizes > dense], strict=True):
-        rest = np.arange(h, h + n)
-        while len(rest):  # grow a component: what it reaches is not looked at again
-            todo, rest = [rest[0]], rest[1:]
-            while todo and len(rest):
-                near = np.bitwise_count(fp[rest] ^ fp[todo[-1]]) <= distance
-                x = todo.pop()
-                reached = rest[near]
-                left.append(np.full(len(reached), x))
-                right.append(reached)
-                todo += reached.tolist()
-                rest = rest[~near]
+        yield a[near], b[near]
+        i = j
+
+
+def _grown(fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that span the links among all rows: a component grows, and what it reaches is not looked at again."""
+    rest = np.arange(len(fp))
+    while len(rest):
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            x = todo.pop()
+            near = np.bitwise_count(fp[rest] ^ fp[x]) <= distance
+            reached = rest[near]
+            yield np.full(len(reached), x), reached
+            todo += reached.tolist()
+            rest = rest[~near]
+
+
+def _halves(fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that span the links of at most four bits among all rows, from those that agree on four of eight bytes."""
+    for kept in itertools.combinations(range(8), 4):
+        key = fp & np.uint64(sum(0xFF << 8 * i for i in kept))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[heads, len(fp)])
+        large = np.repeat(sizes > DENSE, sizes)
+        small = order[~large]
+        if len(small):
+            k = key[~large]
+            for a, b in _pairs(fp[small], np.flatnonzero(np.r_[True, k[1:] != k[:-1]]), distance):
+                yield small[a], small[b]
+        for h, n in zip(heads[sizes > DENSE], sizes[sizes > DENSE], strict=True):
+            some = order[h : h + n]
+            for a, b in _grown(fp[some], distance):
+                yield some[a], some[b]
+
+
+def _links(fp: np.ndarray, home: np.ndarray, heads: np.ndarray, distance: int, grow: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers that span the links within each anchor's rows. Rows are sorted by anchor. grow: at any distance."""
+    sizes = np.diff(np.r_[heads, len(fp)])
+    dense = sizes > (1 if grow else DENSE)
+    found = list(_pairs(fp, heads, distance, home & ~np.repeat(dense, sizes)))
+    for h, n in zip(heads[dense], sizes[dense], strict=True):
+        found += [(a + h, b + h) for a, b in (_grown if grow else _halves)(fp[h : h + n], distance)]
     none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    return tuple(np.concatenate([none, *x]) for x in zip(*found, strict=True)) if found else (none, none)
 
 
 _PLACED = pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("home", pa.bool_())])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _comparing(distance: int, dense: int | None = None):
-    """A task that spans the links within each anchor's rows of (anchor, fp, node, home); from ``dense`` rows by growing."""
+def _comparing(placed: DataFrame, distance: int, grow: bool = False) -> DataFrame:
+    """Edges (u, v) that span the links within each anchor's rows of (anchor, fp, node, home)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in _PLACED.names) for b in batches]
-        if not parts:
-            return
-        anchor, fp, node, home = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(anchor):
-            return
-        # by node where stars are grown, so that the anchors of a family choose the same hub
-        order = np.argsort(anchor, kind="stable") if dense is None else np.lexsort((node, anchor))
-        anchor, fp, node, home = anchor[order], unsigned(fp[order]), node[order], home[order]
-        a, b = _links(fp, home, np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), distance, dense)
-        if len(a):
-            u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
-            order = np.lexsort((v, u))
-            u, v = u[order], v[order]
-            new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])] & (u != v)
-            yield from emit(_EDGES, u[new], v[new])
-
-    return compare
-
-
-def near_links(classes: DataFrame, distance: int = DISTANCE, many: bool | None = None) -> DataFrame:
+        for t in grouped(batches, "anchor"):
+            # by node within an anchor, so that the anchors of a family choose the same hub
+            anchor, fp, node, home = (t.column(c).to_numpy() for c in _PLACED.names)
+            a, b = _links(unsigned(fp), home, np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), distance, grow)
+            if len(a):
+                u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+                order = np.lexsort((v, u))
+                u, v = u[order], v[order]
+                new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])] & (u != v)
+                yield from emit(_EDGES, u[new], v[new])
+
+    return placed.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "u long, v long")
+
+
+def near_links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (u, v) between nodes of classes (node, fp) that join all at ``distance`` bits or fewer."""
     if distance > 4:
         raise ValueError("the tables hold all links of 4 bits at most")
-    many = classes.count() > MANY if many is None else many
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp, node = unsigned(b.column("fp").to_numpy()), b.column("node").to_numpy()
-            for i, (r, bits) in enumerate(tables(many)):
+            for i, (r, bits) in enumerate(tables()):
                 for j, (key, home) in enumerate(anchors(fp, r, bits)):
                     real = slice(None) if j < 1 + len(bits) - (1 << r) + 1 else key != first
                     if home:
@@ -203,7 +227,7 @@ def near_links(classes: DataFrame, distance: int = DISTANCE, many: bool | None =
                     key = signed(key[real] | np.uint64(i << 58))
                     yield from emit(_PLACED, key, signed(fp[real]), node[real], np.full(len(key), home))
 
-    return classes.select("fp", "node").mapInArrow(place, "anchor long, fp long, node long, home boolean").repartition("anchor").mapInArrow(_comparing(distance), "u long, v long")
+    return _comparing(classes.select("fp", "node").mapInArrow(place, "anchor long, fp long, node long, home boolean"), distance)
 
 
 def near_components(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
@@ -225,19 +249,23 @@ def simhash_groups(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGL
 
 
 def _keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their component in found (doc_id, component_id); one of a doc_id."""
+    """The rows of docs that are the smallest doc_id of their component in found (doc_id, component_id).
+
+    Of rows that repeat a doc_id the first by the hash of its text stays, then by the other columns, in their order.
+    """
     gone, turn = unused(docs, "gone"), unused(docs, "turn")
     found = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     left = docs.join(found, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     # The second key parts the rows without an id; of the others it is null.
-    rows = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("doc_id")
+    fixed = [f.name for f in docs.schema if not isinstance(f.dataType, MapType | VariantType) and f.name != "text"]
+    rows = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"), "text", *fixed)
     return left.withColumn(turn, F.row_number().over(rows)).where((F.col(turn) == 1) | F.col("doc_id").isNull()).drop(turn)
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
     """The rows of docs, all columns, that are the smallest doc_id of their component.
 
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id all stay.
+    Of rows that repeat a doc_id one stays, the same in every run. Rows with a null doc_id all stay.
     """
     return _keep_first(docs, near_components(docs, distance, size))
 
@@ -331,7 +359,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, size: in
     prints = cut(sketches(docs, size))
     classes = cut(prints.groupBy("fp", "key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     placed = classes.select(F.explode("bands").alias("anchor"), "fp", "node", F.lit(True).alias("home"))
-    loose = components(placed.repartition("anchor").mapInArrow(_comparing(WIDE, 2), "u long, v long"))
+    loose = components(_comparing(placed, WIDE, grow=True))
     members = cut(loose.union(loose.select("component", "component")).distinct())
     candidates = documents(docs).join(members.hint("merge"), F.col("doc_id") == F.col("node")).select("component", "node", "text")
     edges = _verified(candidates, size, similarity)

@@ -35,33 +35,44 @@ def connect(nodes, linked):
     return {x: find(x) for x in nodes}
 
 
-@pytest.mark.parametrize("many", [False, True])
-@pytest.mark.parametrize("dense", [512, 8])
-def test_links(spark, many, dense, monkeypatch):
-    rng = np.random.default_rng(dense)
+def families(seed):
+    rng = np.random.default_rng(seed)
     fps = set()
     for x in rng.integers(0, 2**63, 25, dtype=np.uint64).tolist():
         for _ in range(14):
             fps.add(x)
             for b in rng.choice(64, rng.integers(1, 7), replace=False).tolist():
                 x ^= 1 << b
-    fps = sorted(fps)
+    return sorted(fps)
+
+
+def test_links(spark):
+    fps = families(512)
     df = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64))) for i, f in enumerate(fps)], "node long, fp long").repartition(3)
-    if dense == 8:
-        monkeypatch.setattr(simhash, "DENSE", 8)  # components are grown in this process
-        a = np.sort(np.array(fps, np.uint64))
-        i, j = simhash._links(a, np.ones(len(a), bool), np.array([0]), 4)
-        pairs = set(zip(i.tolist(), j.tolist(), strict=True))
-        want = connect(range(len(a)), lambda p, q: bin(int(a[p]) ^ int(a[q])).count("1") <= 4)
-        assert connect(range(len(a)), lambda p, q: (p, q) in pairs or (q, p) in pairs) == want
-        return
-    got = {r.node: r.component for r in components(simhash.near_links(df, 4, many)).collect()}
+    got = {r.node: r.component for r in components(simhash.near_links(df, 4)).collect()}
     want = connect(range(len(fps)), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 4)
     assert {i: got.get(i, i) for i in want} == want
 
 
+@pytest.mark.parametrize("dense,grow", [(8, False), (2, False), (8, True), (10**6, False)])
+def test_links_of_dense_anchors(dense, grow, monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    a = np.array(families(8), np.uint64)
+    i, j = simhash._links(a, np.ones(len(a), bool), np.array([0, len(a) // 2]), 4, grow)
+    pairs = set(zip(i.tolist(), j.tolist(), strict=True))
+    half = len(a) // 2
+    want = connect(range(len(a)), lambda p, q: (p < half) == (q < half) and bin(int(a[p]) ^ int(a[q])).count("1") <= 4)
+    assert connect(range(len(a)), lambda p, q: (p, q) in pairs or (q, p) in pairs) == want
+
+
+def test_which_of_repeated_rows_stays(spark):
+    rows = [(1, "b c d e f", "x"), (1, "a b c d e", "y"), (1, "a b c d e", "w"), (2, "q r s t u", "z")]
+    kept = {tuple(r) for n in (1, 3) for r in simhash.keep_one(spark.createDataFrame(rows[::-1] if n == 3 else rows, "doc_id long, text string, lang string").repartition(n)).collect()}
+    assert len(kept) == 2 and (2, "q r s t u", "z") in kept
+
+
 def test_triples_cover_all_splits_of_four_bits():
-    bits = [set(b) for _, b in simhash.tables(True)]
+    bits = [set(b) for _, b in simhash.tables()]
     blocks = [set(b) for b in simhash._blocks(6)]
     for errors in itertools.product(range(5), repeat=6):
         if sum(errors) == 4:
