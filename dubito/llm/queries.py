@@ -27,6 +27,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spans(column):
+    """start:n of each span, with blanks between."""
+    return F.array_join(F.transform(column, lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["n"].cast("string"))), " ")
+
+
 def op1_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,9 +43,7 @@ def op2_crossentropy(spark, sf_dir):
 
 
 def op3_suffixes(spark, sf_dir):
-    found = suffixes.find_passages(table(spark, sf_dir, "documents"))
-    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["n"].cast("string"))), " ")
-    return found.withColumn("spans", spans)
+    return suffixes.find_passages(table(spark, sf_dir, "documents")).withColumn("spans", _spans("spans"))
 
 
 def op4_rlz(spark, sf_dir):
@@ -48,7 +51,9 @@ def op4_rlz(spark, sf_dir):
 
 
 def op5_spaced_seeds(spark, sf_dir):
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.transform("items", lambda i: i.cast("string")), " ")
+    return found.withColumns({"items": items, "spans": _spans("spans")})
 
 
 def op6_simhash(spark, sf_dir):
@@ -80,7 +85,22 @@ win AS (SELECT doc_id, i, array_to_string(w[i + 1:i + {n}], ' ') AS k FROM (SELE
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win),
 j AS (SELECT doc_id, j, max((r > 1)::INT) AS later FROM (SELECT doc_id, unnest(range(i, i + {n})) AS j, r FROM g WHERE c > 1) GROUP BY ALL)"""
 
+_LEAKS = f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, n, i, w[i + 1:i + 12] AS t FROM (SELECT doc_id, len(w) AS n, w, unnest(range(0, len(w) - 11)) AS i FROM d)),
+bw AS (SELECT DISTINCT item_id, w[i + 1:i + 12] AS u FROM (SELECT item_id, w, unnest(range(0, len(w) - 11)) AS i FROM b)),
+p AS (SELECT unnest([1, 4, 7, 10]) AS p),
+x AS (SELECT *, array_to_string(t[p:p + 2], ' ') AS g FROM dw, p),
+y AS (SELECT *, array_to_string(u[p:p + 2], ' ') AS g FROM bw, p),
+m AS (SELECT DISTINCT doc_id, n, i, item_id FROM x JOIN y USING (p, g) WHERE list_sum([(t[k] = u[k])::INT FOR k IN range(1, 13)]) >= {decontaminate.SPAN - decontaminate.MISSES}),
+j AS (SELECT DISTINCT doc_id, unnest(range(i, i + 12)) AS j FROM m),
+s AS (SELECT doc_id, min(j) AS start, count(*) AS n FROM (SELECT *, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS island FROM j) GROUP BY doc_id, island),
+l AS (SELECT doc_id, sum(n)::BIGINT AS n_leaked, string_agg(concat(start, ':', n), ' ' ORDER BY start) AS spans FROM s GROUP BY doc_id),
+o AS (SELECT doc_id, max(n) AS n_tokens, array_to_string(list_sort(list(DISTINCT item_id)), ' ') AS items FROM m GROUP BY doc_id)
+SELECT doc_id, items, n_tokens, n_leaked, spans FROM o JOIN l USING (doc_id)"""
+
 _SQL = {
+    "op5_spaced_seeds": _LEAKS,
     "op3_suffixes": "WITH "
     + _WINDOWS.format(n=suffixes.WINDOW)
     + """, x AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS island FROM j),

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from dubito.llm import decontaminate, rlz, segments, suffixes
 from dubito.llm.text import Words, minimisers, mix, spans
@@ -164,7 +165,7 @@ def test_leaks(spark, edge, nothing, benchmark):
         if marks:
             want[d] = (sorted(want[d]), len(marks))
     df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for most in (decontaminate.BLOCK, 400):  # one block, many
+    for most in (decontaminate.MOST, 4):  # a sparse filter, one that lets everything pass
         got = {r.doc_id: (list(r["items"]), r.n_leaked) for r in decontaminate.find_leaks(df, b, most).collect()}
         assert got == want and len(want) > 20
         assert {r.doc_id for r in decontaminate.clean(df, b, most).collect()} == {d for d, _ in docs} - set(want)
@@ -176,6 +177,37 @@ def test_leaks(spark, edge, nothing, benchmark):
         assert decontaminate.find_leaks(d, b).count() == 0 and decontaminate.clean(d, b).count() == d.count()
 
 
+def test_finer_seeds_meet_where_two_places_differ():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2**63, (40, 12), dtype=np.uint64)
+    b = a.copy()
+    wrong = []
+    for i in range(40):
+        at = rng.choice(12, i % 5, replace=False)
+        b[i, at] += np.uint64(1)
+        wrong.append(len(at))
+    masks = np.zeros(40, np.int32)
+    for i, (x, y) in enumerate(zip(decontaminate._seeds(a.ravel()), decontaminate._seeds(b.ravel()), strict=True)):
+        masks |= (x[::12] == y[::12]).astype(np.int32) << i
+    seeds = [{(r, s) for r, s in zip(*map(np.ndarray.tolist, decontaminate.finer_seeds(m, k)), strict=True)} for m, k in ((a, np.full(40, 63)), (b, masks))]
+    met = {r for r, _ in seeds[0] & seeds[1]}
+    assert met == {i for i in range(40) if wrong[i] <= 2}
+
+
+@pytest.mark.parametrize("n", [60, 120])
+def test_templated_items_grow_in_proportion(spark, n):
+    """Items and texts that share six tokens of twelve: nothing leaks but what is copied, and few pairs meet."""
+    text = lambda kind, i: " ".join(f"fixed{j}" if j // 3 % 2 else f"{kind}{i}x{j}" for j in range(24))
+    items = spark.createDataFrame([(i, text("item", i)) for i in range(n)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, text("text", i)) for i in range(n)] + [(n, "see " + text("item", 7))], "doc_id long, text string")
+    assert [(r.doc_id, list(r["items"]), r.n_leaked) for r in decontaminate.find_leaks(docs, items).collect()] == [(n, [7], 24)]
+    test = decontaminate.benchmark_windows(items)
+    found = decontaminate.candidates(docs.select(F.col("doc_id").alias("key"), "text"), "long", decontaminate.build_filter(test))
+    own, other = (w.groupBy("whole").agg(F.first("tokens").alias("tokens"), F.bit_or("masks").alias("masks")) for w in (found, test))
+    met = decontaminate._sown(own, "own").join(decontaminate._sown(other, "other"), "seed").select("own", "other").distinct().count()
+    assert met <= 13 + n
+
+
 def test_words_and_minimisers():
     w = Words(pa.array(["a bb  ccc\nd", None, "", " x", "y ", "zz", "é\x0bq"]))
     assert [w.word(i) for i in range(len(w.starts))] == [b"a", b"bb", b"ccc", b"d", b"x", b"y", b"zz", "é".encode(), b"q"] and list(w.count) == [4, 0, 0, 1, 1, 1, 2]
