@@ -6,9 +6,10 @@ read a window of ``WINDOW`` words; attention pools their states to one logit. A
 score is that of its worst window: windows start every ``STRIDE`` words, the last ends with
 the text, and all are scored, whatever the text's length.
 
-The network learns on the driver from at most ``SAMPLE`` labelled texts of ``TEXT`` bytes or
-less (a bounded sample by the hash of doc_id, toxic and clean ones apart). For each text the
-gradient runs through its worst window.
+The network learns on the driver from at most ``SAMPLE`` labelled texts (a bounded sample by
+the hash of doc_id, toxic and clean ones apart). Of texts of more than ``TEXT`` bytes it sees
+windows of that size in sum, chosen by hash over the whole text. For each text the gradient
+runs through its worst window.
 
 Defined results: texts without words score 0; without labels of both kinds every score is 0;
 rows with a null doc_id are left out; rows that repeat a doc_id get a row each.
@@ -16,6 +17,7 @@ rows with a null doc_id are left out; rows that repeat a doc_id get a row each.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,8 @@ from .shared import bounded_sample, held_out, sample_labels
 from .text import ALNUM, Words, chunks, distinct, mix
 
 WINDOW, STRIDE = 32, 16
-#: Labelled texts to learn from, (toxic, clean), and their length in bytes, at most.
-SAMPLE, TEXT = (1200, 4000), 1 << 13
+#: Labelled texts to learn from, (toxic, clean), and bytes of each, at most.
+SAMPLE, TEXT = (1200, 4000), 1 << 16
 THRESHOLD = 0.7
 #: Texts of the sample that a word must stand in to have an embedding of its own; buckets of trigrams.
 FREQUENT, GRAMS = 5, 1 << 12
@@ -241,13 +243,30 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 48, rate:
     return net
 
 
+def some_windows(text: str, most: int = TEXT) -> str:
+    """The text, or if it has more bytes than that, windows of its words, chosen by hash, that have no more in sum."""
+    if len(text.encode()) <= most:
+        return text
+    words = text.split()
+    windows = [" ".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
+    order = np.argsort(mix(np.arange(len(windows), dtype=np.uint64) + np.uint64(zlib.crc32(text.encode()))))
+    size = np.cumsum([len(windows[i].encode()) + 1 for i in order])
+    return "\n".join(windows[i] for i in sorted(order[size <= most].tolist()))
+
+
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for c in chunks(b):
+            yield c.set_column(1, "text", pa.array([some_windows(t) for t in c.column("text").to_pylist()], pa.string()))
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Network | None:
     """Fits on a bounded sample of labelled rows that are not held out."""
     rows = sample_labels(labels, "toxic")
     ids = bounded_sample(rows.where("label = 1"), sample[0]).union(bounded_sample(rows.where("label = 0"), sample[1]))
-    short = documents(docs).where(F.octet_length("text") <= TEXT)
     # ids has sum(sample) rows at most.
-    found = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").toPandas().sort_values(["doc_id", "text"])
+    found = documents(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    found = found.mapInArrow(_shortened, "doc_id long, text string, label int").toPandas().sort_values(["doc_id", "text"])
     return fit(found["text"].tolist(), found["label"].to_numpy().astype(np.float32))
 
 
