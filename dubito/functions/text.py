@@ -6,6 +6,8 @@ and split() takes runs of blanks. The abstention rules differ on purpose; they a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,27 @@ def has_any(low: Column, values: list[str]) -> Column:
     return out
 
 
+def alternation(values: list[str]) -> str:
+    """A pattern that matches where one of the values stands, the shortest of those at a place.
+
+    Values with a common beginning share it, so a text is read once, whatever their number.
+    """
+    tree: dict = {}
+    for v in values:
+        node = tree
+        for ch in v:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        if "" in node:
+            return ""  # a longer value at this place doesn't matter
+        parts = [re.escape(ch) + pattern(child) for ch, child in node.items()]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return pattern(tree)
+
+
 def _hits(low: Column, values: list[str]) -> Column:
     """The values that stand in the text with their positions, in the order of the list."""
     there = F.filter(_array(values), lambda p: F.contains(low, p))
@@ -51,7 +74,13 @@ def abstention_hit(c: Column, cutoff: int = P.MERGED_CUTOFF) -> Column:
 
     Null and empty answers abstain with "<empty>" at 0; blank ones don't.
     """
-    first = let(F.lower(strip(c)), lambda low: F.array_min(_hits(low, P.MERGED)))
+    one = alternation(P.MERGED)
+
+    def earliest(low: Column) -> Column:
+        before = F.regexp_extract(low, f"(?s)^(.*?)(?:{one})", 1)
+        return F.when(low.rlike(one), F.struct((F.length(before) + 1).alias("pos"), F.regexp_extract(low, one, 0).alias("phrase")))
+
+    first = let(F.lower(strip(c)), earliest)
     found = F.struct((F.coalesce(first["pos"] <= cutoff, F.lit(False))).alias("is_abstained"), first["phrase"].alias("phrase"), (first["pos"] - 1).alias("position"))
     empty = F.struct(F.lit(True).alias("is_abstained"), F.lit("<empty>").alias("phrase"), F.lit(0).alias("position"))
     return F.when(c.isNull() | (c == ""), empty).otherwise(found)
@@ -64,7 +93,8 @@ def is_abstained(c: Column, cutoff: int = P.MERGED_CUTOFF) -> Column:
 
 def phrase_rule(c: Column) -> Column:
     """T4: (is_non_answer, phrase, position) of the first phrase in the order of the list, anywhere."""
-    first = let(F.lower(strip(c)), lambda low: F.get(_hits(low, P.PHRASES), F.lit(0)))
+    one = alternation(P.PHRASES)
+    first = let(F.lower(strip(c)), lambda low: F.when(low.rlike(one), F.get(_hits(low, P.PHRASES), F.lit(0))))
     found = F.struct(first.isNotNull().alias("is_non_answer"), first["phrase"].alias("phrase"), (first["pos"] - 1).alias("position"))
     empty = F.struct(F.lit(True).alias("is_non_answer"), F.lit("<empty>").alias("phrase"), F.lit(0).alias("position"))
     return F.when(c.isNull() | (c == ""), empty).otherwise(found)
@@ -79,7 +109,7 @@ def narrow_rule(c: Column) -> Column:
 
 def short_abstention(c: Column) -> Column:
     """Empty after strip(), a phrase anywhere, or n/a between characters that aren't a-z or 0-9."""
-    return let(F.lower(strip(c)), lambda low: (low == "") | low.rlike("(?<![a-z0-9])n/a(?![a-z0-9])") | has_any(low, P.SHORT))
+    return let(F.lower(strip(c)), lambda low: (low == "") | low.rlike("(?<![a-z0-9])n/a(?![a-z0-9])") | low.rlike(alternation(P.SHORT)))
 
 
 def canonical(c: Column) -> Column:

@@ -99,3 +99,24 @@ def test_operators_reach_the_end_of_texts(spark, tmp_path):
     assert claims == [rows[1][1] + " one.", "second claim"]
     label = got("labels_for_charts")[4]
     assert label.printable == rows[1][1] + "x" and label.label == "x" * 12 + "..."
+
+
+def test_alternation_stands_for_its_values():
+    import random
+    import re
+
+    from dubito.functions import phrases as P
+
+    rng = random.Random(1)
+    for values in (P.MERGED, P.PHRASES, P.SHORT, ["a", "ab", "b.c", "x|y", "no", "not"]):
+        one = re.compile(T.alternation(values))
+        for _ in range(300):
+            t = "".join(rng.choice([*values, " ", "x", "no ", "a", "\U0001f600", "unk"]) for _ in range(rng.randrange(6)))
+            want = min(((t.find(v), v) for v in values if v in t), default=None)
+            m = one.search(t)
+            assert (m and (m.start(), m.group())) == want
+
+
+def test_position_counts_characters(spark):
+    h = one(spark, "\U0001f600\U0001f600 there is no widely known name", T.abstention_hit)
+    assert h.position == "\U0001f600\U0001f600 there is no widely known name".find(h.phrase)
