@@ -32,6 +32,8 @@ from .repeats import documents
 from .text import Words, chunks, distinct, mix
 
 KEPT = 1 << 19
+#: Characters from which a word's edges are relaxed by themselves.
+DRAWN_OUT = 512
 #: Words that are matched at once.
 TOGETHER = 1 << 15
 MARK = "▁"
@@ -175,10 +177,45 @@ def may_follow(m: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
+class Follows:
+    """may_follow for one pair at a time, from plain lists; answers are kept."""
+
+    def __init__(self, m: Model):
+        self.n = len(m.pieces)
+        self.merged = dict(zip(m.pairs.tolist(), m.rank[m.made].tolist(), strict=True))
+        self.left, self.right, self.rank = m.left.tolist(), m.right.tolist(), m.rank.tolist()
+        self.kept: dict[tuple[int, int], bool] = {}
+
+    def __call__(self, a: int, b: int) -> bool:
+        ok = self.kept.get((a, b))
+        if ok is None:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            ok = self.kept[a, b] = self._parted(a, b)
+        return ok
+
+    def _parted(self, x: int, y: int) -> bool:
+        n = self.n
+        gone_x = gone_y = n + 1
+        while True:
+            r = self.merged.get(x * n + y) if x < n and y < n else None
+            if r is not None and r < gone_x and r <= gone_y:
+                return False
+            rx = self.rank[x] if self.left[x] >= 0 else -1
+            ry = self.rank[y] if self.left[y] >= 0 else -1
+            if rx < 0 and ry < 0:
+                return True
+            if rx > ry:
+                gone_x, x = rx, self.right[x]
+            else:
+                gone_y, y = ry, self.left[y]
+
+
 class Matcher:
     """The pieces of a model as keys for bisection."""
 
     def __init__(self, m: Model):
+        self.follows = Follows(m)
         self.ids = np.flatnonzero(m.usable)
         coded = [m.pieces[i].encode() for i in self.ids]
         self.size = np.array([len(p) for p in coded])
@@ -208,6 +245,19 @@ class Matcher:
         return suffix[good], piece[good]
 
 
+def _relax_one_by_one(follows: Follows, start: np.ndarray, end: np.ndarray, ids: np.ndarray, step: np.ndarray, last: np.ndarray, back: np.ndarray) -> None:
+    """Relaxes edges by their ends, one after the other."""
+    order = np.argsort(end, kind="stable")
+    reached: dict[int, int] = {}
+    for s, e, i, inner in zip(start[order].tolist(), end[order].tolist(), ids[order].tolist(), (step[start[order]] > 1).tolist(), strict=True):
+        if inner:
+            before = reached.get(s - 1)
+            if before is None or not follows(before, i):
+                continue
+        reached[e] = i
+        last[e], back[e] = i, s
+
+
 def encode_words(m: Model, matcher: Matcher, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words in a row, and the bounds of each word's ids. No word holds a zero byte or is empty."""
     raw = np.frombuffer(b"\0".join(words) + b"\0" * 64, np.uint8)
@@ -226,10 +276,14 @@ def encode_words(m: Model, matcher: Matcher, words: list[bytes]) -> tuple[np.nda
     start = np.r_[suffix, alone]
     ids = np.r_[matcher.ids[piece], np.full(len(alone), len(m.pieces))]
     end = start + np.r_[matcher.chars[piece], np.ones(len(alone), np.int64)] - 1  # the last character's number
+    last, back = np.full(len(at), -1), np.full(len(at), -1)
+    drawn = n_chars[word[end]] > DRAWN_OUT  # a step for each character is too dear for a few words alone
+    if drawn.any():
+        _relax_one_by_one(matcher.follows, start[drawn], end[drawn], ids[drawn], step, last, back)
+        start, end, ids = start[~drawn], end[~drawn], ids[~drawn]
     order = np.argsort(step[end], kind="stable")
     start, end, ids = start[order], end[order], ids[order]
-    last, back = np.full(len(at), -1), np.full(len(at), -1)
-    cuts = np.searchsorted(step[end], np.arange(1, int(n_chars.max()) + 2))
+    cuts = np.searchsorted(step[end], np.arange(1, min(int(n_chars.max()), DRAWN_OUT) + 2))
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         s, e, i = start[lo:hi], end[lo:hi], ids[lo:hi]
         inner = step[s] > 1

@@ -38,6 +38,20 @@ def test_pieces_match_the_library(model):
             assert back[i].decode() == (t or "").replace("▁", " ")
 
 
+def test_drawn_out_words(model, monkeypatch):
+    """Words of many characters are relaxed one edge at a time, with the same ids."""
+    import sentencepiece
+
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECES)), random.Random(3)
+    code = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    batch = ["".join(rng.choice(code) for _ in range(3000)), "the" * 700, "日本語の" * 400 + "😀" * 5, "ab c " + "x" * 2000 + " d", "".join(rng.choice([x for x in ALPHABET if x.strip() == x]) for _ in range(1500))]
+    for least in (pieces.DRAWN_OUT, 3):
+        monkeypatch.setattr(pieces, "DRAWN_OUT", least)
+        ids, bounds = pieces.Encoder(model).encode(pa.array(batch))
+        for i, t in enumerate(batch):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(t)
+
+
 def test_few_kept_words(model, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT", 3)
     monkeypatch.setattr(pieces, "TOGETHER", 2)
