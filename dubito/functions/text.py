@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from . import phrases as P
 
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
-_EMOJI = r"[\x{1F300}-\x{1FFFF}\x{2600}-\x{27BF}\x{2705}\x{274C}\x{274E}\x{2714}\x{2717}]"
 
 
 def _array(values: list[str]) -> Column:
@@ -128,23 +127,23 @@ def numeric_hint(question: Column) -> Column:
     return question.rlike(rf"(?iu)\b({P.NUMERIC})\b")
 
 
-def is_corrupt(c: Column, question: Column | None = None, most: int = 300) -> Column:
+def is_corrupt(c: Column, question: Column | None = None, most: int = P.FIELD_MOST) -> Column:
     """T9 with a question, T10 without: emoji, a run of 8 hexadecimal digits (waived for numeric questions), or too long."""
-    hexed = c.rlike("(?i)[0-9a-f]{8,}")
+    hexed = c.rlike(f"(?i){P.HEX}")
     if question is not None:
         hexed = hexed & ~numeric_hint(question)
-    return c.rlike(_EMOJI) | hexed | (F.length(c) > most)
+    return c.rlike(P.EMOJI) | hexed | (F.length(c) > most)
 
 
-def record_is_corrupt(raw: Column, question: Column | None = None, least: int = 2) -> Column:
+def record_is_corrupt(raw: Column, question: Column | None = None, least: int = P.BAD_FIELDS) -> Column:
     """At least two of the raw samples are corrupt."""
     return F.size(F.filter(raw, lambda t: is_corrupt(t, question))) >= least
 
 
-def corruption_flags(c: Column, most: int = 100) -> Column:
+def corruption_flags(c: Column, most: int = P.SCAN_MOST) -> Column:
     """Emoji, uuid_fragment, instructional, anomalously_long, any."""
-    emoji = c.rlike(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]")
-    fragment = c.rlike(r"(?:[0-9a-fA-F]{4,}-[0-9a-fA-F-]{4,})|(?:\b[0-9a-fA-F]{12,}\b)")
+    emoji = c.rlike(P.SCAN_EMOJI)
+    fragment = c.rlike(P.FRAGMENT)
     told, long = let(F.lower(c), lambda low: has_any(low, P.INSTRUCTIONS)), F.length(c) > most
     flags = F.struct(emoji.alias("emoji"), fragment.alias("uuid_fragment"), told.alias("instructional"), long.alias("anomalously_long"))
     return let(flags, lambda f: F.struct(*(f[n].alias(n) for n in ("emoji", "uuid_fragment", "instructional", "anomalously_long")), (f["emoji"] | f["uuid_fragment"] | f["instructional"] | f["anomalously_long"]).alias("any")))
@@ -152,8 +151,8 @@ def corruption_flags(c: Column, most: int = 100) -> Column:
 
 def degenerate(c: Column) -> Column:
     """The first unit of up to 6 characters that stands 4 times or more over 8 characters or more, not of digits alone."""
-    runs = F.regexp_extract_all(c, F.lit(r"((.{1,6}?)\2{3,})"), F.lit(1))
-    return F.get(F.filter(runs, lambda m: (F.length(m) >= 8) & ~m.rlike("^[0-9., ]*$")), F.lit(0))
+    runs = F.regexp_extract_all(c, F.lit(P.DEGENERATE), F.lit(1))
+    return F.get(F.filter(runs, lambda m: (F.length(m) >= P.DEGENERATE_LEAST) & ~m.rlike(P.NUMBER_RUN)), F.lit(0))
 
 
 def compliance(c: Column, most: int = 6) -> Column:

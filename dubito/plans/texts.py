@@ -28,32 +28,31 @@ def _any(x: str, values: list[str]) -> str:
 _LOW = f"lower({_strip('response')})"
 _EARLIEST = "least(" + ", ".join(f"nullif(instr(low, {_q(p)}), 0)" for p in P.MERGED) + ")"
 _MERGED = f"m AS (SELECT doc_id, response, {_LOW} AS low FROM r), a AS (SELECT doc_id, response, low, CASE WHEN coalesce(response, '') = '' THEN 1 ELSE {_EARLIEST} END AS pos FROM m)"
-_EMOJI = r"[\x{1F300}-\x{1FFFF}\x{2600}-\x{27BF}\x{2705}\x{274C}\x{274E}\x{2714}\x{2717}]"
 _NA = "regexp_matches(low, '(^|[^a-z0-9])n/a([^a-z0-9]|$)')"
 _SHORT = f"(low = '' OR {_NA} OR {_any('low', P.SHORT)})"
 
 
-@query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, coalesce(pos <= 200, false) AS is_abstained, (pos - 1)::INT AS position FROM a")
+@query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, coalesce(pos <= {P.MERGED_CUTOFF}, false) AS is_abstained, (pos - 1)::INT AS position FROM a")
 def abstention(spark, sf_dir):
     """T1, T2."""
     r = B.responses(spark, sf_dir).select("doc_id", T.abstention_hit(F.col("response")).alias("h"))
     return r.select("doc_id", "h.is_abstained", "h.position")
 
 
-@query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, (pos - 1)::INT AS position FROM a WHERE pos > 200")
+@query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, (pos - 1)::INT AS position FROM a WHERE pos > {P.MERGED_CUTOFF}")
 def abstention_late(spark, sf_dir):
     """Phrases too late to count."""
     r = B.responses(spark, sf_dir).select("doc_id", T.abstention_hit(F.col("response")).alias("h"))
-    return r.where("h.position >= 200").select("doc_id", "h.position")
+    return r.where(f"h.position >= {P.MERGED_CUTOFF}").select("doc_id", "h.position")
 
 
-@query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, md5(response) AS response_md5 FROM a WHERE NOT coalesce(pos <= 200, false)")
+@query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, md5(response) AS response_md5 FROM a WHERE NOT coalesce(pos <= {P.MERGED_CUTOFF}, false)")
 def keep_answered(spark, sf_dir):
     """F6, O2."""
     return select.keep_answered(B.responses(spark, sf_dir), "response").select("doc_id", F.md5(F.col("response").cast("binary")).alias("response_md5"))
 
 
-@query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, md5(CASE WHEN coalesce(pos <= 200, false) THEN '' ELSE response END) AS response_md5 FROM a")
+@query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, md5(CASE WHEN coalesce(pos <= {P.MERGED_CUTOFF}, false) THEN '' ELSE response END) AS response_md5 FROM a")
 def blank_abstained(spark, sf_dir):
     """F7."""
     r = B.responses(spark, sf_dir).withColumn("flag", T.is_abstained(F.col("response")))
@@ -70,7 +69,7 @@ def phrase_rule(spark, sf_dir):
     return r.select("doc_id", "h.is_non_answer", "h.phrase")
 
 
-_NARROW = f"(regexp_matches(response, '{P.NARROW}', 'i') AND length(regexp_extract(response, '^(.*?)({P.NARROW})', 1, 'is')) < greatest(150, floor(0.2 * length(response))))"
+_NARROW = f"(regexp_matches(response, '{P.NARROW}', 'i') AND length(regexp_extract(response, '^(.*?)({P.NARROW})', 1, 'is')) < greatest({P.NARROW_CUTOFF}, floor({P.NARROW_SHARE} * length(response))))"
 
 
 @query(f"WITH {RESPONSES} SELECT doc_id, {_NARROW} AS is_abstained FROM r")
@@ -99,7 +98,7 @@ _HINT = f"regexp_matches(question, '\\b({P.NUMERIC})\\b', 'i')"
 
 
 @query(f"WITH {RESPONSES}, x AS (SELECT doc_id, response, CASE WHEN doc_id % 2 = 0 THEN 'What is the population?' ELSE 'Who was it?' END AS question FROM r) "
-       f"SELECT doc_id, {_HINT} AS numeric, regexp_matches(response, '{_EMOJI}') OR (NOT {_HINT} AND regexp_matches(response, '[0-9a-f]{{8,}}', 'i')) OR length(response) > 300 AS with_question, regexp_matches(response, '{_EMOJI}') OR regexp_matches(response, '[0-9a-f]{{8,}}', 'i') OR length(response) > 300 AS alone FROM x")
+       f"SELECT doc_id, {_HINT} AS numeric, regexp_matches(response, '{P.EMOJI}') OR (NOT {_HINT} AND regexp_matches(response, '{P.HEX}', 'i')) OR length(response) > {P.FIELD_MOST} AS with_question, regexp_matches(response, '{P.EMOJI}') OR regexp_matches(response, '{P.HEX}', 'i') OR length(response) > {P.FIELD_MOST} AS alone FROM x")
 def corruption(spark, sf_dir):
     """T9, T10, T26."""
     q = F.when(F.col("doc_id") % 2 == 0, "What is the population?").otherwise("Who was it?")
@@ -107,8 +106,8 @@ def corruption(spark, sf_dir):
     return r.select("doc_id", T.numeric_hint(q).alias("numeric"), T.is_corrupt(c, q).alias("with_question"), T.is_corrupt(c).alias("alone"))
 
 
-@query(f"WITH {RESPONSES}, x AS (SELECT doc_id, unnest(string_split(response, '. ')) AS t FROM r), y AS (SELECT doc_id, count(*) AS n, sum((regexp_matches(t, '{_EMOJI}') OR regexp_matches(t, '[0-9a-f]{{8,}}', 'i') OR length(t) > 300)::INT) AS bad FROM x GROUP BY 1) "
-       "SELECT sum(n)::BIGINT AS n_fields, sum(bad)::BIGINT AS n_bad, round(sum(bad) / sum(n), 6) AS field_rate, round(avg((bad >= 2)::INT), 6) AS record_rate FROM y")
+@query(f"WITH {RESPONSES}, x AS (SELECT doc_id, unnest(string_split(response, '. ')) AS t FROM r), y AS (SELECT doc_id, count(*) AS n, sum((regexp_matches(t, '{P.EMOJI}') OR regexp_matches(t, '{P.HEX}', 'i') OR length(t) > {P.FIELD_MOST})::INT) AS bad FROM x GROUP BY 1) "
+       f"SELECT sum(n)::BIGINT AS n_fields, sum(bad)::BIGINT AS n_bad, round(sum(bad) / sum(n), 6) AS field_rate, round(avg((bad >= {P.BAD_FIELDS})::INT), 6) AS record_rate FROM y")
 def corruption_rates(spark, sf_dir):
     """Of fields and of records with two bad fields."""
     r = B.responses(spark, sf_dir).select(F.split("response", r"\. ").alias("raw"))
@@ -117,9 +116,9 @@ def corruption_rates(spark, sf_dir):
 
 
 _SCAN = (
-    r"f AS (SELECT doc_id, regexp_matches(response, '[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]') AS emoji, regexp_matches(response, '(?:[0-9a-fA-F]{4,}-[0-9a-fA-F-]{4,})|(?:\b[0-9a-fA-F]{12,}\b)') AS uuid_fragment, "
+    f"f AS (SELECT doc_id, regexp_matches(response, '{P.SCAN_EMOJI}') AS emoji, regexp_matches(response, '{P.FRAGMENT}') AS uuid_fragment, "
     + _any("lower(response)", P.INSTRUCTIONS)
-    + " AS instructional, length(response) > 100 AS anomalously_long FROM r)"
+    + f" AS instructional, length(response) > {P.SCAN_MOST} AS anomalously_long FROM r)"
 )
 
 

@@ -120,3 +120,17 @@ def test_alternation_stands_for_its_values():
 def test_position_counts_characters(spark):
     h = one(spark, "\U0001f600\U0001f600 there is no widely known name", T.abstention_hit)
     assert h.position == "\U0001f600\U0001f600 there is no widely known name".find(h.phrase)
+
+
+def test_fixed_values_are_what_they_were():
+    """Lists that must stay as they are, in their order: a changed one changes results."""
+    import hashlib
+    import json
+
+    from dubito.functions import phrases as P
+
+    golden = {
+        "MERGED": "d781bd8ac61a", "PHRASES": "dff8e6cf7354", "SHORT": "6a1e3a66f444", "REFUSALS": "0616064bf0ef", "INSTRUCTIONS": "32f43541f61c", "HEDGES": "e6e79652aa6b",
+        "EXPLANATIONS": "17b5f54dcaa2", "STARTERS": "e72f44cee6af", "FORMAT_REFUSALS": "ecf55cdc97f1", "STOPS": "6b7df3b1c4ca", "SUCCESS": "08a57a3e1338", "SETTINGS": "40140ede1489", "LEVELS": "40bcd8f92b4b",
+    }
+    assert {n: hashlib.md5(json.dumps(getattr(P, n)).encode()).hexdigest()[:12] for n in golden} == golden
