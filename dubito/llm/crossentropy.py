@@ -26,7 +26,6 @@ each, and are all target if one of that id is.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,8 +36,8 @@ from .repeats import documents
 from .text import ALNUM, Words, chunks, join
 
 DISCOUNT, SMOOTH = 0.7, 0.1
-#: Bytes of text of a group of documents.
-GROUP = 8 << 20
+#: Bytes of text of a group of documents; groups grow with the root of the input from LARGE on, to four times as much.
+GROUP, LARGE = 8 << 20, 1 << 36
 #: Stands before the first word of a text.
 START = np.uint64(1)
 _WORD, _CONTEXT, _TOTAL, _WORDS = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 3, 5))
@@ -207,7 +206,8 @@ def score_documents(docs: DataFrame, target: DataFrame, size: int | None = None)
     """
     docs = documents(docs)
     n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-n // (size or GROUP)))
+    size = size or int(GROUP * min(4.0, max(1.0, (n / LARGE) ** 0.5)))
+    groups = max(1, -(-n // size))
     buckets = -(-groups // 2)
     of = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("group")
     docs = docs.select(of, "doc_id", "text")
