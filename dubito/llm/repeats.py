@@ -125,15 +125,15 @@ def _one(mark: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return rows[np.r_[True, group[1:] != group[:-1]]]
 
 
-def deal(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows that a task sends: one member for each window's key, and runs of what is known to repeat (k2: 1 for first occurrences)."""
+def deal(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray, copies: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows that a task sends: one member for each window's key, with the copies it stands for, and runs of what is known to repeat (k2: 1 for first occurrences)."""
     if not len(k1):
         return
     order, heads = _groups(k1, k2)
     k1, k2, doc, start = k1[order], k2[order], doc[order], start[order]
     sizes = np.diff(np.r_[heads, len(k1)])
     head = _one(_least(doc, start, heads, sizes), heads)
-    yield from emit(_DEALT, k1[head], k2[head], doc[head], start[head], sizes, np.zeros(len(head), bool))
+    yield from emit(_DEALT, k1[head], k2[head], doc[head], start[head], np.add.reduceat(copies[order], heads), np.zeros(len(head), bool))
     rest = np.ones(len(k1), bool)
     rest[head] = False
     doc, start = doc[rest], start[rest]

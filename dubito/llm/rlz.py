@@ -45,16 +45,16 @@ def factors(seed: np.ndarray, right: Side, left: Side) -> tuple[np.ndarray, np.n
     return ahead, back
 
 
-def parse(seed: np.ndarray, right: Side, left: Side, window: int, open_at: tuple[bool, bool]) -> tuple[np.ndarray, np.ndarray]:
+def parse(seed: np.ndarray, right: Side, left: Side, copies: np.ndarray, window: int, open_at: tuple[bool, bool]) -> tuple[np.ndarray, np.ndarray]:
     """(found, undecided): marks for each segment and number o of words before the seed, of the window that starts there.
 
-    found: it starts elsewhere in the block. undecided: it may start in the block before or after this one too.
+    copies: equal segments that a row stands for; what has some is a factor of its own. found: it starts elsewhere in the block. undecided: it may start in the block before or after this one too.
     """
     ahead, back = factors(seed, right, left)
     before, after = [np.r_[0, x] for x in (ahead, back)], [np.r_[x, 0] for x in (ahead, back)]
     most = int(left.size.max(initial=0)) + 1
     o = np.arange(most)
-    found = np.zeros((len(seed), most), bool)
+    found = (copies > 1)[:, None] & (o >= window - right.size[:, None]) & (o <= left.size[:, None])
     for reach, behind in (before, after):  # windows that lie in a factor
         found |= (o >= window - reach[:, None]) & (o <= behind[:, None])
     # Windows across a factor's bound: enough words agree to the right, those before it don't with the same source.
@@ -78,8 +78,8 @@ def parse(seed: np.ndarray, right: Side, left: Side, window: int, open_at: tuple
 def duplicate_runs(docs: DataFrame, window: int = WINDOW, seed: int = SEED, rows: int | None = None) -> DataFrame:
     """(doc_id, start, n, first): runs of n window starts whose windows start elsewhere too. first is not told apart here."""
 
-    def decide(seeds, right, left, doc, place, open_at):
-        found, undecided = parse(seeds, right, left, window, open_at)
+    def decide(seeds, right, left, doc, place, copies, open_at):
+        found, undecided = parse(seeds, right, left, copies, window, open_at)
         return found, np.zeros_like(found), undecided
 
     return repeated_runs(docs, window, seed, decide, rows)

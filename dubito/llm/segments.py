@@ -11,7 +11,7 @@ The operators decide in each block which windows start more than once. Where a b
 within a seed's list, the windows that may go on in the next block are compared by hash (96
 bits) over the cluster. Words are compared by 40 bits each: a chance error needs two windows
 that differ in a single word, and then is one in 10^12. Equal segments of a chunk of documents
-travel twice at most; the least two by (doc_id, place) do.
+travel once, with their number; the others are known to repeat and travel as runs of windows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .repeats import BATCH, DEALT, Grams, by_doc, deal, documents, find_repeats, known_runs, shared_places, shared_seeds
@@ -28,7 +29,7 @@ from .text import chunks, join, mix, signed, unsigned
 #: Segments of a block that are looked at together; a single seed may bring four times as many.
 ROWS = 1 << 15
 _WIDTH = 5
-_SEGMENTS = "seed long, right binary, left binary, doc_id long, start long, n long, known boolean"
+_SEGMENTS = "seed long, right binary, left binary, doc_id long, start long, n long, copies long"
 _SALT = np.uint64(0x9AE16A3B2F90404F)
 
 
@@ -40,13 +41,23 @@ def _binary(words: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int) -
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
+def _joined(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that follow each other in a document as one."""
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != (start + n)[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    return doc[new], start[new], np.add.reduceat(n, new) if len(new) else n
+
+
 def segments(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """A row for each shared seed of each document: the words from the seed on, those before it backwards.
 
-    start, n: the windows that hold this seed as theirs. known: rows without words, whose windows repeat for certain.
+    start, n: the windows that hold this seed as theirs. copies: equal segments of the chunk, for which
+    the least by (doc_id, place) stands; 0 for runs of the others' windows, which have no words.
     """
     names = [c.split()[0] for c in _SEGMENTS.split(", ")]
 
+    def batch(seed, right, left, *numbers) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seed), right, left, *map(pa.array, numbers)], names)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b):
@@ -62,23 +73,22 @@ def segments(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 doc, start = c.column("doc_id").to_numpy()[g.owner[at]], g.place(lo)
                 order = np.lexsort((start, doc, key))
                 head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-                rank = np.empty(len(at), np.int64)
-                rank[order] = np.arange(len(at)) - np.repeat(head, np.diff(np.r_[head, len(at)]))
+                copies = np.zeros(len(at), np.int64)
+                copies[order[head]] = np.diff(np.r_[head, len(at)])
                 words = (g.h >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - _WIDTH :]
-                for known in (False, True):
-                    some = np.flatnonzero((rank > 1) == known)
-                    for i in range(0, len(some), BATCH >> 1):
-                        r = some[i : i + (BATCH >> 1)]
-                        none = np.zeros(len(r), np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(by_doc(doc[r]) if known else signed(g.grams[at[r]])),
-                                _binary(words, at[r], none if known else lo[r] + n[r] - 1 + window - at[r], 1),
-                                _binary(words, at[r] - 1, none if known else at[r] - lo[r], -1),
-                                pa.array(doc[r]), pa.array(start[r]), pa.array(n[r]), pa.array(np.full(len(r), known)),
-                            ],
-                            names,
-                        )
+                some = np.flatnonzero(copies)
+                for i in range(0, len(some), BATCH >> 1):
+                    r = some[i : i + (BATCH >> 1)]
+                    yield batch(
+                        signed(g.grams[at[r]]), _binary(words, at[r], lo[r] + n[r] - 1 + window - at[r], 1), _binary(words, at[r] - 1, at[r] - lo[r], -1), doc[r], start[r], n[r], copies[r],
+                    )
+                r = np.flatnonzero(copies == 0)
+                r = r[np.lexsort((start[r], doc[r]))]
+                doc, start, n = _joined(doc[r], start[r], n[r])
+                for i in range(0, len(doc), BATCH):
+                    d = doc[i : i + BATCH]
+                    none = np.zeros(len(d), np.int64)
+                    yield batch(by_doc(d), _binary(words, none, none, 1), _binary(words, none, none, 1), d, start[i : i + BATCH], n[i : i + BATCH], none)
 
     return docs.join(shared_seeds(docs, window, seed), "doc_id").mapInArrow(task, _SEGMENTS)
 
@@ -158,9 +168,9 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Ta
 def repeated_runs(docs: DataFrame, window: int, seed: int, decide: Callable, rows: int | None = None) -> DataFrame:
     """(doc_id, start, n, first): runs of n window starts whose windows start elsewhere too.
 
-    decide(seed, right, left, doc_id, place of the seed, open ends) returns three marks for each segment of
-    a block and number o of words before the seed, of the window that starts there: it repeats; it is known
-    to be the first of its kind; it must be compared over the cluster.
+    decide(seed, right, left, doc_id, place of the seed, copies, open ends) returns three marks for each
+    segment of a block and number o of words before the seed, of the window that starts there: it repeats;
+    it is known to be the first of its kind; it must be compared over the cluster.
     """
     most = rows or ROWS
 
@@ -169,23 +179,23 @@ def repeated_runs(docs: DataFrame, window: int, seed: int, decide: Callable, row
 
         def told() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                known = b.column("known")
-                yield b.filter(pa.compute.invert(known))
+                known = pc.equal(b.column("copies"), 0)
+                yield b.filter(pc.invert(known))
                 b = b.filter(known)
                 sure.append(tuple(b.column(c).to_numpy() for c in ("doc_id", "start", "n")))
 
         for block, open_at in blocks(told(), most):
             column = lambda c: block.column(c).chunk(0)  # noqa: B023, E731
             seeds, right, left = column("seed").to_numpy(), Side(column("right")), Side(column("left"))
-            doc = column("doc_id").to_numpy()
+            doc, copies = column("doc_id").to_numpy(), column("copies").to_numpy()
             place = column("start").to_numpy() + left.size
-            found, first, undecided = decide(seeds, right, left, doc, place, open_at)
+            found, first, undecided = decide(seeds, right, left, doc, place, copies, open_at)
             for marks, is_first in ((found & ~first, False), (first, True)):
                 r, o = np.nonzero(marks[:, ::-1])  # from the left: the first window has most words before the seed
                 yield from known_runs(doc[r], place[r] - (marks.shape[1] - 1 - o), is_first)
             r, o = np.nonzero(undecided)
             if len(r):
-                yield from deal(*map(signed, _hashes(r, o, right, left, window)), doc[r], place[r] - o)
+                yield from deal(*map(signed, _hashes(r, o, right, left, window)), doc[r], place[r] - o, copies[r])
         if sure:
             doc, start, n = (np.concatenate(x) for x in zip(*sure, strict=True))
             yield from known_runs(np.repeat(doc, n), np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum())))

@@ -42,11 +42,12 @@ def agreements(seed: np.ndarray, right: Side) -> np.ndarray:
     return agreed
 
 
-def occurrences(seed: np.ndarray, right: Side, left: Side, doc: np.ndarray, place: np.ndarray, window: int, open_at: tuple[bool, bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def occurrences(seed: np.ndarray, right: Side, left: Side, doc: np.ndarray, place: np.ndarray, copies: np.ndarray, window: int, open_at: tuple[bool, bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(found, first, undecided) marks of each suffix and number of words before it, of the window that starts there.
 
     found: it repeats in the block; first: as the least of its occurrences by (doc, place);
     undecided: it may repeat in the block before or after this one too, and isn't judged here.
+    copies: equal suffixes, with equal words before them, that a row stands for.
     """
     agreed = agreements(seed, right)
     shape = (len(seed), int(left.size.max(initial=0)) + 1)
@@ -59,22 +60,22 @@ def occurrences(seed: np.ndarray, right: Side, left: Side, doc: np.ndarray, plac
         for edge, end in zip(open_at, (0, -1), strict=True):
             if edge:
                 undecided[:, j] |= able & (run == run[end])
-        rows = np.flatnonzero(able & (np.bincount(run)[run] > 1) & ~undecided[:, j])
+        rows = np.flatnonzero(able & (np.bincount(run, copies)[run] > 1) & ~undecided[:, j])
         key = join(h[rows], run[rows].astype(np.uint64))
         order = np.lexsort((rank[rows], key))
         rows, key = rows[order], key[order]
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[head, len(key)])
-        found[rows[np.repeat(size > 1, size)], j] = True
-        first[rows[head[size > 1]], j] = True
+        again = np.add.reduceat(copies[rows], head) > 1 if len(head) else np.zeros(0, bool)
+        found[rows[np.repeat(again, np.diff(np.r_[head, len(key)]))], j] = True
+        first[rows[head[again]], j] = True
     return found, first, undecided
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, seed: int = SEED, rows: int | None = None) -> DataFrame:
     """(doc_id, start, n, first): runs of n window starts whose windows start elsewhere too; first: none of them starts earlier."""
 
-    def decide(seeds, right, left, doc, place, open_at):
-        return occurrences(seeds, right, left, doc, place, window, open_at)
+    def decide(seeds, right, left, doc, place, copies, open_at):
+        return occurrences(seeds, right, left, doc, place, copies, window, open_at)
 
     return segments.repeated_runs(docs, window, seed, decide, rows)
 

@@ -74,23 +74,27 @@ def test_rlz_parse_rests_on_its_factors(monkeypatch):
     """Windows of four words around one seed: in a factor, across its bound, and in no source."""
     seed = np.array([5, 5, 5, 5, 6])
     right, left = side([[1, 2, 3], [1, 2, 4], [1, 2, 4, 9], [1, 8], [1, 2, 3]]), side([[7, 6], [5], [7, 6], [7], [7, 6]])
-    found, undecided = rlz.parse(seed, right, left, 4, (False, False))
+    once = np.ones(5, np.int64)
+    found, undecided = rlz.parse(seed, right, left, once, 4, (False, False))
     # 6 7 | 1 2 stands in the first and the third segment, which aren't neighbours
     assert found.tolist() == [[False, False, True], [False] * 3, [False, False, True], [False] * 3, [False] * 3] and not undecided.any()
-    assert rlz.parse(seed, right, left, 4, (True, True))[1].any()
+    assert rlz.parse(seed, right, left, once, 4, (True, True))[1].any()
+    assert rlz.parse(seed, right, left, np.array([1, 1, 1, 1, 2]), 4, (False, False))[0][4].tolist() == [False, True, True]
     monkeypatch.setattr(rlz, "factors", lambda s, r, t: (np.zeros(len(s) - 1, np.int64),) * 2)
-    assert not rlz.parse(seed, right, left, 4, (False, False))[0].any()
+    assert not rlz.parse(seed, right, left, once, 4, (False, False))[0].any()
 
 
 def test_suffixes_rest_on_their_neighbours(monkeypatch):
     seed = np.array([5, 5, 5, 5, 6])
     right, left = side([[1, 2, 3], [1, 2, 4], [1, 2, 4, 9], [1, 8], [1, 2, 3]]), side([[7, 6], [5], [7, 6], [7], [7, 6]])
     doc, place = np.array([4, 1, 2, 1, 1]), np.array([2, 1, 2, 9, 2])
-    judge = lambda ends=(False, False): suffixes.occurrences(seed, right, left, doc, place, 4, ends)
+    judge = lambda ends=(False, False), copies=(1, 1, 1, 1, 1): suffixes.occurrences(seed, right, left, doc, place, np.array(copies), 4, ends)
     found, first, undecided = judge()
     assert found.tolist() == [[False, False, True], [False] * 3, [False, False, True], [False] * 3, [False] * 3] and not undecided.any()
     assert np.argwhere(first).tolist() == [[2, 2]]
     assert not judge((True, True))[0].any() and judge((True, True))[2].any()
+    found, first, _ = judge(copies=(1, 1, 1, 1, 3))
+    assert found[4].tolist() == first[4].tolist() == [False, True, True]
     monkeypatch.setattr(suffixes, "agreements", lambda s, r: np.zeros(len(s) - 1, np.int64))
     assert not judge()[0].any()
 
