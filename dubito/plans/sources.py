@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import inventory, loaders, longform, sampling, select, targets
-from ..operators import cluster as C
 from ..functions import entropy as E
 from ..functions import text as T
+from ..operators import cluster as C
+from ..operators import inventory, loaders, longform, sampling, select, targets
 from ..sources import files, schemas
 from ..sources.folders import scratch
+from ..streaming import live
 from . import binding as B
 from .binding import JUDGED, table
 from .records import _LABELLED, _raw
@@ -137,6 +138,15 @@ def store_lookup(spark, sf_dir):
     return hit.select("title", "text").union(miss.select("title", F.lit(None).cast("string")))
 
 
+@query("WITH n AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r, count(*) OVER () AS c FROM customer) SELECT s AS snapshot, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM n, (SELECT unnest([1, 3]) AS s) WHERE r <= s * 30 AND r <= c // 30 * 30 GROUP BY s")
+def live_table(spark, sf_dir):
+    """Two snapshots of a table that is shown every thirty rows."""
+    path = scratch(spark, "live") + "/customers"
+    live.write_live(table(spark, sf_dir, "customer").select("c_custkey"), path, "c_custkey", 30)
+    rows = [live.snapshot(spark, path, k).agg(F.lit(k).alias("snapshot"), F.count("*").alias("n"), F.sum("c_custkey").alias("keys")) for k in (1, 3)]
+    return rows[0].union(rows[1])
+
+
 # Targets by ids, and training rows.
 @query("WITH " + JUDGED + " SELECT question_idx, 0::BIGINT AS sample, concat('Question: ', question_idx) AS prompt, low_temp_response AS response FROM j WHERE grade <> 'NOT_ATTEMPTED' AND role = 'teacher'")
 def pairs_listed(spark, sf_dir):

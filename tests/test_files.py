@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dubito.operators import inventory as I
 from dubito.operators import loaders, longform, sampling, select, targets
 from dubito.sources import files, schemas, sqlite
+from dubito.streaming import live
 from dubito.streaming.ingest import ingest_once, progress
 
 GEN = {"question_idx": 1, "question": "q", "answer": "a", "prompt": "p", "low_temp_response": None, "raw_responses": ["x"]}
@@ -97,6 +98,13 @@ def test_streaming(spark, tmp_path):
     assert progress(spark, str(tmp_path / "t")).first().n == 3
 
 
+def test_live_table(spark, tmp_path):
+    df = spark.range(0, 3700, 3).withColumnRenamed("id", "k").repartition(3)  # 1234 rows
+    live.write_live(df, str(tmp_path / "live"), "k")
+    for number, want in ((1, 500), (2, 1000), (3, 1000)):
+        assert sorted(r.k for r in live.snapshot(spark, str(tmp_path / "live"), number).collect()) == [3 * i for i in range(want)]
+
+
 def test_targets(spark):
     j = spark.createDataFrame([(1, "p", "CORRECT", "a", 1.0, ["a", "b"]), (2, "p", "NOT_ATTEMPTED", "b", 0.0, ["a", "b"]), (3, "p", None, "c", 2.0, ["c", "d"]), (4, "p", "INCORRECT", "d", None, ["e", "f"])],
                               "question_idx long, prompt string, grade string, low_temp_response string, semantic_entropy double, raw_responses array<string>")
