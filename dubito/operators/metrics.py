@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Ranges of running sums; resampled numbers held at once.
@@ -38,24 +38,40 @@ def matched(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner"
     return left.join(other, reduce(lambda x, y: x & y, (left[c].eqNullSafe(other[f"__{c}"]) for c in by)), how).drop(*(f"__{c}" for c in by))
 
 
+def literal_rows(spark: SparkSession, rows: list, *columns: str) -> DataFrame:
+    """A few rows that the driver holds, as a table of constants."""
+    if not rows:
+        raise ValueError("no rows")
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in columns]) for r in rows])))
+
+
 def parted(df: DataFrame, order: str, by: list[str], parts: int = PARTS) -> DataFrame:
-    """df with part: the number of its range of the order column, of so many with about as many rows each, within by."""
-    bounds = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10 * parts)).alias("__bounds"))
-    return matched(df, bounds, by).withColumn("part", F.size(F.filter("__bounds", lambda x: x < F.col(order)))).drop("__bounds")
+    """df with part: the number of its range of the order column, of so many with about as many rows each, within by.
+
+    Without by the bounds, one number for each range, are read to the driver.
+    """
+    share = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    bounds = df.groupBy(*by).agg(F.percentile_approx(order, share, F.lit(10 * parts)).alias("__bounds"))
+    if by:
+        return matched(df, bounds, by).withColumn("part", F.size(F.filter("__bounds", lambda x: x < F.col(order)))).drop("__bounds")
+    found = sorted({x for x in bounds.first()[0] or [] if x is not None})
+    below = F.filter(F.array(*map(F.lit, found)), lambda x: x < F.col(order)) if found else F.array()
+    return df.withColumn("part", F.size(below))
 
 
-def running(table: DataFrame, values: dict[str, str], by: list[str], order: str = "score", fine: bool = True) -> DataFrame:
-    """table with running sums within by, in the order: values maps a column to the name of its sum up to and with the row.
+def running(table: DataFrame, values: dict[str, str], by: list[str], order: str = "score", fine: bool = True, totals: dict[str, str] | None = None) -> DataFrame:
+    """table with running sums within by, in the order: values maps a column to the name of its sum up to and with the row, totals to that over all rows.
 
     fine: the order column may have as many values as rows. Ranges are summed first, and a window holds one range.
     """
+    totals = totals or {}
     if not fine:
-        w = Window.partitionBy(*by).orderBy(order)
-        return table.withColumns({name: F.sum(c).over(w) for c, name in values.items()})
+        w, every = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
+        return table.withColumns({name: F.sum(c).over(w) for c, name in values.items()} | {name: F.sum(c).over(every) for c, name in totals.items()})
     rows = parted(table, order, by)
-    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows
-    sums = rows.groupBy(*by, "part").agg(*(F.sum(c).alias(f"__{c}") for c in values))
-    sums = sums.select(*by, "part", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in values))
+    before, every = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)  # PARTS rows
+    sums = rows.groupBy(*by, "part").agg(*(F.sum(c).alias(f"__{c}") for c in {**values, **totals}))
+    sums = sums.select(*by, "part", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in values), *(F.sum(f"__{c}").over(every).alias(name) for c, name in totals.items()))
     rows, inner = matched(rows, sums, [*by, "part"]), Window.partitionBy(*by, "part").orderBy(order)
     return rows.withColumns({name: F.sum(c).over(inner) + F.col(f"__{c}") for c, name in values.items()}).drop("part", *(f"__{c}" for c in values))
 
@@ -126,8 +142,7 @@ def at_quantiles(df: DataFrame, accuracy: Column, uncertainty: Column, quantiles
     Each distinct score says which quantiles' lower and upper places fall into it; scores within
     1e-12 of the cutoff count as equal. Equal cutoffs stay apart.
     """
-    table = running(score_table(df, accuracy, uncertainty, *by, places=places), {"n": "upto", "p": "right"}, list(by), fine=places is None)
-    table = matched(table, table.groupBy(*by).agg(F.sum("n").alias("total")), list(by))
+    table = running(score_table(df, accuracy, uncertainty, *by, places=places), {"n": "upto", "p": "right"}, list(by), fine=places is None, totals={"n": "total"})
     inside = lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto"))
     place = lambda z: z["q"] * (F.col("total") - 1)
     grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(x)).alias("q")) for i, x in enumerate(quantiles)])
@@ -153,24 +168,26 @@ def rejection_curve(df: DataFrame, label: Column, score: Column, key: str, point
     numbered, so no task sorts all rows of a score, however common.
     """
     rows = df.select((score if places is None else F.round(score, places)).alias("score"), F.col(key).alias("key"), label.cast("long").alias("y"))
-    table = running(rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("p")), {"n": "upto", "p": "right"}, [], fine=places is None)
-    table = matched(table, table.agg(F.sum("n").alias("total")), [])
+    table = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    table = running(table, {"n": "upto", "p": "right"}, [], fine=places is None, totals={"n": "total"})
     fractions = F.array(*[F.lit(0.02 + i * 0.98 / (points - 1)) for i in range(points)])
     kept = lambda f: F.greatest(F.lit(1), F.floor(f * F.col("total") + 1e-9))
     inside = F.filter(fractions, lambda f: (kept(f) > F.col("upto") - F.col("n")) & (kept(f) <= F.col("upto")))
     cuts = table.select("score", (F.col("upto") - F.col("n")).alias("below"), (F.col("right") - F.col("p")).alias("right"), "total", F.explode(inside).alias("fraction"))
     cuts = cuts.select("score", "right", "fraction", kept(F.col("fraction")).alias("kept"), (kept(F.col("fraction")) - F.col("below")).alias("rn"))
-    there = F.broadcast(cuts.select("score").distinct())  # points rows
-    ranged = parted(rows.join(there, "score", "left_semi"), "key", ["score"])
+    spark, names = df.sparkSession, ["score", "right", "fraction", "kept", "rn"]
+    if not (found := cuts.collect()):  # a row for each point
+        return cuts.select("fraction", "kept", F.lit(None).cast("double").alias("accuracy"))
+    cuts = literal_rows(spark, found, *names)
+    ranged = parted(rows.join(F.broadcast(cuts.select("score").distinct()), "score", "left_semi"), "key", ["score"])
     upto = Window.partitionBy("score").orderBy("part")
     counts = ranged.groupBy("score", "part").agg(F.count("*").alias("m"), F.sum("y").alias("t"))
     counts = counts.select("score", "part", "m", F.sum("m").over(upto).alias("m_upto"), (F.sum("t").over(upto) - F.col("t")).alias("t_before"))
-    held = cuts.join(counts, "score").where("rn > m_upto - m and rn <= m_upto").withColumn("rn", F.col("rn") - F.col("m_upto") + F.col("m"))
-    wanted = F.broadcast(held.select("score", "part").distinct())  # points rows
+    held = counts.join(F.broadcast(cuts), "score").where("rn > m_upto - m and rn <= m_upto").withColumn("rn", F.col("rn") - F.col("m_upto") + F.col("m"))
+    held = F.broadcast(literal_rows(spark, held.collect(), *names, "part", "t_before"))  # a row for each point
     inner = Window.partitionBy("score", "part").orderBy("key")
-    numbered = ranged.join(wanted, ["score", "part"], "left_semi").select("score", "part", F.row_number().over(inner).alias("rn"), F.sum("y").over(inner.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
-    found = numbered.join(F.broadcast(held), ["score", "part", "rn"])  # points rows
-    return found.select("fraction", F.col("kept").cast("long").alias("kept"), ((F.col("right") + F.col("t_before") + F.col("run")) / F.col("kept")).alias("accuracy"))
+    numbered = ranged.join(F.broadcast(held.select("score", "part").distinct()), ["score", "part"], "left_semi").select("score", "part", F.row_number().over(inner).alias("rn"), F.sum("y").over(inner.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    return numbered.join(held, ["score", "part", "rn"]).select("fraction", F.col("kept").cast("long").alias("kept"), ((F.col("right") + F.col("t_before") + F.col("run")) / F.col("kept")).alias("accuracy"))
 
 
 def cut_table(df: DataFrame) -> DataFrame:
