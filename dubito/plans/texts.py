@@ -135,9 +135,24 @@ def corruption_counts(spark, sf_dir):
     return f.agg(*[F.count_if(c).alias(c) for c in ("emoji", "uuid_fragment", "instructional", "anomalously_long")], F.round(F.avg(F.col("any").cast("int")), 6).alias("any_rate"))
 
 
-@query()
+# Without backreferences: for each unit length the characters on from each place that equal those a unit further,
+# then matches from the left, the shortest unit first, none inside another.
+_UNITS = range(1, 7)
+_ENDS = "chr(10), chr(13), chr(133), chr(8232), chr(8233)"
+_DEGENERATE = f"""WITH RECURSIVE a AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS a FROM documents),
+h AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS p, unnest(a) AS ch FROM a),
+q AS (SELECT doc_id, p, {', '.join(f"CASE WHEN ch NOT IN ({_ENDS}) AND ch = lead(ch, {n}) OVER w THEN NULL ELSE p END AS b{n}" for n in _UNITS)} FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT doc_id, p, {', '.join(f"min(b{n}) OVER w - p AS r{n}" for n in _UNITS)} FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+m AS (SELECT doc_id, p, CASE {' '.join(f"WHEN r{n} >= {3 * n} THEN {n} + r{n} // {n} * {n}" for n in _UNITS)} END AS size FROM r WHERE {' OR '.join(f"r{n} >= {3 * n}" for n in _UNITS)}),
+c AS (SELECT doc_id, list({{'p': p, 'e': p + size, 's': array_to_string(a[p:p + size - 1], '')}} ORDER BY p) AS cs FROM m JOIN a USING (doc_id) GROUP BY doc_id),
+f AS (SELECT doc_id, cs, 1::BIGINT AS pos, NULL::VARCHAR AS hit FROM c
+  UNION ALL SELECT doc_id, cs, x.e, CASE WHEN length(x.s) >= {P.DEGENERATE_LEAST} AND NOT regexp_matches(x.s, '{P.NUMBER_RUN}') THEN x.s END FROM (SELECT doc_id, cs, list_filter(cs, lambda y: y.p >= pos)[1] AS x FROM f WHERE hit IS NULL) WHERE x IS NOT NULL)
+SELECT doc_id, hit AS unit FROM f WHERE hit IS NOT NULL"""
+
+
+@query(_DEGENERATE)
 def degenerate(spark, sf_dir):
-    """Repeated units need backreferences, which the oracle's engine lacks."""
+    """The first unit that repeats, of texts that have one."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.degenerate(F.col("text")).alias("unit"))
     return d.where("unit is not null")
 
