@@ -39,7 +39,8 @@ def op1_toxicity(spark, sf_dir):
 def op2_crossentropy(spark, sf_dir):
     """The target are the documents that labels mark as good and not toxic."""
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return crossentropy.score_documents(table(spark, sf_dir, "documents"), good)
+    scored = crossentropy.score_documents(table(spark, sf_dir, "documents"), good)
+    return scored.withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss", "score")})
 
 
 def op3_suffixes(spark, sf_dir):
@@ -99,7 +100,22 @@ l AS (SELECT doc_id, sum(n)::BIGINT AS n_leaked, string_agg(concat(start, ':', n
 o AS (SELECT doc_id, max(n) AS n_tokens, array_to_string(list_sort(list(DISTINCT item_id)), ' ') AS items FROM m GROUP BY doc_id)
 SELECT doc_id, items, n_tokens, n_leaked, spans FROM o JOIN l USING (doc_id)"""
 
+_D, _S = crossentropy.DISCOUNT, crossentropy.SMOOTH
+_LOSS = f"-ln(greatest(c{{0}} - {_D} * least(c{{0}}, 1), 0) / greatest(n{{0}}, 1e-12) + CASE WHEN n{{0}} > 0 THEN greatest(off{{0}} / n{{0}}, 1e-9) ELSE 1.0 END * (w{{0}} + {_S}) / (nt + {_S} * v))"
+_CROSSENTROPY = f"""WITH good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+d AS (SELECT doc_id, good.doc_id IS NOT NULL AS t, coalesce(regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), []) AS w FROM documents LEFT JOIN good USING (doc_id)),
+x AS (SELECT doc_id, t, unnest(list_concat([''], w[1:len(w) - 1])) AS a, unnest(w) AS b FROM d WHERE len(w) > 0),
+p AS (SELECT a, b, sum(t::INT)::DOUBLE AS cb, count(*)::DOUBLE AS c FROM x GROUP BY ALL),
+k AS (SELECT sum(cb) AS nt, sum(cb) / greatest(sum(c), 1) AS k FROM p),
+q AS (SELECT a, b, cb AS ct, c * k AS cg, nt FROM p, k),
+ctx AS (SELECT a, sum(ct) AS n_t, sum(cg) AS n_g, sum({_D} * least(ct, 1)) AS off_t, sum({_D} * least(cg, 1)) AS off_g FROM q GROUP BY a),
+wd AS (SELECT b, sum(ct) AS w_t, sum(cg) AS w_g, count(*) OVER () AS v FROM q GROUP BY b),
+l AS (SELECT a, b, {_LOSS.format('_t').replace('c_t', 'ct')} AS lt, {_LOSS.format('_g').replace('c_g', 'cg')} AS lg FROM q JOIN ctx USING (a) JOIN wd USING (b)),
+s AS (SELECT doc_id, avg(lt) AS lt, avg(lg) AS lg FROM x JOIN l USING (a, b) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_tokens, round(lt, 6) AS target_loss, round(lg, 6) AS background_loss, round(lt - lg, 6) AS score FROM d LEFT JOIN s USING (doc_id)"""
+
 _SQL = {
+    "op2_crossentropy": _CROSSENTROPY,
     "op5_spaced_seeds": _LEAKS,
     "op3_suffixes": "WITH "
     + _WINDOWS.format(n=suffixes.WINDOW)
