@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import phrases as P
 
-BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+BLANK, NO_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]", r"[^\s\x1c-\x1f\x85\p{Z}]"
 
 
 def _array(values: list[str]) -> Column:
@@ -26,7 +26,7 @@ def let(value: Column, f) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.regexp_extract(c, f"(?s)^{BLANK}*+((?:.*{NO_BLANK})?)", 1)  # one match from the front, not one for each run of blanks
 
 
 def words(c: Column) -> Column:
@@ -59,7 +59,8 @@ def alternation(values: list[str]) -> str:
         parts = [re.escape(ch) + pattern(child) for ch, child in node.items()]
         return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
-    return pattern(tree)
+    first = "".join(re.escape(ch) for ch in tree if ch)
+    return f"(?=[{first}]){pattern(tree)}" if first and "" not in tree else pattern(tree)  # most places fail at their first character
 
 
 def _hits(low: Column, values: list[str]) -> Column:
@@ -80,7 +81,7 @@ def abstention_hit(c: Column, cutoff: int = P.MERGED_CUTOFF) -> Column:
         return F.when(low.rlike(one), F.struct((F.length(before) + 1).alias("pos"), F.regexp_extract(low, one, 0).alias("phrase")))
 
     first = let(F.lower(strip(c)), earliest)
-    found = F.struct((F.coalesce(first["pos"] <= cutoff, F.lit(False))).alias("is_abstained"), first["phrase"].alias("phrase"), (first["pos"] - 1).alias("position"))
+    found = let(first, lambda f: F.struct((F.coalesce(f["pos"] <= cutoff, F.lit(False))).alias("is_abstained"), f["phrase"].alias("phrase"), (f["pos"] - 1).alias("position")))
     empty = F.struct(F.lit(True).alias("is_abstained"), F.lit("<empty>").alias("phrase"), F.lit(0).alias("position"))
     return F.when(c.isNull() | (c == ""), empty).otherwise(found)
 
@@ -94,7 +95,7 @@ def phrase_rule(c: Column) -> Column:
     """T4: (is_non_answer, phrase, position) of the first phrase in the order of the list, anywhere."""
     one = alternation(P.PHRASES)
     first = let(F.lower(strip(c)), lambda low: F.when(low.rlike(one), F.get(_hits(low, P.PHRASES), F.lit(0))))
-    found = F.struct(first.isNotNull().alias("is_non_answer"), first["phrase"].alias("phrase"), (first["pos"] - 1).alias("position"))
+    found = let(first, lambda f: F.struct(f.isNotNull().alias("is_non_answer"), f["phrase"].alias("phrase"), (f["pos"] - 1).alias("position")))
     empty = F.struct(F.lit(True).alias("is_non_answer"), F.lit("<empty>").alias("phrase"), F.lit(0).alias("position"))
     return F.when(c.isNull() | (c == ""), empty).otherwise(found)
 
@@ -108,7 +109,7 @@ def narrow_rule(c: Column) -> Column:
 
 def short_abstention(c: Column) -> Column:
     """Empty after strip(), a phrase anywhere, or n/a between characters that aren't a-z or 0-9."""
-    return let(F.lower(strip(c)), lambda low: (low == "") | low.rlike("(?<![a-z0-9])n/a(?![a-z0-9])") | low.rlike(alternation(P.SHORT)))
+    return let(F.lower(strip(c)), lambda low: (low == "") | low.rlike(f"(?<![a-z0-9])n/a(?![a-z0-9])|{alternation(P.SHORT)}"))
 
 
 def canonical(c: Column) -> Column:

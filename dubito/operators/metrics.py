@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Ranges of running sums; resampled numbers held at once.
-PARTS = 256
+#: Ranges of running sums at most, and rows of each at least; resampled numbers held at once.
+PARTS, EACH = 256, 1 << 16
 DRAWN = 1 << 22
 
 
@@ -46,17 +46,18 @@ def literal_rows(spark: SparkSession, rows: list, *columns: str) -> DataFrame:
 
 
 def parted(df: DataFrame, order: str, by: list[str], parts: int = PARTS) -> DataFrame:
-    """df with part: the number of its range of the order column, of so many with about as many rows each, within by.
+    """df with part: the number of its range of the order column within by: one for every EACH rows or so, with about as many rows each, so many at most.
 
     Without by the bounds, one number for each range, are read to the driver.
     """
     share = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    bounds = df.groupBy(*by).agg(F.percentile_approx(order, share, F.lit(10 * parts)).alias("__bounds"))
+    step = F.ceil(parts / F.least(F.lit(parts), F.ceil(F.count("*") / EACH)))
+    bounds = df.groupBy(*by).agg(F.percentile_approx(order, share, F.lit(10 * parts)).alias("__all"), step.alias("__step"))
+    bounds = bounds.select(*by, F.array_distinct(F.filter("__all", lambda _, i: (i + 1) % F.col("__step") == 0)).alias("__bounds"))
     if by:
         return matched(df, bounds, by).withColumn("part", F.size(F.filter("__bounds", lambda x: x < F.col(order)))).drop("__bounds")
-    found = sorted({x for x in bounds.first()[0] or [] if x is not None})
-    below = F.filter(F.array(*map(F.lit, found)), lambda x: x < F.col(order)) if found else F.array()
-    return df.withColumn("part", F.size(below))
+    found = bounds.first()[0]
+    return df.withColumn("part", F.size(F.filter(F.array(*map(F.lit, found)), lambda x: x < F.col(order))) if found else F.lit(0))
 
 
 def running(table: DataFrame, values: dict[str, str], by: list[str], order: str = "score", fine: bool = True, totals: dict[str, str] | None = None) -> DataFrame:

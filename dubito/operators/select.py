@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical, is_abstained, short_abstention
+from ..functions.phrases import CANONICAL
+from ..functions.text import is_abstained, short_abstention
 from .metrics import parted
 
 
@@ -54,7 +55,10 @@ def blank_abstained(df: DataFrame, flag: str, response: str) -> DataFrame:
 
 def canonicalise(df: DataFrame, scalar: str, array: str) -> DataFrame:
     """F8: abstentions of a text and of an array's texts, with their number."""
-    return df.withColumns({"n_scalar": short_abstention(F.col(scalar)).cast("int"), "n_array": F.size(F.filter(array, short_abstention)), scalar: canonical(F.col(scalar)), array: F.transform(array, canonical)})
+    rows = df.withColumns({"n_scalar": short_abstention(F.col(scalar)).cast("int"), "__marks": F.transform(array, short_abstention)})  # once for both uses
+    own = F.zip_with(array, "__marks", lambda x, gone: F.when(gone, F.lit(CANONICAL)).otherwise(x))
+    rows = rows.withColumns({"n_array": F.size(F.filter("__marks", lambda m: m)), scalar: F.when(F.col("n_scalar") == 1, F.lit(CANONICAL)).otherwise(F.col(scalar)), array: own})
+    return rows.drop("__marks")
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:

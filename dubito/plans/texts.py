@@ -17,6 +17,11 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _fields(df, value):
+    """(doc_id, the fields of a struct), the struct made once for all of them."""
+    return df.select("doc_id", F.inline(F.array(value)))
+
+
 def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
@@ -35,15 +40,13 @@ _SHORT = f"(low = '' OR {_NA} OR {_any('low', P.SHORT)})"
 @query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, coalesce(pos <= {P.MERGED_CUTOFF}, false) AS is_abstained, (pos - 1)::INT AS position FROM a")
 def abstention(spark, sf_dir):
     """T1, T2."""
-    r = B.responses(spark, sf_dir).select("doc_id", T.abstention_hit(F.col("response")).alias("h"))
-    return r.select("doc_id", "h.is_abstained", "h.position")
+    return _fields(B.responses(spark, sf_dir), T.abstention_hit(F.col("response"))).select("doc_id", "is_abstained", "position")
 
 
 @query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, (pos - 1)::INT AS position FROM a WHERE pos > {P.MERGED_CUTOFF}")
 def abstention_late(spark, sf_dir):
     """Phrases too late to count."""
-    r = B.responses(spark, sf_dir).select("doc_id", T.abstention_hit(F.col("response")).alias("h"))
-    return r.where(f"h.position >= {P.MERGED_CUTOFF}").select("doc_id", "h.position")
+    return _fields(B.responses(spark, sf_dir), T.abstention_hit(F.col("response"))).where(f"position >= {P.MERGED_CUTOFF}").select("doc_id", "position")
 
 
 @query(f"WITH {RESPONSES}, {_MERGED} SELECT doc_id, md5(response) AS response_md5 FROM a WHERE NOT coalesce(pos <= {P.MERGED_CUTOFF}, false)")
@@ -65,8 +68,7 @@ _FIRST_PHRASE = "CASE " + " ".join(f"WHEN instr(low, {_q(p)}) > 0 THEN {_q(p)}"
 @query(f"WITH {RESPONSES}, m AS (SELECT doc_id, response, {_LOW} AS low FROM r) SELECT doc_id, response = '' OR ({_FIRST_PHRASE}) IS NOT NULL AS is_non_answer, CASE WHEN response = '' THEN '<empty>' ELSE {_FIRST_PHRASE} END AS phrase FROM m")
 def phrase_rule(spark, sf_dir):
     """T4."""
-    r = B.responses(spark, sf_dir).select("doc_id", T.phrase_rule(F.col("response")).alias("h"))
-    return r.select("doc_id", "h.is_non_answer", "h.phrase")
+    return _fields(B.responses(spark, sf_dir), T.phrase_rule(F.col("response"))).select("doc_id", "is_non_answer", "phrase")
 
 
 _NARROW = f"(regexp_matches(response, '{P.NARROW}', 'i') AND length(regexp_extract(response, '^(.*?)({P.NARROW})', 1, 'is')) < greatest({P.NARROW_CUTOFF}, floor({P.NARROW_SHARE} * length(response))))"
@@ -125,13 +127,13 @@ _SCAN = (
 @query(f"WITH {RESPONSES}, {_SCAN} SELECT *, emoji OR uuid_fragment OR instructional OR anomalously_long AS any FROM f")
 def corruption_flags(spark, sf_dir):
     """T12."""
-    return B.responses(spark, sf_dir).select("doc_id", T.corruption_flags(F.col("response")).alias("f")).select("doc_id", "f.*")
+    return _fields(B.responses(spark, sf_dir), T.corruption_flags(F.col("response")))
 
 
 @query(f"WITH {RESPONSES}, {_SCAN} SELECT sum(emoji::INT)::BIGINT AS emoji, sum(uuid_fragment::INT)::BIGINT AS uuid_fragment, sum(instructional::INT)::BIGINT AS instructional, sum(anomalously_long::INT)::BIGINT AS anomalously_long, round(avg((emoji OR uuid_fragment OR instructional OR anomalously_long)::INT), 6) AS any_rate FROM f")
 def corruption_counts(spark, sf_dir):
     """A7."""
-    f = B.responses(spark, sf_dir).select(T.corruption_flags(F.col("response")).alias("f")).select("f.*")
+    f = _fields(B.responses(spark, sf_dir), T.corruption_flags(F.col("response")))
     return f.agg(*[F.count_if(c).alias(c) for c in ("emoji", "uuid_fragment", "instructional", "anomalously_long")], F.round(F.avg(F.col("any").cast("int")), 6).alias("any_rate"))
 
 
@@ -175,7 +177,7 @@ _FORMAT = (
 @query(f"WITH {RESPONSES}, {_FORMAT} SELECT * FROM g")
 def compliance(spark, sf_dir):
     """T16."""
-    return B.responses(spark, sf_dir).select("doc_id", T.compliance(F.col("response")).alias("f")).select("doc_id", "f.*")
+    return _fields(B.responses(spark, sf_dir), T.compliance(F.col("response")))
 
 
 _RATES = ["too_long", "has_hedge", "has_explanation", "has_bad_starter", "has_refusal", "looks_like_sentence", "compliant"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dubito.operators import inventory as I
-from dubito.operators import loaders, longform, sampling, select, targets
+from dubito.operators import loaders, longform, metrics, sampling, select, targets
 from dubito.sources import files, schemas, sqlite
 from dubito.streaming import live
 from dubito.streaming.ingest import ingest_once, progress
@@ -33,7 +33,9 @@ def test_read(spark, gen):
     assert files.line_counts(spark, gen).first().n == 6 and files.line_count(spark, gen + "x") == -1
 
 
-def test_gaps(spark):
+@pytest.mark.parametrize("each", [100, 1 << 16])
+def test_gaps(spark, each, monkeypatch):
+    monkeypatch.setattr(metrics, "EACH", each)
     keys = spark.createDataFrame([(2**62,), (2**62 + 3,), (2**62 + 3,), (None,), (2**62 + 200_000,)], "k long")
     got = [r.k for r in select.gaps(keys, "k").collect()]
     assert len(got) == len(set(got)) == 200_000 + 1 - 3 and min(got) == 2**62 + 1 and 2**62 + 3 not in got

@@ -28,9 +28,10 @@ def test_auroc(spark):
     assert M.auroc(df.where("y"), F.col("y"), F.col("s")).first().auroc is None
 
 
-@pytest.mark.parametrize("places", [None, 6])
-def test_fine_scores(spark, places):
-    """Scores as many as rows: running sums by ranges give what one window gives."""
+@pytest.mark.parametrize("places,each", [(None, 40), (None, 1 << 16), (6, 40)])
+def test_fine_scores(spark, places, each, monkeypatch):
+    """Scores as many as rows: running sums by ranges, many or one, give what one window gives."""
+    monkeypatch.setattr(M, "EACH", each)
     rng = random.Random(3)
     rows = [(i, rng.choice("ab"), rng.random() < 0.4, rng.random(), rng.random() < 0.3) for i in range(1500)] + [(i, None, i % 2 == 0, 0.5, False) for i in range(1500, 1600)]
     df = spark.createDataFrame(rows, "k long, g string, y boolean, s double, bad boolean")
