@@ -42,7 +42,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_held_out_of_more(spark):
-    # 305 toxic texts to learn from; some of the 144 held out have nothing toxic in them.
+    # 305 toxic texts to learn from, 144 held out.
     rows = scored(spark, toxicity.score_toxicity, "toxic", "/root/testdata/sf0.1")
     toxic, clean = [r for r in rows if r[1] == 1], [r for r in rows if r[1] == 0]
     assert sum(r[2] for r in toxic) >= 0.9 * len(toxic) and sum(r[2] for r in clean) <= 0.02 * len(clean) and auc(rows) > 0.95
