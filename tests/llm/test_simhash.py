@@ -102,6 +102,17 @@ def test_chain(spark):
     assert all(got[i] == 0 for i in range(1, 301)) and got[1001] == 1000 and components(edges.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("hub", [1, 3, 64])
+def test_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr("dubito.llm.components.HUB", hub)
+    rng = np.random.default_rng(hub)
+    edges = [(500, i) for i in range(300, 400)] + [(i, 900) for i in range(350, 450)] + rng.integers(1000, 1060, (40, 2)).tolist()
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    near = {frozenset(e) for e in edges}
+    want = connect(sorted({x for e in edges for x in e}), lambda a, b: frozenset((a, b)) in near)
+    assert {x: got.get(x, x) for x in want} == want
+
+
 def shingle_set(t):
     w = re.findall("[^\x20\x09-\x0d]+", t.lower())
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else frozenset()
