@@ -23,7 +23,8 @@ sets of five-word shingles have a Jaccard similarity of 0.8 or more, about 10 bi
 and sometimes 20. No table of codes holds such a radius, so anchors are there the minima of
 ``BANDS`` times ``WIDTH`` hashes of the shingles. Of the fingerprints under one anchor those
 within ``WIDE`` bits are candidates; within each component of candidates the shingle sets
-themselves are compared, and only pairs at the similarity or above are linked. A pair at
+themselves are compared, in one task or, beyond ``TOGETHER`` bytes of text, by rounds of pivots
+over blocks of the component; only pairs at the similarity or above are linked. A pair at
 exactly 0.8 has one chance in about 40,000 to share no anchor.
 
 Defined results: texts without words (null, empty, blank) have fingerprint zero and are
@@ -55,6 +56,8 @@ DENSE = 512
 #: The stage's rule, and its anchors: minima of WIDTH hashes each, fingerprints WIDE bits apart at most.
 SIMILARITY, WORDS = 0.8, 5
 BANDS, WIDTH, WIDE = 20, 4, 24
+#: Bytes of text of a component that one task verifies; larger ones go by rounds, with blocks of so many rows and at most so many pivots a round.
+TOGETHER, BLOCK, PIVOTS = 32 << 20, 4096, 128
 _LOW_UPPER = bytes(LOWER)
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * WIDTH), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -354,6 +357,84 @@ def _verified(candidates: DataFrame, size: int, similarity: float) -> DataFrame:
     return candidates.repartition("component").sortWithinPartitions("component").mapInArrow(task, "u long, v long")
 
 
+def _among(pivots: tuple[list[int], list[np.ndarray]], node: int, s: np.ndarray, kin: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of a set with the pivots it is similar to, one for each kin of pivots."""
+    nodes, sets = pivots
+    size = np.array([len(p) for p in sets])
+    near = np.flatnonzero(np.minimum(size, len(s)) >= similarity * np.maximum(size, len(s)))
+    both = np.array([(s[np.minimum(np.searchsorted(s, sets[i]), len(s) - 1)] == sets[i]).sum() for i in near], np.int64)
+    near = near[both >= similarity * (size[near] + len(s) - both) - 1e-9]
+    _, one = np.unique(kin[near], return_index=True)
+    return [(max(node, nodes[i]), min(node, nodes[i])) for i in near[one] if nodes[i] != node]
+
+
+def _met(pivots: DataFrame, others: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Edges (u, v) between pivots and others, both (block, node, text), within each block. A task holds a block's pivots only."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sets, kin = None, [], [], None
+        for b in batches:
+            for c in chunks(b):
+                found = []
+                rows = zip(c.column("block").to_pylist(), c.column("turn").to_pylist(), c.column("node").to_pylist(), shingles(_lower_words(c.column("text")), size), strict=True)
+                for block, turn, node, s in rows:
+                    if block != at:
+                        at, nodes, sets, kin = block, [], [], None
+                    if not len(s):
+                        continue
+                    if turn == 0:
+                        nodes.append(node)
+                        sets.append(s)
+                    elif nodes:
+                        if kin is None:
+                            kin = np.arange(len(sets))
+                            for i, j in similar(sets, similarity):
+                                kin[kin == kin[j]] = kin[i]
+                                found += [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j]))] if nodes[i] != nodes[j] else []
+                        found += _among((nodes, sets), node, s, kin, similarity)
+                yield from emit(_EDGES, *np.array(found, np.int64).reshape(-1, 2).T)
+
+    rows = pivots.select("block", F.lit(0).alias("turn"), "node", "text").union(others.select("block", F.lit(1).alias("turn"), "node", "text"))
+    return rows.repartition("block").sortWithinPartitions("block", "turn").mapInArrow(task, "u long, v long")
+
+
+def _verified_by_rounds(candidates: DataFrame, size: int, similarity: float) -> DataFrame:
+    """As _verified, for components too large for one task.
+
+    In each round some rows of a component are pivots, copied to blocks of its other rows; whoever was
+    a pivot has met all others and leaves. What is linked so far forms classes; when no class but the
+    largest is left in a component all its links are spanned. Pivots are of the other classes, by hash.
+    """
+    row = F.xxhash64("node", F.xxhash64("text"))
+    texts = cut(candidates.withColumn("row", row).dropDuplicates(["component", "row"]))
+    left, edges, most = cut(texts.select("component", "node", "row")), None, 16
+    while True:
+        if edges is None:
+            named = left.withColumn("label", F.col("node"))
+        else:
+            named = left.join(components(edges).select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = cut(named)
+        classes = named.groupBy("component", "label").agg(F.count("*").alias("n"))
+        largest = classes.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("total"), F.count("*").alias("classes")).where("classes > 1")
+        todo = named.join(largest, "component").where("label <> largest")
+        salted = Window.partitionBy("component", F.pmod("row", F.lit(64))).orderBy("row")
+        each = Window.partitionBy("component").orderBy("row")
+        chosen = todo.withColumn("i", F.row_number().over(salted)).where(F.col("i") <= most).withColumn("i", F.row_number().over(each)).where(F.col("i") <= most)
+        chosen = cut(chosen.select("component", "row", "total"))
+        if chosen.isEmpty():
+            return edges if edges is not None else left.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false")
+        blocks = F.ceil(F.col("total") / BLOCK)
+        block = lambda i: F.xxhash64("component", i)
+        held = texts.join(chosen, ["component", "row"])
+        pivots = held.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(block("i").alias("block"), "node", "text")
+        live = left.join(largest.select("component", "total"), "component").select("component", "row", F.pmod("row", blocks).alias("i"))
+        others = texts.join(live, ["component", "row"]).select(block("i").alias("block"), "node", "text")
+        found = _met(pivots, others, size, similarity)
+        edges = cut(found if edges is None else edges.union(found).distinct())
+        left = cut(left.join(chosen.select("component", "row"), ["component", "row"], "left_anti"))
+        most = min(2 * most, PIVOTS)
+
+
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS) -> DataFrame:
     """(doc_id, component_id): documents linked by shingle sets at the similarity or above; equal sets are one class."""
     prints = cut(sketches(docs, size))
@@ -361,8 +442,14 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, size: in
     placed = classes.select(F.explode("bands").alias("anchor"), "fp", "node", F.lit(True).alias("home"))
     loose = components(_comparing(placed, WIDE, grow=True))
     members = cut(loose.union(loose.select("component", "component")).distinct())
+    sizes = documents(docs).select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")).join(members, "node")
+    large = cut(sizes.groupBy("component").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > TOGETHER).select("component"))
     candidates = documents(docs).join(members.hint("merge"), F.col("doc_id") == F.col("node")).select("component", "node", "text")
-    edges = _verified(candidates, size, similarity)
+    if large.isEmpty():
+        edges = _verified(candidates, size, similarity)
+    else:
+        edges = _verified(candidates.join(large, "component", "left_anti"), size, similarity)
+        edges = edges.union(_verified_by_rounds(candidates.join(large, "component"), size, similarity))
     ties = prints.join(classes.select("fp", "key", "node"), ["fp", "key"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     found = components(edges.union(ties))
     return prints.select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -118,9 +118,13 @@ def shingle_set(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else frozenset()
 
 
-def test_stage_keeps_one_of_documents_similar_by_80_percent(spark, tmp_path):
+@pytest.mark.parametrize("together,block,pivots", [(simhash.TOGETHER, 4096, 128), (3000, 7, 16)])
+def test_stage_keeps_one_of_documents_similar_by_80_percent(spark, tmp_path, monkeypatch, together, block, pivots):
     import corpus_pipeline as cp
 
+    for name, value in (("TOGETHER", together), ("BLOCK", block), ("PIVOTS", pivots)):
+        monkeypatch.setattr(simhash, name, value)
+
     rng = np.random.default_rng(2)
     rows = []
     for _ in range(40):
