@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..sources.folders import scratch, shared_folder
 
 
+#: A key is hot beyond one row in so many.
+HOT = 1000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from the shared folder from here on."""
     shared_folder(df.sparkSession)
@@ -38,6 +42,22 @@ def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(place, "doc_id").limit(most)
 
 
+def attach(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of facts, which has a row for each key of theirs, nulls included, and n, how many rows it stands for.
+
+    Keys with more than one row in ``HOT`` of all, fewer than HOT of them, are broadcast, so no task reads a
+    hot key's rows; the others meet by an equi-join. facts is read three times: cut it before.
+    """
+    facts = facts.withColumns({"__hash": F.xxhash64(key, F.col(key).isNull()), "__key": F.col(key)}).drop(key)
+    many = max(64, (facts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    meets = F.col(key).eqNullSafe(F.col("__key"))
+    hot, others = facts.where(F.col("n") > many).drop("n", "__hash"), facts.where(F.col("n") <= many).drop("n")
+    found = rows.withColumn("__here", F.xxhash64(key, F.col(key).isNull())).join(F.broadcast(hot.withColumn("__hot", F.lit(True))), meets, "left")
+    own = [c for c in hot.columns if c != "__key"]
+    rest = found.where("__hot is null").drop("__key", "__hot", *own).join(others, (F.col("__here") == F.col("__hash")) & meets)
+    return found.where("__hot").select(*rows.columns, *own).union(rest.select(*rows.columns, *own))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have, whatever it has."""
     held = {c.lower() for c in df.columns}
@@ -46,4 +66,4 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["bounded_sample", "cut", "held_out", "sample_labels", "scratch", "shared_folder", "unused"]
+__all__ = ["attach", "bounded_sample", "cut", "held_out", "sample_labels", "scratch", "shared_folder", "unused"]
