@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import documents
-from .shared import bounded_sample, held_out, sample_labels
+from .shared import bounded_sample, held_out, one_text, sample_labels
 from .text import Words, chunks, mix
 
 #: Labelled rows to learn from, at most.
@@ -192,9 +192,9 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Fits on at most ``sample`` labelled documents that are not held out."""
     ids = bounded_sample(sample_labels(labels, "quality"), sample)
-    # ids has ``sample`` rows at most.
+    # ids has ``sample`` rows at most, and a doc_id gives one row, however many hold it.
     chosen = documents(docs).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    rows = document_statistics(chosen).toPandas().merge(ids.toPandas(), on="doc_id")
+    rows = document_statistics(one_text(chosen)).toPandas().merge(ids.toPandas(), on="doc_id")
     rows = rows.assign(first=rows["stats"].map(lambda x: x[0] if len(x) else 0)).sort_values(["doc_id", "first"])
     x = np.stack(rows["stats"].to_numpy()).astype(np.float32) if len(rows) else np.zeros((0, len(STATISTICS)), np.float32)
     return fit(x, rows["label"].to_numpy().astype(float))

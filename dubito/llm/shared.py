@@ -42,6 +42,12 @@ def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(place, "doc_id").limit(most)
 
 
+def one_text(docs: DataFrame, *columns: str) -> DataFrame:
+    """A row for each doc_id of (doc_id, text): of those that repeat it the least by the hash of its text, and the least of the other columns."""
+    least = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text")))
+    return docs.groupBy("doc_id").agg(least.alias("text"), *(F.min(c).alias(c) for c in columns))
+
+
 def attach(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """rows with the columns of facts, which has a row for each key of theirs, nulls included, and n, how many rows it stands for.
 
@@ -66,4 +72,4 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["attach", "bounded_sample", "cut", "held_out", "sample_labels", "scratch", "shared_folder", "unused"]
+__all__ = ["attach", "bounded_sample", "cut", "held_out", "one_text", "sample_labels", "scratch", "shared_folder", "unused"]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import documents
-from .shared import bounded_sample, held_out, sample_labels
+from .shared import bounded_sample, held_out, one_text, sample_labels
 from .text import ALNUM, Words, chunks, distinct, mix
 
 WINDOW, STRIDE = 32, 16
@@ -264,8 +264,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     """Fits on a bounded sample of labelled rows that are not held out."""
     rows = sample_labels(labels, "toxic")
     ids = bounded_sample(rows.where("label = 1"), sample[0]).union(bounded_sample(rows.where("label = 0"), sample[1]))
-    # ids has sum(sample) rows at most.
-    found = documents(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    # ids has sum(sample) rows at most, and a doc_id gives one row, however many hold it.
+    found = one_text(documents(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label"), "label")
     found = found.mapInArrow(_shortened, "doc_id long, text string, label int").toPandas().sort_values(["doc_id", "text"])
     return fit(found["text"].tolist(), found["label"].to_numpy().astype(np.float32))
 

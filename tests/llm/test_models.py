@@ -318,3 +318,16 @@ def test_crossentropy_keeps_all_words_and_pairs(spark):
         w = t.split()
         want = [sum(f(a, b) for a, b in zip(["^", *w[:-1]], w, strict=True)) / len(w) for f in losses]
         assert got[i].n_tokens == len(w) and math.isclose(got[i].target_loss, want[0], rel_tol=1e-9) and math.isclose(got[i].background_loss, want[1], rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("learner", ["quality", "toxicity"])
+def test_sample_is_bounded_by_rows(spark, learner, monkeypatch):
+    """A doc_id that many rows hold gives one row to learn from, the same in any order of the rows."""
+    module, seen = {"quality": quality, "toxicity": toxicity}[learner], []
+    monkeypatch.setattr(module, "fit", lambda x, y, *a, **b: seen.append((len(x), len(y), [str(r) for r in x])))
+    one, other = [i for i in range(1, 20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    docs = spark.createDataFrame([(one, f"text number {i % 50} of many") for i in range(3000)] + [(other, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(one, 1, 1), (other, 0, 0)], "doc_id long, quality int, toxic int")
+    for n in (2, 5):
+        module.learn(docs.repartition(n), labels)
+    assert seen[0] == seen[1] and seen[0][:2] == (2, 2)
