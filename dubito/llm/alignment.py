@@ -32,6 +32,8 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ from . import pieces
 from .shared import cut, scratch
 from .text import Words, chunks, distinct
 
-CHUNK = 16 << 20
+CHUNK = 4 << 20
 #: Stretches encoded at once.
 TOGETHER = 1 << 14
 #: Labels of a byte: neither, A, B, both.
@@ -116,6 +118,9 @@ class Aligner:
         self.pieces = [self.b.id_to_piece(i) for i in range(n)]
         self.of_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.length_a, self.length_b = (np.array([len(t) for t in x]) for x in (self.of_a, self.of_b))
+        #: An id in decimal before a comma, before the other tokenizer's ids, at the end of its group.
+        self.told = [f"{i}{end}".encode() for i in range(max(len(self.of_a), n)) for end in ",|;"]
+        self.told_length = np.array([len(t) for t in self.told])
 
     def codes(self, texts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and of B of stretches, each of which begins with a blank."""
@@ -128,43 +133,56 @@ class Aligner:
 
     def aligned(self, texts: list[bytes]) -> Stretches:
         a, b = self.codes(texts)
-        text_a, text_b = (lambda of: lambda ids: b"".join(map(of.__getitem__, ids)))(self.of_a), (lambda of: lambda ids: b"".join(map(of.__getitem__, ids)))(self.of_b)
-        ok = np.array([text_a(x) == t == text_b(y) for t, x, y in zip(texts, a, b, strict=True)], bool)
+        ok = np.ones(len(texts), bool)
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        for ids, of, lengths in ((a, self.of_a, self.length_a), (b, self.of_b, self.length_b)):
+            flat, n = _flat(ids)
+            covered = np.r_[0, np.cumsum(lengths[flat])][np.cumsum(n)]
+            if not np.array_equal(np.diff(covered, prepend=0), length) or b"".join(map(of.__getitem__, flat.tolist())) != b"".join(texts):
+                ok &= [b"".join(map(of.__getitem__, x)) == t for t, x in zip(texts, ids, strict=True)]
         at = np.flatnonzero(ok)
         return Stretches(ok, at, [a[i] for i in at], [b[i] for i in at], self)
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and how many each list has."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n
+
+
 class Stretches:
     """What is known of stretches: n_a, n_b, n_groups, n_links and the groups as text for each (zeros and none where it isn't ok), links of all in a row."""
 
     def __init__(self, ok: np.ndarray, at: np.ndarray, a: list[list[int]], b: list[list[int]], by: Aligner):
         self.ok = ok
-        ids_a, ids_b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (a, b))
+        self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(len(ok), np.int64) for _ in range(4))
+        (ids_a, self.n_a[at]), (ids_b, self.n_b[at]) = _flat(a), _flat(b)
         ends_a, ends_b = np.cumsum(by.length_a[ids_a]), np.cumsum(by.length_b[ids_b])
         label = np.zeros(int(ends_a[-1]) if len(ends_a) else 0, np.uint8)
         label[ends_a - 1] |= 1
         label[ends_b - 1] |= 2
-        string = LABELS[label].tobytes()
-        spans = [(m.end(), m[0].count(b"a") + 1, m[0].count(b"b") + 1) for m in _GROUP.finditer(string)]
-        self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(len(ok), np.int64) for _ in range(4))
-        self.n_a[at], self.n_b[at] = [len(x) for x in a], [len(x) for x in b]
+        spans = _GROUP.findall(LABELS[label].tobytes())
+        end, in_a, in_b = (np.fromiter(map(f, spans), np.int64, len(spans)) for f in (len, methodcaller("count", b"a"), methodcaller("count", b"b")))
+        end, in_a, in_b = np.cumsum(end), in_a + 1, in_b + 1  # the label that ends a span counts for both
         place = np.flatnonzero(label)
-        in_a, in_b = label[place] & 1, label[place] >> 1
-        self.links = ids_a[np.cumsum(in_a) - in_a] << 32 | ids_b[np.cumsum(in_b) - in_b] if len(place) else np.zeros(0, np.int64)
+        ends = label[place] & 1, label[place] >> 1
+        self.links = ids_a[np.cumsum(ends[0]) - ends[0]] << 32 | ids_b[np.cumsum(ends[1]) - ends[1]] if len(place) else np.zeros(0, np.int64)
         # A stretch is as long as its tokens of A.
-        size = np.zeros(len(at) + 1, np.int64)
-        size[1:] = ends_a[np.cumsum(self.n_a[at]) - 1] if len(at) else 0
+        size = np.r_[0, ends_a][np.r_[0, np.cumsum(self.n_a[at])]]
         self.n_links[at] = np.diff(np.searchsorted(place, size))
-        self.n_groups[at] = np.diff(np.searchsorted([e for e, _, _ in spans], size, "right"))
-        text_a, text_b, told, i, j = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist())), [], 0, 0
-        for _, n, m in spans:
-            told.append(",".join(text_a[i : i + n]) + "|" + ",".join(text_b[j : j + m]))
-            i, j = i + n, j + m
+        self.n_groups[at] = np.diff(np.searchsorted(end, size, "right"))
+        # Groups as text: each id with what follows it, in the order of groups, A's before B's.
+        upto_a, upto_b = np.cumsum(in_a), np.cumsum(in_b)
+        token = np.empty(len(ids_a) + len(ids_b), np.int64)
+        token[np.arange(len(ids_a)) + np.repeat(upto_b - in_b, in_a)] = 3 * ids_a
+        token[np.arange(len(ids_b)) + np.repeat(upto_a, in_b)] = 3 * ids_b
+        token[upto_a + upto_b - in_b - 1] += 1
+        token[upto_a + upto_b - 1] += 2
+        size = np.r_[0, np.cumsum(by.told_length[token])][np.r_[0, np.cumsum(self.n_a[at] + self.n_b[at])]]
+        told = b"".join(map(by.told.__getitem__, token.tolist()))
         self.text: list[bytes] = [b""] * len(ok)
-        i = 0
-        for k, n in zip(at.tolist(), self.n_groups[at].tolist(), strict=True):
-            self.text[k] = ";".join(told[i : i + n]).encode()
-            i += n
+        for k, i, j in zip(at.tolist(), size[:-1].tolist(), size[1:].tolist(), strict=True):
+            self.text[k] = told[i : j - 1]
 
 
 class _Cut(Words):

@@ -136,6 +136,8 @@ def test_labels_are_scanned():
         import numpy as np
 
         length_a, length_b = np.array([3, 2]), np.array([4, 1])
+        told = [f"{i}{end}".encode() for i in range(2) for end in ",|;"]
+        told_length = np.full(6, 2)
 
     s = alignment.Stretches(alignment.np.array([True]), alignment.np.array([0]), [[0, 1]], [[0, 1]], By)
     assert (s.n_groups[0], s.n_links[0], s.text[0]) == (1, 3, b"0,1|0,1")
