@@ -35,7 +35,7 @@ from .shared import attach, cut
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, 42
 #: Documents of a range of ranks, about; times that a range's open words are filled.
-EACH, PASSES = 1 << 15, 6
+EACH, PASSES = 1 << 11, 6
 WORD = r"[^\x20\x09-\x0D]+"
 
 
