@@ -63,6 +63,18 @@ def validate_files(spark, sf_dir):
     return report.groupBy(nation.alias("nation"), F.coalesce("problem", F.lit("record")).alias("problem")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT o_orderkey // 4096 AS part, row_number() OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) AS line, o_orderkey FROM orders")
+def numbered_orders(spark, sf_dir):
+    """S3: lines numbered in files of up to 4,096 keys, each of which may be read in splits."""
+    path = scratch(spark, "numbered") + "/orders"
+    part = F.floor(F.col("o_orderkey") / 4096).cast("long")
+    rows = _orders(spark, sf_dir).withColumn("part", part)
+    line = F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderstatus")).alias("value")
+    rows.repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", line).write.partitionBy("part").text(path)
+    lines = files.numbered_lines(spark, path)
+    return lines.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "line", F.get_json_object("value", "$.o_orderkey").cast("long").alias("o_orderkey"))
+
+
 @query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'F' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def resumed_append(spark, sf_dir):
     """A run stopped half-way and resumed: each key once, the first row of it."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schemas import REQUIRED, SUBSET
@@ -21,13 +21,21 @@ def read_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): lines with their number from 1 on, by file.
+    """(file, line, value): lines with their number from 1 on, by file, however many tasks a file is split over.
 
-    A file is read whole: line numbers exist in a file's order alone. Record files are small
-    next to a task's memory; larger data are numbered once at ingest.
+    A task reads its blocks' lines in order, so a line's place in its block is its running number in the
+    task less the block's first one. A first scan counts the lines of each block; summed over the blocks
+    before, that is what the places of a block start from. No line is shuffled: a table of blocks, a row
+    for each split, is joined to them. Both scans deal blocks to tasks alike; should they not, places
+    fall out of their block and the job fails.
     """
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    return files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    at = F.col("id") - F.col("first")
+    placed = F.when(at.between(0, F.col("n") - 1), at + F.col("base") + 1).otherwise(F.raise_error(F.lit("the scans of a file differ")).cast("long"))
+    return lines.join(blocks, ["file", "block"]).select("file", placed.alias("line"), "value")
 
 
 def validate(spark: SparkSession, path: str, required: list[str] = REQUIRED, key: str = "question_idx") -> DataFrame:

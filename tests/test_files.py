@@ -168,3 +168,30 @@ def test_inventory(spark):
     assert tuple(I.completeness(counts, "line").first()) == ("a", 1, 1, 3)
     with pytest.raises(Exception, match="incomplete"):
         counts.select(I.require_complete(F.col("n"))).collect()
+
+
+@pytest.mark.parametrize("most", ["7b", "64b", "1k", "128m"])
+def test_numbered_lines_of_split_files(spark, tmp_path, most):
+    """Files cut into splits at any place give the numbers of files read at once."""
+    texts = {
+        "a.jsonl": "\n".join(f'{{"line": {i}, "x": "{"y" * (i % 90)}"}}' for i in range(400)) + "\n",
+        "b.jsonl": "\n\nfirst after two\n\n" + "long " * 300 + "\nlast without an end", "c.jsonl": "", "d.jsonl": "\n", "e.jsonl": "one\r\ntwo\r\n\r\nfour",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        df = files.numbered_lines(spark, str(tmp_path))
+        if most == "64b":
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = sorted((r.file.rsplit("/", 1)[1], r.line, r.value) for r in df.collect())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    want = []
+    for name, text in texts.items():
+        lines = text.replace("\r\n", "\n").split("\n")
+        want += [(name, i + 1, x) for i, x in enumerate(lines[:-1] if lines[-1] == "" else lines)]
+    assert got == sorted(want)
