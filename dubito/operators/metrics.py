@@ -84,7 +84,12 @@ def _area(n: Column, p: Column, s: Column) -> Column:
 
 def auroc(df: DataFrame, label: Column, score: Column, *by: str, places: int | None = None) -> DataFrame:
     """M1 to M3: (by, n, n_pos, auroc): ranks averaged over ties; null if one class is missing."""
-    ranked = running(score_table(df, label, score, *by, places=places), {"n": "upto"}, list(by), fine=places is None)
+    return auroc_of(score_table(df, label, score, *by, places=places), *by, fine=places is None)
+
+
+def auroc_of(table: DataFrame, *by: str, fine: bool = False) -> DataFrame:
+    """auroc from (by, score, n, p), counts of rows and of positives at each score."""
+    ranked = running(table, {"n": "upto"}, list(by), fine=fine)
     rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
     g = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("n_pos"), F.sum(F.col("p") * rank).alias("s"))
     return g.select(*by, "n", "n_pos", _area(F.col("n"), F.col("n_pos"), F.col("s")).alias("auroc"))
@@ -143,7 +148,12 @@ def at_quantiles(df: DataFrame, accuracy: Column, uncertainty: Column, quantiles
     Each distinct score says which quantiles' lower and upper places fall into it; scores within
     1e-12 of the cutoff count as equal. Equal cutoffs stay apart.
     """
-    table = running(score_table(df, accuracy, uncertainty, *by, places=places), {"n": "upto", "p": "right"}, list(by), fine=places is None, totals={"n": "total"})
+    return at_quantiles_of(score_table(df, accuracy, uncertainty, *by, places=places), quantiles, *by, fine=places is None)
+
+
+def at_quantiles_of(table: DataFrame, quantiles: list[float], *by: str, fine: bool = False) -> DataFrame:
+    """at_quantiles from (by, score, n, p), counts of rows and of right ones at each score."""
+    table = running(table, {"n": "upto", "p": "right"}, list(by), fine=fine, totals={"n": "total"})
     inside = lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto"))
     place = lambda z: z["q"] * (F.col("total") - 1)
     grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(x)).alias("q")) for i, x in enumerate(quantiles)])
@@ -157,8 +167,13 @@ def at_quantiles(df: DataFrame, accuracy: Column, uncertainty: Column, quantiles
 
 def aurac(df: DataFrame, accuracy: Column, uncertainty: Column, *by: str, places: int | None = None) -> DataFrame:
     """M6: the sum of M5 over 20 quantiles from 0.1 to 1, times their distance."""
+    return aurac_of(score_table(df, accuracy, uncertainty, *by, places=places), *by, fine=places is None)
+
+
+def aurac_of(table: DataFrame, *by: str, fine: bool = False) -> DataFrame:
+    """aurac from (by, score, n, p)."""
     grid = [0.1 + 0.9 / 19 * i for i in range(19)] + [1.0]
-    return at_quantiles(df, accuracy, uncertainty, grid, *by, places=places).groupBy(*by).agg((F.sum("accuracy") * F.lit(0.9 / 19)).alias("aurac"))
+    return at_quantiles_of(table, grid, *by, fine=fine).groupBy(*by).agg((F.sum("accuracy") * F.lit(0.9 / 19)).alias("aurac"))
 
 
 def rejection_curve(df: DataFrame, label: Column, score: Column, key: str, points: int = 50, places: int | None = None) -> DataFrame:

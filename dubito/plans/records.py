@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import entropy as E
 from ..functions.phrases import LEVELS
+from ..operators import bootstrap as S
 from ..operators import cluster as C
-from ..operators import compare, longform, metrics, sampling, select, targets
+from ..operators import compare, judging, longform, metrics, sampling, select, targets
 from . import binding as B
 from .binding import ANSWERS, CLAIMS, JUDGED, VERDICTS, table
 from .registry import query
@@ -188,6 +190,30 @@ def bootstrap_auroc(spark, sf_dir):
     return metrics.bootstrap_auroc(_judged(spark, sf_dir), _wrong(), F.col("semantic_entropy"), "role", places=6)
 
 
+_REPLICATES, _QUANTILE = 200, 0.8
+_WEIGHT = " + ".join(f"(u >= '{x}')::INT" for x in S.limits())
+_BOOTSTRAP = f"""b AS (SELECT role, round(semantic_entropy, 6) AS score, (grade <> 'CORRECT')::INT AS y, question_idx FROM j WHERE grade <> 'NOT_ATTEMPTED'),
+h AS (SELECT role, score, y, i, md5(concat('42:', i, ':', question_idx)) AS m FROM b, (SELECT unnest(range({(_REPLICATES + 7) // 8})) AS i)),
+u AS (SELECT role, score, y, i * 8 + k AS r, substr(m, (4 * k + 1)::INT, 4) AS u FROM h, (SELECT unnest(range(8)) AS k)),
+d AS (SELECT role, score, y, r, {_WEIGHT} AS w FROM u WHERE r < {_REPLICATES} UNION ALL SELECT role, score, y, -1, 1 FROM b),
+t AS (SELECT role, r, score, sum(w) AS n, sum(w * y) AS p FROM d WHERE w > 0 GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER o AS upto, sum(n - p) OVER o AS good, sum(n) OVER (PARTITION BY role, r) AS total FROM t WINDOW o AS (PARTITION BY role, r ORDER BY score ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT role, r, 'auroc' AS metric, CASE WHEN sum(p) > 0 AND sum(n) > sum(p) THEN (sum(p * (upto - n + (n + 1) / 2.0::DOUBLE)) - sum(p) * (sum(p) + 1) / 2.0::DOUBLE) / (sum(p) * (sum(n) - sum(p))) END AS value FROM w GROUP BY ALL),
+g AS (SELECT unnest(range(21)) AS i, unnest([{_GRID}, {_QUANTILE}::DOUBLE]) AS q),
+en AS (SELECT role, r, i, q * (total - 1) - floor(q * (total - 1)) AS part, min({{'s': score, 'u': upto, 'g': good}}) FILTER (floor(q * (total - 1)) < upto) AS lo, min({{'s': score, 'u': upto, 'g': good}}) FILTER (ceil(q * (total - 1)) < upto) AS hi FROM w, g GROUP BY role, r, i, q, total),
+ac AS (SELECT role, r, i, CASE WHEN hi.s <= lo.s + (hi.s - lo.s) * part + 1e-12 THEN hi.g / hi.u ELSE lo.g / lo.u END AS acc FROM en),
+v AS (SELECT * FROM a UNION ALL SELECT role, r, 'aurac', sum(acc) * (0.9 / 19)::DOUBLE FROM ac WHERE i < 20 GROUP BY ALL UNION ALL SELECT role, r, 'accuracy', acc FROM ac WHERE i = 20)
+SELECT role, metric, round(max(value) FILTER (r = -1), 6) AS value, round(stddev_samp(value) FILTER (r >= 0), 6) AS std_err, round(quantile_cont(value, 0.05) FILTER (r >= 0), 6) AS low, round(quantile_cont(value, 0.95) FILTER (r >= 0), 6) AS high, count(value) FILTER (r >= 0) AS n FROM v GROUP BY role, metric"""
+
+
+@query("WITH " + JUDGED + ", " + _BOOTSTRAP)
+def bootstrap_metrics(spark, sf_dir):
+    """M7 of three metrics: AUROC, accuracy at a quantile (M5) and the area under it (M6), by role, from one table of weighted counts."""
+    measured = {"auroc": S.auroc, "accuracy": S.accuracy_at(_QUANTILE), "aurac": S.aurac}
+    r = S.bootstrap(_judged(spark, sf_dir), _wrong(), F.col("semantic_entropy"), F.col("question_idx"), measured, "role", n=_REPLICATES, places=6)
+    return r.select("role", "metric", *(F.round(c, 6).alias(c) for c in ("value", "std_err", "low", "high")), "n")
+
+
 def _mcnemar_sql(x: str, y: str) -> str:
     return (
         f"(SELECT '{x}' AS judge_a, '{y}' AS judge_b, sum(({x} AND NOT {y})::INT)::BIGINT AS x_win, sum(({y} AND NOT {x})::INT)::BIGINT AS y_win FROM v)"
@@ -256,6 +282,33 @@ def cluster_stealing(spark, sf_dir):
     return r.select("question_idx", F.array_join(C.leaders_by(F.col("raw_responses"), _near), ",").alias("owners"))
 
 
+def kinds_near(a: pa.Array, b: pa.Array) -> pa.Array:
+    """A judge written in Python: entailment where the kinds are neighbours, contradiction elsewhere."""
+    place = {k: i for i, k in enumerate(["click", "error", "purchase", "signup", "view"])}
+    return pa.array([2 if abs(place[x] - place[y]) <= 1 else 0 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+
+
+@query("WITH RECURSIVE " + _LEADERS + " SELECT question_idx, array_to_string(owner, ',') AS owners FROM o")
+def judge_as_code(spark, sf_dir):
+    """§2.14, E1, E4, J13, B2: leaders under a judge that is user code over Arrow columns; each distinct pair of the table is judged once."""
+    r = judging.leaders_by_judge(B.records(spark, sf_dir).select("question_idx", "raw_responses"), "question_idx", "raw_responses", kinds_near)
+    return r.select("question_idx", F.array_join("owners", ",").alias("owners"))
+
+
+def same_start(said: pa.Array, gold: pa.Array) -> pa.Array:
+    """A grader written in Python, with replies as free as a model's."""
+    reply = lambda x, y: "C" if x == y else "not attempted" if x == "error" else "B."
+    return pa.array([reply(x, y) for x, y in zip(said.to_pylist(), gold.to_pylist(), strict=True)])
+
+
+@query("WITH " + JUDGED + " SELECT question_idx, CASE WHEN low_temp_response = CASE WHEN question_idx % 2 = 0 THEN 'view' ELSE 'click' END THEN 'C' WHEN low_temp_response = 'error' THEN 'not attempted' ELSE 'B.' END AS reply FROM j")
+def grader_as_code(spark, sf_dir):
+    """§2.14: a grader that is user code; equal answers to equal gold are graded once."""
+    gold = F.when(F.col("question_idx") % 2 == 0, "view").otherwise("click")
+    r = B.records(spark, sf_dir).select("question_idx", "low_temp_response", gold.alias("gold"))
+    return judging.graded(r, same_start, "low_temp_response", "gold", name="reply").select("question_idx", "reply")
+
+
 @query("WITH RECURSIVE " + _LEADERS + ", m AS (SELECT question_idx, unnest(a) AS a, unnest(owner) AS o, unnest(range(10)) AS k FROM o), "
        "n AS (SELECT question_idx, o, a, count(*) AS c, min(k) AS f FROM m GROUP BY ALL), "
        "r AS (SELECT *, row_number() OVER (PARTITION BY question_idx, o ORDER BY c DESC, f) AS rn, sum(c) OVER (PARTITION BY question_idx, o) AS size FROM n), "
