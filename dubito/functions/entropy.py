@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def total(p: Column) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
@@ -17,13 +19,13 @@ def shannon(p: Column) -> Column:
 
 def normalise(p: Column) -> Column:
     """Shares of the sum; equal shares where it is zero."""
-    return F.when(total(p) > 0, F.transform(p, lambda x: x / total(p))).otherwise(F.transform(p, lambda _: F.lit(1.0) / F.size(p)))
+    return let(total(p), lambda s: F.when(s > 0, F.transform(p, lambda x: x / s)).otherwise(F.transform(p, lambda _: F.lit(1.0) / F.size(p))))
 
 
 def choice_distribution(raw: Column, labels: Column) -> Column:
     """(probs, argmax, entropy): the argmax is of the raw values, the first of equals."""
-    p = normalise(raw)
-    return F.struct(p.alias("probs"), F.element_at(labels, F.array_position(raw, F.array_max(raw)).cast("int")).alias("argmax"), shannon(p).alias("entropy"))
+    argmax = F.element_at(labels, F.array_position(raw, F.array_max(raw)).cast("int"))
+    return let(normalise(raw), lambda p: F.struct(p.alias("probs"), argmax.alias("argmax"), shannon(p).alias("entropy")))
 
 
 def temperature(raw: Column, t: float) -> Column:
@@ -32,10 +34,15 @@ def temperature(raw: Column, t: float) -> Column:
 
 
 def draw(probs: Column, labels: Column, uniform: Column) -> Column:
-    """The label whose cumulative share first exceeds a uniform number."""
-    sums = F.transform(F.sequence(F.lit(1), F.size(probs)), lambda n: total(F.slice(probs, 1, n)))
-    first = F.array_position(F.transform(sums, lambda s: s > uniform), F.lit(True))
-    return F.element_at(labels, F.when(first > 0, first).otherwise(F.size(labels)).cast("int"))
+    """The label whose cumulative share first exceeds a uniform number; the last if rounding leaves none. One pass over the shares."""
+
+    def step(a: Column, x: Column) -> Column:
+        s, n = a["s"] + x, a["n"] + 1
+        return F.struct(s.alias("s"), n.alias("n"), F.when((a["at"] == 0) & (s > uniform), n).otherwise(a["at"]).alias("at"))
+
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+    at = F.aggregate(probs, start, step, lambda a: F.when(a["at"] > 0, a["at"]).otherwise(F.size(labels)))
+    return F.element_at(labels, at)
 
 
 def forced(probs: Column, labels: Column, answer: Column) -> Column:

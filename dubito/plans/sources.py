@@ -10,7 +10,7 @@ from ..operators import cluster as C
 from ..operators import inventory, loaders, longform, sampling, select, targets
 from ..sources import files, schemas
 from ..sources.folders import scratch
-from ..streaming import live
+from ..streaming import ingest, live
 from . import binding as B
 from .binding import JUDGED, table
 from .records import _LABELLED, _raw
@@ -159,6 +159,20 @@ def live_table(spark, sf_dir):
     return rows[0].union(rows[1])
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'first' WHEN o_orderkey % 2 = 0 THEN 'second' ELSE 'third' END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS batch FROM orders")
+def ingested_orders(spark, sf_dir):
+    """§2.11: three batches with keys that came before, the second run again: each key once, the first row of it."""
+    folder, orders = scratch(spark, "ingested"), _orders(spark, sf_dir)
+    said = lambda where, word: orders.where(where).withColumn("o_orderstatus", F.lit(word))
+    second = said("o_orderkey % 2 = 0", "second")
+    for rows in (said("o_orderkey % 3 = 0", "first"), second, said("true", "third")):
+        rows.write.mode("append").json(f"{folder}/in")
+        ingest.ingest_buckets(spark, f"{folder}/in", _ORDER, f"{folder}/held", f"{folder}/log", "o_orderkey", buckets=16).awaitTermination()
+    again = second.withColumns({"__file": F.lit("again"), "__block": F.lit(0), "__at": F.lit(0)})
+    ingest.take_batch(again, 1, f"{folder}/held", "o_orderkey", buckets=16)
+    return spark.read.schema(_ORDER + ", batch bigint, bucket int").parquet(f"{folder}/held").select("o_orderkey", "o_orderstatus", "batch")
+
+
 # Targets by ids, and training rows.
 @query("WITH " + JUDGED + " SELECT question_idx, 0::BIGINT AS sample, concat('Question: ', question_idx) AS prompt, low_temp_response AS response FROM j WHERE grade <> 'NOT_ATTEMPTED' AND role = 'teacher'")
 def pairs_listed(spark, sf_dir):

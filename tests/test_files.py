@@ -9,7 +9,7 @@ from dubito.operators import inventory as I
 from dubito.operators import loaders, longform, metrics, sampling, select, targets
 from dubito.sources import files, schemas, sqlite
 from dubito.streaming import live
-from dubito.streaming.ingest import ingest_once, progress
+from dubito.streaming.ingest import ingest_buckets, ingest_once, progress, take_batch
 
 GEN = {"question_idx": 1, "question": "q", "answer": "a", "prompt": "p", "low_temp_response": None, "raw_responses": ["x"]}
 
@@ -195,3 +195,35 @@ def test_numbered_lines_of_split_files(spark, tmp_path, most):
         lines = text.replace("\r\n", "\n").split("\n")
         want += [(name, i + 1, x) for i, x in enumerate(lines[:-1] if lines[-1] == "" else lines)]
     assert got == sorted(want)
+
+
+def test_ingest_by_buckets(spark, tmp_path):
+    """The first row of a key wins, by batch and place; a batch run again changes nothing; null keys are left out; other keys are refused."""
+    (tmp_path / "in").mkdir()
+    schema, folders = "k long, g string, t string", (str(tmp_path / "t"), str(tmp_path / "c"))
+    held = lambda: {(r.k, r.g): (r.t, r.batch) for r in spark.read.schema(schema + ", batch long, bucket int").parquet(folders[0]).collect()}
+    lines = ([(1, "a", "one"), (1, "a", "two"), (None, "a", "null"), (2, "a", None)], [(1, "a", "late"), (1, "b", "other"), (3, "a", "x")], [(3, "a", "late")])
+    for i, rows in enumerate(lines):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"k": k, "g": g, "t": t}) for k, g, t in rows))
+        ingest_buckets(spark, str(tmp_path / "in"), schema, *folders, "k", "g", buckets=8).awaitTermination()
+    want = {(1, "a"): ("one", 0), (2, "a"): (None, 0), (1, "b"): ("other", 1), (3, "a"): ("x", 1)}
+    assert held() == want
+    again = spark.createDataFrame([(1, "a", "late", "f", 0, 0), (1, "b", "other", "f", 0, 1), (3, "a", "x", "f", 0, 2)], schema + ", __file string, __block long, __at long")
+    take_batch(again, 1, folders[0], "k", "g", buckets=8)
+    assert held() == want
+    with pytest.raises(ValueError, match="holds keys by"):
+        ingest_buckets(spark, str(tmp_path / "in"), schema, *folders, "k", buckets=8)
+
+
+def test_ingest_reads_its_own_buckets(spark, tmp_path):
+    """What a batch reads of the target are the folders of its buckets."""
+    held = str(tmp_path / "t")
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.lit("f").alias("__file"), F.lit(0).alias("__block"), F.col("id").alias("__at"))
+    take_batch(rows, 0, held, "k", buckets=64)
+    for f in (tmp_path / "t" / "batch=0").glob("bucket=*"):
+        if f.name != "bucket=" + str(spark.range(5, 6).select(F.pmod(F.xxhash64("id"), F.lit(64))).first()[0]):
+            for x in f.iterdir():
+                x.unlink()
+            (f / "broken.parquet").write_text("not parquet")
+    take_batch(rows.where("k = 5"), 1, held, "k", buckets=64)
+    assert not list((tmp_path / "t" / "batch=1").glob("bucket=*"))
