@@ -66,7 +66,7 @@ def with_outcome(jobs: DataFrame, logs: DataFrame) -> DataFrame:
     by_name = read.select(F.regexp_extract("name", r"_(\d+)(?:_\d+)?\.(out|err)$", 1).alias("job"), "rank").where("job <> ''").groupBy("job").agg(F.min("rank").alias("named"))
     by_text = read.where(F.endswith("name", F.lit(".out"))).select(F.explode("mentions").alias("job"), "name", "rank").groupBy("job").agg(F.max_by("rank", "name").alias("mentioned"))
     rank = F.coalesce("named", "mentioned")
-    label = F.when(rank.isNull(), "array task").otherwise(F.element_at(F.array(*map(F.lit, OUTCOMES)), rank + 1))
+    label = F.when(rank.isNull(), "array task, see COMPLETE").otherwise(F.element_at(F.array(*map(F.lit, OUTCOMES)), rank + 1))
     return jobs.join(by_name, "job", "left").join(by_text, "job", "left").withColumn("outcome", label).drop("named", "mentioned")
 
 

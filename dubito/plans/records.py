@@ -510,6 +510,18 @@ def key_gaps(spark, sf_dir):
     return select.gaps(table(spark, sf_dir, "orders"), "o_custkey")
 
 
+_LEFT = "o_orderkey % 7 NOT IN (3, 4)"
+
+
+@query(f"WITH o AS (SELECT o_orderkey FROM orders WHERE {_LEFT}) SELECT 'gap' AS way, k AS key FROM (SELECT unnest(range((SELECT min(o_orderkey) FROM o), (SELECT max(o_orderkey) FROM o) + 1)) AS k) WHERE k NOT IN (SELECT o_orderkey FROM o) UNION ALL SELECT 'missing', l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)")
+def open_keys(spark, sf_dir):
+    """Two orders of seven are taken out: the gaps that they leave, and the items' orders that aren't there."""
+    left = table(spark, sf_dir, "orders").select("o_orderkey").where(_LEFT)
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    gaps = select.gaps(left, "o_orderkey").select(F.lit("gap").alias("way"), F.col("o_orderkey").alias("key"))
+    return gaps.union(select.missing_members(left, items, "o_orderkey").select(F.lit("missing"), "o_orderkey"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 400")
 def index_range(spark, sf_dir):
     """pushed down to the scan."""

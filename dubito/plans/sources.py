@@ -243,7 +243,7 @@ def settings_guard(spark, sf_dir):
   user_id + 1 AS other, event_id, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 3 THEN 1 ELSE 3 END AS r FROM events),
 a AS (SELECT regexp_extract(name, '_(\\d+)(?:_\\d+)?\\.(out|err)$', 1) AS job, min(r) AS r FROM l GROUP BY 1 HAVING job <> ''),
 b AS (SELECT other::VARCHAR AS job, arg_max(r, name) AS r FROM l WHERE ends_with(name, '.out') AND event_id % 4 = 2 GROUP BY 1)
-SELECT c_custkey::VARCHAR AS job, CASE coalesce(a.r, b.r) WHEN 0 THEN 'done' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'python error' WHEN 3 THEN 'running or unknown' ELSE 'array task' END AS outcome FROM customer LEFT JOIN a ON a.job = c_custkey::VARCHAR LEFT JOIN b ON b.job = c_custkey::VARCHAR""")
+SELECT c_custkey::VARCHAR AS job, CASE coalesce(a.r, b.r) WHEN 0 THEN 'done' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'python error' WHEN 3 THEN 'running or unknown' ELSE 'array task, see COMPLETE' END AS outcome FROM customer LEFT JOIN a ON a.job = c_custkey::VARCHAR LEFT JOIN b ON b.job = c_custkey::VARCHAR""")
 def job_outcomes(spark, sf_dir):
     """Jobs joined to the logs named after them, else to the latest that mentions them."""
     e, s = table(spark, sf_dir, "events"), lambda c: F.col(c).cast("string")

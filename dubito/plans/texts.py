@@ -221,6 +221,16 @@ def match_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.match_label(F.expr(_CHOICE), F.array(*map(F.lit, "ABCD"))).alias("label"))
 
 
+_WHOLE_CHOICE = "CASE doc_id % 5 WHEN 0 THEN concat('B. ', text) WHEN 1 THEN concat('  A) ', text) WHEN 2 THEN concat('Carbon ', text) WHEN 3 THEN concat('C', chr(10), text) ELSE text END"
+
+
+@query(f"SELECT doc_id, nullif(regexp_extract({_strip(_WHOLE_CHOICE)}, '^([A-D])(?:[^\\p{{L}}\\p{{N}}\\p{{M}}_]|$)', 1), '') AS label FROM documents")
+def match_whole_replies(spark, sf_dir):
+    """T20 on replies that go on with the whole text, or are the text."""
+    reply = F.expr(_WHOLE_CHOICE.replace("chr(10)", "char(10)"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.match_label(reply, F.array(*map(F.lit, "ABCD"))).alias("label"))
+
+
 _RAW_CLAIMS = "concat('- ', text, ' one. [True] (source)', chr(10), 'stray words', chr(10), '* second claim [false]', chr(10), '- no verdict')"
 
 

@@ -13,7 +13,10 @@ def plan(df):
 
 
 #: Queries with a window that isn't parted by a key, and so runs in one task: it holds distinct rounded scores, or a row for each of some ranges of keys.
-BARE_WINDOWS = {"auroc", "accuracy_at_quantile", "aurac", "rejection_curve", "cut_table", "key_gaps", "positional_split", "live_table"}
+BARE_WINDOWS = {"auroc", "accuracy_at_quantile", "aurac", "rejection_curve", "cut_table", "key_gaps", "open_keys", "positional_split", "live_table"}
+
+#: Queries whose Python is their subject: resampling by numpy, and judges and graders as user code.
+IN_PYTHON = {"bootstrap_auroc", "judge_as_code", "grader_as_code"}
 
 
 def bare_windows(p):
@@ -34,7 +37,7 @@ def test_scan_is_pruned(spark, data):
 def test_no_python_and_no_product(spark, data, name):
     p = plan(QUERIES[name](spark, data))
     assert "CartesianProduct" not in p
-    if name != "bootstrap_auroc":
+    if name not in IN_PYTHON:
         assert not re.search("Python|Pandas|Arrow", p)
     assert name in BARE_WINDOWS or not bare_windows(p)
 
