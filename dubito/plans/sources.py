@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import entropy as E
+from ..functions import phrases as P
 from ..functions import text as T
 from ..operators import cluster as C
 from ..operators import inventory, loaders, longform, sampling, select, targets
@@ -255,6 +256,59 @@ def job_outcomes(spark, sf_dir):
     return inventory.with_outcome(jobs, logs)
 
 
+#: A line of a log for each event, valid in both engines: some fail in one of fourteen ways, some tell the node and a job.
+_SAID = ["RuntimeError: OutOfMemoryError", "GPU_GATE_FAIL", "doesn't support bf16/gpu", "OfflineModeIsEnabled", "sh: conda: not found", "PermissionError: lock", "device-side assert triggered", "CANCELLED DUE TO TIME LIMIT", "job CANCELLED", "KeyError: x", "  no KeyError here", "All 3 steps done", "===== . Done", "still going"]
+_LINE = "CASE WHEN event_type = 'error' AND event_id % 3 < 2 AND user_id % 10 < 8 THEN CASE (user_id + event_id % 2 * 5) % 14 " + " ".join(f"WHEN {i} THEN '{x.replace("'", "{quote}")}'" for i, x in enumerate(_SAID)) + " END WHEN event_type = 'signup' THEN concat('host=oat', event_id % 30, ' job=', event_id % 400) WHEN event_type = 'view' THEN '' ELSE concat(event_type, ' ', props) END"
+_LOGS = f"""l AS (SELECT user_id // 4 AS log, event_id % 4 = 0 AS err, event_id, {_LINE.replace("{quote}", "''")} AS value FROM events WHERE user_id % 4 = 0),
+t AS (SELECT log, string_agg(value, chr(10) ORDER BY err, event_id) AS text, bool_or(NOT err) AS out FROM l GROUP BY log),
+g AS (SELECT log, out, coalesce(regexp_extract(text, '{P.NODE}', 1), '') AS node, CASE WHEN regexp_matches(text, '{"|".join(P.SUCCESS)}') THEN 'done' {" ".join(f"WHEN regexp_matches(text, '(?m){p.replace(chr(39), chr(39) * 2)}') THEN '{r}'" for p, r in P.FAILURES)} ELSE 'running or unknown' END AS reason FROM t)"""
+_FAILED = "reason NOT IN ('done', 'running or unknown')"
+
+
+def _logs(spark, sf_dir):
+    """(status, lines) of logs written as files: an .out and an .err for every fourth user."""
+    path = scratch(spark, "logs") + "/logs"
+    line = F.expr(_LINE.replace("{quote}", "\\'"))
+    name = F.concat(F.lit("run_"), F.floor(F.col("user_id") / 4).cast("string"), F.when(F.col("event_id") % 4 == 0, ".err").otherwise(".out"))
+    rows = table(spark, sf_dir, "events").where("user_id % 4 = 0").select(name.alias("name"), "event_id", line.alias("value"))
+    rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name").sortWithinPartitions("name", "event_id").select("name", "value").write.partitionBy("name").text(path)
+    lines = files.log_lines(spark, path)
+    return inventory.log_status(files.log_files(spark, path), lines), lines
+
+
+@query(f"WITH {_LOGS} SELECT CASE WHEN {_FAILED} THEN 'failed' ELSE reason END AS outcome, count(*) AS n FROM g WHERE out GROUP BY 1")
+def log_outcomes(spark, sf_dir):
+    """How logs ended, .out and .err as one."""
+    return inventory.tally(_logs(spark, sf_dir)[0])
+
+
+@query(f"WITH {_LOGS} SELECT concat('run_', log) AS log, node, reason FROM g WHERE out AND {_FAILED}")
+def log_failures(spark, sf_dir):
+    """The logs that failed, with node and reason."""
+    return inventory.failures(_logs(spark, sf_dir)[0])
+
+
+@query(f"""WITH {_LOGS}, b AS (SELECT event_id % 400 AS job, arg_max(log, concat('run_', log, '.out')) AS log FROM l WHERE NOT err AND contains(value, 'job=') GROUP BY 1)
+SELECT c_custkey::VARCHAR AS job, coalesce(named.reason, said.reason, '{P.NO_LOG}') AS outcome FROM customer LEFT JOIN g named ON named.log = c_custkey LEFT JOIN b ON b.job = c_custkey LEFT JOIN g said ON said.log = b.log""")
+def job_log_outcomes(spark, sf_dir):
+    """Jobs joined to the log files named after them, else to the latest that mentions them."""
+    jobs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("job"))
+    return inventory.with_log_outcome(jobs, *_logs(spark, sf_dir))
+
+
+@query("WITH x AS (SELECT user_id AS u, event_id AS line, event_type, value FROM events WHERE event_id % 7 <> 0) SELECT concat('j', u) AS job, count(*) AS n_stages, arg_max(event_type, line) AS last_stage, arg_max(concat('node', line % 3), CASE WHEN line % 2 = 0 THEN line END) AS node, arg_min(concat('style=strict epochs=', repeat((line % 5)::VARCHAR, (1 + line % 3)::INT)), [-(line % 3), line]) AS description FROM x GROUP BY u")
+def job_history(spark, sf_dir):
+    """A manifest's lines by job, with the longest description, the first of equals; malformed lines are left out."""
+    e, path = table(spark, sf_dir, "events"), scratch(spark, "manifest") + "/manifest"
+    s = lambda c: F.col(c).cast("string")
+    good = F.concat(F.lit("2024-01-01T00:00:00+00:00 | job=j"), s("user_id"), F.lit(" | stage="), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" | node=node"), (F.col("event_id") % 3).cast("string"), F.lit(".cluster"))).otherwise(""), F.lit(" | style=strict"), F.lit(" | epochs="), F.repeat((F.col("event_id") % 5).cast("string"), (1 + F.col("event_id") % 3).cast("int")))
+    line = F.when(F.col("event_id") % 7 == 0, F.lit("not a line | x")).otherwise(good).alias("value")
+    e.repartitionByRange("event_id").sortWithinPartitions("event_id").select(line).write.text(path)
+    lines = files.numbered_lines(spark, path).select(F.struct("file", "line").alias("line"), "value")
+    h = inventory.history(inventory.manifest(lines))
+    return h.select("job", F.size("stages").cast("long").alias("n_stages"), F.element_at("stages", -1).alias("last_stage"), "node", "description")
+
+
 @query("SELECT a, b, a = 2 AND b = 2 AS strict, a <> 0 AND b <> 0 AND NOT (a = 1 AND b = 1) AS loose, count(*) AS n FROM (SELECT l_linenumber % 3 AS a, l_orderkey % 3 AS b FROM lineitem) GROUP BY ALL")
 def equivalence_rules(spark, sf_dir):
     """Both directions' verdicts under either rule."""

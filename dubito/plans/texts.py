@@ -344,27 +344,6 @@ def judge_specs(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), T.judge_spec(spec).alias("j")).select("id", "j.*")
 
 
-_LOG = "CASE event_id % 5 WHEN 0 THEN concat('Traceback', {nl}, 'ValueError: x', {nl}, 'judging done') WHEN 1 THEN concat('line', {nl}, 'KeyError: y') WHEN 2 THEN 'CUDA OutOfMemoryError, CANCELLED' WHEN 3 THEN 'job CANCELLED' ELSE 'still going' END"
-
-
-@query("SELECT CASE WHEN event_id % 5 = 0 THEN 'done' WHEN event_id % 5 = 4 THEN 'running or unknown' ELSE 'failed' END AS outcome, count(*) AS n FROM events GROUP BY 1")
-def log_outcomes(spark, sf_dir):
-    """T30, A27, S23."""
-    logs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("name"), F.expr(_LOG.format(nl="char(10)")).alias("text"))
-    return inventory.outcomes(logs)
-
-
-@query("WITH x AS (SELECT user_id AS u, event_id AS line, event_type, value FROM events WHERE event_id % 7 <> 0) SELECT concat('j', u) AS job, count(*) AS n_stages, arg_max(event_type, line) AS last_stage, arg_max(concat('node', line % 3), CASE WHEN line % 2 = 0 THEN line END) AS node, arg_min(concat('style=strict epochs=', repeat((line % 5)::VARCHAR, (1 + line % 3)::INT)), [-(line % 3), line]) AS description FROM x GROUP BY u")
-def job_history(spark, sf_dir):
-    """A manifest's lines by job, with the longest description, the first of equals; malformed lines are left out."""
-    e = table(spark, sf_dir, "events")
-    s = lambda c: F.col(c).cast("string")
-    good = F.concat(F.lit("2024-01-01T00:00:00+00:00 | job=j"), s("user_id"), F.lit(" | stage="), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" | node=node"), (F.col("event_id") % 3).cast("string"), F.lit(".cluster"))).otherwise(""), F.lit(" | style=strict"), F.lit(" | epochs="), F.repeat((F.col("event_id") % 5).cast("string"), (1 + F.col("event_id") % 3).cast("int")))
-    lines = e.select(F.col("event_id").alias("line"), F.when(F.col("event_id") % 7 == 0, F.lit("not a line | x")).otherwise(good).alias("value"))
-    h = inventory.history(inventory.manifest(lines))
-    return h.select("job", F.size("stages").cast("long").alias("n_stages"), F.element_at("stages", -1).alias("last_stage"), "node", "description")
-
-
 @query("SELECT concat('x_', o_custkey) AS tag, o_orderkey FROM orders WHERE o_orderstatus <> 'O' AND concat('x_', o_custkey) NOT IN (SELECT concat('x_', o_custkey) FROM orders WHERE o_orderstatus = 'O')")
 def pending_work(spark, sf_dir):
     """By the tag that both file names give; a status stands for complete here."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schemas import REQUIRED, SUBSET
@@ -137,9 +137,39 @@ def line_count(spark: SparkSession, path: str) -> int:
         return -1
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text) of whole log files."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", "([^/]*)$", 1).alias("name"), F.col("value").alias("text"))
+def _log_of(path: Column) -> tuple[Column, Column]:
+    """(log, kind): the name without its end, out or err; "" for other files. A log may also be a folder of parts, as Spark writes it."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    name = F.coalesce(F.nullif(F.regexp_extract(plain, r"([^/]*\.(?:out|err))$", 1), F.lit("")), F.regexp_extract(plain, r"/(?:\w+=)?([^/]+\.(?:out|err))/[^/]*$", 1))
+    return F.left(name, F.greatest(F.length(name) - 4, F.lit(0))), F.right(name, F.lit(3))
+
+
+def _log_scan(spark: SparkSession, path: str, format: str) -> DataFrame:
+    return _logs_of(spark.read.format(format).option("recursiveFileLookup", True).load(path).withColumn("file", F.col("_metadata.file_path")))
+
+
+def _logs_of(df: DataFrame) -> DataFrame:
+    log, kind = _log_of(F.col("file"))
+    df = df.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))  # one file, two spellings
+    return df.withColumns({"log": log, "kind": kind}).where("log <> ''")
+
+
+def log_files(spark: SparkSession, path: str) -> DataFrame:
+    """(log, kind, modified, bytes) of the .out and .err files below a folder; none is opened.
+
+    Spark's scans leave empty files out, so the names come from the list of files that the driver holds for any scan; an empty file's
+    time is null, which counts as the latest, as its job has just begun.
+    """
+    found = _log_scan(spark, path, "binaryFile").select("file", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles()
+    names = _logs_of(spark.createDataFrame([(f,) for f in listed], "file string"))
+    return names.join(found, "file", "left").select("log", "kind", "modified", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(log, kind, at, value): the lines of all logs, read in splits; at orders those of one log, .out before .err."""
+    at = F.struct(F.col("kind") == "err", F.col("file"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return _log_scan(spark, path, "text").select("log", "kind", at.alias("at"), "value")
 
 
 def write_store(df: DataFrame, path: str) -> None:
