@@ -162,7 +162,7 @@ def log_files(spark: SparkSession, path: str) -> DataFrame:
     """
     found = _log_scan(spark, path, "binaryFile").select("file", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles()
-    names = _logs_of(spark.createDataFrame([(f,) for f in listed], "file string"))
+    names = _logs_of(spark.range(1).select(F.explode(F.split(F.lit("\n".join(listed)), "\n")).alias("file")))  # encoded, so without line ends
     return names.join(found, "file", "left").select("log", "kind", "modified", F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
