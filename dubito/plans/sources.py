@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import entropy as E
+from ..functions import names as N
 from ..functions import phrases as P
 from ..functions import text as T
 from ..operators import cluster as C
-from ..operators import inventory, loaders, longform, sampling, select, targets
-from ..sources import files, schemas
+from ..operators import inventory, loaders, longform, metrics, sampling, select, targets
+from ..sources import files, runs, schemas
 from ..sources.folders import scratch
 from ..streaming import ingest, live
 from . import binding as B
 from .binding import JUDGED, table
-from .records import _LABELLED, _raw
+from .records import _LABELLED, _SWEEP, _raw
 from .registry import query
 
 _ORDER = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
@@ -256,6 +257,27 @@ def job_outcomes(spark, sf_dir):
     return inventory.with_outcome(jobs, logs)
 
 
+_SUMS = ["accuracy", "n_correct", "entropy_correct", "entropy_wrong", "n_corrupt_wrong", "n", "auroc", "n_clean", "auroc_clean", "delta"]
+
+
+@query(f"""SELECT tag, style, present, {", ".join(f"CASE WHEN present THEN {c} END AS {c}" for c in _SUMS)} FROM (SELECT *, tag <> 't3' AND (tag <> 't1' OR style <> 'student') AS present FROM (SELECT unnest(['t0', 't1', 't2', 't3']) AS tag), (SELECT unnest(['teacher', 'student']) AS style))
+LEFT JOIN (SELECT * RENAME (role AS style) FROM (WITH {JUDGED} {_SWEEP})) USING (tag, style)""")
+def sweep_files(spark, sf_dir):
+    """The report over run files of tags and styles, read in one scan; three of eight are absent and have a row that says so."""
+    path, kept = scratch(spark, "sweep"), ["question_idx", "grade", "semantic_entropy", "raw_responses"]
+    name = lambda tag, style: F.concat(F.lit("judged_simpleqa_seed44_"), tag, F.lit("_"), style, F.lit(runs.END))
+    tag = F.concat(F.lit("t"), (F.col("question_idx") % 3).cast("string"))
+    written = B.judged(spark, sf_dir).withColumn("name", name(tag, F.col("role"))).where("not (question_idx % 3 = 1 and role = 'student')")
+    written.select("name", *kept).write.partitionBy("name").json(path + "/runs")
+    paths = [f"{path}/runs/name=judged_simpleqa_seed44_{t}_{s}{runs.END}" for t in ("t0", "t1", "t2", "t3") for s in ("teacher", "student")]
+    records, expected = runs.read_runs(spark, paths, "question_idx bigint, grade string, semantic_entropy double, raw_responses array<string>")
+    corrupt = F.size(F.filter("raw_responses", lambda x: x.isin("click", "view"))) >= 6
+    report = runs.with_absent(expected, metrics.sweep_report(metrics.answered(records), corrupt, "run", places=6))
+    parts = F.split(N.tag_of(F.col("run")), "_")
+    rounded = ("accuracy", "entropy_correct", "entropy_wrong", "auroc", "auroc_clean", "delta")
+    return report.select(parts[0].alias("tag"), parts[1].alias("style"), "present", *(F.round(c, 6).alias(c) if c in rounded else c for c in _SUMS))
+
+
 #: A line of a log for each event, valid in both engines: some fail in one of fourteen ways, some tell the node and a job.
 _SAID = ["RuntimeError: OutOfMemoryError", "GPU_GATE_FAIL", "doesn't support bf16/gpu", "OfflineModeIsEnabled", "sh: conda: not found", "PermissionError: lock", "device-side assert triggered", "CANCELLED DUE TO TIME LIMIT", "job CANCELLED", "KeyError: x", "  no KeyError here", "All 3 steps done", "===== . Done", "still going"]
 _LINE = "CASE WHEN event_type = 'error' AND event_id % 3 < 2 AND user_id % 10 < 8 THEN CASE (user_id + event_id % 2 * 5) % 14 " + " ".join(f"WHEN {i} THEN '{x.replace("'", "{quote}")}'" for i, x in enumerate(_SAID)) + " END WHEN event_type = 'signup' THEN concat('host=oat', event_id % 30, ' job=', event_id % 400) WHEN event_type = 'view' THEN '' ELSE concat(event_type, ' ', props) END"
