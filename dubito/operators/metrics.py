@@ -14,8 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Ranges of running sums at most, and rows of each at least; resampled numbers held at once.
-PARTS, EACH = 256, 1 << 16
+from ..functions.text import let
+
+#: Ranges of running sums at most, within groups and over a whole table, and rows of each at least; bounds compared at a time; resampled numbers held at once.
+PARTS, WIDE, EACH = 256, 4096, 1 << 16
+STEP = 64
 DRAWN = 1 << 22
 
 
@@ -45,19 +48,29 @@ def literal_rows(spark: SparkSession, rows: list, *columns: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in columns]) for r in rows])))
 
 
-def parted(df: DataFrame, order: str, by: list[str], parts: int = PARTS) -> DataFrame:
+def _range_of(value: Column, bounds: list) -> Column:
+    """How many of the ascending bounds lie below the value: every STEP-th one is compared first, then those of one step."""
+    below = lambda some: F.size(F.filter(some, lambda x: x < value))
+    if len(bounds) <= STEP:
+        return below(F.array(*map(F.lit, bounds))) if bounds else F.lit(0)
+    whole = below(F.array(*map(F.lit, bounds[STEP - 1 :: STEP]))) * STEP
+    return let(whole, lambda n: n + below(F.slice(F.array(*map(F.lit, bounds)), n + 1, F.lit(STEP))))
+
+
+def parted(df: DataFrame, order: str, by: list[str], parts: int | None = None) -> DataFrame:
     """df with part: the number of its range of the order column within by: one for every EACH rows or so, with about as many rows each, so many at most.
 
-    Without by the bounds, one number for each range, are read to the driver.
+    Without by the bounds, one number for each range, are read to the driver, and there may be more of them. Rows with an equal
+    order share a range, and a null order is in the first one.
     """
+    parts = parts or (PARTS if by else WIDE)
     share = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     step = F.ceil(parts / F.least(F.lit(parts), F.ceil(F.count("*") / EACH)))
     bounds = df.groupBy(*by).agg(F.percentile_approx(order, share, F.lit(10 * parts)).alias("__all"), step.alias("__step"))
     bounds = bounds.select(*by, F.array_distinct(F.filter("__all", lambda _, i: (i + 1) % F.col("__step") == 0)).alias("__bounds"))
     if by:
         return matched(df, bounds, by).withColumn("part", F.size(F.filter("__bounds", lambda x: x < F.col(order)))).drop("__bounds")
-    found = bounds.first()[0]
-    return df.withColumn("part", F.size(F.filter(F.array(*map(F.lit, found)), lambda x: x < F.col(order))) if found else F.lit(0))
+    return df.withColumn("part", F.coalesce(_range_of(F.col(order), bounds.first()[0] or []), F.lit(0)))
 
 
 def running(table: DataFrame, values: dict[str, str], by: list[str], order: str = "score", fine: bool = True, totals: dict[str, str] | None = None) -> DataFrame:
@@ -70,7 +83,7 @@ def running(table: DataFrame, values: dict[str, str], by: list[str], order: str
         w, every = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
         return table.withColumns({name: F.sum(c).over(w) for c, name in values.items()} | {name: F.sum(c).over(every) for c, name in totals.items()})
     rows = parted(table, order, by)
-    before, every = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)  # PARTS rows
+    before, every = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)  # a row for each range
     sums = rows.groupBy(*by, "part").agg(*(F.sum(c).alias(f"__{c}") for c in {**values, **totals}))
     sums = sums.select(*by, "part", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in values), *(F.sum(f"__{c}").over(every).alias(name) for c, name in totals.items()))
     rows, inner = matched(rows, sums, [*by, "part"]), Window.partitionBy(*by, "part").orderBy(order)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.phrases import CANONICAL, LEVELS
+from .metrics import parted
 from .select import require_members
 
 
@@ -116,16 +117,15 @@ def reproduction(generated: DataFrame, targets: DataFrame) -> DataFrame:
 def positional_split(df: DataFrame, order: str, share: float = 0.9) -> DataFrame:
     """The first share of the rows by an integer key is the training part.
 
-    The last key of that part is found from counts in ranges of keys and by rank within one
-    range, so no task sorts all rows.
+    The last key of that part is found from counts in ranges that hold about as many rows each, whatever
+    the keys, and by rank within one range, so no task sorts all rows.
     """
-    width = 1 << 16
-    rows = df.select(F.col(order).cast("long").alias("v")).select("v", F.floor(F.col("v") / width).alias("b"))
-    counts = rows.groupBy("b").agg(F.count("*").alias("n"))
-    upto, total = F.sum("n").over(Window.orderBy("b")), F.sum("n").over(Window.partitionBy())
-    counts = counts.select("b", "n", upto.alias("upto"), F.floor(F.lit(share) * total + 1e-9).alias("first"))
-    inside = counts.where("upto >= first and upto - n < first").select("b", (F.col("first") - F.col("upto") + F.col("n")).alias("k"))
-    ranked = rows.join(F.broadcast(inside), "b").withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("v")))  # one row
+    rows = parted(df.select(F.col(order).cast("long").alias("v")), "v", [])
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    upto, total = F.sum("n").over(Window.orderBy("part")), F.sum("n").over(Window.partitionBy())  # a row for each range
+    counts = counts.select("part", "n", upto.alias("upto"), F.floor(F.lit(share) * total + 1e-9).alias("first"))
+    inside = counts.where("upto >= first and upto - n < first").select("part", (F.col("first") - F.col("upto") + F.col("n")).alias("k"))
+    ranked = rows.join(F.broadcast(inside), "part").withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("v")))  # one row
     edge = ranked.where("r = k").select(F.col("v").alias("__edge"))
     out = df.join(F.broadcast(edge), F.lit(True), "left")  # one row, or none for an empty part
     return out.withColumn("part", F.when(F.col(order) <= F.col("__edge"), "train").otherwise("test")).drop("__edge")

@@ -52,6 +52,39 @@ def test_fine_scores(spark, places, each, monkeypatch):
         assert math.isclose(r.accuracy, sum(x[2] for x in rows[: r.kept]) / r.kept)
 
 
+@pytest.mark.parametrize("each,step", [(7, 5), (7, 64), (1000, 5), (1 << 16, 5)])
+def test_ranges_of_a_table(spark, each, step, monkeypatch):
+    """Ranges follow the order, hold whole ties and about as many rows each, whatever the keys; sums over them are those of one window."""
+    monkeypatch.setattr(M, "EACH", each)
+    monkeypatch.setattr(M, "STEP", step)
+    rng = random.Random(5)
+    keys = [rng.choice([i, i * i, 10**15 + i, 7]) for i in range(3000)] + [None] * 3
+    df = spark.createDataFrame([(k, i % 4) for i, k in enumerate(keys)], "k long, n long")
+    rows = sorted(((r.part, r.k) for r in M.parted(df, "k", []).collect() if r.k is not None), key=lambda r: (r[1], r[0]))
+    assert rows == sorted(rows) and len({p for p, _ in rows}) == len({(p, k == 7) for p, k in rows if k != 7})
+    assert all(len({p for p, x in rows if x == k}) == 1 for k in (7, rows[0][1], rows[-1][1]))
+    sizes = [sum(p == q and k != 7 for q, k in rows) for p in {p for p, _ in rows}]
+    assert max(sizes) <= 4 * each and (len(sizes) > 200 if each == 7 else len(sizes) <= 4)
+    want, upto = {}, sum(i % 4 for i, k in enumerate(keys) if k is None)
+    for k in sorted({k for k in keys if k is not None}):
+        upto += sum(i % 4 for i, x in enumerate(keys) if x == k)
+        want[k] = upto
+    assert {r.k: r.upto for r in M.running(df, {"n": "upto"}, [], "k").where("k is not null").collect()} == want
+    assert M.parted(df.where("false"), "k", []).count() == 0
+
+
+@pytest.mark.parametrize("each", [7, 1 << 16])
+def test_positional_split_of_sparse_keys(spark, each, monkeypatch):
+    from dubito.operators import targets
+
+    monkeypatch.setattr(M, "EACH", each)
+    keys = [random.Random(i).randrange(2**62) for i in range(1000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    train = {r.k for r in targets.positional_split(df, "k").where("part = 'train'").collect()}
+    assert train == set(sorted(keys)[:900])
+    assert targets.positional_split(df.limit(1), "k").first().part == "test" and targets.positional_split(df.where("false"), "k").count() == 0
+
+
 def test_jackknife():
     import numpy as np
 
