@@ -344,14 +344,15 @@ def judge_specs(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), T.judge_spec(spec).alias("j")).select("id", "j.*")
 
 
-@query("SELECT concat('x_', o_custkey) AS tag, o_orderkey FROM orders WHERE o_orderstatus <> 'O' AND concat('x_', o_custkey) NOT IN (SELECT concat('x_', o_custkey) FROM orders WHERE o_orderstatus = 'O')")
+@query("WITH f AS (SELECT o_orderkey, o_orderstatus, concat('x_', o_custkey) AS tag FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL HAVING count(l_orderkey) = 4) SELECT tag, o_orderkey FROM f WHERE o_orderstatus <> 'O' AND tag NOT IN (SELECT tag FROM f WHERE o_orderstatus = 'O')")
 def pending_work(spark, sf_dir):
-    """By the tag that both file names give; a status stands for complete here."""
-    o = table(spark, sf_dir, "orders")
-    path = lambda kind: F.concat(F.lit(f"/{kind}/{kind}_simpleqa_seed44_x_"), F.col("o_custkey").cast("string"), F.lit(".jsonl"))
-    gen = o.where("o_orderstatus <> 'O'").select(path("gen").alias("path"), F.lit(500).alias("n"), "o_orderkey")
-    done = o.where("o_orderstatus = 'O'").select(path("judged").alias("path"), F.lit(500).alias("n"))
-    return inventory.pending(gen, done).select("tag", "o_orderkey")
+    """Orders as files, their items as lines, four are complete; by the tag that both file names give. Open orders stand for judgements here."""
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    o = table(spark, sf_dir, "orders").join(n, "o_orderkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    path = lambda kind: F.concat(F.lit(f"/{kind}/{kind}_simpleqa_seed44_x_"), F.col("o_custkey").cast("string"), F.lit(".jsonl")).alias("path")
+    gen = o.where("o_orderstatus <> 'O'").select(path("gen"), "n", "o_orderkey")
+    done = o.where("o_orderstatus = 'O'").select(path("judged"), "n")
+    return inventory.pending(gen, done, complete=4).select("tag", "o_orderkey")
 
 
 @query("SELECT doc_id, regexp_replace(concat(text, chr(10), 'x'), '\\n', '', 'g') AS printable, CASE WHEN length(text) > 12 THEN concat(substring(text, 1, 12), '...') ELSE text END AS label FROM documents")
