@@ -20,17 +20,34 @@ def missing_members(df: DataFrame, ids: DataFrame, key: str = "question_idx") ->
     return ids.select(key).distinct().join(df, key, "left_anti")
 
 
-def require_members(df: DataFrame, ids: DataFrame, key: str = "question_idx") -> DataFrame:
-    """The rows of all listed keys; a missing key is an error."""
+def require_members(df: DataFrame, ids: DataFrame, key: str = "question_idx", early: bool = True) -> DataFrame:
+    """The rows of all listed keys; a missing key is an error.
+
+    early: a job of its own looks for missing keys before the plan is built, and the error (KeyError) names up
+    to five. Otherwise the plan checks as it runs, in the one join that gives the rows: nothing runs twice, and
+    the job fails at a missing key, which it names. A null among the keys is missing.
+    """
+    if not early:
+        rows = ids.select(key).distinct().join(df.withColumn("__held", F.lit(True)), key, "left")
+        none = F.raise_error(F.concat(F.lit(f"no record for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+        return rows.where(F.coalesce("__held", none.cast("boolean"))).drop("__held")  # of both sides, so the join stays an outer one
     missing = missing_members(df, ids, key)
     if found := missing.take(5):
         raise KeyError(f"no record for {[r[0] for r in found]}")
     return df.join(ids.select(key).distinct(), key)
 
 
-def reuse_or_rescan(stored: DataFrame, ids: DataFrame, rescan, key: str = "question_idx") -> DataFrame:
-    """Stored records if all listed keys have one, else rescan(ids) of all."""
-    return keep_members(stored, ids, key) if missing_members(stored, ids, key).isEmpty() else rescan(ids)
+def reuse_or_rescan(stored: DataFrame, ids: DataFrame, rescan, key: str = "question_idx", early: bool = True) -> DataFrame:
+    """Stored records if all listed keys have one, else rescan(ids) of all.
+
+    early: a job of its own decides which while the plan is built. Otherwise the plan decides as it runs: rescan
+    gets all ids or none, and gives stored's columns.
+    """
+    if early:
+        return keep_members(stored, ids, key) if missing_members(stored, ids, key).isEmpty() else rescan(ids)
+    found = missing_members(stored, ids, key).limit(1).agg(F.count("*").alias("__missing"))  # one row
+    given = lambda df, where: df.crossJoin(F.broadcast(found.where(where))).drop("__missing")
+    return given(keep_members(stored, ids, key), "__missing = 0").unionByName(rescan(given(ids, "__missing > 0")))
 
 
 def uncertain_then_wrong(df: DataFrame, threshold: float, wrong: Column) -> DataFrame:

@@ -32,19 +32,19 @@ def check_modes(se_threshold: float | None, se_mode: str, raw_samples: int) -> N
         raise ValueError("an entropy threshold and raw samples exclude each other")
 
 
-def build_pairs(judged: DataFrame, ids: DataFrame | None = None, skip_not_attempted: bool = True, se_threshold: float | str | None = None, se_mode: str = "filter", abstain: str = CANONICAL, raw_samples: int = 0, line: str | None = None) -> DataFrame:
+def build_pairs(judged: DataFrame, ids: DataFrame | None = None, skip_not_attempted: bool = True, se_threshold: float | str | None = None, se_mode: str = "filter", abstain: str = CANONICAL, raw_samples: int = 0, line: str | None = None, early: bool = True) -> DataFrame:
     """(question_idx, sample, prompt, response).
 
     Where a resumed file holds a key more than once, its last record by the column line counts.
     A threshold may be a level's name. Above it, filter drops the record and replace gives it
     the abstaining answer. With raw_samples = k each record gives its first k samples, and one
-    with fewer is an error.
+    with fewer is an error. early: when listed ids are checked, as in require_members.
     """
     if isinstance(se_threshold, str):
         se_threshold = LEVELS[se_threshold]
     check_modes(se_threshold, se_mode, raw_samples)
     df = judged if line is None else last_wins(judged, "question_idx", line)
-    df = df if ids is None else require_members(df, ids)
+    df = df if ids is None else require_members(df, ids, early=early)
     if skip_not_attempted:
         df = df.where(~F.col("grade").eqNullSafe("NOT_ATTEMPTED"))
     if raw_samples:
@@ -65,10 +65,10 @@ def repeat_pairs(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def longform_pairs(targets: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Answers with their prompts; an answer without a prompt is an error."""
+def longform_pairs(targets: DataFrame, prompts: DataFrame, early: bool = True) -> DataFrame:
+    """Answers with their prompts; an answer without a prompt is an error, before or while the plan runs as in require_members."""
     ids = targets.select("question_idx")
-    return targets.join(require_members(prompts, ids).select("question_idx", "prompt"), "question_idx").select("question_idx", "prompt", F.col("teacher_response").alias("response"))
+    return targets.join(require_members(prompts, ids, early=early).select("question_idx", "prompt"), "question_idx").select("question_idx", "prompt", F.col("teacher_response").alias("response"))
 
 
 def mask_labels(input_ids: Column, prompt_length: Column) -> Column:

@@ -559,7 +559,7 @@ _SAMPLE = "SELECT * FROM (SELECT o_orderkey AS question_idx, {0} AS seed FROM or
 def sample_ids(spark, sf_dir):
     """A sample for each seed (of so many keys, which is the feature)."""
     pool = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_idx"))
-    return sampling.seed_samples(pool, 100, [42, 44])
+    return sampling.seed_samples(pool, 100, [42, 44], early=False)
 
 
 @query("SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INT) AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer")

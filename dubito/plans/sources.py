@@ -180,7 +180,7 @@ def ingested_orders(spark, sf_dir):
 def pairs_listed(spark, sf_dir):
     """Pairs of listed keys, each of which must have a record."""
     judged = B.judged(spark, sf_dir)
-    pairs = targets.build_pairs(judged, ids=judged.where("role = 'teacher'").select("question_idx"))
+    pairs = targets.build_pairs(judged, ids=judged.where("role = 'teacher'").select("question_idx"), early=False)
     return pairs.select("question_idx", F.col("sample").cast("long").alias("sample"), "prompt", "response")
 
 
@@ -198,7 +198,7 @@ def longform_pairs(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "question_idx")
     prompts = c.select("question_idx", F.concat(F.lit("Tell about "), "c_name").alias("prompt"))
     answers = c.where("question_idx % 4 = 1").select("question_idx", F.concat(F.lit("It is "), F.col("question_idx").cast("string")).alias("teacher_response"))
-    return targets.longform_pairs(answers, prompts)
+    return targets.longform_pairs(answers, prompts, early=False)
 
 
 @query("SELECT 'stored' AS way, count(DISTINCT o_custkey) AS n FROM orders UNION ALL SELECT 'scanned', count(*) FROM customer")
@@ -206,7 +206,7 @@ def reused_records(spark, sf_dir):
     """Stored records serve where all keys have one; else all are scanned again."""
     stored = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("question_idx")).distinct()
     every = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("question_idx"))
-    count = lambda ids, way: select.reuse_or_rescan(stored, ids, lambda i: i).agg(F.lit(way).alias("way"), F.count("*").alias("n"))
+    count = lambda ids, way: select.reuse_or_rescan(stored, ids, lambda i: i, early=False).agg(F.lit(way).alias("way"), F.count("*").alias("n"))
     return count(stored, "stored").union(count(every, "scanned"))
 
 
@@ -354,7 +354,7 @@ _BY_HASH = "md5(concat({seed}, ':', {key}))"
 def seeded_samples(spark, sf_dir):
     """A sample without the reserved last keys; so many entities, or all if there are no more."""
     key = lambda t, c: table(spark, sf_dir, t).select(F.col(c).alias("question_idx"))
-    rows = [(42, sampling.sample_ids(key("orders", "o_orderkey"), 100, 42, reserved_tail=5)), (7, sampling.sample_or_all(key("customer", "c_custkey"), 50, 7, "question_idx")), (9, sampling.sample_or_all(key("nation", "n_nationkey"), 1000, 9, "question_idx"))]
+    rows = [(42, sampling.sample_ids(key("orders", "o_orderkey"), 100, 42, reserved_tail=5, early=False)), (7, sampling.sample_or_all(key("customer", "c_custkey"), 50, 7, "question_idx")), (9, sampling.sample_or_all(key("nation", "n_nationkey"), 1000, 9, "question_idx"))]
     out = None
     for seed, df in rows:
         df = df.select(F.lit(seed).alias("seed"), F.col("question_idx").cast("long").alias("question_idx"))
