@@ -449,7 +449,14 @@ def first_and_last(spark, sf_dir):
 @query("WITH " + CLAIMS + " SELECT question_idx, claim_idx, md5(nullif(string_agg(claim, ' ') OVER (PARTITION BY question_idx ORDER BY claim_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS context_md5 FROM k")
 def running_context(spark, sf_dir):
     """The claims before each claim of an answer, all of them, as a digest."""
-    return longform.running_context(B.claims(spark, sf_dir)).select("question_idx", "claim_idx", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+    return longform.context_digests(B.claims(spark, sf_dir))
+
+
+@query("WITH " + CLAIMS + ", e AS (SELECT question_idx, claim_idx, coalesce(length(string_agg(claim, ' ') OVER (PARTITION BY question_idx ORDER BY claim_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0)::INT AS context_end FROM k) SELECT question_idx, count(*) AS n, sum(context_end)::BIGINT AS context_chars, max(context_end) AS longest FROM e GROUP BY 1")
+def context_sizes(spark, sf_dir):
+    """How much context an answer's claims have, from where each one ends; no context is built."""
+    ends = longform.context_ends(B.claims(spark, sf_dir))
+    return ends.groupBy("question_idx").agg(F.count("*").alias("n"), F.sum("context_end").alias("context_chars"), F.max("context_end").alias("longest"))
 
 
 @query("WITH " + CLAIMS + " SELECT question_idx, sum((is_true AND claim_idx % 2 = 0)::INT)::BIGINT AS n_true, sum((NOT (is_true AND claim_idx % 2 = 0))::INT)::BIGINT AS n_false FROM k GROUP BY 1")
