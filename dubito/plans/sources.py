@@ -161,6 +161,16 @@ def live_table(spark, sf_dir):
     return rows[0].union(rows[1])
 
 
+@query("WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey % 3, o_orderkey) AS r, count(*) OVER () AS c FROM orders) SELECT s AS snapshot, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM n, (SELECT unnest([1, 20, 1000000]) AS s) WHERE r <= s * 50 AND r <= c // 50 * 50 GROUP BY s")
+def live_appends(spark, sf_dir):
+    """A live table of three runs, the second of them started twice: an early snapshot, one of a later run, and the last."""
+    path, orders = scratch(spark, "appended") + "/orders", table(spark, sf_dir, "orders").select("o_orderkey")
+    for run in (0, 1, 1, 2):
+        live.append_live(orders.where(F.col("o_orderkey") % 3 == run), path, "o_orderkey", 50, batch=f"run {run}")
+    rows = [live.snapshot(spark, path, k).agg(F.lit(k).alias("snapshot"), F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")) for k in (1, 20, 1_000_000)]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'first' WHEN o_orderkey % 2 = 0 THEN 'second' ELSE 'third' END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS batch FROM orders")
 def ingested_orders(spark, sf_dir):
     """§2.11: three batches with keys that came before, the second run again: each key once, the first row of it."""

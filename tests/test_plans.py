@@ -13,7 +13,7 @@ def plan(df):
 
 
 #: Queries with a window that isn't parted by a key, and so runs in one task: it holds distinct rounded scores, or a row for each of some ranges of keys.
-BARE_WINDOWS = {"auroc", "accuracy_at_quantile", "aurac", "rejection_curve", "cut_table", "key_gaps", "open_keys", "positional_split", "live_table"}
+BARE_WINDOWS = {"auroc", "accuracy_at_quantile", "aurac", "rejection_curve", "cut_table", "key_gaps", "open_keys", "positional_split", "live_table", "live_appends"}
 
 #: Queries whose Python is their subject: resampling by numpy, judges and graders as user code, and digests of running contexts, which no function of Spark continues.
 IN_PYTHON = {"bootstrap_auroc", "judge_as_code", "grader_as_code", "running_context"}
