@@ -8,6 +8,7 @@ from ..functions import names as N
 from ..functions import phrases as P
 from ..functions import text as T
 from ..operators import compare, inventory, loaders, select
+from ..operators import sentences as S
 from . import binding as B
 from .binding import RESPONSES, table
 from .registry import query
@@ -367,3 +368,56 @@ def role_columns(spark, sf_dir):
     """F9, F10."""
     c = table(spark, sf_dir, "conversations").select(F.col("turn").alias("question_idx"), F.col("role").alias("teacher_response"))
     return select.role_column(c, "teacher").groupBy(F.col("question_idx").alias("turn")).agg(F.count("*").alias("n"), F.count_if(F.col("response") == "user").alias("n_user"))
+
+
+#: Documents with abbreviations put in front of some, so that there is something to learn. Valid in both engines.
+_TOLD = "CASE WHEN doc_id % 5 = 0 THEN concat('Mr. Smith told Dr. Wood, e.g. by letter, what follows. ', text) ELSE text END"
+
+
+def _told(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_TOLD).alias("text"))
+
+
+def _likely(k, p):
+    return f"({k}) * ln(greatest({p}, 1e-300::DOUBLE))"
+
+
+_SPACE = r"[ \t\n\x0B\f\r]+"
+_CORE = r"regexp_replace(regexp_replace({}, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}.!?]+$', '')"
+_FREE, _INNER = "(n - dots)", "(length(word) - length(replace(word, '.', '')))"
+_SHARE = "least(stops / tokens, 0.98::DOUBLE)"
+_RATIO = f"-2 * ({_likely('dots', _SHARE)} + {_likely(_FREE, f'1 - {_SHARE}')} - {_likely('dots', '0.99::DOUBLE')} - {_likely(_FREE, '0.01::DOUBLE')})"
+_SIZE = "length(replace(word, '.', ''))"
+_GAIN = " + ".join([_likely("k", "k / ends"), _likely("ends - k", "1 - k / ends"), _likely("n - k", "(n - k) / (tokens - ends)"), _likely("tokens - ends - n + k", "1 - (n - k) / (tokens - ends)")])
+_LEARNT = (
+    f"d AS (SELECT doc_id, {_TOLD} AS text FROM documents), "
+    f"c AS (SELECT list_transform(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda t: t <> ''), lambda t: {_CORE.format('t')}) AS c FROM d), "
+    "t AS (SELECT unnest(c) AS core, unnest(list_concat([''], c[:-2])) AS before FROM c WHERE len(c) > 0), "
+    r"w AS (SELECT lower(rtrim(core, '.!?')) AS word, core, before, lower(rtrim(before, '.!?')) AS last, regexp_matches(core, '^\p{Lu}') AS upper, regexp_matches(before, '[.!?]$') AS stop FROM t), "
+    r"s AS (SELECT word, count(*) AS n, count(*) FILTER (core LIKE '%.') AS dots, count(*) FILTER (regexp_matches(core, '^\p{Ll}')) AS low, count(*) FILTER (upper AND before <> '' AND NOT stop) AS high FROM w GROUP BY 1 HAVING regexp_matches(word, '\p{L}')), "
+    rf"a AS (SELECT *, regexp_matches(word, '^\p{{L}}[\p{{L}}.]*$') AND dots >= 3 AND ({_RATIO}) * exp(-{_SIZE}) * ({_INNER} + 1) * pow({_SIZE}::DOUBLE, -{_FREE}) >= 0.3 AS abbreviation FROM s, (SELECT sum(n)::DOUBLE AS tokens, sum(dots)::DOUBLE AS stops FROM s)), "
+    r"f AS (SELECT w.word, coalesce(sum((NOT coalesce(before LIKE '%.' AND (regexp_matches(last, '^\p{L}$') OR x.abbreviation), FALSE))::INT), 0) AS k, coalesce(sum((before LIKE '%.' AND x.abbreviation AND upper)::INT), 0) AS named FROM w LEFT JOIN a x ON x.word = w.last WHERE stop GROUP BY 1), "
+    f"m AS (SELECT word, abbreviation, 2 * ({_GAIN} - ({_likely('n', 'n / tokens')}) - ({_likely('tokens - n', '1 - n / tokens')})) >= 30 AND k / ends > n / tokens AS starter, low > 0 AND high = 0 AND named = 0 AS capital FROM "
+    "(SELECT a.*, coalesce(k, 0)::DOUBLE AS k, coalesce(named, 0) AS named, ends FROM a LEFT JOIN f USING (word), (SELECT sum(k)::DOUBLE AS ends FROM f)))"
+)
+_PIECES = rf"string_split(regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '([.!?][''\")\]”’»]?){_SPACE}', '\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"WITH {_LEARNT} SELECT word, abbreviation, starter, capital FROM m WHERE abbreviation OR starter OR capital")
+def learnt_words(spark, sf_dir):
+    """Abbreviations, sentence starters and words whose capital tells, learnt from all documents."""
+    return S.learn(_told(spark, sf_dir))
+
+
+@query(f"WITH {_LEARNT}, p AS (SELECT doc_id, {_PIECES} AS p FROM d), "
+       "q AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS piece, unnest(list_concat(p[2:], [''])) AS next FROM p), "
+       f"r AS (SELECT doc_id, i, piece, {_CORE.format(f"regexp_split_to_array(piece, '{_SPACE}')[-1]")} AS last, {_CORE.format(f"regexp_split_to_array(next, '{_SPACE}')[1]")} AS nxt FROM q), "
+       r"h AS (SELECT doc_id, i, piece, last LIKE '%.' AND (regexp_matches(rtrim(last, '.!?'), '^\p{L}$') OR coalesce(x.abbreviation, FALSE)) AS held, "
+       r"regexp_matches(nxt, '^\p{Lu}') AND (coalesce(y.starter, FALSE) OR coalesce(y.capital, FALSE) AND NOT regexp_matches(rtrim(last, '.!?'), '^\p{L}$')) AS begins "
+       "FROM r LEFT JOIN m x ON x.word = lower(rtrim(last, '.!?')) LEFT JOIN m y ON y.word = lower(rtrim(nxt, '.!?'))), "
+       "j AS (SELECT doc_id, string_split(string_agg(piece || CASE WHEN NOT held OR begins THEN chr(1) ELSE ' ' END, '' ORDER BY i), chr(1)) AS s FROM h GROUP BY 1) "
+       r"SELECT doc_id, len(list_filter(s, lambda x: len(regexp_extract_all(x, '[^\s\x0B\x1C-\x1F\x{85}\p{Z}]+')) >= 2))::INT AS n_sentences FROM j")
+def learnt_sentences(spark, sf_dir):
+    """Sentences of all documents by what was learnt from them."""
+    docs = _told(spark, sf_dir)
+    return S.split(docs, S.learn(docs), "doc_id").select("doc_id", F.size("sentences").alias("n_sentences"))
