@@ -52,8 +52,8 @@ def learn(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
     place = F.when(stop, "start").when(before != "", "inside").alias("place")
     tokens = _tokens(docs, text).groupBy(*shape, place, F.when(before.endswith("."), _word(before)).otherwise("").alias("last")).agg(F.count("*").alias("c"))  # the one pass over texts
     some = lambda where: F.coalesce(F.sum(F.when(where, F.col("c"))), F.lit(0))
-    seen = tokens.groupBy("word").agg(F.sum("c").alias("n"), some(F.col("dot")).alias("dots"), some(F.col("low")).alias("low"), some(F.col("upper") & (F.col("place") == "inside")).alias("high"))
-    seen = seen.where(F.col("word").rlike(r"\p{L}"))
+    seen = tokens.groupBy("word").agg(F.sum("c").alias("n"), some(F.col("dot")).alias("dots"), some(F.col("low")).alias("low"), some(F.col("upper") & (F.col("place") == "inside")).alias("high"), F.max(F.col("word").rlike(r"\p{L}")).alias("lettered"))
+    seen = seen.where("lettered")  # filters stay behind the sums, so all branches share the counts' one exchange
     total = seen.agg(F.sum("n").cast("double").alias("tokens"), F.sum("dots").cast("double").alias("stops"))  # one row
     rows = seen.crossJoin(F.broadcast(total))
     p, free = F.least(F.col("stops") / F.col("tokens"), F.lit(0.98)), F.col("n") - F.col("dots")
@@ -63,7 +63,8 @@ def learn(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
     short = F.col("word").rlike(r"^\p{L}[\p{L}.]*$") & (F.col("dots") >= least)
     rows = rows.withColumn("abbreviation", F.coalesce(short & (score >= ABBREVIATION), F.lit(False)))
 
-    pairs = tokens.where("place = 'start'").groupBy("last", "word").agg(F.sum("c").alias("c"), some(F.col("upper")).alias("high"))
+    start = F.col("place") == "start"
+    pairs = tokens.groupBy("last", "word").agg(some(start).alias("c"), some(start & F.col("upper")).alias("high")).where("c > 0")
     pairs = pairs.join(rows.where("abbreviation").select(F.col("word").alias("last"), F.lit(True).alias("short")), "last", "left")
     sure = F.col("short").isNull() & ~F.col("last").rlike(r"^\p{L}$")
     after = pairs.groupBy("word").agg(F.coalesce(F.sum(F.when(sure, F.col("c"))), F.lit(0)).alias("after"), F.coalesce(F.sum(F.when(F.col("short"), F.col("high"))), F.lit(0)).alias("named"))
