@@ -4,7 +4,8 @@ After Kiss and Strunk, "Unsupervised Multilingual Sentence Boundary Detection" (
 stop that belongs to its word more than chance allows makes the word an abbreviation; words
 that follow sure ends more than chance allows are sentence starters; words also seen in lower
 case, and never capitalised within a sentence or behind an abbreviation, show by their capital that a sentence begins. Counts are grouped
-sums over all tokens, so a frequent word is summed before it is shuffled; the model is a table by word, joined, not broadcast by force.
+sums over all tokens, so a frequent word is summed before it is shuffled; they and the model are written to the shared folder once,
+as several sums and joins read them. The model is a table by word, joined, not broadcast by force.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, strip, words
+from ..sources.folders import scratch
 
 #: Fixed values of the paper: the least score of an abbreviation, of a starter, and the share of full stops an abbreviation has.
 ABBREVIATION, STARTER, STOPPED = 0.3, 30.0, 0.99
@@ -41,6 +43,12 @@ def _tokens(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.explode(pairs).alias("t")).select("t.core", "t.before").where("core is not null")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = f"{scratch(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def learn(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
     """(word, abbreviation, starter, capital) of all words of which one holds, from all texts.
 
@@ -50,10 +58,11 @@ def learn(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
     stop = before.rlike(r"[.!?]$")
     shape = [_word(core).alias("word"), core.endswith(".").alias("dot"), core.rlike(r"^\p{Ll}").alias("low"), core.rlike(r"^\p{Lu}").alias("upper")]
     place = F.when(stop, "start").when(before != "", "inside").alias("place")
-    tokens = _tokens(docs, text).groupBy(*shape, place, F.when(before.endswith("."), _word(before)).otherwise("").alias("last")).agg(F.count("*").alias("c"))  # the one pass over texts
+    tokens = _tokens(docs, text).groupBy(*shape, place, F.when(before.endswith("."), _word(before)).otherwise("").alias("last")).agg(F.count("*").alias("c"))
+    tokens = _written(tokens, "tokens")  # the one pass over texts
     some = lambda where: F.coalesce(F.sum(F.when(where, F.col("c"))), F.lit(0))
     seen = tokens.groupBy("word").agg(F.sum("c").alias("n"), some(F.col("dot")).alias("dots"), some(F.col("low")).alias("low"), some(F.col("upper") & (F.col("place") == "inside")).alias("high"), F.max(F.col("word").rlike(r"\p{L}")).alias("lettered"))
-    seen = seen.where("lettered")  # filters stay behind the sums, so all branches share the counts' one exchange
+    seen = seen.where("lettered")
     total = seen.agg(F.sum("n").cast("double").alias("tokens"), F.sum("dots").cast("double").alias("stops"))  # one row
     rows = seen.crossJoin(F.broadcast(total))
     p, free = F.least(F.col("stops") / F.col("tokens"), F.lit(0.98)), F.col("n") - F.col("dots")
@@ -74,7 +83,7 @@ def learn(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
     chance, there, elsewhere = n / every, F.try_divide(k, a), F.try_divide(n - k, every - a)  # null without a sure end: no starters
     gain = _likely(k, there) + _likely(a - k, 1 - there) + _likely(n - k, elsewhere) + _likely(every - a - n + k, 1 - elsewhere) - _likely(n, chance) - _likely(every - n, 1 - chance)
     rows = rows.withColumns({"starter": F.coalesce((2 * gain >= STARTER) & (there > chance), F.lit(False)), "capital": (F.col("low") > 0) & (F.col("high") == 0) & (F.coalesce("named", F.lit(0)) == 0)})
-    return rows.where("abbreviation or starter or capital").select("word", "abbreviation", "starter", "capital")
+    return _written(rows.where("abbreviation or starter or capital").select("word", "abbreviation", "starter", "capital"), "words")
 
 
 def split(docs: DataFrame, model: DataFrame, key: str, text: str = "text", least: int = 2) -> DataFrame:
