@@ -3,8 +3,9 @@
 Alternates the large-star and small-star steps (Kiveris et al., 2014) until no edge
 changes. Every step is a grouped minimum, pre-aggregated, and an equi-join on the node. A
 hub's rows don't meet in one task: the minima of the nodes with most rows, ``HUBS`` of them at
-most, are broadcast, and only the other nodes' rows are dealt by node. Nothing but counts and
-a checksum reaches the driver.
+most, are broadcast, and only the other nodes' rows are dealt by node. A step has as many tasks
+as its rows need, ``ROWS`` for each, however many partitions are set: their files would fill the
+disk before the rows do. Nothing but counts and a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .shared import cut
 
 #: Hubs have more than HUB rows, and more than one in HUBS of all.
 HUB, HUBS = 64, 1000
+#: Rows of a task.
+ROWS = 1 << 16
 
 
 def _with_least(rows: DataFrame, low: DataFrame, many: int) -> DataFrame:
@@ -44,8 +47,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     n, state = edges.count(), None
     while True:
-        many = max(HUB, 2 * n // HUBS)  # rows of a step are twice the edges at most
-        edges = cut(_small(_large(edges, many), many).where("u <> v").distinct())
+        many, tasks = max(HUB, 2 * n // HUBS), 1 + n // ROWS  # rows of a step are twice the edges at most
+        large = _large(edges.coalesce(tasks), many).coalesce(2 * tasks)
+        edges = cut(_small(large, many).coalesce(2 * tasks).where("u <> v").distinct().coalesce(tasks))
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
         if state == now:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

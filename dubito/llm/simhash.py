@@ -19,13 +19,16 @@ eight, as all do that differ in four bits at most. Links are joined per anchor b
 are sent, as stars instead of pairs.
 
 That is op6. The pipeline's stage goes by similarity (``similar_components``): documents whose
-sets of five-word shingles have a Jaccard similarity of 0.8 or more, about 10 bits of 64 apart
-and sometimes 20. No table of codes holds such a radius, so anchors are there the minima of
-``BANDS`` times ``WIDTH`` hashes of the shingles. Of the fingerprints under one anchor those
-within ``WIDE`` bits are candidates; within each component of candidates the shingle sets
-themselves are compared, in one task or, beyond ``TOGETHER`` bytes of text, by rounds of pivots
-over blocks of the component; only pairs at the similarity or above are linked. A pair at
-exactly 0.8 has one chance in about 40,000 to share no anchor.
+sets of five-word shingles have a Jaccard similarity of 0.8 or more, 0.15 of the bits apart and
+sometimes 0.3. Hamming codes don't hold such a radius, so the stage's fingerprint has 256 bits, kept
+with the sums whose signs they are, and its anchors are code words of a biorthogonal code (32 places,
+64 words), the nearest by the sums: the largest of their Hadamard transform, with its sign. An anchor
+is ``VIEWS`` code words over different choices of the sums; each set goes home to one in each of
+``TABLES`` tables and, as a replica, to that with the second nearest word in the least sure view.
+Fingerprints under one anchor within ``WIDE`` bits are candidates; within each component of candidates
+the shingle sets themselves are compared, in one task or, beyond ``TOGETHER`` bytes of text, by rounds
+of pivots over blocks of the component; only pairs at the similarity or above are linked. By simulation
+a pair at exactly 0.8 shares an anchor of one table with a chance of 0.24, of none with one of 2e-5.
 
 Defined results: texts without words (null, empty, blank) have fingerprint zero and are
 linked like any other; rows with a null doc_id are left out; rows that repeat a doc_id
@@ -47,19 +50,24 @@ from pyspark.sql.types import MapType, VariantType
 from .components import components
 from .repeats import documents, emit, grouped
 from .shared import cut, unused
-from .text import LOWER, Words, chunks, join, mix, signed, spans, unsigned
+from .text import LOWER, Words, chunks, mix, signed, spans, unsigned
 
 DISTANCE = 4
 SHINGLE = 4
 #: Rows of one anchor from which those that agree on half their bytes are compared, and of such a half from which components are grown.
 DENSE = 512
-#: The stage's rule, and its anchors: minima of WIDTH hashes each, fingerprints WIDE bits apart at most.
+#: The stage's rule, and its anchors: VIEWS code words of PLACES places each, fingerprints of BITS bits that are WIDE apart at most.
 SIMILARITY, WORDS = 0.8, 5
-BANDS, WIDTH, WIDE = 20, 4, 24
+BITS, TABLES, VIEWS, PLACES, WIDE = 256, 40, 3, 32, 76
 #: Bytes of text of a component that one task verifies; larger ones go by rounds, with blocks of so many rows and at most so many pivots a round.
 TOGETHER, BLOCK, PIVOTS = 32 << 20, 4096, 128
 _LOW_UPPER = bytes(LOWER)
-_ODD = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * WIDTH), np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = mix(np.arange(1, BITS // 64, dtype=np.uint64))
+_HADAMARD = np.where(np.bitwise_count(np.arange(PLACES)[:, None] & np.arange(PLACES)) % 2, -1, 1).astype(np.float32)
+_DRAW = np.random.default_rng(7)
+#: The sums that each view looks at, and the signs they take there.
+_CHOSEN = np.stack([_DRAW.permutation(BITS)[:PLACES] for _ in range(TABLES * VIEWS)])
+_SIGNS = _DRAW.choice(np.array([-1, 1], np.float32), _CHOSEN.shape)
 
 
 def _blocks(n: int) -> list[list[int]]:
@@ -130,6 +138,12 @@ def anchors(fp: np.ndarray, r: int, bits: list[int]) -> Iterator[tuple[np.ndarra
             yield np.where(use, flip(flip(x, np.full(len(x), s)), mend), home), False
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one word, or of several in the last dimension."""
+    bits = np.bitwise_count(x ^ y)
+    return bits if bits.ndim == 1 else bits.sum(1, dtype=np.int64)
+
+
 def _pairs(fp: np.ndarray, heads: np.ndarray, distance: int, home: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of row numbers within the distance among the rows of each group; home: rows that are compared with all of theirs."""
     sizes = np.diff(np.r_[heads, len(fp)])
@@ -142,7 +156,7 @@ def _pairs(fp: np.ndarray, heads: np.ndarray, distance: int, home: np.ndarray |
         g = group[r]
         a = np.repeat(r, g)
         b = np.arange(g.sum()) - np.repeat(np.cumsum(g) - g, g) + np.repeat(begin[r], g)
-        near = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (a != b)
+        near = (_apart(fp[a], fp[b]) <= distance) & (a != b)
         yield a[near], b[near]
         i = j
 
@@ -154,7 +168,7 @@ def _grown(fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarr
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             x = todo.pop()
-            near = np.bitwise_count(fp[rest] ^ fp[x]) <= distance
+            near = _apart(fp[rest], fp[x]) <= distance
             reached = rest[near]
             yield np.full(len(reached), x), reached
             todo += reached.tolist()
@@ -181,11 +195,27 @@ def _halves(fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndar
                 yield some[a], some[b]
 
 
+def _stars(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that span the links a, b, given both ways, among n rows: each row with the least that it reaches."""
+    least = np.arange(n)
+    while True:
+        now = least.copy()
+        np.minimum.at(now, a, least[b])
+        now = now[now]
+        if (now == least).all():
+            rows = np.flatnonzero(least < np.arange(n))
+            return rows, least[rows]
+        least = now
+
+
 def _links(fp: np.ndarray, home: np.ndarray, heads: np.ndarray, distance: int, grow: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers that span the links within each anchor's rows. Rows are sorted by anchor. grow: at any distance."""
+    """Pairs of row numbers that span the links within each anchor's rows. Rows are sorted by anchor. grow: at any distance, as stars."""
     sizes = np.diff(np.r_[heads, len(fp)])
-    dense = sizes > (1 if grow else DENSE)
-    found = list(_pairs(fp, heads, distance, home & ~np.repeat(dense, sizes)))
+    dense = sizes > DENSE
+    found = _pairs(fp, heads, distance, home & ~np.repeat(dense, sizes))
+    if grow:
+        found = (_stars(np.r_[a, b], np.r_[b, a], len(fp)) for a, b in found if len(a))
+    found = list(found)
     for h, n in zip(heads[dense], sizes[dense], strict=True):
         found += [(a + h, b + h) for a, b in (_grown if grow else _halves)(fp[h : h + n], distance)]
     none = np.zeros(0, np.int64)
@@ -193,17 +223,19 @@ def _links(fp: np.ndarray, home: np.ndarray, heads: np.ndarray, distance: int, g
 
 
 _PLACED = pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("home", pa.bool_())])
+_FP = ["fp", *(f"fp{i}" for i in range(1, BITS // 64))]
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def _comparing(placed: DataFrame, distance: int, grow: bool = False) -> DataFrame:
-    """Edges (u, v) that span the links within each anchor's rows of (anchor, fp, node, home)."""
+    """Edges (u, v) that span the links within each anchor's rows of (anchor, fp, node, home). grow: fp and the further words of _FP."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "anchor"):
             # by node within an anchor, so that the anchors of a family choose the same hub
-            anchor, fp, node, home = (t.column(c).to_numpy() for c in _PLACED.names)
-            a, b = _links(unsigned(fp), home, np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), distance, grow)
+            anchor, node, home = (t.column(c).to_numpy() for c in ("anchor", "node", "home"))
+            fp = np.stack([unsigned(t.column(c).to_numpy()) for c in _FP], 1) if grow else unsigned(t.column("fp").to_numpy())
+            a, b = _links(fp, home, np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), distance, grow)
             if len(a):
                 u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
                 order = np.lexsort((v, u))
@@ -284,32 +316,57 @@ def _lower_words(column: pa.Array) -> Words:
     return Words(column, lower=True)
 
 
+def sums(s: np.ndarray) -> np.ndarray:
+    """What SimHash takes the signs of: for each of BITS bits, over a set of hashes, how many set it less how many don't."""
+    out = np.zeros(BITS, np.int64)
+    for i in range(0, len(s), 1 << 14):
+        part = s[i : i + (1 << 14)]
+        words = np.stack([part, *(mix(part ^ x) for x in _SALTS)], 1)
+        out += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return 2 * out - len(s)
+
+
+def soft_anchors(v: np.ndarray) -> np.ndarray:
+    """The anchors of each row of sums: those at home, one for each table, then the replicas."""
+    x = (v.astype(np.float32)[:, _CHOSEN] * _SIGNS).reshape(-1, PLACES) @ _HADAMARD
+    size, rows = np.abs(x), np.arange(len(x))
+
+    def nearest() -> tuple[np.ndarray, np.ndarray]:
+        at = size.argmax(1)
+        return (at * 2 + (x[rows, at] > 0)).reshape(len(v), TABLES, VIEWS), size[rows, at].reshape(len(v), TABLES, VIEWS)
+
+    first, most = nearest()
+    size[rows, first.reshape(-1) // 2] = -1
+    second, next_most = nearest()
+    unsure = np.arange(VIEWS) == (most - next_most).argmin(2)[..., None]
+    words = np.stack([first, np.where(unsure, second, first)], 1)
+    key = np.arange(TABLES)
+    for i in range(VIEWS):
+        key = key * (2 * PLACES) + words[..., i]
+    return key.reshape(len(v), 2 * TABLES).astype(np.int32)
+
+
 def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """(doc_id, fp, key, bands): fingerprint, hash of the set of shingles, and anchors of every whole text."""
-
-    def sketch(s: np.ndarray) -> tuple[int, int, list[int]]:
-        if not len(s):
-            return 0, 0, []
-        bits, low = np.zeros(64, np.int64), np.full(BANDS * WIDTH, ~np.uint64(0))
-        for i in range(0, len(s), 1 << 14):
-            part = s[i : i + (1 << 14)]
-            bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            for j in range(BANDS * WIDTH):
-                low[j] = min(low[j], ((part ^ _ODD[0, j]) * _ODD[1, j]).min())
-        fp = np.packbits(bits * 2 > len(s), bitorder="little").view("<u8")
-        band = np.arange(BANDS, dtype=np.uint64)
-        for x in low.reshape(BANDS, WIDTH).T:
-            band = join(band, x)
-        key = int(mix(np.r_[s, np.uint64(len(s))]).sum(dtype=np.uint64))
-        return int(signed(fp)[0]), int(np.uint64(key).view(np.int64)), signed(band).tolist()
+    """(doc_id, the words of fp, key, anchors): fingerprint, hash of the set of shingles, and anchors of every whole text."""
+
+    def sketch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        v, keys = np.zeros((batch.num_rows, BITS), np.int64), []
+        for i, s in enumerate(shingles(_lower_words(batch.column("text")), size)):
+            v[i] = sums(s)
+            keys.append(int(mix(np.r_[s, np.uint64(len(s))]).sum(dtype=np.uint64)))
+        none = ~v.any(1)
+        fp = np.packbits(v > 0, axis=1, bitorder="little").view("<i8")
+        anchors = pa.ListArray.from_arrays(np.r_[0, np.cumsum(~none) * 2 * TABLES].astype(np.int32), pa.array(soft_anchors(v[~none]).reshape(-1)))
+        columns = [batch.column("doc_id"), *map(pa.array, fp.T), pa.array(np.array(keys, np.uint64).view(np.int64)), anchors]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", *_FP, "key", "anchors"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b):
-                fp, key, bands = zip(*map(sketch, shingles(_lower_words(c.column("text")), size)), strict=True)
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(fp, pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "key", "bands"])
+                for i in range(0, c.num_rows, 512):
+                    yield from sketch(c.slice(i, 512))
 
-    return documents(docs).mapInArrow(task, "doc_id long, fp long, key long, bands array<long>")
+    return documents(docs).mapInArrow(task, f"doc_id long, {', '.join(f'{c} long' for c in _FP)}, key long, anchors array<int>")
 
 
 def similar(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -438,8 +495,8 @@ def _verified_by_rounds(candidates: DataFrame, size: int, similarity: float) ->
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS) -> DataFrame:
     """(doc_id, component_id): documents linked by shingle sets at the similarity or above; equal sets are one class."""
     prints = cut(sketches(docs, size))
-    classes = cut(prints.groupBy("fp", "key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    placed = classes.select(F.explode("bands").alias("anchor"), "fp", "node", F.lit(True).alias("home"))
+    classes = cut(prints.groupBy("fp", "key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in [*_FP[1:], "anchors"])))
+    placed = classes.select(F.posexplode("anchors").alias("i", "anchor"), *_FP, "node").withColumn("home", F.col("i") < TABLES).drop("i")
     loose = components(_comparing(placed, WIDE, grow=True))
     members = cut(loose.union(loose.select("component", "component")).distinct())
     sizes = documents(docs).select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")).join(members, "node")

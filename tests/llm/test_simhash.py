@@ -113,6 +113,35 @@ def test_hubs(spark, monkeypatch, hub):
     assert {x: got.get(x, x) for x in want} == want
 
 
+def test_steps_have_tasks_for_their_rows(spark):
+    """However many partitions are set, so that small graphs don't write their files by the thousand."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = components(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "u long, v long"))
+        assert found.rdd.getNumPartitions() == 1 and {tuple(r) for r in found.collect()} == {(2, 1), (3, 1), (9, 7)}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("shared", [4, 9, 45, 180])
+def test_sets_similar_by_80_percent_share_an_anchor(shared):
+    """The stage's candidates come from SimHash: from code words near to its sums, and from the signs of these."""
+    rng, own, n = np.random.default_rng(shared), shared // 4, 300
+    pairs = []
+    for _ in range(n):
+        s = rng.integers(0, 2**63, shared + own, np.uint64) * np.uint64(2)
+        pairs.append((simhash.sums(s[: shared + own // 2]), simhash.sums(np.r_[s[:shared], s[shared + own // 2 :]])))
+    a, b = (np.array(x) for x in zip(*pairs, strict=True))
+    assert (((a > 0) != (b > 0)).sum(1) <= simhash.WIDE).all()
+    x, y, t = simhash.soft_anchors(a), simhash.soft_anchors(b), simhash.TABLES
+    assert ((x[:, :t] == y[:, :t]) | (x[:, t:] == y[:, :t]) | (x[:, :t] == y[:, t:])).any(1).all()
+    strangers = np.roll(b, 1, 0)
+    assert (((a > 0) != (strangers > 0)).sum(1) > simhash.WIDE).all()
+
+
 def shingle_set(t):
     w = re.findall("[^\x20\x09-\x0d]+", t.lower())
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else frozenset()
