@@ -97,3 +97,17 @@ def test_logs_in_parts(spark, tmp_path):
     path = str(tmp_path / "logs")
     status = I.log_status(files.log_files(spark, path), files.log_lines(spark, path))
     assert {tuple(r) for r in status.select("log", "node", F.col("rank") == P.OUTCOMES.index("cancelled")).collect()} == {("run_1", "oat3", True), ("run_2", None, False)}
+
+
+def test_packed_logs(spark, tmp_path):
+    """Many logs in a file tell what a file for each tells; the number of files is that of partitions, not of logs."""
+    rows = [(name, i, x) for name, text in FILES.items() for i, x in enumerate(re.split("\r?\n", text.removesuffix("\n"))) if text]
+    rows += [(f"more_{i}.out", 0, "a\tb\tCANCELLED") for i in range(40)]
+    path = str(tmp_path / "packed")
+    files.pack_logs(spark.createDataFrame(rows, "name string, i long, value string").repartition(3, "i"), path, "i")
+    assert len([f for f in os.listdir(path) if f.startswith("part-")]) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found, lines = files.packed_logs(spark, path)
+    got = {r.log: (P.OUTCOMES[r["rank"]], r.node) for r in I.log_status(found, lines).collect()}
+    want = {k: v for k, v in expected().items() if k != "run_3"}  # both its files are empty
+    assert got == want | {f"more_{i}": ("cancelled", None) for i in range(40)}
+    assert "a\tb\tCANCELLED" in {r.value for r in lines.collect()}
