@@ -86,25 +86,33 @@ def learn(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
     return _written(rows.where("abbreviation or starter or capital").select("word", "abbreviation", "starter", "capital"), "words")
 
 
+def _same(text: str) -> list[Column]:
+    """Two hashes that tell texts apart: what holds for a text holds for its copies."""
+    return [F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(1), F.col(text)).alias("__b")]
+
+
 def split(docs: DataFrame, model: DataFrame, key: str, text: str = "text", least: int = 2) -> DataFrame:
     """(key, sentences): the sentences of each text, of so many words or more, in order.
 
     Ends are . ! ? with a closing mark or none before blanks; not where a full stop follows an abbreviation or a
     single letter, unless the next word is a starter with a capital, or, behind an abbreviation, one whose capital tells. Within a sentence the blanks
-    at such a place become one. A row is given for each row, repeated keys too; a null or empty text has no sentences; U+0001 counts as a blank.
+    at such a place become one. Only places behind a full stop that may not end meet the model, by word, without their text; those that
+    don't end go back to the texts by hash. A row is given for each row, repeated keys too; a null or empty text has no sentences; U+0001 counts as a blank.
     """
     clean = F.translate(F.coalesce(text, F.lit("")), _MARK, " ")
     pieces = let(F.split(clean, _CUT), lambda p: F.arrays_zip(p.alias("piece"), F.concat(F.slice(p, F.lit(2), F.size(p)), F.array(F.lit(None).cast("string"))).alias("next")))
-    rows = docs.select(F.col(key).alias("__key"), F.monotonically_increasing_id().alias("__row"), pieces.alias("__pieces"))  # numbered before they are cut
-    rows = rows.select("__key", "__row", F.posexplode("__pieces").alias("at", "p")).select("__key", "__row", "at", "p.*")
-    rows = rows.withColumns({"last": _core(F.element_at(F.split("piece", _BLANKS), -1)), "then": _core(F.get(F.split("next", _BLANKS), F.lit(0)))})
-    rows = rows.select("__key", "__row", "at", "piece", F.when(F.col("last").endswith("."), _word(F.col("last"))).alias("last"), _word(F.col("then")).alias("next"), F.col("then").rlike(r"^\p{Lu}").alias("upper"))
-    rows = rows.join(model.where("abbreviation").select(F.col("word").alias("last"), F.lit(True).alias("short")), "last", "left")
-    rows = rows.join(model.where("starter or capital").select(F.col("word").alias("next"), "starter", "capital"), "next", "left")
+    places = docs.select(*_same(text), F.posexplode(pieces).alias("at", "p")).select("__a", "__b", "at", "p.*")
+    places = places.withColumns({"last": _core(F.element_at(F.split("piece", _BLANKS), -1)), "then": _core(F.get(F.split("next", _BLANKS), F.lit(0)))})
+    places = places.where(F.col("last").endswith("."))  # the others end
+    places = places.select("__a", "__b", "at", _word(F.col("last")).alias("last"), _word(F.col("then")).alias("next"), F.col("then").rlike(r"^\p{Lu}").alias("upper"))
     single, yes = F.col("last").rlike(r"^\p{L}$"), lambda c: F.coalesce(c, F.lit(False))
-    held = yes(single) | yes(F.col("short"))
+    places = places.join(model.where("abbreviation").select(F.col("word").alias("last"), F.lit(True).alias("short")), "last", "left").where(yes(single) | yes(F.col("short")))
+    places = places.join(model.where("starter or capital").select(F.col("word").alias("next"), "starter", "capital"), "next", "left")
     begins = yes(F.col("upper")) & (yes(F.col("starter")) | (yes(F.col("capital")) & ~yes(single)))
-    parts = F.struct("at", F.concat("piece", F.when(~held | begins, F.lit(_MARK)).otherwise(" ")).alias("piece"))
-    whole = rows.groupBy("__row").agg(F.first("__key").alias(key), F.array_sort(F.collect_list(parts)).alias("parts"))
-    found = F.transform(F.split(F.array_join(F.transform("parts", lambda x: x["piece"]), ""), _MARK), strip)
-    return whole.select(key, F.filter(found, lambda s: F.size(words(s)) >= least).alias("sentences"))
+    held = places.where(~begins).groupBy("__a", "__b").agg(F.array_sort(F.collect_set("at")).alias("__held"))
+    rows = docs.select(F.col(key).alias("__key"), *_same(text), clean.alias("__text")).join(held, ["__a", "__b"], "left")
+    before = lambda i: F.coalesce(F.get("__held", i - 1), F.lit(-1))
+    blanks = F.flatten(F.transform("__held", lambda at, i: F.concat(F.array_repeat(F.lit(_MARK), at - before(i) - 1), F.array(F.lit(" ")))))
+    parts = F.zip_with(F.split("__text", _CUT), F.coalesce(blanks, F.array().cast("array<string>")), lambda p, b: F.concat(p, F.coalesce(b, F.lit(_MARK))))
+    found = F.transform(F.split(F.array_join(parts, ""), _MARK), strip)
+    return rows.select(F.col("__key").alias(key), F.filter(found, lambda s: F.size(words(s)) >= least).alias("sentences"))

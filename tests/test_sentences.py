@@ -1,5 +1,7 @@
 """The learnt splitter against sentences marked by hand, and its counts against plain code."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,15 @@ def test_long_text(spark):
     assert {r.word for r in model.where("abbreviation").collect()} == {"mr"}
     n = S.split(docs, model, "doc_id").select(F.size("sentences")).first()[0]
     assert n == 21_000
+
+
+def test_pieces_are_not_shuffled(spark, docs):
+    """Only places behind full stops go to the model; texts go once to the places that don't end."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = S.split(docs, S.learn(docs), "doc_id")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        sent = re.findall(r"\(\d+\) Exchange\s*\nInput \[\d+\]: \[(.*)\]", plan)
+        assert len(sent) >= 4 and not any("piece#" in x for x in sent) and sum("__text#" in x for x in sent) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
